@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -20,16 +21,42 @@ NAME_STRIP_PATTERN = "�|۱|_"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
+def _guard_chars(keys: Iterable[str]) -> list[str]:
+    """One character per key that the value must contain for the key to match
+    (the key's first non-ASCII character, else its first character)."""
+    out = set()
+    for k in keys:
+        if k:
+            out.add(next((ch for ch in k if ord(ch) > 127), k[0]))
+    return sorted(out)
+
+
+@functools.lru_cache(maxsize=64)
+def _pair_array(pairs: tuple[tuple[str, str], ...]) -> Column:
+    """The pair list as one ``array<struct<a, b>>`` literal, built once per dictionary."""
+    body = ", ".join(f"named_struct('a', {_sql_str(a)}, 'b', {_sql_str(b)})" for a, b in pairs)
+    return F.expr(f"array({body})")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def replace_literals(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Apply literal replacements one after another, in the given order.
 
-    Folded into a single expression so the column is rewritten in one pass;
-    later pairs see the output of earlier ones.
+    One ``aggregate`` higher-order function folds the pair list over the
+    value, so later pairs see the output of earlier ones; the expression
+    stays the same size however long the dictionary is.  The fold only runs
+    for values holding a character without which no key can match (a cheap
+    regex test), so clean text costs one scan.
     """
-    out = c
-    for bad, good in pairs:
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    return out
+    if not pairs:
+        return c
+    arr = _pair_array(tuple(pairs))
+    folded = F.aggregate(arr, c, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    chars = "".join(ch if ch.isalnum() else "\\" + ch for ch in _guard_chars(a for a, _ in pairs))
+    return F.when(c.rlike(f"[{chars}]"), folded).otherwise(c)
 
 
 def strip_regex(c: Column, pattern: str) -> Column:

@@ -24,11 +24,11 @@ def repair_text(df: DataFrame, name_col: str = "listing_name") -> DataFrame:
         if c not in cols:
             exprs.append(F.col(c))
             continue
-        e = T.replace_literals(F.col(c), REPAIRS_1)
-        e = T.replace_literals(e, REPAIRS_2)
         if c == name_col:
-            e = T.strip_regex(e, T.NAME_STRIP_PATTERN)
-        e = T.replace_literals(e, REPAIRS_TURKISH)
+            e = T.replace_literals(F.col(c), REPAIRS_1 + REPAIRS_2)
+            e = T.replace_literals(T.strip_regex(e, T.NAME_STRIP_PATTERN), REPAIRS_TURKISH)
+        else:
+            e = T.replace_literals(F.col(c), REPAIRS_1 + REPAIRS_2 + REPAIRS_TURKISH)
         exprs.append(e.alias(c))
     return df.select(*exprs)
 

@@ -68,4 +68,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
         out.count()
         return out
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
