@@ -17,10 +17,20 @@ from tavola.operators import recommend as R
 from tavola.operators import warehouse as WH
 from tavola.plans.prepare import prepare
 from tavola.plans.requests import REQUESTS
+from tavola.session import cut_lineage
 from tavola.sources.tables import listings_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Column order of the prepared table (without the cluster columns).
+PREPARED_COLUMNS = [
+    "listing_id", "listing_name", "country_code", "city", "address", "locality", "longitude", "latitude", "cuisines",
+    "cost_for_two", "currency", "price_range", "aggregate_rating", "votes", "has_table_booking", "has_online_delivery",
+    "is_delivering_now", "average_cost_inr", "log_average_cost_inr", "cost_relative_to_city", "city_wise_cost_category",
+    "restaurant_cost_category", "cuisine_count", "primary_cuisine", "log_votes", "rating_category", "popularity_category",
+    "restaurant_popularity_score", "is_expensive", "has_delivery_or_booking", "city_restaurant_count",
+]
+
 
 def round6(df: DataFrame) -> DataFrame:
     return df.select(
@@ -31,8 +41,13 @@ def round6(df: DataFrame) -> DataFrame:
     )
 
 
+def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
+    return cut_lineage(prepare(listings_raw(spark, sf_dir), clusters=clusters))
+
+
 def imported_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
-    return WH.import_listings(prepare(listings_raw(spark, sf_dir), clusters=clusters))
+    """Prepared + imported listings, materialised once (the listings table of the store)."""
+    return cut_lineage(WH.import_listings(prepared_listings(spark, sf_dir, clusters)))
 
 
 def _recommend_query(name: str, top_n: int = 10) -> Query:
@@ -46,4 +61,98 @@ def queries() -> dict[str, Query]:
     qs: dict[str, Query] = {}
     for name in REQUESTS:
         qs[f"recommend_{name}"] = _recommend_query(name)
+    qs.update(_quality_queries())
+    qs.update(_clean_feature_queries())
     return qs
+
+
+# ---------------------------------------------------------------- quality (Q1-Q11)
+from tavola.operators import clean as C  # noqa: E402
+from tavola.operators import quality as Q  # noqa: E402
+from tavola.sources.tables import table  # noqa: E402
+
+DOC_PATTERN_VALUES = "ß|ñ"
+DOC_PATTERN_COUNTS = "é|ü"
+
+
+def _quality_queries() -> dict[str, Query]:
+    raw = listings_raw
+    return {
+        "profile_lineitem": lambda s, d: Q.profile(table(s, d, "lineitem")).withColumnRenamed("column", "column_name"),
+        "null_counts_listings": lambda s, d: Q.null_counts(raw(s, d)).withColumnRenamed("column", "column_name"),
+        "duplicate_rows_documents": lambda s, d: Q.duplicate_rows(table(s, d, "documents").select("text")),
+        "duplicate_count_documents": lambda s, d: Q.duplicate_count(table(s, d, "documents").select("text")),
+        "corrupt_values_documents": lambda s, d: Q.corrupt_values(table(s, d, "documents"), DOC_PATTERN_VALUES, ["text", "lang", "source"]).withColumnRenamed("column", "column_name"),
+        "corrupt_counts_documents": lambda s, d: Q.corrupt_counts(table(s, d, "documents"), DOC_PATTERN_COUNTS).withColumnRenamed("column", "column_name"),
+        "distinct_sorted_cost": lambda s, d: round6(Q.distinct_sorted(raw(s, d), "cost_for_two")),
+        "null_zero_cost": lambda s, d: Q.null_zero(C.convert_currency(raw(s, d)), "average_cost_inr"),
+        "zero_only_groups_cost": lambda s, d: round6(Q.zero_only_groups(C.convert_currency(raw(s, d)), ["city", "locality", "price_range"], "average_cost_inr")),
+        "group_median_order_currency": lambda s, d: round6(Q.group_median_order(raw(s, d), "currency", "cost_for_two")),
+        "box_stats_currency": lambda s, d: round6(Q.box_stats(raw(s, d), "currency", "cost_for_two")),
+    }
+
+
+# ---------------------------------------------------------------- cleaning and features (C*, D*)
+from tavola.functions import text as TX  # noqa: E402
+from tavola.operators import features as FE  # noqa: E402
+from tavola.operators import geo as GEO  # noqa: E402
+
+# A small replacement dictionary over letters that occur in the
+# documents; the second pair only fires on the output of the first.
+DOC_REPAIRS = [("é", "e"), ("ee", "E"), ("ñ", "n"), ("ß", "ss"), ("ü", "ue")]
+DOC_STRIP = "é|ü|_"
+
+
+def _converted(s, d):
+    return C.convert_currency(listings_raw(s, d))
+
+
+def _clean_feature_queries() -> dict[str, Query]:
+    raw = listings_raw
+    docs = lambda s, d: table(s, d, "documents")
+    return {
+        "replace_literals_documents": lambda s, d: C.replace_literals(docs(s, d).select("doc_id", "text"), DOC_REPAIRS, ["text"]),
+        "strip_regex_documents": lambda s, d: C.strip_regex(docs(s, d).select("doc_id", "text"), "text", DOC_STRIP),
+        "fill_cuisines": lambda s, d: C.fill(raw(s, d).select("listing_id", "cuisines"), {"cuisines": "Unknown"}),
+        "norm_text_listings": lambda s, d: C.norm_text(raw(s, d).select("listing_id", "cuisines", "listing_name"), ["cuisines", "listing_name"]),
+        "to_number_part": lambda s, d: round6(
+            table(s, d, "part").select(
+                "p_partkey",
+                TX.to_number(F.col("p_size")).alias("size_num"),
+                TX.to_number(F.col("p_brand")).alias("brand_num"),
+                TX.to_number(F.concat(F.lit(" "), F.col("p_retailprice").cast("string"), F.lit(" "))).alias("price_num"),
+            )
+        ),
+        "yes_no_listings": lambda s, d: C.yes_no(
+            raw(s, d).select("listing_id", "has_table_booking", "has_online_delivery", F.lower(F.col("is_delivering_now")).alias("is_delivering_now"), F.col("locality")),
+            ["has_table_booking", "has_online_delivery", "is_delivering_now", "locality"],
+        ),
+        "convert_currency": lambda s, d: round6(_converted(s, d).select("listing_id", "currency", "average_cost_inr")),
+        "impute_zero_level1": lambda s, d: round6(
+            C.impute_zero_by_group(_converted(s, d), "average_cost_inr", ["country_code", "city", "price_range"]).select("listing_id", "average_cost_inr")
+        ),
+        "impute_zero_level2": lambda s, d: round6(
+            C.impute_zero_by_group(
+                C.impute_zero_by_group(_converted(s, d), "average_cost_inr", ["country_code", "city", "locality", "price_range"]),
+                "average_cost_inr", ["country_code", "price_range"],
+            ).select("listing_id", "average_cost_inr")
+        ),
+        "fill_median_rating": lambda s, d: round6(
+            C.fill_median(raw(s, d).select("listing_id", F.nullif(F.col("aggregate_rating"), F.lit(0.0)).alias("rating"), "cost_for_two"), ["rating", "cost_for_two"])
+        ),
+        "drop_missing_cuisines": lambda s, d: C.drop_missing(raw(s, d).select("listing_id", "cuisines"), ["cuisines"]),
+        "cost_relative_to_city": lambda s, d: round6(FE.cost_relative_to_city(_converted(s, d)).select("listing_id", "cost_relative_to_city")),
+        "city_cost_quartile": lambda s, d: FE.city_cost_quartile(_converted(s, d)).select("listing_id", "city_wise_cost_category"),
+        "row_features": lambda s, d: round6(
+            FE.row_features(C.fill(_converted(s, d), {"cuisines": "Unknown"})).select(
+                "listing_id", "restaurant_cost_category", "cuisine_count", "primary_cuisine", "log_votes", "rating_category",
+                "popularity_category", "restaurant_popularity_score", "is_expensive", "has_delivery_or_booking",
+            )
+        ),
+        "city_restaurant_count": lambda s, d: FE.city_restaurant_count(raw(s, d).select("listing_id", "city")),
+        "prepare_listings": lambda s, d: round6(prepared_listings(s, d)),
+        "import_listings": lambda s, d: round6(imported_listings(s, d)),
+        "drop_leakage_base": lambda s, d: round6(C.drop_leakage(prepared_listings(s, d), "base")),
+        "cluster_counts": lambda s, d: round6(GEO.cluster_counts(raw(s, d))),
+        "geo_clusters": lambda s, d: FE.city_cluster_key(GEO.kmeans_by_city(raw(s, d).select("listing_id", "city", "latitude", "longitude"))),
+    }

@@ -106,4 +106,191 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for name, prefs in REQUESTS.items():
         out[f"recommend_{name}"] = recommend_sql(prefs, 10)
+    out.update(_quality_sql())
+    out.update(_clean_feature_sql())
     return out
+
+
+def W(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+
+
+SPARK_TYPE = "CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT' THEN 'float' ELSE lower({t}) END"
+
+LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+RAW_LISTING_COLS = ["listing_id", "listing_name", "country_code", "city", "address", "locality", "longitude", "latitude", "cuisines", "cost_for_two", "currency", "price_range", "aggregate_rating", "votes", "has_table_booking", "has_online_delivery", "is_delivering_now"]
+
+
+PREPARED_DOUBLES = {
+    "longitude", "latitude", "cost_for_two", "aggregate_rating", "average_cost_inr", "log_average_cost_inr",
+    "cost_relative_to_city", "log_votes", "restaurant_popularity_score",
+}
+IMPORTED_COLUMNS = [
+    "listing_id", "listing_name", "country_code", "city", "address", "locality", "longitude", "latitude",
+    "cuisines", "average_cost_inr", "log_average_cost_inr", "cost_relative_to_city", "city_wise_cost_category",
+    "restaurant_cost_category", "price_range", "aggregate_rating", "rating_category", "votes", "log_votes",
+    "popularity_category", "restaurant_popularity_score", "city_restaurant_count", "has_table_booking",
+    "has_online_delivery", "is_delivering_now", "is_expensive", "has_delivery_or_booking", "location_cluster",
+    "city_location_cluster",
+]
+DOC_PATTERN_VALUES_SQL = "ß|ñ"
+DOC_PATTERN_COUNTS_SQL = "é|ü"
+
+
+def _quality_sql() -> dict[str, str]:
+    L = V.LISTINGS
+    prof = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, {SPARK_TYPE.format(t='any_value(typeof(' + c + '))')} AS data_type, count({c}) AS non_null FROM lineitem"
+        for i, c in enumerate(LINEITEM_COLS)
+    )
+    nulls = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM listings" for c in RAW_LISTING_COLS)
+    conv = f"conv AS (SELECT *, cost_for_two * {V.currency_case('currency')} AS average_cost_inr FROM listings)"
+    corrupt_vals = " UNION ".join(
+        f"SELECT '{c}' AS column_name, {c} AS value FROM documents WHERE regexp_matches({c}, {q(DOC_PATTERN_VALUES_SQL)})" for c in ["text", "lang", "source"]
+    )
+    corrupt_cnt = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE regexp_matches({c}, {q(DOC_PATTERN_COUNTS_SQL)})) AS corrupted FROM documents" for c in ["text", "lang", "source"]
+    )
+    return {
+        "profile_lineitem": prof,
+        "null_counts_listings": W(nulls, L),
+        "duplicate_rows_documents": "SELECT text, CAST(o AS BIGINT) AS occurrence FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) g, range(2, n + 1) r(o)",
+        "duplicate_count_documents": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)",
+        "corrupt_values_documents": corrupt_vals,
+        "corrupt_counts_documents": f"SELECT * FROM ({corrupt_cnt}) WHERE corrupted > 0",
+        "distinct_sorted_cost": W("SELECT DISTINCT round(cost_for_two, 6) AS cost_for_two FROM listings", L),
+        "null_zero_cost": W("SELECT count(*) FILTER (WHERE average_cost_inr IS NULL) AS nulls, count(*) FILTER (WHERE average_cost_inr = 0) AS zeros FROM conv", L, conv),
+        "zero_only_groups_cost": W(
+            """SELECT city, locality, price_range, count(average_cost_inr) AS total_rows,
+                      count(*) FILTER (WHERE average_cost_inr = 0) AS zero_count,
+                      count(*) FILTER (WHERE NOT coalesce(average_cost_inr = 0, false)) AS non_zero_count,
+                      round(median(average_cost_inr) FILTER (WHERE average_cost_inr <> 0), 6) AS non_zero_median
+               FROM conv WHERE city IS NOT NULL AND locality IS NOT NULL AND price_range IS NOT NULL
+               GROUP BY city, locality, price_range
+               HAVING count(*) FILTER (WHERE NOT coalesce(average_cost_inr = 0, false)) = 0""",
+            L, conv,
+        ),
+        "group_median_order_currency": W(
+            """SELECT currency, round(m, 6) AS median_value, CAST(row_number() OVER (ORDER BY m DESC, currency ASC) AS INTEGER) AS rank
+               FROM (SELECT currency, median(cost_for_two) AS m FROM listings WHERE cost_for_two > 0 GROUP BY currency)""",
+            L,
+        ),
+        "box_stats_currency": W(
+            """SELECT * FROM (WITH q AS (SELECT currency, quantile_cont(cost_for_two, 0.25) AS q1, median(cost_for_two) AS med,
+                             quantile_cont(cost_for_two, 0.75) AS q3, count(*) AS n FROM b GROUP BY currency)
+               SELECT q.currency, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, n,
+                      round(min(cost_for_two) FILTER (WHERE cost_for_two >= q1 - 1.5e0 * (q3 - q1)), 6) AS lower_whisker,
+                      round(max(cost_for_two) FILTER (WHERE cost_for_two <= q3 + 1.5e0 * (q3 - q1)), 6) AS upper_whisker,
+                      count(*) FILTER (WHERE cost_for_two < q1 - 1.5e0 * (q3 - q1) OR cost_for_two > q3 + 1.5e0 * (q3 - q1)) AS outliers,
+                      round(q3 - q1, 6) AS iqr
+               FROM q JOIN b ON q.currency = b.currency GROUP BY q.currency, q1, med, q3, n)""",
+            L, "b AS (SELECT currency, cost_for_two FROM listings WHERE cost_for_two > 0)",
+        ),
+    }
+
+
+def _clean_feature_sql() -> dict[str, str]:
+    from tavola.plans.catalog import DOC_REPAIRS, DOC_STRIP
+    from tavola.operators.clean import LEAKAGE_COLUMNS
+
+    L = V.LISTINGS
+    conv = f"conv AS (SELECT *, cost_for_two * {V.currency_case('currency')} AS average_cost_inr FROM listings)"
+
+    def imp(src: str, keys: list[str], name: str) -> str:
+        on = " AND ".join(f"s.{k} = g.{k}" for k in keys)
+        ks = ", ".join(keys)
+        return (
+            f"{name} AS (SELECT s.* REPLACE (CASE WHEN s.average_cost_inr = 0 AND g.m IS NOT NULL THEN g.m ELSE s.average_cost_inr END AS average_cost_inr) "
+            f"FROM {src} s LEFT JOIN (SELECT {ks}, median(average_cost_inr) FILTER (WHERE average_cost_inr <> 0) AS m FROM {src} GROUP BY {ks}) g ON {on})"
+        )
+
+    yn = lambda c: f"CASE WHEN upper(trim(CAST({c} AS VARCHAR))) = 'YES' THEN 'Yes' ELSE 'No' END AS {c}"
+    leak = set(LEAKAGE_COLUMNS["base"])
+    from tavola.plans.catalog import PREPARED_COLUMNS
+
+    keep = [c for c in PREPARED_COLUMNS if c not in leak]
+    r6 = lambda c, t=None: f"round({c}, 6) AS {c}" if c in PREPARED_DOUBLES else c
+    return {
+        "replace_literals_documents": f"SELECT doc_id, {V.nested_replace('text', DOC_REPAIRS)} AS text FROM documents",
+        "strip_regex_documents": f"SELECT doc_id, regexp_replace(text, {q(DOC_STRIP)}, '', 'g') AS text FROM documents",
+        "fill_cuisines": W("SELECT listing_id, coalesce(cuisines, 'Unknown') AS cuisines FROM listings", L),
+        "norm_text_listings": W("SELECT listing_id, trim(coalesce(cuisines, 'Unknown')) AS cuisines, trim(coalesce(listing_name, 'Unknown')) AS listing_name FROM listings", L),
+        "to_number_part": """SELECT p_partkey, round(TRY_CAST(trim(CAST(p_size AS VARCHAR)) AS DOUBLE), 6) AS size_num,
+                                    round(TRY_CAST(trim(p_brand) AS DOUBLE), 6) AS brand_num,
+                                    round(TRY_CAST(trim(' ' || CAST(p_retailprice AS VARCHAR) || ' ') AS DOUBLE), 6) AS price_num FROM part""",
+        "yes_no_listings": W(
+            f"SELECT listing_id, {yn('has_table_booking')}, {yn('has_online_delivery')}, {yn('lower(is_delivering_now)').replace(' AS lower(is_delivering_now)', ' AS is_delivering_now')}, {yn('locality')} FROM listings",
+            L,
+        ),
+        "convert_currency": W("SELECT listing_id, currency, round(average_cost_inr, 6) AS average_cost_inr FROM conv", L, conv),
+        "impute_zero_level1": W(
+            "SELECT listing_id, round(average_cost_inr, 6) AS average_cost_inr FROM i1", L, conv, imp("conv", ["country_code", "city", "price_range"], "i1")
+        ),
+        "impute_zero_level2": W(
+            "SELECT listing_id, round(average_cost_inr, 6) AS average_cost_inr FROM i2",
+            L, conv, imp("conv", ["country_code", "city", "locality", "price_range"], "i1"), imp("i1", ["country_code", "price_range"], "i2"),
+        ),
+        "fill_median_rating": W(
+            """SELECT listing_id, round(coalesce(rating, (SELECT median(rating) FROM r)), 6) AS rating,
+                      round(coalesce(cost_for_two, (SELECT median(cost_for_two) FROM r)), 6) AS cost_for_two FROM r""",
+            L, "r AS (SELECT listing_id, nullif(aggregate_rating, 0e0) AS rating, cost_for_two FROM listings)",
+        ),
+        "drop_missing_cuisines": W("SELECT listing_id, cuisines FROM listings WHERE cuisines IS NOT NULL", L),
+        "cost_relative_to_city": W(
+            """SELECT listing_id, round(CASE WHEN coalesce(cs.n, 0) >= 10 THEN average_cost_inr / nullif(cs.m, 0)
+                                            ELSE average_cost_inr / nullif(cp.m, 0) END, 6) AS cost_relative_to_city
+               FROM conv LEFT JOIN (SELECT city, median(average_cost_inr) AS m, count(average_cost_inr) AS n FROM conv GROUP BY city) cs ON conv.city = cs.city
+               LEFT JOIN (SELECT country_code, price_range, median(average_cost_inr) AS m FROM conv GROUP BY country_code, price_range) cp
+                 ON conv.country_code = cp.country_code AND conv.price_range = cp.price_range""",
+            L, conv,
+        ),
+        "city_cost_quartile": W(
+            """SELECT c.listing_id, CASE WHEN s.rows_ < 4 THEN 'Medium' WHEN r.rn IS NULL THEN NULL
+                      ELSE ['Budget', 'Medium', 'Premium', 'Luxury'][greatest(1, CAST(ceil(4e0 * (r.rn - 1) / nullif(s.n - 1, 0)) AS INTEGER))] END AS city_wise_cost_category
+               FROM conv c LEFT JOIN (SELECT city, count(*) AS rows_, count(average_cost_inr) AS n FROM conv GROUP BY city) s ON c.city = s.city
+               LEFT JOIN (SELECT listing_id, row_number() OVER (PARTITION BY city ORDER BY average_cost_inr, listing_id) AS rn
+                          FROM conv WHERE average_cost_inr IS NOT NULL AND city IS NOT NULL) r ON c.listing_id = r.listing_id""",
+            L, conv,
+        ),
+        "row_features": W(
+            """SELECT listing_id,
+                 CASE WHEN average_cost_inr > -1 AND average_cost_inr <= 300 THEN 'Budget'
+                      WHEN average_cost_inr > 300 AND average_cost_inr <= 700 THEN 'Medium'
+                      WHEN average_cost_inr > 700 AND average_cost_inr <= 1500 THEN 'Premium'
+                      WHEN average_cost_inr > 1500 THEN 'Luxury' END AS restaurant_cost_category,
+                 CAST(CASE WHEN lower(trim(cuisines)) = 'unknown' THEN 0 ELSE len(string_split(cuisines, ',')) END AS INTEGER) AS cuisine_count,
+                 trim(string_split(cuisines, ',')[1]) AS primary_cuisine,
+                 round(ln(1 + votes), 6) AS log_votes,
+                 CASE WHEN aggregate_rating = 0 THEN 'Not Rated'
+                      WHEN aggregate_rating >= 0 AND aggregate_rating <= 2.5e0 THEN 'Poor'
+                      WHEN aggregate_rating > 2.5e0 AND aggregate_rating <= 3.5e0 THEN 'Average'
+                      WHEN aggregate_rating > 3.5e0 AND aggregate_rating <= 4e0 THEN 'Good'
+                      WHEN aggregate_rating > 4e0 AND aggregate_rating <= 5e0 THEN 'Excellent' END AS rating_category,
+                 CASE WHEN votes > -1 AND votes <= 50 THEN 'Low' WHEN votes > 50 AND votes <= 200 THEN 'Medium'
+                      WHEN votes > 200 AND votes <= 1000 THEN 'High' WHEN votes > 1000 THEN 'Very High' END AS popularity_category,
+                 round(aggregate_rating * ln(1 + votes), 6) AS restaurant_popularity_score,
+                 CAST(coalesce(price_range >= 3, false) AS INTEGER) AS is_expensive,
+                 CAST(coalesce(has_online_delivery = 'Yes' OR has_table_booking = 'Yes', false) AS INTEGER) AS has_delivery_or_booking
+               FROM (SELECT * REPLACE (coalesce(cuisines, 'Unknown') AS cuisines) FROM conv)""",
+            L, conv,
+        ),
+        "city_restaurant_count": W(
+            "SELECT l.listing_id, l.city, CAST(c.n AS INTEGER) AS city_restaurant_count FROM listings l LEFT JOIN (SELECT city, count(listing_id) AS n FROM listings GROUP BY city) c ON l.city = c.city",
+            L,
+        ),
+        "prepare_listings": W("SELECT " + ", ".join(r6(c) for c in PREPARED_COLUMNS) + " FROM prepared", L, V.repaired(), V.prepared()),
+        "import_listings": W("SELECT " + ", ".join(r6(c) for c in IMPORTED_COLUMNS) + " FROM imported", L, V.repaired(), V.prepared(), V.IMPORTED),
+        "drop_leakage_base": W("SELECT " + ", ".join(r6(c) for c in keep) + " FROM prepared", L, V.repaired(), V.prepared()),
+        "cluster_counts": W(
+            """SELECT city, n_points, n_locations, round(mean_lat, 6) AS mean_lat, round(lat_lo, 6) AS lat_lo, round(lat_hi, 6) AS lat_hi,
+                      round(lon_lo, 6) AS lon_lo, round(lon_hi, 6) AS lon_hi, round(area, 6) AS area_km2,
+                      CAST(CASE WHEN n_points < 2 OR n_locations < 2 THEN 1
+                                ELSE least(greatest(ceil(area / 25e0), 1), 30, n_points, n_locations) END AS INTEGER) AS n_clusters
+               FROM (SELECT *, abs((lat_hi - lat_lo) * 111e0 * ((lon_hi - lon_lo) * 111e0 * cos(radians(mean_lat)))) AS area FROM g)""",
+            L,
+            """g AS (SELECT city, count(*) AS n_points, count(DISTINCT (latitude, longitude)) AS n_locations, avg(latitude) AS mean_lat,
+                     quantile_cont(latitude, 0.05) AS lat_lo, quantile_cont(latitude, 0.95) AS lat_hi,
+                     quantile_cont(longitude, 0.05) AS lon_lo, quantile_cont(longitude, 0.95) AS lon_hi
+              FROM listings WHERE city IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY city)""",
+        ),
+    }
