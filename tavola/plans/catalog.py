@@ -63,6 +63,7 @@ def queries() -> dict[str, Query]:
         qs[f"recommend_{name}"] = _recommend_query(name)
     qs.update(_quality_queries())
     qs.update(_clean_feature_queries())
+    qs.update(_label_eval_queries())
     return qs
 
 
@@ -156,3 +157,94 @@ def _clean_feature_queries() -> dict[str, Query]:
         "cluster_counts": lambda s, d: round6(GEO.cluster_counts(raw(s, d))),
         "geo_clusters": lambda s, d: FE.city_cluster_key(GEO.kmeans_by_city(raw(s, d).select("listing_id", "city", "latitude", "longitude"))),
     }
+
+
+# ---------------------------------------------------------------- labels, text, split, evaluation, importance
+from tavola.operators import evaluate as EV  # noqa: E402
+from tavola.operators import importance as IM  # noqa: E402
+from tavola.operators import labels as LB  # noqa: E402
+from tavola.operators import split as SP  # noqa: E402
+from tavola.operators import text as TT  # noqa: E402
+from tavola.sources.tables import PRIORITY_LABELS, label_vocabulary, predictions_view  # noqa: E402
+
+# Parameters of the registered queries.
+MIN_LABEL_COUNT = 1282
+NGRAM_MAX = 2
+TFIDF_MIN_DF = 2
+MAX_FEATURES = 3000
+FIXED_THRESHOLD = 0.5
+CATEGORICAL_SOURCES = ["city", "locality"]
+
+
+def _label_long(s, d):
+    return LB.label_split(listings_raw(s, d), "listing_id")
+
+
+def _probs(s, d):
+    return predictions_view(s, d)
+
+
+def _thresholded(s, d):
+    p = _probs(s, d)
+    return SP.assign_split(EV.apply_threshold(p, FIXED_THRESHOLD), "row_id")
+
+
+def _rating_predictions(s, d):
+    raw = listings_raw(s, d)
+    pred = F.col("aggregate_rating") + ((F.col("listing_id") * 7919) % 101 - 50) / F.lit(1e2)
+    return SP.assign_split(raw.select("listing_id", "aggregate_rating", pred.alias("prediction")), "listing_id")
+
+
+def _coefficients(s, d):
+    """(label, feature, coefficient): per-label lift of each city / locality, a data-derived coefficient table."""
+    p = _probs(s, d).select("row_id", "label", "truth")
+    lst = listings_raw(s, d).select(F.col("listing_id").alias("row_id"), "city", "locality")
+    j = p.join(lst, "row_id")
+    base = j.groupBy("label").agg(F.avg("truth").alias("_base"))
+    parts = []
+    for src in CATEGORICAL_SOURCES:
+        g = j.groupBy("label", src).agg(F.avg("truth").alias("_avg"))
+        parts.append(
+            g.join(base, "label").select("label", F.concat(F.lit(f"cat__{src}_"), F.col(src)).alias("feature"), (F.col("_avg") - F.col("_base")).alias("coefficient"))
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def _tf(s, d):
+    return TT.term_frequencies(table(s, d, "documents"), "doc_id", "text", NGRAM_MAX)
+
+
+def _label_eval_queries() -> dict[str, Query]:
+    n_labels = len(PRIORITY_LABELS)
+    return {
+        "label_split": _label_long,
+        "label_frequency": lambda s, d: LB.label_frequency(_label_long(s, d), MIN_LABEL_COUNT),
+        "rare_labels": lambda s, d: LB.rare_labels(_label_long(s, d), MIN_LABEL_COUNT),
+        "filter_rare_labels": lambda s, d: LB.filter_rare(_label_long(s, d), MIN_LABEL_COUNT),
+        "label_vocabulary": lambda s, d: LB.vocabulary(_label_long(s, d)),
+        "label_binarize": lambda s, d: LB.binarize(_label_long(s, d), LB.vocabulary(_label_long(s, d))),
+        "label_cardinality": lambda s, d: round6(LB.label_cardinality(LB.filter_rare(_label_long(s, d), MIN_LABEL_COUNT))),
+        "term_frequencies": _tf,
+        "tfidf_vocabulary": lambda s, d: TT.fit_vocabulary(_tf(s, d), TFIDF_MIN_DF, MAX_FEATURES),
+        "tfidf_weights": lambda s, d: round6(TT.tfidf(_tf(s, d), TT.fit_idf(_tf(s, d), TT.fit_vocabulary(_tf(s, d), TFIDF_MIN_DF, MAX_FEATURES)))),
+        "split_listings": lambda s, d: SP.assign_split(listings_raw(s, d).select("listing_id"), "listing_id"),
+        "fold_listings": lambda s, d: SP.assign_fold(listings_raw(s, d).select("listing_id"), "listing_id", 3),
+        "threshold_predict": lambda s, d: round6(EV.apply_threshold(_probs(s, d), FIXED_THRESHOLD).select("row_id", "label_idx", "truth", "prob", "pred")),
+        "threshold_sweep": lambda s, d: round6(EV.threshold_sweep(_probs(s, d), n_labels)),
+        "multilabel_metrics_by_split": lambda s, d: round6(EV.multilabel_metrics(_thresholded(s, d), n_labels, ["split"])),
+        "per_label_metrics": lambda s, d: round6(EV.per_label_table(_thresholded(s, d), label_vocabulary(s))),
+        "extreme_labels": lambda s, d: round6(EV.extreme_labels(EV.per_label_table(_thresholded(s, d), label_vocabulary(s)), 2)),
+        "regression_metrics_by_split": lambda s, d: round6(EV.regression_metrics(_rating_predictions(s, d), "aggregate_rating", "prediction", ["split"])),
+        "mean_abs_coefficient": lambda s, d: round6(IM.mean_abs_coefficient(_coefficients(s, d))),
+        "top_features_per_label": lambda s, d: round6(IM.top_features_per_label(_coefficients(s, d), 15)),
+        "clean_feature_names": lambda s, d: _coefficients(s, d).select("label", "feature", IM.clean_feature_name(F.col("feature")).alias("clean_feature")),
+        "importance_to_source": lambda s, d: round6(
+            IM.sum_to_source(IM.mean_abs_coefficient(_coefficients(s, d)).withColumnRenamed("mean_abs_coefficient", "importance"), CATEGORICAL_SOURCES)
+        ),
+        "cumulative_importance": lambda s, d: round6(
+            IM.cumulative_importance(IM.mean_abs_coefficient(_coefficients(s, d)).withColumnRenamed("mean_abs_coefficient", "importance"))
+        ),
+        "top_importance": lambda s, d: round6(
+            IM.top_n(IM.mean_abs_coefficient(_coefficients(s, d)), [F.col("mean_abs_coefficient").desc(), F.col("feature").asc()], 5)
+        ),
+    }

@@ -108,6 +108,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"recommend_{name}"] = recommend_sql(prefs, 10)
     out.update(_quality_sql())
     out.update(_clean_feature_sql())
+    out.update(_label_eval_sql())
     return out
 
 
@@ -294,3 +295,159 @@ def _clean_feature_sql() -> dict[str, str]:
               FROM listings WHERE city IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY city)""",
         ),
     }
+
+
+def _label_eval_sql() -> dict[str, str]:
+    from tavola.operators.text import ACCENTED, UNACCENTED
+    from tavola.plans.catalog import FIXED_THRESHOLD, MAX_FEATURES, MIN_LABEL_COUNT, TFIDF_MIN_DF
+    from tavola.sources.tables import PRIORITY_LABELS
+
+    L = V.LISTINGS
+    n_lab = len(PRIORITY_LABELS)
+    lng = """lng AS (SELECT listing_id AS row_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS position, unnest(ls) AS label
+                FROM (SELECT listing_id, list_filter(list_transform(string_split(coalesce(cuisines, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS ls FROM listings))"""
+    cnt = "cnt AS (SELECT label, count(*) AS n FROM lng GROUP BY label)"
+    vocab_vals = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(PRIORITY_LABELS))
+    preds = f"""preds AS (SELECT l.listing_id AS row_id, v.label_idx, v.label,
+                   CAST(list_contains(list_transform(string_split(coalesce(l.cuisines, ''), ','), lambda x: trim(x)), v.label) AS INTEGER) AS truth,
+                   ((l.listing_id * 7919 + v.label_idx * 104729) % 1009) / 1.009e3 AS prob
+                 FROM listings l, (VALUES {vocab_vals}) v(label_idx, label))"""
+    rowmax = "rm AS (SELECT row_id, max(prob) AS row_max, arg_min(label_idx, struct_pack(neg := -prob, idx := label_idx)) AS best_idx FROM preds GROUP BY row_id)"
+    split_expr = "CASE WHEN ((row_id * 104729 + 42 * 7919) % 10007) / 10007e0 < 0.15e0 THEN 'test' WHEN ((row_id * 104729 + 42 * 7919) % 10007) / 10007e0 < 0.3e0 THEN 'val' ELSE 'train' END"
+    thr = f"""th AS (SELECT p.*, CAST(p.prob >= {FIXED_THRESHOLD!r}e0 OR (rm.row_max < {FIXED_THRESHOLD!r}e0 AND p.label_idx = rm.best_idx) AS INTEGER) AS pred,
+                     {split_expr.replace('row_id', 'p.row_id')} AS split
+              FROM preds p JOIN rm ON p.row_id = rm.row_id)"""
+
+    def metrics(src: str, g: list[str]) -> str:
+        gs = "".join(f"{x}, " for x in g)
+        gb = ", ".join(g)
+        on = " AND ".join(f"a.{x} = b.{x}" for x in g) or "true"
+        sel_g = "".join(f"a.{x}, " for x in g)
+        return f"""SELECT {sel_g}
+              round(b.exact_match, 6) AS exact_match, round(b.hamming_loss, 6) AS hamming_loss,
+              round(coalesce(a.TP / nullif(a.TP + a.FP, 0), 0), 6) AS micro_precision,
+              round(coalesce(a.TP / nullif(a.TP + a.FN, 0), 0), 6) AS micro_recall,
+              round(coalesce(2 * a.TP / nullif(2 * a.TP + a.FP + a.FN, 0), 0), 6) AS micro_f1,
+              round(a.macro_precision, 6) AS macro_precision, round(a.macro_recall, 6) AS macro_recall, round(a.macro_f1, 6) AS macro_f1,
+              round(a.weighted_f1, 6) AS weighted_f1, round(b.sample_f1, 6) AS sample_f1,
+              round(b.avg_true_labels, 6) AS avg_true_labels, round(b.avg_pred_labels, 6) AS avg_pred_labels, b.rows
+            FROM (SELECT {gs} CAST(sum(tp) AS DOUBLE) AS TP, CAST(sum(fp) AS DOUBLE) AS FP, CAST(sum(fn) AS DOUBLE) AS FN,
+                         sum(coalesce(tp / nullif(tp + fp, 0), 0)) / {n_lab} AS macro_precision,
+                         sum(coalesce(tp / nullif(tp + fn, 0), 0)) / {n_lab} AS macro_recall,
+                         sum(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) / {n_lab} AS macro_f1,
+                         coalesce(sum(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) * support) / nullif(sum(support), 0), 0) AS weighted_f1
+                  FROM (SELECT {gs} label_idx, CAST(sum(truth * pred) AS DOUBLE) AS tp, CAST(sum((1 - truth) * pred) AS DOUBLE) AS fp,
+                               CAST(sum(truth * (1 - pred)) AS DOUBLE) AS fn, CAST(sum(truth) AS DOUBLE) AS support
+                        FROM {src} GROUP BY {gs} label_idx) {"GROUP BY " + gb if g else ""}) a
+            JOIN (SELECT {gs} avg(CAST(err = 0 AS DOUBLE)) AS exact_match, sum(err) / (count(*) * {float(n_lab)!r}) AS hamming_loss,
+                         avg(coalesce(2 * tp / nullif(n_true + n_pred, 0), 0)) AS sample_f1, avg(n_true) AS avg_true_labels,
+                         avg(n_pred) AS avg_pred_labels, count(*) AS rows
+                  FROM (SELECT {gs} row_id, CAST(sum(truth * pred) AS DOUBLE) AS tp, CAST(sum((1 - truth) * pred + truth * (1 - pred)) AS DOUBLE) AS err,
+                               CAST(sum(truth) AS DOUBLE) AS n_true, CAST(sum(pred) AS DOUBLE) AS n_pred
+                        FROM {src} GROUP BY {gs} row_id) {"GROUP BY " + gb if g else ""}) b ON {on}"""
+
+    per_label = f"""pl AS (SELECT v.label, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+                        coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, CAST(coalesce(support, 0) AS BIGINT) AS support
+                 FROM (SELECT label_idx, CAST(sum(truth * pred) AS DOUBLE) AS tp, CAST(sum((1 - truth) * pred) AS DOUBLE) AS fp,
+                              CAST(sum(truth * (1 - pred)) AS DOUBLE) AS fn, sum(truth) AS support FROM th GROUP BY label_idx) x
+                 RIGHT JOIN (VALUES {vocab_vals}) v(label_idx, label) ON x.label_idx = v.label_idx),
+          plr AS (SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, support DESC, label ASC) AS INTEGER) AS rank FROM pl)"""
+    sweep_vals = ", ".join(f"({k / 2e1!r}e0)" for k in range(2, 17))
+    sweep = f"""sw AS (SELECT p.*, t.threshold, CAST(p.prob >= t.threshold OR (rm.row_max < t.threshold AND p.label_idx = rm.best_idx) AS INTEGER) AS pred
+                FROM preds p JOIN rm ON p.row_id = rm.row_id, (VALUES {sweep_vals}) t(threshold))"""
+    acc, unacc = q(ACCENTED), q(UNACCENTED)
+    tf = f"""tk AS (SELECT doc_id, regexp_extract_all(translate(lower(text), {acc}, {unacc}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS tok FROM documents),
+          grams AS (SELECT doc_id, unnest(tok) AS term FROM tk
+                    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1])) AS term FROM tk),
+          tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term)"""
+    vocab = f"""voc0 AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term HAVING count(*) >= {TFIDF_MIN_DF}
+                        ORDER BY cf DESC, term ASC LIMIT {MAX_FEATURES}),
+          voc AS (SELECT term, df, cf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_idx FROM voc0)"""
+    tfidf = """idf AS (SELECT term, term_idx, ln((1e0 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1e0 + df)) + 1e0 AS idf FROM voc),
+          w AS (SELECT doc_id, tf.term, term_idx, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+          nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id)"""
+    coefs = """j AS (SELECT p.row_id, p.label, p.truth, l.city, l.locality FROM preds p JOIN listings l ON p.row_id = l.listing_id),
+          base AS (SELECT label, avg(truth) AS b FROM j GROUP BY label),
+          coefs AS (SELECT g.label, 'cat__city_' || g.city AS feature, g.a - base.b AS coefficient
+                    FROM (SELECT label, city, avg(truth) AS a FROM j GROUP BY label, city) g JOIN base ON g.label = base.label
+                    UNION ALL
+                    SELECT g.label, 'cat__locality_' || g.locality AS feature, g.a - base.b AS coefficient
+                    FROM (SELECT label, locality, avg(truth) AS a FROM j GROUP BY label, locality) g JOIN base ON g.label = base.label),
+          mac AS (SELECT feature, avg(abs(coefficient)) AS mean_abs_coefficient FROM coefs GROUP BY feature)"""
+    return {
+        "label_split": W("SELECT * FROM lng", L, lng),
+        "label_frequency": W(
+            f"SELECT label, n AS count, n >= {MIN_LABEL_COUNT} AS used_in_model, CAST(row_number() OVER (ORDER BY n DESC, label ASC) AS INTEGER) AS rank FROM cnt",
+            L, lng, cnt,
+        ),
+        "rare_labels": W(f"SELECT label, n AS count FROM cnt WHERE n < {MIN_LABEL_COUNT}", L, lng, cnt),
+        "filter_rare_labels": W(f"SELECT lng.label, row_id, position FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= {MIN_LABEL_COUNT}", L, lng, cnt),
+        "label_vocabulary": W("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM lng)", L, lng),
+        "label_binarize": W(
+            "SELECT DISTINCT row_id, label_idx FROM lng JOIN (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM lng)) v ON lng.label = v.label",
+            L, lng,
+        ),
+        "label_cardinality": W(
+            f"SELECT round(avg(k), 6) AS label_cardinality, count(*) AS rows FROM (SELECT row_id, count(*) AS k FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= {MIN_LABEL_COUNT} GROUP BY row_id)",
+            L, lng, cnt,
+        ),
+        "term_frequencies": W("SELECT * FROM tf", tf),
+        "tfidf_vocabulary": W("SELECT * FROM voc", tf, vocab),
+        "tfidf_weights": W("SELECT w.doc_id, term, term_idx, round(w / nrm, 6) AS weight FROM w JOIN nrm ON w.doc_id = nrm.doc_id", tf, vocab, tfidf),
+        "split_listings": W(f"SELECT listing_id, {split_expr.replace('row_id', 'listing_id')} AS split FROM listings", L),
+        "fold_listings": W("SELECT listing_id, CAST((listing_id * 7919 + 42 * 104729) % 10007 AS INTEGER) % 3 AS fold FROM listings", L),
+        "threshold_predict": W("SELECT row_id, label_idx, truth, round(prob, 6) AS prob, pred FROM th", L, preds, rowmax, thr),
+        "threshold_sweep": W(
+            f"SELECT *, row_number() OVER (ORDER BY micro_f1 DESC, sample_f1 DESC, macro_f1 DESC, threshold ASC) = 1 AS is_best FROM ({metrics('sw', ['threshold'])})",
+            L, preds, rowmax, sweep,
+        ),
+        "multilabel_metrics_by_split": W(metrics("th", ["split"]), L, preds, rowmax, thr),
+        "per_label_metrics": W("SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, rank FROM plr", L, preds, rowmax, thr, per_label),
+        "extreme_labels": W(
+            """SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, rank,
+                      CASE WHEN rank <= 2 THEN 'highest' ELSE 'lowest' END AS band
+               FROM plr WHERE rank <= 2 OR rank > (SELECT max(rank) FROM plr) - 2""",
+            L, preds, rowmax, thr, per_label,
+        ),
+        "regression_metrics_by_split": W(
+            """SELECT r.split, round(avg(abs(prediction - aggregate_rating)), 6) AS mae, round(sqrt(avg((prediction - aggregate_rating) ^ 2)), 6) AS rmse,
+                      round(1 - sum((prediction - aggregate_rating) ^ 2) / sum((aggregate_rating - m) ^ 2), 6) AS r2,
+                      round(avg(CAST(abs(prediction - aggregate_rating) <= 0.25e0 AS DOUBLE)) * 100, 6) AS within_025,
+                      round(avg(CAST(abs(prediction - aggregate_rating) <= 0.5e0 AS DOUBLE)) * 100, 6) AS within_050,
+                      count(*) AS rows,
+                      round(greatest(0e0, (1 - avg(abs(prediction - aggregate_rating)) / 5e0) * 100), 6) AS rating_scale_accuracy
+               FROM r JOIN (SELECT split, avg(aggregate_rating) AS m FROM r GROUP BY split) mm ON r.split = mm.split GROUP BY r.split""",
+            L,
+            f"""r AS (SELECT listing_id, aggregate_rating, aggregate_rating + ((listing_id * 7919) % 101 - 50) / 1e2 AS prediction,
+                      {split_expr.replace('row_id', 'listing_id')} AS split FROM listings)""",
+        ),
+        "mean_abs_coefficient": W("SELECT feature, round(mean_abs_coefficient, 6) AS mean_abs_coefficient FROM mac", L, preds, coefs),
+        "top_features_per_label": W(
+            """SELECT label, feature, round(coefficient, 6) AS coefficient, rank FROM (
+                 SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY coefficient DESC, feature ASC) AS INTEGER) AS rank FROM coefs) WHERE rank <= 15""",
+            L, preds, coefs,
+        ),
+        "clean_feature_names": W(
+            """SELECT label, feature, CASE WHEN starts_with(feature, 'name__') THEN 'Restaurant Name: ' || substr(feature, 7)
+                                           WHEN starts_with(feature, 'cat__') THEN substr(feature, 6)
+                                           WHEN starts_with(feature, 'num__') THEN substr(feature, 6) ELSE feature END AS clean_feature FROM coefs""",
+            L, preds, coefs,
+        ),
+        "importance_to_source": W(
+            """SELECT feature, round(sum(mean_abs_coefficient), 6) AS importance FROM (
+                 SELECT CASE WHEN starts_with(feature, 'num__') THEN substr(feature, 6)
+                             WHEN starts_with(feature, 'cat__') THEN CASE WHEN substr(feature, 6) = 'city' OR starts_with(substr(feature, 6), 'city_') THEN 'city'
+                                                                          WHEN substr(feature, 6) = 'locality' OR starts_with(substr(feature, 6), 'locality_') THEN 'locality'
+                                                                          ELSE substr(feature, 6) END
+                             ELSE feature END AS feature, mean_abs_coefficient FROM mac) GROUP BY feature""",
+            L, preds, coefs,
+        ),
+        "cumulative_importance": W(
+            """SELECT feature, round(mean_abs_coefficient, 6) AS importance, CAST(row_number() OVER w AS INTEGER) AS rank,
+                      round(sum(mean_abs_coefficient) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative,
+                      round(sum(mean_abs_coefficient) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (SELECT sum(mean_abs_coefficient) FROM mac), 6) AS cumulative_share
+               FROM mac WINDOW w AS (ORDER BY mean_abs_coefficient DESC, feature ASC)""",
+            L, preds, coefs,
+        ),
+        "top_importance": W("SELECT feature, round(mean_abs_coefficient, 6) AS mean_abs_coefficient FROM mac ORDER BY mean_abs_coefficient DESC, feature ASC LIMIT 5", L, preds, coefs),
+    }

@@ -50,12 +50,21 @@ def order_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw listing table (one row per customer), FIXTURES.md part 2 A."""
+def listings_raw(spark: SparkSession, sf_dir: str, orders_before: str | None = None) -> DataFrame:
+    """Raw listing table (one row per customer), FIXTURES.md part 2 A.
+
+    ``orders_before`` builds an earlier snapshot: only orders placed before
+    that date count, and only customers with such an order are listed.
+    """
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    o = order_stats(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
+    orders = table(spark, sf_dir, "orders")
+    if orders_before is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(orders_before).cast("timestamp_ntz"))
+    o = order_stats(orders.select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
+    if orders_before is not None:
+        c = c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
     key = F.col("c_custkey")
     votes = F.coalesce(F.col("order_votes"), F.lit(0)).cast("bigint")
