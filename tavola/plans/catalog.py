@@ -64,6 +64,7 @@ def queries() -> dict[str, Query]:
     qs.update(_quality_queries())
     qs.update(_clean_feature_queries())
     qs.update(_label_eval_queries())
+    qs.update(_warehouse_queries())
     return qs
 
 
@@ -248,3 +249,87 @@ def _label_eval_queries() -> dict[str, Query]:
             IM.top_n(IM.mean_abs_coefficient(_coefficients(s, d)), [F.col("mean_abs_coefficient").desc(), F.col("feature").asc()], 5)
         ),
     }
+
+
+# ---------------------------------------------------------------- warehouse
+from tavola.sources.tables import requests_view  # noqa: E402
+
+# Snapshot cut-off, timestamps and ids used by the store queries.
+SNAPSHOT_BEFORE = "1996-01-01"
+T_EXISTING = "2000-01-01 00:00:00"
+T_NOW = "2024-01-01 00:00:00"
+HISTORY_USER = 7
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+
+def _ts(v: str):
+    return F.lit(v).cast("timestamp")
+
+
+def _fmt(c: str):
+    return F.date_format(F.col(c), TS_FORMAT).alias(c)
+
+
+def _dim(s, d):
+    return WH.upsert_dim(WH.empty_dim(s), WH.cuisine_pairs(imported_listings(s, d)))
+
+
+def _users(s, d):
+    n = table(s, d, "nation")
+    existing = n.select(
+        (F.col("n_nationkey") + 1).cast("long").alias("user_id"),
+        F.col("n_name").alias("name"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lower(F.col("n_name")), F.lit("@example.org"))).alias("email"),
+        _ts(T_EXISTING).alias("created_at"),
+    )
+    c = table(s, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    new = c.select(
+        F.col("c_custkey").alias("seq"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") > 5000, F.concat(F.lower(F.col("n_name")), F.lit("@example.org"))).alias("email"),
+    )
+    return WH.append_users(existing, new, _ts(T_NOW))
+
+
+def _upsert(s, d):
+    cols = ["listing_id", "listing_name", "city", "votes", "aggregate_rating", "has_table_booking", "cuisines"]
+    existing = listings_raw(s, d, orders_before=SNAPSHOT_BEFORE).select(*cols).withColumns(
+        {"created_at": _ts(T_EXISTING), "updated_at": _ts(T_EXISTING)}
+    )
+    incoming = listings_raw(s, d).select(*cols)
+    return WH.upsert_listings(existing, incoming, _ts(T_NOW))
+
+
+def _warehouse_queries() -> dict[str, Query]:
+    def history(s, d):
+        recs = R.recommend(imported_listings(s, d), REQUESTS["canned_delivery"], 10).withColumn("request_id", F.lit(HISTORY_USER).cast("long"))
+        req = s.range(1).select(F.lit(HISTORY_USER).cast("long").alias("request_id"))
+        for k, v in REQUESTS["canned_delivery"].items():
+            req = req.withColumn(k, F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v))
+        out = WH.history_log(recs, req.withColumn("price_range", F.col("price_range").cast("int")), _ts(T_NOW))
+        return round6(out.select(*[c for c in out.columns if c != "created_at"], _fmt("created_at")))
+
+    return {
+        "upsert_listings": lambda s, d: round6(_upsert(s, d).select("listing_id", "votes", "aggregate_rating", "has_table_booking", _fmt("created_at"), _fmt("updated_at"))),
+        "cuisine_dimension": _dim,
+        "type_dimension_upsert": lambda s, d: WH.upsert_dim(
+            WH.upsert_dim(WH.empty_dim(s, "type_id", "type_name"), table(s, d, "part").filter(F.col("p_size") < 25).select(F.col("p_type").alias("type_name")), "type_id", "type_name"),
+            table(s, d, "part").select(F.concat_ws(" ", F.col("p_type"), F.col("p_brand")).alias("type_name")),
+            "type_id",
+            "type_name",
+        ),
+        "cuisine_bridge": lambda s, d: WH.build_bridge(imported_listings(s, d), _dim(s, d)),
+        "import_summary": lambda s, d: WH.import_summary(imported_listings(s, d)),
+        "load_listing_frame": lambda s, d: WH.load_listing_frame(
+            imported_listings(s, d).select("listing_id", "listing_name", "cuisines"), WH.build_bridge(imported_listings(s, d), _dim(s, d)), _dim(s, d)
+        ),
+        "append_users": lambda s, d: _users(s, d)[0].select("user_id", "name", "email", _fmt("created_at")),
+        "append_users_rejected": lambda s, d: _users(s, d)[1],
+        "preferences_log": lambda s, d: round6(
+            (lambda o: o.select(*[c for c in o.columns if c != "created_at"], _fmt("created_at")))(WH.preferences_log(requests_view(s, d), _ts(T_NOW)))
+        ),
+        "history_log": history,
+        "evaluate_recommendations": lambda s, d: round6(
+            R.evaluate_recommendations(R.recommend(imported_listings(s, d), REQUESTS["canned_delivery"], 10, round_score=None), REQUESTS["canned_delivery"])
+        ),
+    }

@@ -10,7 +10,7 @@ def _lower_eq(col: str, v: str) -> str:
     return f"(lower(coalesce({col}, '')) = {q(v.lower())})"
 
 
-def recommend_sql(prefs: dict, top_n: int = 10) -> str:
+def recommend_sql(prefs: dict, top_n: int = 10, round_score: bool = True) -> str:
     """Independent SQL formulation of the scoring over the ``imported`` view."""
     terms, reasons = [], []
     cz = [c.lower() for c in prefs.get("cuisines") or []]
@@ -94,7 +94,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, aggregate_rati
 SELECT rank, listing_id, listing_name, city, locality, cuisines, price_range, round(average_cost_inr, 6) AS average_cost_inr,
        restaurant_cost_category, round(aggregate_rating, 6) AS aggregate_rating, rating_category, votes, popularity_category,
        round(restaurant_popularity_score, 6) AS restaurant_popularity_score, has_online_delivery, has_table_booking,
-       is_delivering_now, is_expensive, location_cluster, city_location_cluster, round(score, 4) AS score, match_reasons
+       is_delivering_now, is_expensive, location_cluster, city_location_cluster, {'round(score, 4)' if round_score else 'score'} AS score, match_reasons
 FROM ranked WHERE rank <= {int(top_n)}
 """
     return "WITH " + ",\n".join([V.LISTINGS.strip(), V.repaired(), V.prepared(), V.IMPORTED.strip(), body.strip()])
@@ -109,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_quality_sql())
     out.update(_clean_feature_sql())
     out.update(_label_eval_sql())
+    out.update(_warehouse_sql())
     return out
 
 
@@ -451,3 +452,103 @@ def _label_eval_sql() -> dict[str, str]:
         ),
         "top_importance": W("SELECT feature, round(mean_abs_coefficient, 6) AS mean_abs_coefficient FROM mac ORDER BY mean_abs_coefficient DESC, feature ASC LIMIT 5", L, preds, coefs),
     }
+
+
+def _warehouse_sql() -> dict[str, str]:
+    from tavola.plans.catalog import HISTORY_USER, SNAPSHOT_BEFORE, T_EXISTING, T_NOW
+    from tavola.plans.requests import REQUESTS
+    from tavola.operators.warehouse import PREFERENCE_FIELDS, PREFERENCE_TYPES
+
+    L = V.LISTINGS
+    snap = (
+        V.LISTINGS.replace("listings AS (", "snap AS (", 1)
+        .replace("FROM orders GROUP BY o_custkey", f"FROM orders WHERE o_orderdate < TIMESTAMP '{SNAPSHOT_BEFORE}' GROUP BY o_custkey")
+        .replace("  LEFT JOIN (\n    SELECT o_custkey", "  JOIN (\n    SELECT o_custkey")
+    )
+    assert "JOIN (\n    SELECT o_custkey" in snap and "WHERE o_orderdate" in snap
+    fmt = "'%Y-%m-%d %H:%M:%S'"
+    imp = [L, V.repaired(), V.prepared(), V.IMPORTED]
+    pairs = "pairs AS (SELECT DISTINCT listing_id, unnest(list_filter(list_transform(string_split(coalesce(cuisines, ''), ','), lambda x: trim(x)), lambda x: x <> '')) AS cuisine_name FROM imported)"
+    dim = "dim AS (SELECT CAST(row_number() OVER (ORDER BY cuisine_name) AS BIGINT) AS cuisine_id, cuisine_name FROM (SELECT DISTINCT cuisine_name FROM pairs))"
+    users = f"""ex AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS user_id, n_name AS name,
+                       CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '@example.org' END AS email, TIMESTAMP '{T_EXISTING}' AS created_at FROM nation),
+          nw AS (SELECT c_custkey AS seq, c_name AS name, CASE WHEN c_acctbal > 5000 THEN lower(n_name) || '@example.org' END AS email
+                 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+          ranked AS (SELECT *, CASE WHEN email IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY email ORDER BY seq) END AS k FROM nw),
+          fresh AS (SELECT * FROM ranked WHERE k = 1 AND (email IS NULL OR email NOT IN (SELECT email FROM ex WHERE email IS NOT NULL)))"""
+    req = """rq AS (SELECT DISTINCT user_id FROM events),
+          r AS (SELECT user_id AS request_id,
+                  list_filter(list_transform(string_split(['', '1-URGENT', '2-HIGH, 5-LOW', '3-medium', '4-NOT SPECIFIED, 1-URGENT, 1-URGENT', '5-LOW'][user_id % 6 + 1], ','), lambda x: trim(x)), lambda x: x <> '') AS cuisines,
+                  CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'nation_' || CAST(user_id % 25 AS VARCHAR) END AS city,
+                  CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(1 + user_id % 4 AS INTEGER) END AS price_range,
+                  CASE WHEN user_id % 5 = 0 THEN NULL ELSE (20 + user_id % 25) / 1e1 END AS min_rating,
+                  CASE WHEN user_id % 2 = 0 THEN NULL ELSE CAST(300 + 100 * (user_id % 17) AS DOUBLE) END AS max_cost
+                FROM rq)"""
+    prefs = REQUESTS["canned_delivery"]
+    sql_type = {"array<string>": "VARCHAR[]", "string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
+
+    def val(k):
+        v = prefs.get(k)
+        t = sql_type[PREFERENCE_TYPES[k]]
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, list):
+            return "[" + ", ".join(q(x) for x in v) + "]"
+        if isinstance(v, str):
+            return q(v)
+        return f"CAST({v!r} AS {t})"
+
+    js = "to_json(struct_pack(" + ", ".join(f"{k} := {val(k)}" for k in PREFERENCE_FIELDS) + "))"
+    cz = [c.lower() for c in prefs.get("cuisines", [])]
+    hit = " OR ".join(f"contains(lower(coalesce(cuisines, '')), {q(c)})" for c in cz)
+    return {
+        "upsert_listings": W(
+            f"""SELECT coalesce(e.listing_id, i.listing_id) AS listing_id,
+                       CASE WHEN i.listing_id IS NOT NULL THEN i.votes ELSE e.votes END AS votes,
+                       round(CASE WHEN i.listing_id IS NOT NULL THEN i.aggregate_rating ELSE e.aggregate_rating END, 6) AS aggregate_rating,
+                       CASE WHEN i.listing_id IS NOT NULL THEN i.has_table_booking ELSE e.has_table_booking END AS has_table_booking,
+                       strftime(CASE WHEN e.listing_id IS NULL THEN TIMESTAMP '{T_NOW}' ELSE TIMESTAMP '{T_EXISTING}' END, {fmt}) AS created_at,
+                       strftime(CASE WHEN i.listing_id IS NOT NULL THEN TIMESTAMP '{T_NOW}' ELSE TIMESTAMP '{T_EXISTING}' END, {fmt}) AS updated_at
+                FROM snap e FULL OUTER JOIN listings i ON e.listing_id = i.listing_id""",
+            L, snap,
+        ),
+        "cuisine_dimension": W("SELECT * FROM dim", *imp, pairs, dim),
+        "type_dimension_upsert": """WITH e AS (SELECT CAST(row_number() OVER (ORDER BY type_name) AS BIGINT) AS type_id, type_name
+                                         FROM (SELECT DISTINCT p_type AS type_name FROM part WHERE p_size < 25 AND p_type IS NOT NULL)),
+                                    n AS (SELECT DISTINCT concat_ws(' ', p_type, p_brand) AS type_name FROM part)
+                                    SELECT * FROM e UNION ALL
+                                    SELECT CAST((SELECT coalesce(max(type_id), 0) FROM e) + row_number() OVER (ORDER BY type_name) AS BIGINT) AS type_id, type_name
+                                    FROM n WHERE type_name IS NOT NULL AND type_name NOT IN (SELECT type_name FROM e)""",
+        "cuisine_bridge": W("SELECT DISTINCT listing_id, cuisine_id FROM pairs JOIN dim ON pairs.cuisine_name = dim.cuisine_name", *imp, pairs, dim),
+        "import_summary": W("SELECT count(*) AS restaurants, (SELECT count(DISTINCT cuisine_name) FROM pairs) AS cuisines FROM imported", *imp, pairs),
+        "load_listing_frame": W(
+            """SELECT i.listing_id, i.listing_name, g.cuisines FROM imported i LEFT JOIN (
+                 SELECT listing_id, string_agg(cuisine_name, ', ' ORDER BY cuisine_name) AS cuisines
+                 FROM (SELECT DISTINCT listing_id, cuisine_id FROM pairs JOIN dim ON pairs.cuisine_name = dim.cuisine_name) b
+                 JOIN dim ON b.cuisine_id = dim.cuisine_id GROUP BY listing_id) g ON i.listing_id = g.listing_id""",
+            *imp, pairs, dim,
+        ),
+        "append_users": W(
+            f"""SELECT user_id, name, email, strftime(created_at, {fmt}) AS created_at FROM ex
+                UNION ALL
+                SELECT CAST((SELECT max(user_id) FROM ex) + row_number() OVER (ORDER BY seq) AS BIGINT), name, email, strftime(TIMESTAMP '{T_NOW}', {fmt}) FROM fresh""",
+            users,
+        ),
+        "append_users_rejected": W("SELECT seq, name, email FROM ranked WHERE seq NOT IN (SELECT seq FROM fresh)", users),
+        "preferences_log": W(
+            f"""SELECT request_id AS user_id, array_to_string(cuisines, ', ') AS preferred_cuisines, city AS preferred_city,
+                       CAST(NULL AS VARCHAR) AS preferred_locality, price_range AS preferred_price_range, round(max_cost, 6) AS max_average_cost_inr,
+                       round(min_rating, 6) AS min_rating, CAST(NULL AS VARCHAR) AS preferred_cost_category, CAST(NULL AS VARCHAR) AS preferred_rating_category,
+                       CAST(NULL AS VARCHAR) AS preferred_popularity_category, CAST(NULL AS INTEGER) AS wants_expensive,
+                       CAST(NULL AS INTEGER) AS preferred_location_cluster, CAST(NULL AS VARCHAR) AS preferred_city_location_cluster,
+                       CAST(NULL AS VARCHAR) AS wants_online_delivery, CAST(NULL AS VARCHAR) AS wants_table_booking,
+                       CAST(NULL AS VARCHAR) AS wants_delivering_now, strftime(TIMESTAMP '{T_NOW}', {fmt}) AS created_at FROM r""",
+            req,
+        ),
+        "history_log": f"""SELECT CAST({HISTORY_USER} AS BIGINT) AS user_id, {js} AS preferences_json, listing_id, score AS recommendation_score, rank,
+                                  strftime(TIMESTAMP '{T_NOW}', {fmt}) AS created_at FROM ({recommend_sql(prefs, 10)})""",
+        "evaluate_recommendations": f"""SELECT round(avg(CAST({hit} AS DOUBLE)) * 100, 6) AS cuisine_match_rate,
+                                               round(avg(CAST(lower(coalesce(city, '')) = {q(prefs['city'].lower())} AS DOUBLE)) * 100, 6) AS city_match_rate,
+                                               round(avg(aggregate_rating), 6) AS average_rating, round(avg(score), 6) AS average_score, count(*) AS n
+                                        FROM ({recommend_sql(prefs, 10, round_score=False)})""",
+    }
