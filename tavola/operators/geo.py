@@ -19,13 +19,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.functions.stats import broadcast_if_small, exact_percentiles, group_rank, join_group_stats
+from tavola.functions.stats import BROADCAST_MAX_ROWS, exact_percentiles, group_rank, join_group_stats
 from tavola.session import cut_lineage
 
 # Sizing rule of the clusters.
 TARGET_AREA_KM2 = 25.0
 MAX_CLUSTERS = 30
 KM_PER_DEGREE = 111.0
+CHECKPOINT_EVERY = 5
 
 
 def _valid_points(df: DataFrame, id_col: str) -> DataFrame:
@@ -78,8 +79,9 @@ def _centre_arrays(centres: DataFrame) -> DataFrame:
     )
 
 
-def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
-    arrays = broadcast_if_small(_centre_arrays(centres))
+def _assign(points: DataFrame, centres: DataFrame, broadcast: bool) -> DataFrame:
+    arrays = _centre_arrays(centres)
+    arrays = F.broadcast(arrays) if broadcast else arrays
     best = F.array_min(
         F.transform(
             F.col("_centres"),
@@ -107,28 +109,32 @@ def kmeans_by_city(
     """
     counts = counts if counts is not None else cluster_counts(df, id_col)
     counts = cut_lineage(counts)
+    # The centre table has at most MAX_CLUSTERS rows per city: broadcast it
+    # only when that bound is proven small (else a shuffle join on the city).
+    n_cities = counts.count()
+    bcast = n_cities * MAX_CLUSTERS <= BROADCAST_MAX_ROWS
     points = _valid_points(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     centres = cut_lineage(_seeds(points, counts))
-    for _ in range(max_iter):
-        assigned = _assign(points, centres)
+    for it in range(max_iter):
+        assigned = _assign(points, centres, bcast)
         if history is not None:
             history.append(assigned.agg(F.sum("d2")).first()[0])
         means = assigned.groupBy("city", "cluster").agg(F.avg("latitude").alias("n_lat"), F.avg("longitude").alias("n_lon"))
         moved = join_group_stats(centres, means, ["city", "cluster"])
+        new_lat = F.coalesce(F.col("n_lat"), F.col("c_lat"))
+        new_lon = F.coalesce(F.col("n_lon"), F.col("c_lon"))
         new_centres = moved.select(
-            "city",
-            "cluster",
-            F.coalesce(F.col("n_lat"), F.col("c_lat")).alias("c_lat"),
-            F.coalesce(F.col("n_lon"), F.col("c_lon")).alias("c_lon"),
-            ((F.coalesce(F.col("n_lat"), F.col("c_lat")) - F.col("c_lat")) ** 2
-             + (F.coalesce(F.col("n_lon"), F.col("c_lon")) - F.col("c_lon")) ** 2).alias("_shift"),
+            "city", "cluster", new_lat.alias("c_lat"), new_lon.alias("c_lon"),
+            ((new_lat - F.col("c_lat")) ** 2 + (new_lon - F.col("c_lon")) ** 2).alias("_shift"),
         )
-        new_centres = cut_lineage(new_centres)
+        # Small table: persisted every round, checkpointed every few rounds
+        # so a lost executor never replays more than a few iterations.
+        new_centres = cut_lineage(new_centres) if (it + 1) % CHECKPOINT_EVERY == 0 else new_centres.persist(StorageLevel.MEMORY_AND_DISK)
         shift = new_centres.agg(F.max("_shift")).first()[0]
         centres = new_centres.drop("_shift")
         if shift is None or shift <= tol:
             break
-    final = _assign(points, centres)
+    final = _assign(points, centres, bcast)
     if history is not None:
         history.append(final.agg(F.sum("d2")).first()[0])
     # Renumber the non-empty clusters of each city by centre position (small table).

@@ -65,6 +65,7 @@ def queries() -> dict[str, Query]:
     qs.update(_clean_feature_queries())
     qs.update(_label_eval_queries())
     qs.update(_warehouse_queries())
+    qs.update(_model_queries())
     return qs
 
 
@@ -333,3 +334,49 @@ def _warehouse_queries() -> dict[str, Query]:
             R.evaluate_recommendations(R.recommend(imported_listings(s, d), REQUESTS["canned_delivery"], 10, round_score=None), REQUESTS["canned_delivery"])
         ),
     }
+
+
+# ---------------------------------------------------------------- model flows (rows-only checks) and S17
+from tavola.sources import files as FS  # noqa: E402
+
+RATING_ITERATIONS = 10
+LABEL_MIN_COUNT = 10
+LABEL_ITERATIONS = 20
+
+
+def _ml_input(s, d):
+    """Prepared listings with the importer's defaults for the cluster columns."""
+    return WH.with_defaults(prepared_listings(s, d))
+
+
+def _model_queries() -> dict[str, Query]:
+    from tavola.operators import split as SPL
+    from tavola.plans import labels as LP
+    from tavola.plans import rating as RP
+
+    def rating_metrics(variant):
+        return lambda s, d: RP.train_and_evaluate(_ml_input(s, d), variant, max_iter=RATING_ITERATIONS)[1]
+
+    def label_run(kind):
+        return lambda s, d: LP.train_and_evaluate(_ml_input(s, d), kind, min_count=LABEL_MIN_COUNT, max_iter=LABEL_ITERATIONS)
+
+    def cv(s, d):
+        cands = SPL.candidate_grid(RP.TUNING_GRID["base"], {}, 2)
+        folds, summary = RP.cross_validate(_ml_input(s, d), "base", cands, k=3, max_iter=5)
+        return SPL.select_best(summary, [F.col("mean_rmse").asc()])
+
+    return {
+        "train_rating_base": rating_metrics("base"),
+        "train_rating_engineered": rating_metrics("engineered"),
+        "train_rating_without_votes": rating_metrics("without_votes"),
+        "train_rating_onehot": rating_metrics("onehot"),
+        "rating_feature_importance": lambda s, d: IM.cumulative_importance(
+            RP.feature_importance(RP.train_and_evaluate(_ml_input(s, d), "onehot", max_iter=RATING_ITERATIONS)[0])
+        ),
+        "rating_cv_best": cv,
+        "train_labels_logistic": lambda s, d: label_run("logistic")(s, d)[1]["metrics"],
+        "train_labels_mlp": lambda s, d: label_run("mlp")(s, d)[1]["metrics"],
+        "label_threshold_tuning": lambda s, d: label_run("logistic")(s, d)[1]["threshold_tuning"],
+        "label_top_features": lambda s, d: IM.top_features_per_label(LP.coefficients(label_run("logistic")(s, d)[0]), 15),
+        "prediction_sample": lambda s, d: FS.prediction_sample(_thresholded(s, d).filter("split = 'test'"), label_vocabulary(s), 100),
+    }

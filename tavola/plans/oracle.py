@@ -375,7 +375,16 @@ def _label_eval_sql() -> dict[str, str]:
                     SELECT g.label, 'cat__locality_' || g.locality AS feature, g.a - base.b AS coefficient
                     FROM (SELECT label, locality, avg(truth) AS a FROM j GROUP BY label, locality) g JOIN base ON g.label = base.label),
           mac AS (SELECT feature, avg(abs(coefficient)) AS mean_abs_coefficient FROM coefs GROUP BY feature)"""
+    sample = """ids AS (SELECT DISTINCT row_id FROM th WHERE split = 'test' ORDER BY row_id LIMIT 100)"""
     return {
+        "prediction_sample": W(
+            f"""SELECT th.row_id,
+                       coalesce(string_agg(CASE WHEN truth = 1 THEN v.label END, ', ' ORDER BY CASE WHEN truth = 1 THEN v.label END), '') AS actual,
+                       coalesce(string_agg(CASE WHEN pred = 1 THEN v.label END, ', ' ORDER BY CASE WHEN pred = 1 THEN v.label END), '') AS predicted
+                FROM th JOIN ids ON th.row_id = ids.row_id JOIN (VALUES {vocab_vals}) v(label_idx, label) ON th.label_idx = v.label_idx
+                WHERE th.split = 'test' GROUP BY th.row_id""",
+            L, preds, rowmax, thr, sample,
+        ),
         "label_split": W("SELECT * FROM lng", L, lng),
         "label_frequency": W(
             f"SELECT label, n AS count, n >= {MIN_LABEL_COUNT} AS used_in_model, CAST(row_number() OVER (ORDER BY n DESC, label ASC) AS INTEGER) AS rank FROM cnt",

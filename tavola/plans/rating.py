@@ -138,12 +138,12 @@ def feature_importance(model: RatingModel) -> DataFrame:
     names = []
     enc = model.pipeline.stages[1]
     if model.variant == "onehot":
-        sizes = enc.categorySizes
+        levels = model.pipeline.stages[0].labelsArray
         cats = CATEGORICAL[model.variant]
         nums = [c for c in FEATURES[model.variant] if c not in cats]
         names = [f"num__{c}" for c in nums]
-        for c, k in zip(cats, sizes):
-            names += [f"cat__{c}_{j}" for j in range(k)]
+        for c, labs in zip(cats, levels):
+            names += [f"cat__{c}_{lab}" for lab in labs]
     else:
         names = [f"num__{c[:-5]}" if c.endswith("__tev") else f"num__{c}" for c in inputs]
     from pyspark.sql import SparkSession
