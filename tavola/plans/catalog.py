@@ -272,7 +272,18 @@ def _fmt(c: str):
 
 
 def _dim(s, d):
-    return WH.upsert_dim(WH.empty_dim(s), WH.cuisine_pairs(imported_listings(s, d)))
+    return _dim_of(s, imported_listings(s, d))
+
+
+def _dim_of(s, imported):
+    return cut_lineage(WH.upsert_dim(WH.empty_dim(s), WH.cuisine_pairs(imported)))
+
+
+def _load_frame(s, d):
+    """Import once, build the dimension and bridge from it, load the frame back."""
+    imp = imported_listings(s, d)
+    dim = _dim_of(s, imp)
+    return WH.load_listing_frame(imp.select("listing_id", "listing_name", "cuisines"), WH.build_bridge(imp, dim), dim)
 
 
 def _users(s, d):
@@ -319,11 +330,9 @@ def _warehouse_queries() -> dict[str, Query]:
             "type_id",
             "type_name",
         ),
-        "cuisine_bridge": lambda s, d: WH.build_bridge(imported_listings(s, d), _dim(s, d)),
+        "cuisine_bridge": lambda s, d: (lambda imp: WH.build_bridge(imp, _dim_of(s, imp)))(imported_listings(s, d)),
         "import_summary": lambda s, d: WH.import_summary(imported_listings(s, d)),
-        "load_listing_frame": lambda s, d: WH.load_listing_frame(
-            imported_listings(s, d).select("listing_id", "listing_name", "cuisines"), WH.build_bridge(imported_listings(s, d), _dim(s, d)), _dim(s, d)
-        ),
+        "load_listing_frame": _load_frame,
         "append_users": lambda s, d: _users(s, d)[0].select("user_id", "name", "email", _fmt("created_at")),
         "append_users_rejected": lambda s, d: _users(s, d)[1],
         "preferences_log": lambda s, d: round6(

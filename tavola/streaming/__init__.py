@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference has no stream source, trigger, watermark or state: every input
+is a batch table read once.  Nothing is built here on purpose (see README).
+"""
