@@ -72,9 +72,10 @@ def group_rank(
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranked.groupBy("_pid", *group_cols).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # (partition, group) pairs: at most partitions + groups rows.
+    # (partition, group) pairs: at most partitions + groups rows.  It comes
+    # out of a shuffle, so AQE measures it and broadcasts it when small.
     offsets = counts.select("_pid", *group_cols, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    out = join_group_stats(ranked, broadcast_if_small(offsets), ["_pid", *group_cols])
+    out = join_group_stats(ranked, offsets, ["_pid", *group_cols])
     out = out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_off") + 1).cast("long")).drop("_pos", "_pid", "_first", "_off")
     rest = df.filter(null_key).withColumn(rank_col, F.lit(None).cast("long"))
     return out.unionByName(rest)

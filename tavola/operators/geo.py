@@ -42,6 +42,9 @@ def cluster_counts(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
         F.count(F.lit(1)).alias("n_points"),
         F.count_distinct("latitude", "longitude").alias("n_locations"),
         F.avg("latitude").alias("mean_lat"),
+        ((F.var_pop("latitude") + F.var_pop("longitude")) / 2).alias("mean_var"),
+        F.min("latitude").alias("min_lat"),
+        F.max("latitude").alias("max_lat"),
     )
     lat_q = exact_percentiles(pts, ["city"], "latitude", [0.05, 0.95], tiebreak=id_col, names=["lat_lo", "lat_hi"])
     lon_q = exact_percentiles(pts, ["city"], "longitude", [0.05, 0.95], tiebreak=id_col, names=["lon_lo", "lon_hi"])
@@ -58,15 +61,26 @@ def cluster_counts(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
 
 
 def _seeds(points: DataFrame, counts: DataFrame) -> DataFrame:
-    """k seeds per city, evenly spaced over its distinct locations in (lat, lon) order."""
+    """k seeds per city, evenly spaced along a snake path over its distinct locations.
+
+    The path cuts the city into ``ceil(sqrt(k))`` latitude bands and walks
+    them alternately east and west, so evenly spaced picks cover the city in
+    two dimensions (deterministic, no random state).
+    """
     locs = points.select("city", "latitude", "longitude").distinct()
-    ranked = group_rank(locs, ["city"], ["latitude", "longitude"], rank_col="_rn")
-    ranked = join_group_stats(ranked, counts.select("city", "n_clusters", "n_locations"), ["city"])
+    meta = counts.select("city", "n_clusters", "n_locations", "min_lat", "max_lat")
+    locs = join_group_stats(locs, meta, ["city"])
+    bands = F.ceil(F.sqrt(F.col("n_clusters").cast("double")))
+    span = F.col("max_lat") - F.col("min_lat")
+    band = F.when(span > 0, F.least(F.floor((F.col("latitude") - F.col("min_lat")) / span * bands), bands - 1)).otherwise(F.lit(0))
+    locs = locs.withColumn("_band", band.cast("long")).withColumn(
+        "_along", F.when(F.col("_band") % 2 == 0, F.col("longitude")).otherwise(-F.col("longitude"))
+    )
+    ranked = group_rank(locs, ["city"], ["_band", "_along", "latitude"], rank_col="_rn")
     r0 = F.col("_rn") - 1
     k = F.col("n_clusters").cast("long")
     n = F.col("n_locations").cast("long")
-    j = (r0 * k + n - 1) / n
-    j = F.floor(j).cast("long")
+    j = F.floor((r0 * k + n - 1) / n).cast("long")
     pick = (j < k) & (F.floor((j * n) / k).cast("long") == r0)
     return ranked.filter(pick).select(
         "city", j.cast("int").alias("cluster"), F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon")
@@ -99,11 +113,13 @@ def kmeans_by_city(
     counts: DataFrame | None = None,
     id_col: str = "listing_id",
     max_iter: int = 20,
-    tol: float = 1e-12,
+    tol: float = 1e-4,
     history: list | None = None,
 ) -> DataFrame:
     """``location_cluster`` per row (0 for rows without coordinates or city).
 
+    Stops when every city's summed squared centre shift is at most ``tol``
+    times its mean coordinate variance, or after ``max_iter`` rounds.
     ``history``, when given, receives the inertia (sum of squared distances)
     after each assignment step, for convergence checks.
     """
@@ -113,26 +129,44 @@ def kmeans_by_city(
     # only when that bound is proven small (else a shuffle join on the city).
     n_cities = counts.count()
     bcast = n_cities * MAX_CLUSTERS <= BROADCAST_MAX_ROWS
+    limits = counts.select("city", (F.lit(float(tol)) * F.coalesce(F.col("mean_var"), F.lit(0.0))).alias("_limit"))
     points = _valid_points(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     centres = cut_lineage(_seeds(points, counts))
     for it in range(max_iter):
         assigned = _assign(points, centres, bcast)
         if history is not None:
             history.append(assigned.agg(F.sum("d2")).first()[0])
-        means = assigned.groupBy("city", "cluster").agg(F.avg("latitude").alias("n_lat"), F.avg("longitude").alias("n_lon"))
-        moved = join_group_stats(centres, means, ["city", "cluster"])
-        new_lat = F.coalesce(F.col("n_lat"), F.col("c_lat"))
-        new_lon = F.coalesce(F.col("n_lon"), F.col("c_lon"))
-        new_centres = moved.select(
+        # One aggregation per round: assigned points (weight 1) and the old
+        # centres (weight 0) grouped together, so an empty cluster keeps its
+        # centre and the shift comes out of the same pass.
+        pts = assigned.select("city", "cluster", "latitude", "longitude", F.lit(1.0).alias("_w"))
+        old = centres.select("city", "cluster", F.col("c_lat").alias("latitude"), F.col("c_lon").alias("longitude"), F.lit(0.0).alias("_w"))
+        g = pts.unionByName(old).groupBy("city", "cluster").agg(
+            F.sum(F.col("_w") * F.col("latitude")).alias("_sl"),
+            F.sum(F.col("_w") * F.col("longitude")).alias("_so"),
+            F.sum("_w").alias("_n"),
+            F.max(F.when(F.col("_w") == 0, F.col("latitude"))).alias("_ol"),
+            F.max(F.when(F.col("_w") == 0, F.col("longitude"))).alias("_oo"),
+        )
+        new_lat = F.when(F.col("_n") > 0, F.col("_sl") / F.col("_n")).otherwise(F.col("_ol"))
+        new_lon = F.when(F.col("_n") > 0, F.col("_so") / F.col("_n")).otherwise(F.col("_oo"))
+        new_centres = g.select(
             "city", "cluster", new_lat.alias("c_lat"), new_lon.alias("c_lon"),
-            ((new_lat - F.col("c_lat")) ** 2 + (new_lon - F.col("c_lon")) ** 2).alias("_shift"),
+            ((new_lat - F.col("_ol")) ** 2 + (new_lon - F.col("_oo")) ** 2).alias("_shift"),
         )
         # Small table: persisted every round, checkpointed every few rounds
         # so a lost executor never replays more than a few iterations.
         new_centres = cut_lineage(new_centres) if (it + 1) % CHECKPOINT_EVERY == 0 else new_centres.persist(StorageLevel.MEMORY_AND_DISK)
-        shift = new_centres.agg(F.max("_shift")).first()[0]
+        # Converged when, in every city, the summed squared centre shift is at
+        # most tol x the mean coordinate variance of the city.
+        moving = (
+            new_centres.groupBy("city").agg(F.sum("_shift").alias("_s"))
+            .join(F.broadcast(limits) if bcast else limits, "city")
+            .filter(F.col("_s") > F.col("_limit"))
+            .count()
+        )
         centres = new_centres.drop("_shift")
-        if shift is None or shift <= tol:
+        if moving == 0:
             break
     final = _assign(points, centres, bcast)
     if history is not None:

@@ -151,7 +151,12 @@ def score(listings: DataFrame, prefs: Mapping[str, object]) -> DataFrame:
     mr = prefs.get("min_rating")
     pool = listings
     if mr is not None:
-        pool = pool.filter(F.coalesce(F.col("aggregate_rating"), F.lit(0.0)) >= F.lit(float(mr)))
+        # coalesce(rating, 0) >= m; for m > 0 this is exactly rating >= m, a
+        # predicate the parquet scan can evaluate (row-group skipping).
+        if float(mr) > 0:
+            pool = pool.filter(F.col("aggregate_rating") >= F.lit(float(mr)))
+        else:
+            pool = pool.filter(F.coalesce(F.col("aggregate_rating"), F.lit(0.0)) >= F.lit(float(mr)))
     terms = score_terms(prefs)
     total = F.lit(0.0)
     for term, _ in terms:

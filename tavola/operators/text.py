@@ -43,11 +43,16 @@ def ngrams(tok: Column, n_max: int) -> Column:
 def term_frequencies(df: DataFrame, id_col: str, text_col: str, n_max: int = 1) -> DataFrame:
     """M1: ``(doc_id, term, tf)`` counts (one row per distinct term of a document).
 
-    Tokens are materialised as a column first, so the n-gram lambda reads the
-    token array instead of re-running the regex per position.
+    Tokens are a built-in regex extraction; word n-grams come from Spark ML's
+    ``NGram`` transformer (JVM code, no Python), one pass per n.
     """
-    tok = df.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_tok"))
-    terms = tok.select("doc_id", F.explode(ngrams(F.col("_tok"), n_max)).alias("term"))
+    from pyspark.ml.feature import NGram
+
+    tok = df.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_g1"))
+    for n in range(2, n_max + 1):
+        tok = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(tok)
+    grams = F.concat(*[F.col(f"_g{n}") for n in range(1, n_max + 1)]) if n_max > 1 else F.col("_g1")
+    terms = tok.select("doc_id", F.explode(grams).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
 
 

@@ -17,7 +17,7 @@ from tavola.operators import recommend as R
 from tavola.operators import warehouse as WH
 from tavola.plans.prepare import prepare
 from tavola.plans.requests import REQUESTS
-from tavola.session import cut_lineage
+from tavola.session import cut_lineage, materialize_table
 from tavola.sources.tables import listings_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +45,20 @@ def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False)
     return cut_lineage(prepare(listings_raw(spark, sf_dir), clusters=clusters))
 
 
+_STORE: dict = {}
+
+
 def imported_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
-    """Prepared + imported listings, materialised once (the listings table of the store)."""
-    return cut_lineage(WH.import_listings(prepared_listings(spark, sf_dir, clusters)))
+    """Prepared + imported listings: the listings table of the store.
+
+    Built and materialised once per application and input folder, then read
+    by every store query (recommendations, bridge, logs), as the reference's
+    queries read their database table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), clusters)
+    if key not in _STORE:
+        _STORE[key] = materialize_table(WH.import_listings(prepared_listings(spark, sf_dir, clusters)), "listings")
+    return _STORE[key]
 
 
 def _recommend_query(name: str, top_n: int = 10) -> Query:
@@ -213,7 +224,8 @@ def _coefficients(s, d):
 
 
 def _tf(s, d):
-    return TT.term_frequencies(table(s, d, "documents"), "doc_id", "text", NGRAM_MAX)
+    """Term frequencies of all documents, materialised once per query (read by the vocabulary, idf and weights)."""
+    return cut_lineage(TT.term_frequencies(table(s, d, "documents"), "doc_id", "text", NGRAM_MAX))
 
 
 def _label_eval_queries() -> dict[str, Query]:
@@ -228,7 +240,7 @@ def _label_eval_queries() -> dict[str, Query]:
         "label_cardinality": lambda s, d: round6(LB.label_cardinality(LB.filter_rare(_label_long(s, d), MIN_LABEL_COUNT))),
         "term_frequencies": _tf,
         "tfidf_vocabulary": lambda s, d: TT.fit_vocabulary(_tf(s, d), TFIDF_MIN_DF, MAX_FEATURES),
-        "tfidf_weights": lambda s, d: round6(TT.tfidf(_tf(s, d), TT.fit_idf(_tf(s, d), TT.fit_vocabulary(_tf(s, d), TFIDF_MIN_DF, MAX_FEATURES)))),
+        "tfidf_weights": lambda s, d: (lambda tf: round6(TT.tfidf(tf, TT.fit_idf(tf, TT.fit_vocabulary(tf, TFIDF_MIN_DF, MAX_FEATURES)))))(_tf(s, d)),
         "split_listings": lambda s, d: SP.assign_split(listings_raw(s, d).select("listing_id"), "listing_id"),
         "fold_listings": lambda s, d: SP.assign_fold(listings_raw(s, d).select("listing_id"), "listing_id", 3),
         "threshold_predict": lambda s, d: round6(EV.apply_threshold(_probs(s, d), FIXED_THRESHOLD).select("row_id", "label_idx", "truth", "prob", "pred")),
@@ -387,5 +399,8 @@ def _model_queries() -> dict[str, Query]:
         "train_labels_mlp": lambda s, d: label_run("mlp")(s, d)[1]["metrics"],
         "label_threshold_tuning": lambda s, d: label_run("logistic")(s, d)[1]["threshold_tuning"],
         "label_top_features": lambda s, d: IM.top_features_per_label(LP.coefficients(label_run("logistic")(s, d)[0]), 15),
+        "label_cv_best": lambda s, d: LP.cross_validate(
+            _ml_input(s, d), SPL.candidate_grid(LP.TUNING_GRID, LP.BASE_CANDIDATE, 2), k=3, max_iter=10
+        )[2],
         "prediction_sample": lambda s, d: FS.prediction_sample(_thresholded(s, d).filter("split = 'test'"), label_vocabulary(s), 100),
     }

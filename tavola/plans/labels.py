@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.operators import evaluate, importance, labels, mlfeatures, split, text
+from tavola.session import cut_lineage
 
 # Model inputs of the category classifier.
 TEXT_COLUMN = "listing_name"
@@ -54,7 +55,7 @@ def build_dataset(prepared: DataFrame, min_count: int, seed: int = 42) -> tuple[
 
 def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1, ngram_max: int = 1):
     """M1-M6 fitted on the training rows: TF-IDF of the name, one-hot categoricals, scaled numerics."""
-    tf = text.term_frequencies(train.select("row_id", TEXT_COLUMN), "row_id", TEXT_COLUMN, ngram_max)
+    tf = cut_lineage(text.term_frequencies(train.select("row_id", TEXT_COLUMN), "row_id", TEXT_COLUMN, ngram_max))
     voc = text.fit_idf(tf, text.fit_vocabulary(tf, min_df, max_features)).orderBy("term_idx")
     rows = voc.collect()  # bounded by max_features: model parameters
     terms, idf = [r["term"] for r in rows], [float(r["idf"]) for r in rows]
@@ -167,3 +168,42 @@ def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: i
     per_label = evaluate.per_label_table(preds.filter("split = 'test'"), vocab)
     model = LabelModel(vocab, n_labels, fz, scaler, models, names, best)
     return model, {"metrics": metrics, "threshold_tuning": sweep, "per_label": per_label, "frequency": freq, "predictions": preds}
+
+
+# Search space of the category model (candidate grid, P3).
+TUNING_GRID = {
+    "min_count": [10, 20, 30],
+    "max_features": [1000, 2000, 3000],
+    "ngram_max": [1, 2],
+    "min_df": [1, 2],
+    "c": [0.5, 1.0, 2.0],
+}
+BASE_CANDIDATE = {"min_count": 20, "max_features": 3000, "ngram_max": 1, "min_df": 1, "c": 1.0}
+
+
+def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "logistic", max_iter: int = 20, seed: int = 42):
+    """P4-P6 for the category model: per candidate x fold, fit on the other folds,
+    tune the threshold on the held-out fold (T9), record its metrics; then
+    mean / population std per candidate and the best by (micro, sample, macro F1)."""
+    records = None
+    for ci, cand in enumerate(candidates):
+        data, vocab, _ = build_dataset(prepared, int(cand["min_count"]), seed)
+        data = split.assign_fold(data.filter("split = 'train'"), "row_id", k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+        n_labels = vocab.count()
+        for f in range(k):
+            tr = data.filter(F.col("fold") != f)
+            fz, scaler, _ = fit_featurizer(tr, int(cand["max_features"]), int(cand["min_df"]), int(cand["ngram_max"]))
+            vec = featurize(None, data, fz, scaler)
+            models = fit(vec.join(data.filter(F.col("fold") != f).select("row_id"), "row_id"), n_labels, kind, float(cand["c"]), max_iter, seed=seed)
+            held = vec.join(data.filter(F.col("fold") == f).select("row_id"), "row_id")
+            sweep = evaluate.threshold_sweep(predict_proba(models, held), n_labels).filter("is_best")
+            rec = sweep.select(
+                F.lit(ci + 1).alias("candidate"), F.lit(f).alias("fold"), F.col("threshold").alias("best_threshold"),
+                "micro_f1", "macro_f1", "sample_f1", "hamming_loss", "exact_match",
+            )
+            rec = cut_lineage(rec)
+            records = rec if records is None else records.unionByName(rec)
+        data.unpersist()
+    summary = split.summarize_folds(records, ["micro_f1", "macro_f1", "sample_f1", "hamming_loss", "exact_match"])
+    best = split.select_best(summary, [F.col("mean_micro_f1").desc(), F.col("mean_sample_f1").desc(), F.col("mean_macro_f1").desc()])
+    return records, summary, best

@@ -72,3 +72,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
+
+
+def materialize_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Later queries then scan parquet: filters are pushed into the scan and only
+    the columns a query needs are read.  Without a configured folder the
+    DataFrame is persisted instead.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if base is None:
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        return out
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

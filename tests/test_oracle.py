@@ -35,7 +35,7 @@ def test_every_query_has_oracle_or_is_model_flow():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing <= {
         "geo_clusters", "train_rating_base", "train_rating_engineered", "train_rating_without_votes", "train_rating_onehot",
-        "rating_feature_importance", "rating_cv_best", "train_labels_logistic", "train_labels_mlp", "label_threshold_tuning", "label_top_features",
+        "rating_feature_importance", "rating_cv_best", "train_labels_logistic", "train_labels_mlp", "label_threshold_tuning", "label_top_features", "label_cv_best",
     }, missing
     assert set(E.oracle_sql()) <= set(E.queries())
 
