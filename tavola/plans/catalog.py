@@ -167,7 +167,11 @@ def _clean_feature_queries() -> dict[str, Query]:
         "prepare_listings": lambda s, d: round6(prepared_listings(s, d)),
         "import_listings": lambda s, d: round6(imported_listings(s, d)),
         "drop_leakage_base": lambda s, d: round6(C.drop_leakage(prepared_listings(s, d), "base")),
-        "cluster_counts": lambda s, d: round6(GEO.cluster_counts(raw(s, d))),
+        "cluster_counts": lambda s, d: round6(
+            GEO.cluster_counts(raw(s, d)).select(
+                "city", "n_points", "n_locations", "mean_lat", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "area_km2", "n_clusters"
+            )
+        ),
         "geo_clusters": lambda s, d: FE.city_cluster_key(GEO.kmeans_by_city(raw(s, d).select("listing_id", "city", "latitude", "longitude"))),
     }
 
