@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
-from tavola.functions.stats import broadcast_if_small, group_rank
+from tavola.functions.stats import broadcast_if_small, group_rank, join_group_stats
 
 # The 29 columns of the listings table, in order.
 LISTING_COLUMNS = [
@@ -137,8 +137,11 @@ def upsert_listings(existing: DataFrame, incoming: DataFrame, now: Column, order
     """
     cols = [c for c in incoming.columns if c != order_col]
     if order_col:
-        w = Window.partitionBy("listing_id").orderBy(F.col(order_col).desc())
-        incoming = incoming.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", order_col)
+        # Last row per id by order_col: a grouped max_by (combined map-side),
+        # so many copies of one id never meet in a single task.
+        others = [c for c in cols if c != "listing_id"]
+        last = F.max_by(F.struct(*[F.col(c) for c in others]), F.col(order_col))
+        incoming = incoming.groupBy("listing_id").agg(last.alias("_v")).select("listing_id", *[F.col(f"_v.{c}").alias(c) for c in others])
     else:
         incoming = incoming.dropDuplicates(["listing_id"])
     inc = incoming.select(*[F.col(c).alias(f"_in_{c}") for c in cols])
@@ -210,8 +213,12 @@ def append_users(existing: DataFrame, new: DataFrame, now: Column, order_col: st
     Returns ``(users, rejected)``.  A new user is rejected when the e-mail is
     already taken or an earlier row of the batch (by ``order_col``) has it.
     """
-    first = Window.partitionBy("email").orderBy(order_col)
-    batch = new.withColumn("_k", F.when(F.col("email").isNull(), F.lit(1)).otherwise(F.row_number().over(first)))
+    # First row per e-mail by order_col: grouped min joined back (no window
+    # over a possibly huge e-mail group).
+    firsts = new.filter(F.col("email").isNotNull()).groupBy("email").agg(F.min(order_col).alias("_first"))
+    batch = join_group_stats(new, firsts, ["email"]).withColumn(
+        "_k", F.when(F.col("email").isNull() | (F.col(order_col) == F.col("_first")), F.lit(1)).otherwise(F.lit(2))
+    ).drop("_first")
     taken = existing.select("email").filter(F.col("email").isNotNull())
     fresh = batch.filter("_k = 1").join(taken, "email", "left_anti")
     rejected = batch.join(fresh.select(order_col), order_col, "left_anti").drop("_k")

@@ -152,3 +152,19 @@ def test_append_users_unique_email(spark):
 def test_dimension_insert_or_ignore(spark):
     dim = warehouse.upsert_dim(spark.createDataFrame([(1, "b")], "cuisine_id long, cuisine_name string"), spark.createDataFrame([("c",), ("a",), ("b",)], "cuisine_name string"))
     assert sorted((r.cuisine_id, r.cuisine_name) for r in dim.collect()) == [(1, "b"), (2, "a"), (3, "c")]
+
+
+def test_duplicate_rows_null_safe(spark):
+    from tavola.operators import quality
+
+    rows = [("a", None), ("a", None), ("a", None), ("b", 1), ("b", 2), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y int")
+    key = lambda t: tuple("" if v is None else str(v) for v in t)
+    got = sorted(((r.x, r.y, r.occurrence) for r in quality.duplicate_rows(df).collect()), key=key)
+    assert got == sorted([("a", None, 2), ("a", None, 3), (None, None, 2)], key=key)
+    assert quality.duplicate_count(df).first().duplicates == 3
+
+
+def test_parse_cuisines():
+    assert recommend.parse_cuisines(" North Indian, ,Chinese ") == ["North Indian", "Chinese"]
+    assert recommend.parse_cuisines(None) == []
