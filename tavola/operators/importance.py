@@ -74,3 +74,14 @@ def cumulative_importance(imp: DataFrame, value_col: str = "importance") -> Data
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """Chart feed tables: the first ``n`` rows by ``order`` (per-partition top-n, merged)."""
     return df.orderBy(*order).limit(n)
+
+
+def slot_names(df: DataFrame, vector_col: str = "features") -> list[str]:
+    """Names of every slot of an assembled vector, from its ML attribute metadata."""
+    meta = df.schema[vector_col].metadata.get("ml_attr", {})
+    size = int(meta.get("num_attrs", 0))
+    names = [f"{vector_col}_{i}" for i in range(size)]
+    for group in meta.get("attrs", {}).values():
+        for a in group:
+            names[int(a["idx"])] = a.get("name", names[int(a["idx"])])
+    return names

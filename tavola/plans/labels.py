@@ -71,11 +71,17 @@ def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1,
         VectorAssembler(inputCols=(["name_tfidf"] if terms else []) + ohe + NUMERIC, outputCol="features", handleInvalid="keep"),
     ]
     model = Pipeline(stages=stages).fit(mlfeatures.apply_median_std(train, scaler))
-    names = [f"name__{t}" for t in terms]
-    levels = model.stages[-3].labelsArray
-    for c, labs in zip(CATEGORICAL, levels):
-        names += [f"cat__{c}_{lab}" for lab in labs]
-    names += [f"num__{c}" for c in NUMERIC]
+    # Slot names from the assembled vector's ML attributes (one row suffices).
+    raw_names = importance.slot_names(model.transform(mlfeatures.apply_median_std(train.limit(1), scaler)))
+    names = []
+    for nm in raw_names:
+        if nm.startswith("name_tfidf_") and nm[len("name_tfidf_"):].isdigit():
+            names.append("name__" + terms[int(nm[len("name_tfidf_"):])])
+        elif "__ohe_" in nm:
+            c, level = nm.split("__ohe_", 1)
+            names.append(f"cat__{c}_{level}")
+        else:
+            names.append(f"num__{nm}")
     return model, scaler, names
 
 

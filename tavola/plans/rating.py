@@ -79,6 +79,7 @@ class RatingModel:
     pipeline: PipelineModel
     medians: dict
     feature_names: list[str]
+    slot_names: list[str] = None
 
 
 def _stages(variant: str, params: Mapping[str, object], max_iter: int, seed: int) -> tuple[list, list[str]]:
@@ -120,7 +121,9 @@ def fit(train: DataFrame, variant: str, params: Mapping[str, object] | None = No
     data = mlfeatures.apply_median_std(data, medians, scale=False)
     stages, names = _stages(variant, params, max_iter, seed)
     model = Pipeline(stages=stages).fit(data)
-    return RatingModel(variant, model, medians, names)
+    # Slot names of the assembled vector, from its ML attributes (one row suffices).
+    slots = importance.slot_names(PipelineModel(model.stages[:-1]).transform(data.limit(1)))
+    return RatingModel(variant, model, medians, names, slots)
 
 
 def predict(model: RatingModel, df: DataFrame) -> DataFrame:
@@ -131,25 +134,20 @@ def predict(model: RatingModel, df: DataFrame) -> DataFrame:
 def feature_importance(model: RatingModel) -> DataFrame:
     """I1 (and I2 for one-hot): importance per source feature, from the fitted trees."""
     gbt = model.pipeline.stages[-1]
-    assembler = model.pipeline.stages[-2]
     vec = gbt.featureImportances.toArray().tolist()
-    inputs = assembler.getInputCols()
-    # Expanded slot names: one per numeric / target-encoded input, one per one-hot level.
     names = []
-    enc = model.pipeline.stages[1]
-    if model.variant == "onehot":
-        levels = model.pipeline.stages[0].labelsArray
-        cats = CATEGORICAL[model.variant]
-        nums = [c for c in FEATURES[model.variant] if c not in cats]
-        names = [f"num__{c}" for c in nums]
-        for c, labs in zip(cats, levels):
-            names += [f"cat__{c}_{lab}" for lab in labs]
-    else:
-        names = [f"num__{c[:-5]}" if c.endswith("__tev") else f"num__{c}" for c in inputs]
+    for nm in model.slot_names:
+        if "__ohe_" in nm:
+            c, level = nm.split("__ohe_", 1)
+            names.append(f"cat__{c}_{level}")
+        elif nm.endswith("__tev"):
+            names.append(f"num__{nm[:-5]}")
+        else:
+            names.append(f"num__{nm}")
     from pyspark.sql import SparkSession
 
     ss = SparkSession.getActiveSession()
-    tbl = importance.importance_table(ss, names[: len(vec)], vec)
+    tbl = importance.importance_table(ss, names, vec)
     return importance.sum_to_source(tbl, CATEGORICAL[model.variant])
 
 
