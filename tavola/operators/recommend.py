@@ -164,8 +164,9 @@ def score(listings: DataFrame, prefs: Mapping[str, object]) -> DataFrame:
             total = total + term
     lv = F.coalesce(F.col("log_votes"), F.lit(0.0))
     ps = F.coalesce(F.col("restaurant_popularity_score"), F.lit(0.0))
-    lv_max = pool.select(F.max(lv)).scalar()
-    ps_max = pool.select(F.max(ps)).scalar()
+    # Both maxima over the survivors in one scalar subquery (one scan).
+    mx = pool.select(F.struct(F.max(lv).alias("lv"), F.max(ps).alias("ps"))).scalar()
+    lv_max, ps_max = mx.getField("lv"), mx.getField("ps")
     total = total + F.when(lv_max > 0, lv / lv_max * W_VOTES).otherwise(F.lit(0.0))
     total = total + F.when(ps_max > 0, ps / ps_max * W_POPULARITY).otherwise(F.lit(0.0))
     rel = F.coalesce(F.col("cost_relative_to_city"), F.lit(1.0))
