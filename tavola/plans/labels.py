@@ -213,3 +213,39 @@ def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "log
     summary = split.summarize_folds(records, ["micro_f1", "macro_f1", "sample_f1", "hamming_loss", "exact_match"])
     best = split.select_best(summary, [F.col("mean_micro_f1").desc(), F.col("mean_sample_f1").desc(), F.col("mean_macro_f1").desc()])
     return records, summary, best
+
+
+def save_model(model: LabelModel, path: str) -> None:
+    """Featurizer pipeline, one Spark ML model per label, vocabulary and threshold."""
+    import json
+
+    base = path.rstrip("/")
+    model.featurizer.write().overwrite().save(f"{base}/featurizer")
+    model.vocab.write.mode("overwrite").parquet(f"{base}/vocabulary")
+    consts = {}
+    for j, (kind, m) in model.models.items():
+        if kind == "model":
+            m.write().overwrite().save(f"{base}/label_{j}")
+        else:
+            consts[str(j)] = m
+    spark = model.vocab.sparkSession
+    meta = {"n_labels": model.n_labels, "threshold": model.threshold, "constants": consts, "scaler": model.scaler, "feature_names": model.feature_names}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{base}/meta")
+
+
+def load_model(spark, path: str, kind: str = "logistic") -> LabelModel:
+    import json
+
+    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+
+    base = path.rstrip("/")
+    meta = json.loads(spark.read.text(f"{base}/meta").first()[0])
+    loader = LogisticRegressionModel if kind == "logistic" else MultilayerPerceptronClassificationModel
+    models = {}
+    for j in range(meta["n_labels"]):
+        if str(j) in meta["constants"]:
+            models[j] = ("constant", meta["constants"][str(j)])
+        else:
+            models[j] = ("model", loader.load(f"{base}/label_{j}"))
+    scaler = {k: tuple(v) for k, v in meta["scaler"].items()}
+    return LabelModel(spark.read.parquet(f"{base}/vocabulary"), meta["n_labels"], PipelineModel.load(f"{base}/featurizer"), scaler, models, meta["feature_names"], meta["threshold"])

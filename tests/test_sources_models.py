@@ -54,3 +54,32 @@ def test_rating_model_roundtrip(spark):
     a = rating.predict(model, data).select("_row_id", "prediction")
     b = rating.predict(again, data).select("_row_id", F.col("prediction").alias("p2"))
     assert a.join(b, "_row_id").filter(F.abs(F.col("prediction") - F.col("p2")) > 1e-12).count() == 0
+
+
+def test_write_prepared_partitioned(spark):
+    d = tempfile.mkdtemp(prefix="tavola-prep-", dir="/tmp")
+    df = spark.createDataFrame([(1, 1, "a"), (2, 216, "b")], "listing_id long, country_code int, city string")
+    files.write_prepared(df, d + "/p")
+    back = spark.read.parquet(d + "/p")
+    assert sorted(r.listing_id for r in back.filter("country_code = 216").collect()) == [2]
+    assert any(n.startswith("country_code=") for n in os.listdir(d + "/p"))
+
+
+def test_label_model_roundtrip(spark):
+    from tavola.plans import labels as LP
+    from tavola.plans.catalog import prepared_listings
+
+    from conftest import SF_SMALL
+
+    prepared = warehouse.with_defaults(prepared_listings(spark, SF_SMALL))
+    model, out = LP.train_and_evaluate(prepared, "logistic", min_count=5, max_features=200, max_iter=5)
+    preds = out["predictions"]
+    # threshold fallback: every row predicts at least one label
+    assert preds.groupBy("row_id").agg(F.sum("pred").alias("k")).filter("k = 0").count() == 0
+    d = tempfile.mkdtemp(prefix="tavola-lmodel-", dir="/tmp")
+    LP.save_model(model, d + "/m")
+    again = LP.load_model(spark, d + "/m")
+    data, _, _ = LP.build_dataset(prepared, 5)
+    a = LP.predict_proba(model.models, LP.featurize(model, data)).select("row_id", "label_idx", "prob")
+    b = LP.predict_proba(again.models, LP.featurize(again, data)).select("row_id", "label_idx", F.col("prob").alias("p2"))
+    assert a.join(b, ["row_id", "label_idx"]).filter(F.abs(F.col("prob") - F.col("p2")) > 1e-9).count() == 0
