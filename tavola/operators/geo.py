@@ -131,7 +131,8 @@ def kmeans_by_city(
     bcast = n_cities * MAX_CLUSTERS <= BROADCAST_MAX_ROWS
     limits = counts.select("city", (F.lit(float(tol)) * F.coalesce(F.col("mean_var"), F.lit(0.0))).alias("_limit"))
     points = _valid_points(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    centres = cut_lineage(_seeds(points, counts))
+    seeds = _seeds(points, counts)
+    centres = cut_lineage(seeds.coalesce(1) if bcast else seeds)
     for it in range(max_iter):
         assigned = _assign(points, centres, bcast)
         if history is not None:
@@ -154,6 +155,10 @@ def kmeans_by_city(
             "city", "cluster", new_lat.alias("c_lat"), new_lon.alias("c_lon"),
             ((new_lat - F.col("_ol")) ** 2 + (new_lon - F.col("_oo")) ** 2).alias("_shift"),
         )
+        if bcast:
+            # Proven small (<= 30 rows per city): one partition, so the
+            # per-city array and convergence aggregates need no shuffle.
+            new_centres = new_centres.coalesce(1)
         # Small table: persisted every round, checkpointed every few rounds
         # so a lost executor never replays more than a few iterations.
         new_centres = cut_lineage(new_centres) if (it + 1) % CHECKPOINT_EVERY == 0 else new_centres.persist(StorageLevel.MEMORY_AND_DISK)
