@@ -48,7 +48,13 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str, n_max: int = 1)
     """
     from pyspark.ml.feature import NGram
 
-    tok = df.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_g1"))
+    # Hash-partition the documents (the raw text is smaller than the term
+    # table it explodes into): the (doc, term) count and the per-document
+    # norms downstream are then satisfied by this partitioning, so the term
+    # rows are never shuffled.
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    docs = docs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    tok = docs.select("doc_id", tokens(F.col("_text")).alias("_g1"))
     for n in range(2, n_max + 1):
         tok = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(tok)
     grams = F.concat(*[F.col(f"_g{n}") for n in range(1, n_max + 1)]) if n_max > 1 else F.col("_g1")
