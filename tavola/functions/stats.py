@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tavola.session import cut_lineage
+
 # Row bound under which a derived per-group table is broadcast explicitly.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -68,8 +69,12 @@ def group_rank(
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_pos"), 33))
     )
-    # The positions are only stable if the sorted data is materialised once.
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    # The positions depend on the sampled range bounds, so the sorted data
+    # must be computed exactly once: materialise it eagerly (a reliable
+    # checkpoint when the cluster names a folder), never lazily, so that two
+    # branches of one job, or a retry after a lost executor, cannot re-sample
+    # different bounds.
+    ranked = cut_lineage(ranked)
     counts = ranked.groupBy("_pid", *group_cols).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # (partition, group) pairs: at most partitions + groups rows.  It comes
@@ -118,3 +123,23 @@ def exact_percentiles(
             for nm in names
         ],
     )
+
+
+def exact_percentiles_many(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    value_cols: Sequence[str],
+    probs: Sequence[float],
+    tiebreak: str,
+    names: Sequence[str] | None = None,
+) -> DataFrame:
+    """:func:`exact_percentiles` of several columns with one distributed sort.
+
+    The value columns are unpivoted to ``(group, variable, value)`` rows and
+    ranked together; the result is pivoted back with the known variable list
+    (no extra job).  Output columns are ``{value_col}_{name}``.
+    """
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    long = df.select(*group_cols, tiebreak, *value_cols).unpivot([*group_cols, tiebreak], list(value_cols), "_var", "_val")
+    q = exact_percentiles(long, [*group_cols, "_var"], "_val", probs, tiebreak, names)
+    return q.groupBy(*group_cols).pivot("_var", list(value_cols)).agg(*[F.first(n).alias(n) for n in names])

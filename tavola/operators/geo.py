@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.functions.stats import BROADCAST_MAX_ROWS, exact_percentiles, group_rank, join_group_stats
+from tavola.functions.stats import BROADCAST_MAX_ROWS, exact_percentiles_many, group_rank, join_group_stats
 from tavola.session import cut_lineage
 
 # Sizing rule of the clusters.
@@ -46,9 +46,14 @@ def cluster_counts(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
         F.min("latitude").alias("min_lat"),
         F.max("latitude").alias("max_lat"),
     )
-    lat_q = exact_percentiles(pts, ["city"], "latitude", [0.05, 0.95], tiebreak=id_col, names=["lat_lo", "lat_hi"])
-    lon_q = exact_percentiles(pts, ["city"], "longitude", [0.05, 0.95], tiebreak=id_col, names=["lon_lo", "lon_hi"])
-    out = join_group_stats(join_group_stats(base, lat_q, ["city"]), lon_q, ["city"])
+    # Both coordinates' 5 % / 95 % points from one distributed sort.
+    q = exact_percentiles_many(pts, ["city"], ["latitude", "longitude"], [0.05, 0.95], tiebreak=id_col, names=["lo", "hi"])
+    q = q.select(
+        "city",
+        F.col("latitude_lo").alias("lat_lo"), F.col("latitude_hi").alias("lat_hi"),
+        F.col("longitude_lo").alias("lon_lo"), F.col("longitude_hi").alias("lon_hi"),
+    )
+    out = join_group_stats(base, q, ["city"])
     height = (F.col("lat_hi") - F.col("lat_lo")) * F.lit(KM_PER_DEGREE)
     width = (F.col("lon_hi") - F.col("lon_lo")) * F.lit(KM_PER_DEGREE) * F.cos(F.radians(F.col("mean_lat")))
     area = F.abs(height * width)

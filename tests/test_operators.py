@@ -168,3 +168,18 @@ def test_duplicate_rows_null_safe(spark):
 def test_parse_cuisines():
     assert recommend.parse_cuisines(" North Indian, ,Chinese ") == ["North Indian", "Chinese"]
     assert recommend.parse_cuisines(None) == []
+
+
+def test_group_rank_on_shuffled_input_two_keys(spark):
+    """Ranks stay exact when the input comes out of non-deterministic shuffles
+    and the group key has two columns (positions are materialised once)."""
+    from pyspark.sql import Window
+
+    from conftest import SF_CHECK
+    from tavola.sources.tables import listings_raw
+
+    raw = listings_raw(spark, SF_CHECK).select("listing_id", "city", "latitude", "longitude")
+    long = raw.unpivot(["city", "listing_id"], ["latitude", "longitude"], "_var", "_val")
+    got = group_rank(long, ["city", "_var"], ["_val", "listing_id"], "rn")
+    want = long.withColumn("rn2", F.row_number().over(Window.partitionBy("city", "_var").orderBy("_val", "listing_id")))
+    assert got.join(want, ["city", "_var", "listing_id"]).filter(F.col("rn") != F.col("rn2")).count() == 0
