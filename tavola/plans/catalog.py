@@ -41,11 +41,16 @@ def round6(df: DataFrame) -> DataFrame:
     )
 
 
-def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
-    return cut_lineage(prepare(listings_raw(spark, sf_dir), clusters=clusters))
+_STORE: dict = {}
 
 
-_STORE: dict = {}
+def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
+    """The prepared table (the reference's cleaned file): written once per
+    application and input folder, then read by import, training and reports."""
+    key = ("prepared", spark.sparkContext.applicationId, sf_dir.rstrip("/"), clusters)
+    if key not in _STORE:
+        _STORE[key] = materialize_table(prepare(listings_raw(spark, sf_dir), clusters=clusters), "prepared")
+    return _STORE[key]
 
 
 def imported_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
