@@ -27,19 +27,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(normalize(c), F.lit(TOKEN_PATTERN), 0)
 
 
-def ngrams(tok: Column, n_max: int) -> Column:
-    """1..n_max word n-grams, joined with a space, in document order."""
-    out = tok
-    for n in range(2, n_max + 1):
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tok) - n + 1, F.lit(0))),
-            lambda i: F.array_join(F.slice(tok, i, n), " "),
-        )
-        grams = F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
-        out = F.concat(out, grams)
-    return out
-
-
 def term_frequencies(df: DataFrame, id_col: str, text_col: str, n_max: int = 1) -> DataFrame:
     """M1: ``(doc_id, term, tf)`` counts (one row per distinct term of a document).
 

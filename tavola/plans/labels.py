@@ -63,8 +63,17 @@ def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1,
     idx = [f"{c}__idx" for c in CATEGORICAL]
     ohe = [f"{c}__ohe" for c in CATEGORICAL]
     stages = []
+    terms_col = "tokens"
+    if ngram_max > 1:
+        # Same n-grams as the fitted vocabulary: word n-grams appended to the tokens.
+        from pyspark.ml.feature import NGram, SQLTransformer
+
+        grams = [f"_g{n}" for n in range(2, ngram_max + 1)]
+        stages += [NGram(n=n, inputCol="tokens", outputCol=g) for n, g in zip(range(2, ngram_max + 1), grams)]
+        stages.append(SQLTransformer(statement=f"SELECT *, concat(tokens, {', '.join(grams)}) AS _terms FROM __THIS__"))
+        terms_col = "_terms"
     if terms:
-        stages += text.vectorizer_stages(terms, idf, "tokens", "name_tfidf")
+        stages += text.vectorizer_stages(terms, idf, terms_col, "name_tfidf")
     stages += [
         StringIndexer(inputCols=CATEGORICAL, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),

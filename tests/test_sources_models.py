@@ -83,3 +83,18 @@ def test_label_model_roundtrip(spark):
     a = LP.predict_proba(model.models, LP.featurize(model, data)).select("row_id", "label_idx", "prob")
     b = LP.predict_proba(again.models, LP.featurize(again, data)).select("row_id", "label_idx", F.col("prob").alias("p2"))
     assert a.join(b, ["row_id", "label_idx"]).filter(F.abs(F.col("prob") - F.col("p2")) > 1e-9).count() == 0
+
+
+def test_category_featurizer_uses_bigrams(spark):
+    from tavola.plans import labels as LP
+    from tavola.plans.catalog import prepared_listings
+
+    from conftest import SF_SMALL
+
+    prepared = warehouse.with_defaults(prepared_listings(spark, SF_SMALL))
+    data, _, _ = LP.build_dataset(prepared, 5)
+    fz, scaler, names = LP.fit_featurizer(data.filter("split = 'train'"), 200, 1, 2)
+    bigram_slots = {i for i, n in enumerate(names) if n.startswith("name__") and " " in n}
+    assert bigram_slots
+    vecs = [r.features for r in LP.featurize(None, data, fz, scaler).collect()]
+    assert any(set(v.indices.tolist()) & bigram_slots for v in vecs)
