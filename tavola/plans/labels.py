@@ -165,14 +165,15 @@ def coefficients(model: LabelModel) -> DataFrame:
 
 
 def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: int = 10, max_features: int = 3000, c: float = 1.0,
-                       max_iter: int = 50, hidden: int = 32, seed: int = 42, fixed_threshold: float | None = None):
+                       max_iter: int = 50, hidden: int = 32, seed: int = 42, fixed_threshold: float | None = None,
+                       ngram_max: int = 2, min_df: int = 2):
     """Full flow: dataset -> featurize -> fit -> tune threshold on val (T9) -> metrics per split (E*)."""
     data, vocab, freq = build_dataset(prepared, min_count, seed)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     vocab = vocab.persist()
     n_labels = vocab.count()
     train = data.filter("split = 'train'")
-    fz, scaler, names = fit_featurizer(train, max_features)
+    fz, scaler, names = fit_featurizer(train, max_features, min_df, ngram_max)
     vec = featurize(None, data, fz, scaler).persist(StorageLevel.MEMORY_AND_DISK)
     models = fit(vec.filter("split = 'train'"), n_labels, kind, c, max_iter, hidden, seed)
     probs = predict_proba(models, vec).persist(StorageLevel.MEMORY_AND_DISK)
@@ -188,12 +189,12 @@ def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: i
 # Search space of the category model (candidate grid, P3).
 TUNING_GRID = {
     "min_count": [10, 20, 30],
-    "max_features": [1000, 2000, 3000],
+    "max_features": [2000, 3000, 5000],
     "ngram_max": [1, 2],
     "min_df": [1, 2],
     "c": [0.5, 1.0, 2.0],
 }
-BASE_CANDIDATE = {"min_count": 20, "max_features": 3000, "ngram_max": 1, "min_df": 1, "c": 1.0}
+BASE_CANDIDATE = {"min_count": 10, "max_features": 3000, "ngram_max": 2, "min_df": 2, "c": 1.0}
 
 
 def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "logistic", max_iter: int = 20, seed: int = 42):
