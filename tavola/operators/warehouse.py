@@ -180,9 +180,22 @@ def empty_dim(spark, id_col: str = "cuisine_id", name_col: str = "cuisine_name")
     return spark.createDataFrame([], f"{id_col} long, {name_col} string")
 
 
-def build_bridge(listings: DataFrame, dim: DataFrame) -> DataFrame:
-    """(listing_id, cuisine_id) pairs; name -> id lookup (R4) against the dimension."""
-    return cuisine_pairs(listings).join(broadcast_if_small(dim), "cuisine_name").select("listing_id", "cuisine_id").dropDuplicates()
+def build_bridge(listings: DataFrame, dim: DataFrame, existing: DataFrame | None = None, mode: str = "replace") -> DataFrame:
+    """(listing_id, cuisine_id) pairs; name -> id lookup (R4) against the dimension.
+
+    ``mode="replace"`` (default): a re-imported listing's links are exactly its
+    current cuisines (snapshot).  ``mode="accumulate"``: insert-or-ignore into
+    ``existing``, so links of cuisines a listing no longer has survive.
+    """
+    new = cuisine_pairs(listings).join(broadcast_if_small(dim), "cuisine_name").select("listing_id", "cuisine_id").dropDuplicates()
+    if existing is None:
+        return new
+    old = existing.select("listing_id", "cuisine_id")
+    if mode == "replace":
+        old = old.join(listings.select("listing_id").distinct(), "listing_id", "left_anti")
+    elif mode != "accumulate":
+        raise ValueError("mode must be 'replace' or 'accumulate'")
+    return old.unionByName(new).dropDuplicates()
 
 
 def import_summary(listings: DataFrame) -> DataFrame:

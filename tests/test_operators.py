@@ -183,3 +183,13 @@ def test_group_rank_on_shuffled_input_two_keys(spark):
     got = group_rank(long, ["city", "_var"], ["_val", "listing_id"], "rn")
     want = long.withColumn("rn2", F.row_number().over(Window.partitionBy("city", "_var").orderBy("_val", "listing_id")))
     assert got.join(want, ["city", "_var", "listing_id"]).filter(F.col("rn") != F.col("rn2")).count() == 0
+
+
+def test_bridge_replace_and_accumulate(spark):
+    dim = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "cuisine_id long, cuisine_name string")
+    existing = spark.createDataFrame([(10, 1), (10, 2), (20, 3)], "listing_id long, cuisine_id long")
+    again = spark.createDataFrame([(10, "B, C")], "listing_id long, cuisines string")
+    rep = sorted(tuple(r) for r in warehouse.build_bridge(again, dim, existing, "replace").collect())
+    acc = sorted(tuple(r) for r in warehouse.build_bridge(again, dim, existing, "accumulate").collect())
+    assert rep == [(10, 2), (10, 3), (20, 3)]
+    assert acc == [(10, 1), (10, 2), (10, 3), (20, 3)]
