@@ -45,3 +45,12 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() >= 0 and "score" in df.columns
+
+
+def test_all_oracle_sql_runs_in_duckdb():
+    import __spark_entry__ as E
+    import oracle_check as oc
+
+    con = oc.duck(SF_SMALL)
+    for name, sql in E.oracle_sql().items():
+        con.sql(sql).fetchall()
