@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavola.llm import exact_dedup, mixing
+from tavola.llm import exact_dedup, mixing, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """The model file that the public tokenizer package installs on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer_path())
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -19,4 +34,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_mix_sources, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op5_sentencepiece, op6_mix_sources, op9_exact_dedup)}
