@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavola.llm import exact_dedup, mixing, sentencepiece_codec, simhash
+from tavola.llm import exact_dedup, language_id, mixing, quality_crf, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -29,9 +33,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_crf.quality(docs, quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_sentencepiece, op6_mix_sources, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_language_id, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup)}
