@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tavola.llm.licenses import TEMPLATES, THRESHOLD, admissible, bigrams_of
 from tavola.llm.mixing import PRIME, round_keys
 
 OP9 = """
@@ -55,5 +56,30 @@ SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken FROM
 """
 
 
+_NOTICES = ", ".join(
+    "('{}', [{}], {}, {}, {})".format(name.replace("'", "''"), ", ".join(f"'{g}'" for g in grams), len(grams), *admissible(len(grams), THRESHOLD))
+    for name, grams in ((name, bigrams_of(text)) for name, text in TEMPLATES.items())
+)
+
+OP10 = f"""
+WITH notices(name, notice, b, low, high) AS (VALUES {_NOTICES}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT rid, list_concat([text], string_split(text, chr(10))) AS units FROM d),
+u AS (SELECT rid, unnest(units) AS text, unnest(range(len(units))) AS unit FROM listed),
+w AS (
+  SELECT rid, unit, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS words
+  FROM u),
+g AS (SELECT rid, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w),
+hits AS (
+  SELECT rid, unit, name, 2.0 * len(list_intersect(grams, notice)) / (len(grams) + b) AS dice
+  FROM g JOIN notices ON len(grams) > 0 AND len(grams) BETWEEN low AND high),
+best AS (
+  SELECT rid, arg_min(struct_pack(name := name, dice := dice, unit := unit), row(-dice, unit, name)) AS h, count(DISTINCT unit) AS n_units
+  FROM hits WHERE dice >= {THRESHOLD} GROUP BY rid)
+SELECT doc_id, h.name AS license, CAST(h.dice AS DOUBLE) AS dice, CAST(h.unit AS INTEGER) AS unit, coalesce(n_units, 0) AS n_units
+FROM d LEFT JOIN best USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6, "op9_exact_dedup": OP9}
+    return {"op6_mix_sources": OP6, "op9_exact_dedup": OP9, "op10_license_scan": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavola.llm import exact_dedup, language_id, mixing, quality_crf, sentencepiece_codec, simhash
+from tavola.llm import exact_dedup, html_text, language_id, licenses, mixing, quality_crf, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
@@ -42,5 +46,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_language_id, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup, op10_license_scan)}
