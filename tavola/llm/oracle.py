@@ -81,5 +81,25 @@ FROM d LEFT JOIN best USING (rid)
 """
 
 
+OP4 = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+counted AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM counted WHERE words > 0),
+docs AS (SELECT doc_id, list(x ORDER BY q) AS l, list(words ORDER BY q) AS w FROM placed GROUP BY doc_id),
+starts AS (SELECT doc_id, l, w, unnest(range(1, len(l) + 1)) AS q FROM docs),
+runs AS (SELECT doc_id, l, q, list_filter(range(1, 11), lambda m: q + m - 1 <= len(l) AND list_sum(w[q:q + m - 1]) >= 10)[1] AS m FROM starts),
+known AS (SELECT doc_id, q, m, min(row(doc_id, q)) OVER (PARTITION BY l[q:q + m - 1]) AS home FROM runs WHERE m IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(q, q + m)) AS q FROM known WHERE row(doc_id, q) <> home),
+marked AS (
+  SELECT c.doc_id, c.i, c.x, c.words, g.q IS NOT NULL AS removed, p.q
+  FROM counted c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.i = c.i LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.q = p.q),
+heads AS (SELECT g.doc_id, count(*) AS n_runs FROM gone g LEFT JOIN gone h ON h.doc_id = g.doc_id AND h.q = g.q - 1 WHERE h.q IS NULL GROUP BY g.doc_id)
+SELECT doc_id, count(*) FILTER (WHERE words > 0) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, any_value(coalesce(n_runs, 0)) AS n_runs,
+  coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
+FROM marked LEFT JOIN heads USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6, "op9_exact_dedup": OP9, "op10_license_scan": OP10}
+    return {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op9_exact_dedup": OP9, "op10_license_scan": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavola.llm import exact_dedup, html_text, language_id, licenses, mixing, quality_crf, sentencepiece_codec, simhash
+from tavola.llm import exact_dedup, html_text, language_id, licenses, line_runs, mixing, quality_crf, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -51,4 +55,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op4_line_dedup, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup, op10_license_scan)}
