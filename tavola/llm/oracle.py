@@ -56,6 +56,19 @@ SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken FROM
 """
 
 
+OP8 = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM docs WHERE len(w) >= 20),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS k FROM starts),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM docs),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone.q IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS kept
+  FROM words LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 _NOTICES = ", ".join(
     "('{}', [{}], {}, {}, {})".format(name.replace("'", "''"), ", ".join(f"'{g}'" for g in grams), len(grams), *admissible(len(grams), THRESHOLD))
     for name, grams in ((name, bigrams_of(text)) for name, text in TEMPLATES.items())
@@ -102,4 +115,4 @@ FROM marked LEFT JOIN heads USING (doc_id) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op9_exact_dedup": OP9, "op10_license_scan": OP10}
+    return {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9, "op10_license_scan": OP10}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tavola.llm import exact_dedup, html_text, language_id, licenses, line_runs, mixing, quality_crf, sentencepiece_codec, simhash
+from tavola.llm import debruijn, exact_dedup, html_text, language_id, licenses, line_runs, mixing, quality_crf, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
@@ -46,6 +47,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(docs, quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = debruijn.dedup_windows(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -55,4 +61,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op4_line_dedup, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op4_line_dedup, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_exact_dedup, op10_license_scan)}
