@@ -30,3 +30,14 @@ def word_count(text: Column) -> Column:
     pieces = F.size(F.split(text, SPACE_CLASS + "+", -1)).cast("long")
     edges = text.rlike("^" + SPACE_CLASS).cast("long") + text.rlike(SPACE_CLASS + r"\z").cast("long")
     return F.when(text.isNull() | (text == ""), F.lit(0).cast("long")).otherwise(pieces - edges)
+
+
+def text_key(text_col: str) -> Column:
+    """64-bit hash of a text, null as empty: with the id, the key by which decisions find their rows again."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys (null equals null) the least by content."""
+    rows = df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
+    return rows.select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tavola.functions.stats import group_rank
-from tavola.llm.common import word_count
+from tavola.llm.common import SPACE_CLASS, one_per_key, text_key, word_count
 from tavola.session import materialize_table
 
 BLOCK_WORDS = 128
@@ -170,3 +170,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = words.withColumnRenamed("ord", "_ord").withColumnRenamed("at", "_at")
     on = (F.col("ord") == F.col("_ord")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0)
     return placed.join(words, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, with the input's columns: one row per document and pass that takes of it.
+
+    The text is what the pass takes: the whole text, or the stretches of words
+    that fall in taken blocks, in order, each on a line of its own.  Rows that
+    repeat an id and a text are documents of their own; of their other columns
+    the least by content are returned.
+    """
+    placed, taken = mixed_pieces(docs, id_col, text_col, source_col, text_key(text_col).alias("_text_key"))
+    cuts = F.sort_array(F.collect_list(F.struct("from_word", "words")))
+    takes = taken.groupBy("ord", "at", "pass").agg(cuts.alias("cuts"), F.sum("words").alias("_words"))
+    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("_id"), "_text_key", F.col("size").alias("_size"), "pass", "cuts", "_words")
+    takes = materialize_table(takes, "mix-takes")
+    rows = docs.withColumn("_own_key", text_key(text_col))
+    repeated = placed.groupBy("doc_id", "_text_key").count().filter("count > 1")
+    if not repeated.isEmpty():
+        rows = one_per_key(rows, [id_col, "_own_key"])
+    out = rows.join(takes, rows[id_col].eqNullSafe(takes["_id"]) & (rows["_own_key"] == takes["_text_key"]))
+    return out.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(_stretches(F.col(text_col)))).select(*docs.columns)
+
+
+def _stretches(text: Column) -> Column:
+    """The words of ``cuts`` with the white space between them; a gap between cuts ends a line."""
+    tokens = F.regexp_extract_all(text, F.lit("([^" + SPACE_CLASS[1:] + "+" + SPACE_CLASS + "*)"), F.lit(1))
+    start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def add(runs: Column, cut: Column) -> Column:
+        lo, hi, last = cut["from_word"], cut["from_word"] + cut["words"], F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), hi.alias("hi"))))
+        return F.when((F.size(runs) > 0) & (F.get(runs, F.size(runs) - 1)["hi"] == lo), grown).otherwise(F.concat(runs, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))))
+
+    runs = F.aggregate("cuts", start, add)
+    cut = lambda all_: F.transform(runs, lambda r: F.regexp_replace(F.array_join(F.slice(all_, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""), SPACE_CLASS + r"+\z", ""))
+    return F.array_join(F.transform(F.array(tokens), cut)[0], "\n")

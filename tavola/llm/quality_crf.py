@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 50
@@ -193,17 +192,25 @@ def judge(text: bytes, field: Field) -> tuple[int, int, int, int, int, bool, boo
     return n, chars, _count(text, SYMBOLS), len(lines) - len(set(lines)), repeats, failed, not failed and share >= MIN_CONTENT_SHARE, share
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = ", ".join(f"{n} bigint" for n in COUNTS) + ", base_failed boolean, kept boolean, content_share double"
+
+
+def verdict(text: Column, field: Field) -> Column:
+    """The counts and the verdict of a text, as a struct."""
+
+    @F.pandas_udf(VERDICT)
+    def run(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(x, field) for x in data], columns=[*COUNTS, "base_failed", "kept", "content_share"])
+
+    return run(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the counts, base_failed, kept, content_share.  No shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
-    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+    return docs.select(F.col(id_col).alias("doc_id"), verdict(F.col(text_col), field).alias("_v")).select("doc_id", "_v.*")
 
-    def run(batches):
-        for batch in batches:
-            found = list(zip(*(judge(x.as_py(), field) for x in batch.column(1)))) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(found, types)]], ["doc_id", *names])
 
-    counts = ", ".join(f"{n} bigint" for n in names[:5])
-    return rows.mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, content_share double")
+def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The input's rows and columns that the verdict keeps."""
+    return docs.withColumn("_v", verdict(F.col(text_col), field)).filter("_v.kept").drop("_v")

@@ -319,8 +319,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes under the pieces' spans)."""
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes under the pieces' spans), and ids if asked for."""
     out = encode(docs, model, id_col, text_col)
     add = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
@@ -329,4 +329,5 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
         add.alias("span_bytes"),
+        *(["ids"] if keep_ids else []),
     )

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.common import one_per_key, text_key
 from tavola.llm.components import components
 from tavola.session import materialize_table
 
@@ -286,12 +287,36 @@ def _sorted_within(values, first, end, middle):
     return np.lexsort((values, second, pair))
 
 
+def _components(rows: DataFrame, low: Column, budget: int) -> DataFrame:
+    """(fp, low): per fingerprint the smallest ``low`` of its component."""
+    fps = materialize_table(rows.groupBy("fp").agg(F.min(low).alias("low")), "distinct-fingerprints")
+    found = components(trie_links(fps.select("fp"), budget))
+    fps = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    lowest = fps.groupBy("component").agg(F.min("low").alias("low"))
+    return materialize_table(fps.drop("low").join(lowest, "component").select("fp", "low"), "fingerprint-components")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = materialize_table(fingerprints(docs, text_col, size, keep=(F.col(id_col).alias("doc_id"),)), "fingerprints")
-    fps = materialize_table(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    found = components(trie_links(fps.select("fp"), budget))
-    fps = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = fps.groupBy("component").agg(F.min("low").alias("component_id"))
-    fps = materialize_table(fps.join(lowest, "component").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(fps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _components(rows, F.col("doc_id"), budget).withColumnRenamed("low", "component_id")
+    return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The input's rows and columns, one row of every component: that of the smallest id (null last).
+
+    Of rows with that id the one whose text hash is least stays, of rows with
+    equal id and text the least by content.
+    """
+    keys = (F.col(id_col).alias("_id"), text_key(text_col).alias("_text_key"))
+    rows = materialize_table(fingerprints(docs, text_col, size, keep=keys), "fingerprints")
+    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_text_key").alias("text_key"))
+    found = _components(rows, place, budget)
+    kept = rows.join(found, "fp").filter(place == F.col("low"))
+    kept = materialize_table(kept.groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("_n")), "representatives")
+    out = docs.withColumn("_own_key", text_key(text_col))
+    out = out.join(kept, out[id_col].eqNullSafe(kept["_id"]) & (out["_own_key"] == kept["_text_key"]), "left_semi")
+    if not kept.filter("_n > 1").isEmpty():
+        out = one_per_key(out, [id_col, "_own_key"])
+    return out.drop("_own_key")
