@@ -39,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of repeated line runs; a document may be left empty."""
-    return _measured(line_runs.dedup_lines(docs).select(*docs.columns))
+    return _measured(line_runs.dedup_lines(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

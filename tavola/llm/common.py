@@ -32,12 +32,21 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0).cast("long")).otherwise(pieces - edges)
 
 
-def text_key(text_col: str) -> Column:
+def text_key(text: Column) -> Column:
     """64-bit hash of a text, null as empty: with the id, the key by which decisions find their rows again."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows with equal keys (null equals null) the least by content."""
-    rows = df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
-    return rows.select("_row.*")
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text_key): whole rows as one column, so that their names meet no other names."""
+    return docs.select(F.struct("*").alias("row")).select("row", F.col("row")[id_col].alias("id"), text_key(F.col("row")[text_col]).alias("text_key"))
+
+
+def one_per_key(rows: DataFrame) -> DataFrame:
+    """Of packed rows with equal id and text (null equals null) the least by content."""
+    return rows.groupBy("id", "text_key").agg(F.min("row").alias("row")).select("row", "id", "text_key")
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Join condition of packed rows with a table of (key_id, key_text)."""
+    return left["id"].eqNullSafe(right["key_id"]) & (left["text_key"] == right["key_text"])

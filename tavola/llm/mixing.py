@@ -22,17 +22,18 @@ rows repeating an id are separate documents; a source without words has target
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tavola.functions.stats import group_rank
-from tavola.llm.common import SPACE_CLASS, one_per_key, text_key, word_count
+from tavola.llm.common import SPACE_CLASS, one_per_key, packed, same_row, text_key, word_count
 from tavola.session import materialize_table
 
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 1024
-BUCKET_DOCS = 20_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 ROUNDS = 12
@@ -97,6 +98,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.withColumn("slots", slots.cast("long"))
 
 
+def buckets_of(documents: int) -> int:
+    """Buckets of a source's stream: as many as a bucket then holds documents."""
+    return max(1, math.isqrt(max(0, documents - 1)) + 1)
+
+
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *keep: Column) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in their source's stream, sources).
 
@@ -107,7 +113,7 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
     sizes = materialize_table(sizes, "mix-sizes")
     per = materialize_table(source_targets(sizes), "mix-targets")
-    buckets = max(1, -(-sizes.count() // BUCKET_DOCS))
+    buckets = buckets_of(sizes.count())
     known = F.coalesce(F.col("doc_id"), F.lit(-1))
     extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     rows = (
@@ -180,17 +186,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id and a text are documents of their own; of their other columns
     the least by content are returned.
     """
-    placed, taken = mixed_pieces(docs, id_col, text_col, source_col, text_key(text_col).alias("_text_key"))
+    placed, taken = mixed_pieces(docs, id_col, text_col, source_col, text_key(F.col(text_col)).alias("key_text"))
     cuts = F.sort_array(F.collect_list(F.struct("from_word", "words")))
-    takes = taken.groupBy("ord", "at", "pass").agg(cuts.alias("cuts"), F.sum("words").alias("_words"))
-    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("_id"), "_text_key", F.col("size").alias("_size"), "pass", "cuts", "_words")
+    takes = taken.groupBy("ord", "at", "pass").agg(cuts.alias("cuts"), F.sum("words").alias("taken"))
+    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("key_id"), "key_text", "size", "pass", "cuts", "taken")
     takes = materialize_table(takes, "mix-takes")
-    rows = docs.withColumn("_own_key", text_key(text_col))
-    repeated = placed.groupBy("doc_id", "_text_key").count().filter("count > 1")
-    if not repeated.isEmpty():
-        rows = one_per_key(rows, [id_col, "_own_key"])
-    out = rows.join(takes, rows[id_col].eqNullSafe(takes["_id"]) & (rows["_own_key"] == takes["_text_key"]))
-    return out.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(_stretches(F.col(text_col)))).select(*docs.columns)
+    rows = packed(docs, id_col, text_col)
+    if not placed.groupBy("doc_id", "key_text").count().filter("count > 1").isEmpty():
+        rows = one_per_key(rows)
+    text = F.col("row")[text_col].cast("string")
+    out = rows.join(takes, same_row(rows, takes)).withColumn("mixed", F.when(F.col("taken") == F.col("size"), text).otherwise(_stretches(text)))
+    return out.select(F.col("row").withField(f"`{text_col}`", F.col("mixed")).alias("row")).select("row.*")
 
 
 def _stretches(text: Column) -> Column:

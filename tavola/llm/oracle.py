@@ -34,7 +34,7 @@ t AS (
   SELECT *, CASE WHEN s > 0 THEN CAST(floor(target * blocks / s + 0.5) AS BIGINT) ELSE 0 END AS slots FROM targets),
 placed AS MATERIALIZED (
   SELECT doc_id, size, ord, s, target, blocks, slots, row_number() OVER () AS rid,
-    CAST(coalesce(sum(size) OVER (PARTITION BY ord ORDER BY coalesce(doc_id, -1) % (SELECT greatest(1, (count(*) + 19999) // 20000) FROM documents),
+    CAST(coalesce(sum(size) OVER (PARTITION BY ord ORDER BY coalesce(doc_id, -1) % (SELECT greatest(1, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1) FROM documents),
       coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off0
   FROM sizes JOIN t ON sizes.source IS NOT DISTINCT FROM t.source),
 idx AS (SELECT ord, blocks, slots, unnest(range(blocks)) AS i FROM t),

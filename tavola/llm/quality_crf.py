@@ -213,4 +213,5 @@ def quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """The input's rows and columns that the verdict keeps."""
-    return docs.withColumn("_v", verdict(F.col(text_col), field)).filter("_v.kept").drop("_v")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.withColumn("verdict", verdict(F.col("row")[text_col], field)).filter("verdict.kept").select("row.*")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import one_per_key, text_key
+from tavola.llm.common import one_per_key, packed, same_row, text_key
 from tavola.llm.components import components
 from tavola.session import materialize_table
 
@@ -309,14 +309,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of rows with that id the one whose text hash is least stays, of rows with
     equal id and text the least by content.
     """
-    keys = (F.col(id_col).alias("_id"), text_key(text_col).alias("_text_key"))
+    keys = (F.col(id_col).alias("key_id"), text_key(F.col(text_col)).alias("key_text"))
     rows = materialize_table(fingerprints(docs, text_col, size, keep=keys), "fingerprints")
-    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_text_key").alias("text_key"))
+    place = F.struct(F.col("key_id").isNull().alias("no_id"), F.col("key_id").alias("id"), F.col("key_text").alias("text"))
     found = _components(rows, place, budget)
     kept = rows.join(found, "fp").filter(place == F.col("low"))
-    kept = materialize_table(kept.groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("_n")), "representatives")
-    out = docs.withColumn("_own_key", text_key(text_col))
-    out = out.join(kept, out[id_col].eqNullSafe(kept["_id"]) & (out["_own_key"] == kept["_text_key"]), "left_semi")
-    if not kept.filter("_n > 1").isEmpty():
-        out = one_per_key(out, [id_col, "_own_key"])
-    return out.drop("_own_key")
+    kept = materialize_table(kept.groupBy("key_id", "key_text").agg(F.count(F.lit(1)).alias("n")), "representatives")
+    out = packed(docs, id_col, text_col)
+    out = out.join(kept, same_row(out, kept), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        out = one_per_key(out)
+    return out.select("row.*")
