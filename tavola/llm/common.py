@@ -37,6 +37,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def id_key(docs: DataFrame, id_col: str) -> list[Column]:
+    """(no_id, id): an id without nulls that sorts null ids last."""
+    kind = docs.schema[id_col].dataType
+    return [F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit("0").cast(kind)).alias("id")]
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, text_key): whole rows as one column, so that their names meet no other names."""
     return docs.select(F.struct("*").alias("row")).select("row", F.col("row")[id_col].alias("id"), text_key(F.col("row")[text_col]).alias("text_key"))

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tavola.llm.common import id_key
 from tavola.session import materialize_table
 
 WINDOW = 20
@@ -79,8 +80,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
         text.cast("binary").alias("bytes"),
-        F.col(id_col).isNull().alias("no_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+        *id_key(docs, id_col),
         F.xxhash64(text).alias("text_hash"),
     )
 
@@ -121,7 +121,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
             columns += [pa.array(np.concatenate([np.empty(0, np.int64), *x]).astype(t)) for x, t in ((at, np.int64), (size, np.int32), (anchors, np.int64))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names)
 
-    schema = "no_id boolean, id bigint, text_hash bigint, at bigint, size int, anchor bigint, edges binary"
+    schema = f"no_id boolean, id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, at bigint, size int, anchor bigint, edges binary"
     return rows.select(*DOC, "bytes", "wanted").mapInArrow(run, schema)
 
 

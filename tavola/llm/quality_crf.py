@@ -150,7 +150,7 @@ class Field:
         return cls(w, m)
 
 
-ALL_CONTENT = Field(np.zeros((len(FEATURES), 2)), np.array([[0.0, 0.0], [0.0, 0.0]]))
+ALL_CONTENT = Field(np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (len(FEATURES) - 1)), np.zeros((2, 2)))  # the bias alone decides
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Field:
