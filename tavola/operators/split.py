@@ -1,41 +1,42 @@
 """Deterministic splits and folds.
 
-Assignment is an integer hash of the row id (no random generator), so it is
-stable across runs, partitionings and executor retries, and needs no shuffle.
+Assignment is a mixing hash (MD5) of seed and row id, so it is unrelated to
+any arithmetic pattern in the ids, stable across runs, partitionings and
+executor retries, and needs no shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hash constants (primes) and the split fractions.
-HASH_A = 104729
-HASH_B = 7919
-HASH_M = 10007
+# The split fractions.
 TEST_FRACTION = 0.15
 VAL_FRACTION = 0.15
 
+# Buckets that a hash is cut into for the fractions.
+BUCKETS = 10_000
 
-def unit_hash(id_col: Column, seed: int = 42, a: int = HASH_A, b: int = HASH_B) -> Column:
-    """Integer hash of the id mapped to [0, 1)."""
-    return F.pmod(id_col * F.lit(a) + F.lit(seed * b), F.lit(HASH_M)) / F.lit(float(HASH_M))
+
+def mixed_hash(id_col: Column, seed: str | int) -> Column:
+    """First 60 bits of ``md5(seed:id)`` as a non-negative integer."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def assign_split(df: DataFrame, id_col: str, seed: int = 42, test: float = TEST_FRACTION, val: float = VAL_FRACTION) -> DataFrame:
     """``split`` in {train, val, test}: test share ``test``, then ``val`` of the whole."""
-    u = unit_hash(F.col(id_col), seed)
-    return df.withColumn(
-        "split", F.when(u < F.lit(test), F.lit("test")).when(u < F.lit(test + val), F.lit("val")).otherwise(F.lit("train"))
-    )
+    u = mixed_hash(F.col(id_col), seed) % BUCKETS
+    low, high = round(test * BUCKETS), round((test + val) * BUCKETS)
+    return df.withColumn("split", F.when(u < low, F.lit("test")).when(u < high, F.lit("val")).otherwise(F.lit("train")))
 
 
 def assign_fold(df: DataFrame, id_col: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """``fold`` in 0..k-1 from a second hash of the id."""
-    return df.withColumn("fold", F.pmod(F.col(id_col) * F.lit(HASH_B) + F.lit(seed * HASH_A), F.lit(HASH_M)).cast("int") % k)
+    """``fold`` in 0..k-1 from a hash of the id that is independent of the split's."""
+    return df.withColumn("fold", (mixed_hash(F.col(id_col), f"fold{seed}") % k).cast("int"))
 
 
 def candidate_grid(grid: Mapping[str, Sequence], base: Mapping[str, object], max_trials: int, seed: int = 42) -> list[dict]:
@@ -45,7 +46,7 @@ def candidate_grid(grid: Mapping[str, Sequence], base: Mapping[str, object], max
     """
     keys = list(grid)
     points = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    order = sorted(range(len(points)), key=lambda i: ((i * HASH_A + seed * HASH_B) % HASH_M, i))
+    order = sorted(range(len(points)), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
     out = [dict(base)]
     for i in order:
         p = {**base, **points[i]}

@@ -2,24 +2,39 @@
 
 TF-IDF is computed exactly (smooth idf ``ln((1+n)/(1+df)) + 1``, L2-normalised
 rows) as joins and grouped aggregates over a long ``(doc, term, tf)`` table.
-The vocabulary is bounded by ``max_features``, so it is broadcast.
+The idf table is joined without a hint: adaptive execution broadcasts it when
+its measured size is small.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions.stats import group_rank
 from tavola.functions.text import TOKEN_PATTERN
 
-# Accent folding for Latin letters (no NFKD built-in).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accent_map() -> tuple[str, str]:
+    """Characters whose Unicode decomposition is one character and marks, and that character, from the rule itself."""
+    pairs = []
+    for code in range(0xA0, 0x10000):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            pairs.append((c, plain))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, UNACCENTED = _accent_map()
 
 
 def normalize(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, UNACCENTED)
+    """Lower case without accents: marks that stand alone (or that lower-casing splits off) go, the rest is mapped."""
+    low = F.lower(c)
+    plain = F.regexp_replace(F.translate(low, ACCENTED, UNACCENTED), r"\p{M}+", "")
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(plain)
 
 
 def tokens(c: Column) -> Column:
@@ -40,7 +55,7 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str, n_max: int = 1)
     # norms downstream are then satisfied by this partitioning, so the term
     # rows are never shuffled.
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    docs = docs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    docs = docs.repartition("doc_id")
     tok = docs.select("doc_id", tokens(F.col("_text")).alias("_g1"))
     for n in range(2, n_max + 1):
         tok = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(tok)
@@ -61,15 +76,15 @@ def fit_vocabulary(tf: DataFrame, min_df: int = 1, max_features: int | None = No
     return ranked.select("term", "df", "cf", (F.col("_rn") - 1).cast("int").alias("term_idx"))
 
 
-def fit_idf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Smooth idf of every vocabulary term over the fitting documents."""
-    n_docs = tf.select(F.count_distinct("doc_id")).scalar()
+def fit_idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
+    """Smooth idf of every vocabulary term over all fitted documents, those without a token included."""
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
     return vocab.select("term", "term_idx", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
 
 def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     """M3: ``(doc_id, term, term_idx, weight)`` with L2-normalised rows; out-of-vocabulary terms dropped."""
-    w = tf.join(F.broadcast(idf), "term").select("doc_id", "term", "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tf.join(idf, "term").select("doc_id", "term", "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norms, "doc_id").select("doc_id", "term", "term_idx", (F.col("w") / F.col("_norm")).alias("weight"))
 

@@ -249,7 +249,7 @@ def _label_eval_queries() -> dict[str, Query]:
         "label_cardinality": lambda s, d: round6(LB.label_cardinality(LB.filter_rare(_label_long(s, d), MIN_LABEL_COUNT))),
         "term_frequencies": _tf,
         "tfidf_vocabulary": lambda s, d: TT.fit_vocabulary(_tf(s, d), TFIDF_MIN_DF, MAX_FEATURES),
-        "tfidf_weights": lambda s, d: (lambda tf: round6(TT.tfidf(tf, TT.fit_idf(tf, TT.fit_vocabulary(tf, TFIDF_MIN_DF, MAX_FEATURES)))))(_tf(s, d)),
+        "tfidf_weights": lambda s, d: (lambda tf: round6(TT.tfidf(tf, TT.fit_idf(TT.fit_vocabulary(tf, TFIDF_MIN_DF, MAX_FEATURES), table(s, d, "documents")))))(_tf(s, d)),
         "split_listings": lambda s, d: SP.assign_split(listings_raw(s, d).select("listing_id"), "listing_id"),
         "fold_listings": lambda s, d: SP.assign_fold(listings_raw(s, d).select("listing_id"), "listing_id", 3),
         "threshold_predict": lambda s, d: round6(EV.apply_threshold(_probs(s, d), FIXED_THRESHOLD).select("row_id", "label_idx", "truth", "prob", "pred")),

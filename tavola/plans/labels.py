@@ -56,7 +56,7 @@ def build_dataset(prepared: DataFrame, min_count: int, seed: int = 42) -> tuple[
 def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1, ngram_max: int = 1):
     """M1-M6 fitted on the training rows: TF-IDF of the name, one-hot categoricals, scaled numerics."""
     tf = cut_lineage(text.term_frequencies(train.select("row_id", TEXT_COLUMN), "row_id", TEXT_COLUMN, ngram_max))
-    voc = text.fit_idf(tf, text.fit_vocabulary(tf, min_df, max_features)).orderBy("term_idx")
+    voc = text.fit_idf(text.fit_vocabulary(tf, min_df, max_features), train).orderBy("term_idx")
     rows = voc.collect()  # bounded by max_features: model parameters
     terms, idf = [r["term"] for r in rows], [float(r["idf"]) for r in rows]
     scaler = mlfeatures.fit_median_std(train, NUMERIC)

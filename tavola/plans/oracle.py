@@ -299,7 +299,6 @@ def _clean_feature_sql() -> dict[str, str]:
 
 
 def _label_eval_sql() -> dict[str, str]:
-    from tavola.operators.text import ACCENTED, UNACCENTED
     from tavola.plans.catalog import FIXED_THRESHOLD, MAX_FEATURES, MIN_LABEL_COUNT, TFIDF_MIN_DF
     from tavola.sources.tables import PRIORITY_LABELS
 
@@ -314,7 +313,8 @@ def _label_eval_sql() -> dict[str, str]:
                    ((l.listing_id * 7919 + v.label_idx * 104729) % 1009) / 1.009e3 AS prob
                  FROM listings l, (VALUES {vocab_vals}) v(label_idx, label))"""
     rowmax = "rm AS (SELECT row_id, max(prob) AS row_max, arg_min(label_idx, struct_pack(neg := -prob, idx := label_idx)) AS best_idx FROM preds GROUP BY row_id)"
-    split_expr = "CASE WHEN ((row_id * 104729 + 42 * 7919) % 10007) / 10007e0 < 0.15e0 THEN 'test' WHEN ((row_id * 104729 + 42 * 7919) % 10007) / 10007e0 < 0.3e0 THEN 'val' ELSE 'train' END"
+    mixed = lambda seed: f"CAST('0x' || substr(md5('{seed}:' || row_id), 1, 15) AS BIGINT)"
+    split_expr = f"CASE WHEN {mixed(42)} % 10000 < 1500 THEN 'test' WHEN {mixed(42)} % 10000 < 3000 THEN 'val' ELSE 'train' END"
     thr = f"""th AS (SELECT p.*, CAST(p.prob >= {FIXED_THRESHOLD!r}e0 OR (rm.row_max < {FIXED_THRESHOLD!r}e0 AND p.label_idx = rm.best_idx) AS INTEGER) AS pred,
                      {split_expr.replace('row_id', 'p.row_id')} AS split
               FROM preds p JOIN rm ON p.row_id = rm.row_id)"""
@@ -356,15 +356,14 @@ def _label_eval_sql() -> dict[str, str]:
     sweep_vals = ", ".join(f"({k / 2e1!r}e0)" for k in range(2, 17))
     sweep = f"""sw AS (SELECT p.*, t.threshold, CAST(p.prob >= t.threshold OR (rm.row_max < t.threshold AND p.label_idx = rm.best_idx) AS INTEGER) AS pred
                 FROM preds p JOIN rm ON p.row_id = rm.row_id, (VALUES {sweep_vals}) t(threshold))"""
-    acc, unacc = q(ACCENTED), q(UNACCENTED)
-    tf = f"""tk AS (SELECT doc_id, regexp_extract_all(translate(lower(text), {acc}, {unacc}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS tok FROM documents),
+    tf = f"""tk AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS tok FROM documents),
           grams AS (SELECT doc_id, unnest(tok) AS term FROM tk
                     UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1])) AS term FROM tk),
           tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term)"""
     vocab = f"""voc0 AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term HAVING count(*) >= {TFIDF_MIN_DF}
                         ORDER BY cf DESC, term ASC LIMIT {MAX_FEATURES}),
           voc AS (SELECT term, df, cf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_idx FROM voc0)"""
-    tfidf = """idf AS (SELECT term, term_idx, ln((1e0 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1e0 + df)) + 1e0 AS idf FROM voc),
+    tfidf = """idf AS (SELECT term, term_idx, ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + df)) + 1e0 AS idf FROM voc),
           w AS (SELECT doc_id, tf.term, term_idx, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
           nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id)"""
     coefs = """j AS (SELECT p.row_id, p.label, p.truth, l.city, l.locality FROM preds p JOIN listings l ON p.row_id = l.listing_id),
@@ -405,7 +404,7 @@ def _label_eval_sql() -> dict[str, str]:
         "tfidf_vocabulary": W("SELECT * FROM voc", tf, vocab),
         "tfidf_weights": W("SELECT w.doc_id, term, term_idx, round(w / nrm, 6) AS weight FROM w JOIN nrm ON w.doc_id = nrm.doc_id", tf, vocab, tfidf),
         "split_listings": W(f"SELECT listing_id, {split_expr.replace('row_id', 'listing_id')} AS split FROM listings", L),
-        "fold_listings": W("SELECT listing_id, CAST((listing_id * 7919 + 42 * 104729) % 10007 AS INTEGER) % 3 AS fold FROM listings", L),
+        "fold_listings": W(f"SELECT listing_id, CAST({mixed('fold42').replace('row_id', 'listing_id')} % 3 AS INTEGER) AS fold FROM listings", L),
         "threshold_predict": W("SELECT row_id, label_idx, truth, round(prob, 6) AS prob, pred FROM th", L, preds, rowmax, thr),
         "threshold_sweep": W(
             f"SELECT *, row_number() OVER (ORDER BY micro_f1 DESC, sample_f1 DESC, macro_f1 DESC, threshold ASC) = 1 AS is_best FROM ({metrics('sw', ['threshold'])})",
