@@ -22,15 +22,6 @@ from pyspark.sql import functions as F
 
 from tavola.session import cut_lineage
 
-# Row bound under which a derived per-group table is broadcast explicitly.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join a one-row-per-group table back onto the rows.
 
@@ -55,8 +46,6 @@ def group_rank(
     ``order_cols`` must make the order total inside a group (end with a unique
     key).  Rows with a null group key get a null rank.
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     null_key = F.lit(False)
     for g in group_cols:
@@ -64,7 +53,7 @@ def group_rank(
     keyed = df.filter(~null_key)
     sort_keys = [F.col(g) for g in group_cols] + order_exprs
     ranked = (
-        keyed.repartitionByRange(n_parts, *sort_keys)
+        (keyed.repartitionByRange(num_partitions, *sort_keys) if num_partitions else keyed.repartitionByRange(*sort_keys))
         .sortWithinPartitions(*sort_keys)
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_pos"), 33))
@@ -91,38 +80,44 @@ def exact_percentiles(
     group_cols: Sequence[str],
     value_col: str,
     probs: Sequence[float],
-    tiebreak: str,
+    tiebreak: str | None = None,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group (pandas ``quantile``).
 
-    Built on :func:`group_rank`, so a huge group never sits in one task and no
-    per-group value map is held in memory.  Null values are ignored.
+    Rows are first counted per (group, value), combined before the shuffle;
+    the counts are range-partitioned and summed up within each partition, and
+    every partition gets its group's rows before it.  A group or a value that
+    holds most rows thus never meets in one task.  Null values and groups are
+    ignored; without group columns the result is one row (none for no rows).
+    ``tiebreak`` is not needed and only accepted.
     """
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    vals = df.select(*group_cols, value_col, tiebreak).filter(F.col(value_col).isNotNull())
-    ranked = group_rank(vals, group_cols, [value_col, tiebreak], rank_col="_rn")
-    n = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    with_n = join_group_stats(ranked, n, group_cols)
-    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    g = list(group_cols)
+    keyed = df.select(*g, F.col(value_col).alias("_value")).dropna()
+    counts = keyed.groupBy(*g, "_value").agg(F.count(F.lit(1)).alias("_c"))
+    # The running sums depend on the sampled range bounds: materialised once.
+    counts = cut_lineage(counts.repartitionByRange(*g, "_value").withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_pid", *g).agg(F.sum("_c").alias("_sum"))
+    parts = parts.select("_pid", *g, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid", *g).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = join_group_stats(counts.withColumn("_in", F.sum("_c").over(inside)), parts, ["_pid", *g]).withColumn("_upto", F.col("_in") + F.col("_off"))
+    n = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    ranked = join_group_stats(upto, n, g) if g else upto.withColumn("_n", n.select("_n").scalar())
+    at = lambda rank, name: F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_value"))).alias(name)
     picks = []
-    for hi_expr, name in zip(h, names):
-        lo_rank = F.floor(hi_expr) + 1
-        hi_rank = F.ceil(hi_expr) + 1
-        frac = hi_expr - F.floor(hi_expr)
-        picks += [
-            F.max(F.when(F.col("_rn") == lo_rank, F.col(value_col))).alias(f"_{name}_lo"),
-            F.max(F.when(F.col("_rn") == hi_rank, F.col(value_col))).alias(f"_{name}_hi"),
-            F.max(frac).alias(f"_{name}_f"),
-        ]
-    agg = with_n.groupBy(*group_cols).agg(*picks)
-    return agg.select(
-        *group_cols,
-        *[
-            (F.col(f"_{nm}_lo") + (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo")) * F.col(f"_{nm}_f")).alias(nm)
-            for nm in names
-        ],
-    )
+    for p, name in zip(probs, names):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        picks += [at(F.floor(h) + 1, f"_{name}_lo"), at(F.ceil(h) + 1, f"_{name}_hi"), F.max(h - F.floor(h)).alias(f"_{name}_f")]
+    agg = ranked.groupBy(*g).agg(*picks)
+    cut = lambda nm: F.col(f"_{nm}_lo") + (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo")) * F.col(f"_{nm}_f")
+    return agg.select(*g, *[cut(nm).alias(nm) for nm in names])
+
+
+def exact_medians(df: DataFrame, group_cols: Sequence[str], value_col: str, name: str) -> DataFrame:
+    """One row per group: the exact median of its non-null values."""
+    return exact_percentiles(df, group_cols, value_col, [0.5], names=[name])
 
 
 def exact_percentiles_many(
@@ -130,7 +125,7 @@ def exact_percentiles_many(
     group_cols: Sequence[str],
     value_cols: Sequence[str],
     probs: Sequence[float],
-    tiebreak: str,
+    tiebreak: str | None = None,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """:func:`exact_percentiles` of several columns with one distributed sort.
@@ -140,6 +135,6 @@ def exact_percentiles_many(
     (no extra job).  Output columns are ``{value_col}_{name}``.
     """
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    long = df.select(*group_cols, tiebreak, *value_cols).unpivot([*group_cols, tiebreak], list(value_cols), "_var", "_val")
-    q = exact_percentiles(long, [*group_cols, "_var"], "_val", probs, tiebreak, names)
+    long = df.select(*group_cols, *value_cols).unpivot(list(group_cols), list(value_cols), "_var", "_val")
+    q = exact_percentiles(long, [*group_cols, "_var"], "_val", probs, names=names)
     return q.groupBy(*group_cols).pivot("_var", list(value_cols)).agg(*[F.first(n).alias(n) for n in names])

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from tavola.functions import text as T
 from tavola.functions.repairs import CURRENCY_TO_INR
-from tavola.functions.stats import join_group_stats
+from tavola.functions.stats import exact_medians, join_group_stats
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -70,7 +70,7 @@ def impute_zero_by_group(df: DataFrame, col: str, keys: Sequence[str]) -> DataFr
     zeros; rows with a null key are unchanged.  Grouped aggregate + join back.
     """
     m = f"_median_nz_{col}"
-    stats = df.groupBy(*keys).agg(F.median(F.when(F.col(col) != 0, F.col(col))).alias(m))
+    stats = exact_medians(df.filter(F.col(col) != 0), keys, col, m)
     out = join_group_stats(df, stats, keys)
     return out.withColumn(col, F.when((F.col(col) == 0) & F.col(m).isNotNull(), F.col(m)).otherwise(F.col(col))).drop(m)
 
@@ -78,10 +78,10 @@ def impute_zero_by_group(df: DataFrame, col: str, keys: Sequence[str]) -> DataFr
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill nulls with the column's global median.
 
-    Each median is a scalar subquery (one partial + final aggregate), so no
-    join and no single-partition window is needed.
+    Each median is a scalar subquery over counted values, so no join and no
+    single-partition window is needed.
     """
-    return df.withColumns({c: F.coalesce(F.col(c), df.select(F.median(F.col(c))).scalar()) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), exact_medians(df, [], c, "m").select("m").scalar()) for c in cols})
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.functions.stats import join_group_stats
+from tavola.functions.stats import group_rank, join_group_stats
 
 # The swept thresholds 0.10, 0.15, ..., 0.80 (k / 20 for k = 2..16).
-SWEEP_THRESHOLDS = [k / 2e1 for k in range(2, 17)]
+SWEEP_THRESHOLDS = [k / 20 for k in range(2, 17)]
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -101,7 +101,7 @@ def per_label_table(long: DataFrame, vocab: DataFrame, group_cols: Sequence[str]
     per = long.groupBy(*g, "label_idx").agg(
         F.sum(t * p).alias("tp"), F.sum((1 - t) * p).alias("fp"), F.sum(t * (1 - p)).alias("fn"), F.sum(t).alias("support")
     )
-    per = per.join(F.broadcast(vocab), "label_idx", "right") if not g else per.join(F.broadcast(vocab), "label_idx")
+    per = per.join(vocab, "label_idx", "right") if not g else per.join(vocab, "label_idx")
     out = per.select(
         *g,
         "label",
@@ -110,11 +110,8 @@ def per_label_table(long: DataFrame, vocab: DataFrame, group_cols: Sequence[str]
         _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
         F.coalesce(F.col("support"), F.lit(0)).cast("long").alias("support"),
     )
-    # One row per label: the ranking window runs over the small per-label table.
-    w = Window.partitionBy(*g).orderBy(F.col("f1").desc(), F.col("support").desc(), F.col("label").asc()) if g else Window.orderBy(
-        F.col("f1").desc(), F.col("support").desc(), F.col("label").asc()
-    )
-    return out.withColumn("rank", F.row_number().over(w).cast("int"))
+    ranked = group_rank(out, g, [F.col("f1").desc(), F.col("support").desc(), F.col("label").asc()], rank_col="rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def extreme_labels(table: DataFrame, k: int = 15) -> DataFrame:

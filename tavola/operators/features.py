@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import bins
-from tavola.functions.stats import group_rank, join_group_stats
+from tavola.functions.stats import exact_medians, group_rank, join_group_stats
 
 COST = "average_cost_inr"
 
@@ -19,8 +19,9 @@ def log_cost(df: DataFrame, cost: str = COST) -> DataFrame:
 def cost_relative_to_city(df: DataFrame, cost: str = COST, min_city_rows: int = 10) -> DataFrame:
     """Cost / city median when the city has >= 10 non-null costs, else cost /
     (country, price range) median.  Medians include zeros; x / 0 gives null."""
-    city = df.groupBy("city").agg(F.median(cost).alias("_city_median"), F.count(cost).alias("_city_n"))
-    cp = df.groupBy("country_code", "price_range").agg(F.median(cost).alias("_cp_median"))
+    n = df.groupBy("city").agg(F.count(cost).alias("_city_n"))
+    city = join_group_stats(n, exact_medians(df, ["city"], cost, "_city_median"), ["city"])
+    cp = exact_medians(df, ["country_code", "price_range"], cost, "_cp_median")
     out = join_group_stats(join_group_stats(df, city, ["city"]), cp, ["country_code", "price_range"])
     rel = F.when(
         F.coalesce(F.col("_city_n"), F.lit(0)) >= min_city_rows, F.try_divide(F.col(cost), F.col("_city_median"))
@@ -34,18 +35,20 @@ def city_cost_quartile(df: DataFrame, cost: str = COST, id_col: str = "listing_i
     Cities with fewer than 4 rows get ``Medium`` for every row; a null cost in a
     larger city gets null.  Ranks come from the skew-safe :func:`group_rank`.
     """
-    has_rank = F.col(cost).isNotNull() & F.col("city").isNotNull()
-    ranked = group_rank(df.filter(has_rank), ["city"], [cost, id_col], rank_col="_rn").unionByName(
-        df.filter(~has_rank).withColumn("_rn", F.lit(None).cast("long"))
-    )
+    ranked = group_rank(df.select("city", cost, id_col).filter(F.col(cost).isNotNull()), ["city"], [cost, id_col], rank_col="_rn")
     sizes = df.groupBy("city").agg(F.count(F.lit(1)).alias("_rows"), F.count(cost).alias("_n"))
-    out = join_group_stats(ranked, sizes, ["city"])
-    label = (
-        F.when(F.col("_rows") < 4, F.lit("Medium"))
-        .when(F.col("_rn").isNull(), F.lit(None).cast("string"))
-        .otherwise(bins.quartile_label(F.col("_rn"), F.col("_n")))
+    labelled = join_group_stats(ranked, sizes.select("city", "_n"), ["city"]).withColumn("_label", bins.quartile_label(F.col("_rn"), F.col("_n")))
+    # Of the sorted narrow rows only the last (cost, id) of every label goes
+    # back to the wide rows: one row per city.
+    last = labelled.groupBy("city").agg(
+        *[F.max(F.when(F.col("_label") == q, F.struct(F.col(cost).alias("c"), F.col(id_col).alias("i")))).alias(f"_last_{k}") for k, q in enumerate(bins.QUARTILE_LABELS)]
     )
-    return out.withColumn("city_wise_cost_category", label).drop("_rn", "_rows", "_n")
+    out = join_group_stats(df, join_group_stats(sizes, last, ["city"]), ["city"])
+    own = F.struct(F.col(cost).alias("c"), F.col(id_col).alias("i"))
+    label = F.when(F.col("_rows") < 4, F.lit("Medium")).when(F.col(cost).isNull() | F.col("city").isNull(), F.lit(None).cast("string"))
+    for k, q in enumerate(bins.QUARTILE_LABELS):
+        label = label.when(own <= F.col(f"_last_{k}"), F.lit(q))
+    return out.withColumn("city_wise_cost_category", label).drop("_rows", "_n", *[f"_last_{k}" for k in range(len(bins.QUARTILE_LABELS))])
 
 
 def cuisine_count(c):

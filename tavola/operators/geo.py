@@ -19,14 +19,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.functions.stats import BROADCAST_MAX_ROWS, exact_percentiles_many, group_rank, join_group_stats
+from tavola.functions.stats import exact_percentiles_many, group_rank, join_group_stats
 from tavola.session import cut_lineage
 
 # Sizing rule of the clusters.
 TARGET_AREA_KM2 = 25.0
 MAX_CLUSTERS = 30
 KM_PER_DEGREE = 111.0
-CHECKPOINT_EVERY = 5
+# Rounds that run as one plan between two tests of convergence.
+UNROLL = 3
 
 
 def _valid_points(df: DataFrame, id_col: str) -> DataFrame:
@@ -98,9 +99,8 @@ def _centre_arrays(centres: DataFrame) -> DataFrame:
     )
 
 
-def _assign(points: DataFrame, centres: DataFrame, broadcast: bool) -> DataFrame:
+def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     arrays = _centre_arrays(centres)
-    arrays = F.broadcast(arrays) if broadcast else arrays
     best = F.array_min(
         F.transform(
             F.col("_centres"),
@@ -113,72 +113,79 @@ def _assign(points: DataFrame, centres: DataFrame, broadcast: bool) -> DataFrame
     return points.join(arrays, "city").select(*points.columns, best["cluster"].alias("cluster"), best["d"].alias("d2"))
 
 
+def _update(assigned: DataFrame, centres: DataFrame) -> DataFrame:
+    """New centres of one round, with their squared shift.
+
+    Assigned points (weight 1) and old centres (weight 0) are grouped together
+    in one aggregation, so an empty cluster keeps its centre and the shift
+    comes out of the same pass.
+    """
+    pts = assigned.select("city", "cluster", "latitude", "longitude", F.lit(1.0).alias("_w"))
+    old = centres.select("city", "cluster", F.col("c_lat").alias("latitude"), F.col("c_lon").alias("longitude"), F.lit(0.0).alias("_w"))
+    g = pts.unionByName(old).groupBy("city", "cluster").agg(
+        F.sum(F.col("_w") * F.col("latitude")).alias("_sl"),
+        F.sum(F.col("_w") * F.col("longitude")).alias("_so"),
+        F.sum("_w").alias("_n"),
+        F.max(F.when(F.col("_w") == 0, F.col("latitude"))).alias("_ol"),
+        F.max(F.when(F.col("_w") == 0, F.col("longitude"))).alias("_oo"),
+    )
+    lat = F.when(F.col("_n") > 0, F.col("_sl") / F.col("_n")).otherwise(F.col("_ol"))
+    lon = F.when(F.col("_n") > 0, F.col("_so") / F.col("_n")).otherwise(F.col("_oo"))
+    shift = (lat - F.col("_ol")) ** 2 + (lon - F.col("_oo")) ** 2
+    return g.select("city", "cluster", lat.alias("c_lat"), lon.alias("c_lon"), shift.alias("_shift"))
+
+
 def kmeans_by_city(
     df: DataFrame,
     counts: DataFrame | None = None,
     id_col: str = "listing_id",
-    max_iter: int = 20,
+    max_iter: int = 300,
     tol: float = 1e-4,
     history: list | None = None,
 ) -> DataFrame:
     """``location_cluster`` per row (0 for rows without coordinates or city).
 
     Stops when every city's summed squared centre shift is at most ``tol``
-    times its mean coordinate variance, or after ``max_iter`` rounds.
+    times its mean coordinate variance; not having converged after
+    ``max_iter`` rounds is an error, never a silent result.  Cities that have
+    converged leave the rounds.  Rounds run ``UNROLL`` at a time as one plan.
     ``history``, when given, receives the inertia (sum of squared distances)
     after each assignment step, for convergence checks.
     """
-    counts = counts if counts is not None else cluster_counts(df, id_col)
-    counts = cut_lineage(counts)
-    # The centre table has at most MAX_CLUSTERS rows per city: broadcast it
-    # only when that bound is proven small (else a shuffle join on the city).
-    n_cities = counts.count()
-    bcast = n_cities * MAX_CLUSTERS <= BROADCAST_MAX_ROWS
+    counts = cut_lineage(counts if counts is not None else cluster_counts(df, id_col))
     limits = counts.select("city", (F.lit(float(tol)) * F.coalesce(F.col("mean_var"), F.lit(0.0))).alias("_limit"))
     points = _valid_points(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    seeds = _seeds(points, counts)
-    centres = cut_lineage(seeds.coalesce(1) if bcast else seeds)
-    for it in range(max_iter):
-        assigned = _assign(points, centres, bcast)
-        if history is not None:
-            history.append(assigned.agg(F.sum("d2")).first()[0])
-        # One aggregation per round: assigned points (weight 1) and the old
-        # centres (weight 0) grouped together, so an empty cluster keeps its
-        # centre and the shift comes out of the same pass.
-        pts = assigned.select("city", "cluster", "latitude", "longitude", F.lit(1.0).alias("_w"))
-        old = centres.select("city", "cluster", F.col("c_lat").alias("latitude"), F.col("c_lon").alias("longitude"), F.lit(0.0).alias("_w"))
-        g = pts.unionByName(old).groupBy("city", "cluster").agg(
-            F.sum(F.col("_w") * F.col("latitude")).alias("_sl"),
-            F.sum(F.col("_w") * F.col("longitude")).alias("_so"),
-            F.sum("_w").alias("_n"),
-            F.max(F.when(F.col("_w") == 0, F.col("latitude"))).alias("_ol"),
-            F.max(F.when(F.col("_w") == 0, F.col("longitude"))).alias("_oo"),
-        )
-        new_lat = F.when(F.col("_n") > 0, F.col("_sl") / F.col("_n")).otherwise(F.col("_ol"))
-        new_lon = F.when(F.col("_n") > 0, F.col("_so") / F.col("_n")).otherwise(F.col("_oo"))
-        new_centres = g.select(
-            "city", "cluster", new_lat.alias("c_lat"), new_lon.alias("c_lon"),
-            ((new_lat - F.col("_ol")) ** 2 + (new_lon - F.col("_oo")) ** 2).alias("_shift"),
-        )
-        if bcast:
-            # Proven small (<= 30 rows per city): one partition, so the
-            # per-city array and convergence aggregates need no shuffle.
-            new_centres = new_centres.coalesce(1)
-        # Small table: persisted every round, checkpointed every few rounds
-        # so a lost executor never replays more than a few iterations.
-        new_centres = cut_lineage(new_centres) if (it + 1) % CHECKPOINT_EVERY == 0 else new_centres.persist(StorageLevel.MEMORY_AND_DISK)
-        # Converged when, in every city, the summed squared centre shift is at
-        # most tol x the mean coordinate variance of the city.
-        moving = (
-            new_centres.groupBy("city").agg(F.sum("_shift").alias("_s"))
-            .join(F.broadcast(limits) if bcast else limits, "city")
-            .filter(F.col("_s") > F.col("_limit"))
-            .count()
-        )
-        centres = new_centres.drop("_shift")
-        if moving == 0:
+    centres = cut_lineage(_seeds(points, counts))
+    active, moving = points, centres
+    done: list[DataFrame] = []
+    rounds = 0
+    while True:
+        if rounds >= max_iter:
+            points.unpersist()
+            raise RuntimeError(f"k-means has not converged after {rounds} rounds")
+        step, held = moving, []
+        for _ in range(min(UNROLL, max_iter - rounds)):
+            if history is not None and not done:
+                history.append(_assign(points, step).agg(F.sum("d2")).first()[0])
+            step = _update(_assign(active, step), step).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(step)
+            rounds += 1
+        step = cut_lineage(step)
+        shift = step.groupBy("city").agg(F.sum("_shift").alias("_s")).join(limits, "city")
+        still = cut_lineage(shift.filter(F.col("_s") > F.col("_limit")).select("city"))
+        for h in held:
+            h.unpersist()
+        step = step.drop("_shift")
+        done.append(step.join(still, "city", "left_anti"))
+        if still.isEmpty():
             break
-    final = _assign(points, centres, bcast)
+        moving = step.join(still, "city", "left_semi")
+        active = points.join(still, "city", "left_semi")
+    centres = done[0]
+    for d in done[1:]:
+        centres = centres.unionByName(d)
+    centres = cut_lineage(centres)
+    final = _assign(points, centres)
     if history is not None:
         history.append(final.agg(F.sum("d2")).first()[0])
     # Renumber the non-empty clusters of each city by centre position (small table).

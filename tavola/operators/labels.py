@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
+from tavola.functions.stats import group_rank
 
 
 def label_split(df: DataFrame, id_col: str, col: str = "cuisines") -> DataFrame:
@@ -16,13 +17,12 @@ def label_split(df: DataFrame, id_col: str, col: str = "cuisines") -> DataFrame:
 def label_frequency(long: DataFrame, min_count: int) -> DataFrame:
     """L2: label counts (repeats in a row count twice), ``used_in_model`` flag, rank by count desc, label asc."""
     counts = long.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
-    # One row per label: the ordering window runs over the small count table.
-    order = Window.orderBy(F.col("count").desc(), F.col("label").asc())
-    return counts.select(
+    ranked = group_rank(counts, [], [F.col("count").desc(), F.col("label").asc()], rank_col="rank")
+    return ranked.select(
         "label",
         F.col("count").cast("long").alias("count"),
         (F.col("count") >= min_count).alias("used_in_model"),
-        F.row_number().over(order).cast("int").alias("rank"),
+        F.col("rank").cast("int").alias("rank"),
     )
 
 
@@ -43,13 +43,13 @@ def filter_rare(long: DataFrame, min_count: int) -> DataFrame:
 
 def vocabulary(long: DataFrame) -> DataFrame:
     """Sorted label vocabulary with its index (the binariser's columns)."""
-    labels = long.select("label").distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_idx"))
+    ranked = group_rank(long.select("label").distinct(), [], ["label"], rank_col="_rn")
+    return ranked.select("label", (F.col("_rn") - 1).cast("int").alias("label_idx"))
 
 
 def binarize(long: DataFrame, vocab: DataFrame) -> DataFrame:
     """Indicator rows ``(row_id, label_idx)`` for every present label (sparse form)."""
-    return long.join(F.broadcast(vocab), "label").select("row_id", "label_idx").distinct()
+    return long.join(vocab, "label").select("row_id", "label_idx").distinct()
 
 
 def label_cardinality(long: DataFrame) -> DataFrame:

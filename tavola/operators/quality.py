@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
-from tavola.functions.stats import group_rank, join_group_stats
+from tavola.session import cut_lineage
+from tavola.functions.stats import exact_medians, exact_percentiles, group_rank, join_group_stats
 
 
 def _unpivot_one_row(row_df: DataFrame, names: Sequence[str], value_name: str) -> DataFrame:
@@ -39,13 +40,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """Q3: every full-row duplicate after the first (``occurrence`` 2..k).
 
     Rows are ranked inside their full-row group with the skew-safe
-    :func:`group_rank` (range-partitioned, so a value repeated in a third of
-    the table is spread over many tasks); nulls compare equal, as in the
-    reference.  Occurrence 1 is dropped.
+    :func:`group_rank`, ordered by a row number so that a value repeated in a
+    third of the table is spread over many range partitions; nulls compare
+    equal, as in the reference.  Occurrence 1 is dropped.
     """
     cols = df.columns
     keyed = df.select(*cols, *[F.struct(F.col(c)).alias(f"_k{i}") for i, c in enumerate(cols)])
-    ranked = group_rank(keyed, [f"_k{i}" for i in range(len(cols))], [], rank_col="occurrence")
+    keyed = cut_lineage(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    ranked = group_rank(keyed, [f"_k{i}" for i in range(len(cols))], ["_row"], rank_col="occurrence")
     return ranked.filter(F.col("occurrence") > 1).select(*cols, "occurrence")
 
 
@@ -95,29 +97,22 @@ def zero_only_groups(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
         F.count(c).cast("long").alias("total_rows"),
         F.count_if(c == 0).cast("long").alias("zero_count"),
         F.count_if(~F.coalesce(c == 0, F.lit(False))).cast("long").alias("non_zero_count"),
-        F.median(F.when(c != 0, c)).alias("non_zero_median"),
     )
-    return g.filter(F.col("non_zero_count") == 0)
+    medians = exact_medians(keyed.filter(c != 0), keys, col, "non_zero_median")
+    return join_group_stats(g.filter(F.col("non_zero_count") == 0), medians, keys)
 
 
 def group_median_order(df: DataFrame, group: str, col: str) -> DataFrame:
     """Q10: groups ordered by the median of their positive values, descending (with rank)."""
-    from pyspark.sql import Window
-
-    g = df.filter(F.col(col) > 0).groupBy(group).agg(F.median(col).alias("median_value"))
-    # One row per group: the ordering window runs over the small aggregate.
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("median_value").desc(), F.col(group).asc())).cast("int"))
+    g = exact_medians(df.filter(F.col(col) > 0), [group], col, "median_value")
+    return group_rank(g, [], [F.col("median_value").desc(), F.col(group).asc()], rank_col="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def box_stats(df: DataFrame, group: str, col: str, positive_only: bool = True) -> DataFrame:
     """Q11: per-group quartiles, 1.5 IQR whiskers (most extreme values inside) and outlier count."""
     base = df.filter(F.col(col) > 0) if positive_only else df.filter(F.col(col).isNotNull())
-    q = base.groupBy(group).agg(
-        F.percentile(col, F.lit(0.25)).alias("q1"),
-        F.median(col).alias("median"),
-        F.percentile(col, F.lit(0.75)).alias("q3"),
-        F.count(F.lit(1)).cast("long").alias("n"),
-    )
+    q = exact_percentiles(base, [group], col, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
+    q = join_group_stats(q, base.groupBy(group).agg(F.count(F.lit(1)).cast("long").alias("n")), [group])
     j = join_group_stats(base.select(group, col), q.select(group, "q1", "q3"), [group])
     lo_fence = F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))
     hi_fence = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
-from tavola.functions.stats import broadcast_if_small, group_rank, join_group_stats
+from tavola.functions.stats import exact_medians, group_rank, join_group_stats
 
 # The 29 columns of the listings table, in order.
 LISTING_COLUMNS = [
@@ -102,8 +102,8 @@ def import_listings(prepared: DataFrame) -> DataFrame:
     df = df.dropna(subset=["listing_id", "listing_name", "cuisines"])
     df = df.withColumns({c: T.norm_text(F.col(c)) for c in TEXT_COLUMNS})
     df = df.withColumns({c: T.to_number(F.col(c)) for c in NUMERIC_COLUMNS})
-    cost_median = df.select(F.median("average_cost_inr")).scalar()
-    price_median = df.select(F.median("price_range")).scalar()
+    cost_median = exact_medians(df, [], "average_cost_inr", "m").select("m").scalar()
+    price_median = exact_medians(df, [], "price_range", "m").select("m").scalar()
     cost = F.coalesce(F.col("average_cost_inr"), cost_median)
     votes = F.coalesce(F.col("votes"), F.lit(0.0)).cast("long")
     df = df.withColumns(
@@ -131,19 +131,18 @@ def import_listings(prepared: DataFrame) -> DataFrame:
 def upsert_listings(existing: DataFrame, incoming: DataFrame, now: Column, order_col: str | None = None) -> DataFrame:
     """Insert-or-update on ``listing_id``.
 
-    Incoming duplicates of one id keep the last row by ``order_col`` (else an
-    arbitrary but deterministic one by content).  Updated rows keep
-    ``created_at`` and take ``updated_at = now``; new rows get both = now.
+    Of incoming rows with one id the last by ``order_col`` wins, of equals in
+    that order (all of them without ``order_col``) the greatest by content, so
+    partition order never decides.  Updated rows keep ``created_at`` and take
+    ``updated_at = now``; new rows get both = now.
     """
     cols = [c for c in incoming.columns if c != order_col]
-    if order_col:
-        # Last row per id by order_col: a grouped max_by (combined map-side),
-        # so many copies of one id never meet in a single task.
-        others = [c for c in cols if c != "listing_id"]
-        last = F.max_by(F.struct(*[F.col(c) for c in others]), F.col(order_col))
-        incoming = incoming.groupBy("listing_id").agg(last.alias("_v")).select("listing_id", *[F.col(f"_v.{c}").alias(c) for c in others])
-    else:
-        incoming = incoming.dropDuplicates(["listing_id"])
+    # A grouped maximum (combined map-side), so many copies of one id never
+    # meet in a single task.
+    others = [c for c in cols if c != "listing_id"]
+    order = [F.col(order_col).alias("_order")] if order_col else []
+    last = F.max(F.struct(*order, *others))
+    incoming = incoming.groupBy("listing_id").agg(last.alias("_v")).select("listing_id", *[F.col(f"_v.{c}").alias(c) for c in others])
     inc = incoming.select(*[F.col(c).alias(f"_in_{c}") for c in cols])
     ex = existing.select(*cols, "created_at", "updated_at")
     j = ex.join(inc, ex["listing_id"] == inc["_in_listing_id"], "full_outer")
@@ -187,7 +186,7 @@ def build_bridge(listings: DataFrame, dim: DataFrame, existing: DataFrame | None
     current cuisines (snapshot).  ``mode="accumulate"``: insert-or-ignore into
     ``existing``, so links of cuisines a listing no longer has survive.
     """
-    new = cuisine_pairs(listings).join(broadcast_if_small(dim), "cuisine_name").select("listing_id", "cuisine_id").dropDuplicates()
+    new = cuisine_pairs(listings).join(dim, "cuisine_name").select("listing_id", "cuisine_id").dropDuplicates()
     if existing is None:
         return new
     old = existing.select("listing_id", "cuisine_id")
@@ -212,7 +211,7 @@ def load_listing_frame(listings: DataFrame, bridge: DataFrame, dim: DataFrame) -
     ``", "``; null when a listing has none), then left-joined once.
     """
     names = (
-        bridge.join(broadcast_if_small(dim), "cuisine_id")
+        bridge.join(dim, "cuisine_id")
         .groupBy("listing_id")
         .agg(F.array_join(F.array_sort(F.collect_list("cuisine_name")), ", ").alias("cuisines"))
     )

@@ -62,7 +62,7 @@ def write_results(tables: Mapping[str, DataFrame], directory: str, fmt: str = "c
         out = t
         if fmt == "csv":
             out = t.select(*[F.col(f.name).cast("string") if not isinstance(f.dataType, StringType) else F.col(f.name) for f in t.schema.fields])
-            out.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{directory.rstrip('/')}/{name}")
+            out.write.mode("overwrite").option("header", True).csv(f"{directory.rstrip('/')}/{name}")
         else:
             t.write.mode("overwrite").parquet(f"{directory.rstrip('/')}/{name}")
 
@@ -74,7 +74,7 @@ def prediction_sample(preds: DataFrame, vocab: DataFrame, n: int = 100) -> DataF
     cut is taken first (top-n ids), so only n rows are expanded.
     """
     ids = preds.select("row_id").distinct().orderBy("row_id").limit(n)
-    j = preds.select("row_id", "label_idx", "truth", "pred").join(ids, "row_id").join(F.broadcast(vocab), "label_idx")
+    j = preds.select("row_id", "label_idx", "truth", "pred").join(ids, "row_id").join(vocab, "label_idx")
     return j.groupBy("row_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("truth") == 1, F.col("label")))), ", ").alias("actual"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("pred") == 1, F.col("label")))), ", ").alias("predicted"),
