@@ -137,4 +137,6 @@ def exact_percentiles_many(
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     long = df.select(*group_cols, *value_cols).unpivot(list(group_cols), list(value_cols), "_var", "_val")
     q = exact_percentiles(long, [*group_cols, "_var"], "_val", probs, names=names)
-    return q.groupBy(*group_cols).pivot("_var", list(value_cols)).agg(*[F.first(n).alias(n) for n in names])
+    wide = q.groupBy(*group_cols).pivot("_var", list(value_cols)).agg(*[F.first(n).alias(n) for n in names])
+    # With a single aggregate Spark names the pivoted columns by the value alone.
+    return wide.withColumnsRenamed({c: f"{c}_{names[0]}" for c in value_cols}) if len(names) == 1 else wide

@@ -86,7 +86,3 @@ def split_list(c: Column, drop_empty: bool = True, lower: bool = False) -> Colum
 
 def contains_any(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(pattern), F.lit(False))
-
-
-def rlike_columns(cols: Iterable[str], pattern: str) -> list[Column]:
-    return [contains_any(F.col(x), pattern).alias(x) for x in cols]

@@ -12,33 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
+from tavola.functions.stats import exact_percentiles_many
 
 
-def cast_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """Categoricals -> text with ``Unknown`` for null; numerics -> double (unparsable -> null)."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in categorical}).withColumns(
+def cast_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], trim: bool = False) -> DataFrame:
+    """Categoricals -> text with ``Unknown`` for null (trimmed on request); numerics -> double (unparsable -> null)."""
+    text = lambda c: F.trim(F.col(c).cast("string")) if trim else F.col(c).cast("string")
+    return df.withColumns({c: F.coalesce(text(c), F.lit("Unknown")) for c in categorical}).withColumns(
         {c: T.to_number(F.col(c)) for c in numeric}
     )
 
 
 def fit_median_std(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float]]:
-    """M5 fit: median and population std per column (one aggregate job).
+    """M5 fit: exact median and population std per column.
 
     Returns a model-sized dict: the parameters of the imputer / scaler.
     """
     if not cols:
         return {}
-    # Mergeable quantile sketch (rank error 1e-6): bounded memory per task,
-    # however many distinct values a continuous feature has.
-    row = train.agg(
-        *[F.percentile_approx(c, 0.5, 1_000_000).alias(f"m_{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)],
-    ).first()
-    out = {}
-    for i, c in enumerate(cols):
-        s = row[f"s_{i}"]
-        out[c] = (row[f"m_{i}"], 1.0 if (s is None or s == 0) else float(s))
-    return out
+    medians = exact_percentiles_many(train, [], cols, [0.5], names=["median"]).first()
+    stds = train.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+    return {c: (medians[f"{c}_median"] if medians else None, float(stds[c]) if stds[c] else 1.0) for c in cols}
 
 
 def apply_median_std(df: DataFrame, params: dict[str, tuple[float | None, float]], scale: bool = True) -> DataFrame:
@@ -51,10 +45,22 @@ def apply_median_std(df: DataFrame, params: dict[str, tuple[float | None, float]
 
 
 def level_means(train: DataFrame, cat: str, target: str, prior: float, weight: float = 1.0) -> DataFrame:
-    """M7: smoothed mean target per level over the training rows (one row per level).
+    """M7 apply side: smoothed mean target per level over the training rows (one row per level).
 
-    A grouped aggregate, so a level holding a third of the rows is combined
-    map-side.  The rating pipelines use Spark ML's ``TargetEncoder``, which
-    fits the same per-level statistics by aggregation.
+    A grouped aggregate, so a level holding a third of the rows is combined map-side.
     """
     return train.groupBy(cat).agg(((F.sum(target) + F.lit(weight * prior)) / (F.count(target) + F.lit(weight))).alias(f"{cat}_ts"))
+
+
+def target_statistics(train: DataFrame, cat: str, target: str, fold: str, prior: float, weight: float = 1.0) -> DataFrame:
+    """M7 training side: out-of-fold statistics, one row per (fold, level).
+
+    A training row must not see its own label: its level's statistic is the
+    level's total less the row's own fold.  One grouped aggregate by (level,
+    fold); a level no other fold has gets the prior.
+    """
+    part = train.groupBy(cat, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    total = part.groupBy(cat).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn")).withColumnRenamed(cat, "_level")
+    both = part.join(total, F.col(cat).eqNullSafe(F.col("_level"))).drop("_level")
+    value = (F.col("_ts") - F.col("_s") + F.lit(weight * prior)) / (F.col("_tn") - F.col("_n") + F.lit(weight))
+    return both.select(cat, fold, value.alias(f"{cat}_ts"))

@@ -202,15 +202,3 @@ def evaluate_recommendations(recs: DataFrame, prefs: Mapping[str, object]) -> Da
         aggs.append((F.avg(_lower_eq("city", prefs["city"]).cast("double")) * 100).alias("city_match_rate"))
     aggs += [F.avg("aggregate_rating").alias("average_rating"), F.avg("score").alias("average_score"), F.count(F.lit(1)).alias("n")]
     return recs.agg(*aggs)
-
-
-# The three canned scenarios of the reference, as preferences.
-CANNED_REQUESTS = {
-    "north_indian_delivery": {
-        "cuisines": ["North Indian"], "city": "New Delhi", "price_range": 2, "min_rating": 3.8,
-        "cost_category": "Budget", "popularity_category": "High", "online_delivery": "Yes",
-    },
-    "pizza_mid_budget": {"cuisines": ["Pizza", "Italian"], "price_range": 2, "min_rating": 3.5, "max_cost": 1200, "is_expensive": 0},
-    "cafe_table_booking": {"cuisines": ["Cafe"], "price_range": 3, "min_rating": 4.0, "rating_category": "Excellent", "table_booking": "Yes"},
-}
-

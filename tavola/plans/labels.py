@@ -9,6 +9,7 @@ relational operators of ``tavola.operators.evaluate``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -49,7 +50,7 @@ def build_dataset(prepared: DataFrame, min_count: int, seed: int = 42) -> tuple[
     ind = labels.binarize(kept, vocab).groupBy("row_id").agg(F.collect_set("label_idx").alias("label_set"))
     base = prepared.select(F.col("listing_id").alias("row_id"), TEXT_COLUMN, *CATEGORICAL, *NUMERIC)
     data = base.join(ind, "row_id")
-    data = mlfeatures.cast_features(data, CATEGORICAL, NUMERIC).withColumn("tokens", text.tokens(F.coalesce(F.col(TEXT_COLUMN), F.lit(""))))
+    data = mlfeatures.cast_features(data, CATEGORICAL, NUMERIC, trim=True).withColumn("tokens", text.tokens(F.coalesce(F.col(TEXT_COLUMN), F.lit(""))))
     return split.assign_split(data, "row_id", seed), vocab, freq
 
 
@@ -97,13 +98,13 @@ def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1,
 def featurize(model: LabelModel | None, data: DataFrame, featurizer=None, scaler=None) -> DataFrame:
     fz = featurizer or model.featurizer
     sc = scaler if scaler is not None else model.scaler
-    return fz.transform(mlfeatures.apply_median_std(data, sc)).select("row_id", "split", "label_set", "features")
+    keep = ["row_id", "split", "label_set", *(["fold"] if "fold" in data.columns else [])]
+    return fz.transform(mlfeatures.apply_median_std(data, sc)).select(*keep, "features")
 
 
-def _fit_one(kind: str, train: DataFrame, j: int, n: int, n_features: int, c: float, max_iter: int, hidden: int, seed: int):
+def _fit_one(kind: str, train: DataFrame, j: int, n: float, pos: float, n_features: int, c: float, max_iter: int, hidden: Sequence[int], seed: int):
     y = F.array_contains(F.col("label_set"), F.lit(j)).cast("double")
     d = train.withColumn("y", y)
-    pos = d.agg(F.sum("y")).first()[0] or 0.0
     if pos == 0 or pos == n:
         return ("constant", float(pos > 0))
     w = F.when(F.col("y") == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos))))
@@ -112,38 +113,45 @@ def _fit_one(kind: str, train: DataFrame, j: int, n: int, n_features: int, c: fl
         est = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
                                  standardization=False, maxIter=max_iter, fitIntercept=True)
     else:
-        est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, hidden, 2], maxIter=max_iter, seed=seed + j)
+        est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed + j)
     return ("model", est.fit(d))
 
 
-def fit(train_vec: DataFrame, n_labels: int, kind: str = "logistic", c: float = 1.0, max_iter: int = 100, hidden: int = 32, seed: int = 42, workers: int = 4) -> dict:
-    """One classifier per label (absent or all-present labels -> constant)."""
+# Most rounds of the two kinds, and the hidden layers of the neural kind.
+ITERATIONS = {"logistic": 2000, "mlp": 250}
+HIDDEN = (128,)
+
+
+def fit(train_vec: DataFrame, n_labels: int, kind: str = "logistic", c: float = 1.0, max_iter: int | None = None, hidden: Sequence[int] = HIDDEN, seed: int = 42, workers: int = 4) -> dict:
+    """One classifier per label (absent or all-present labels -> constant).
+
+    Fits end by tolerance or at ``max_iter`` rounds, the kind's full budget by default.
+    """
+    max_iter = max_iter or ITERATIONS[kind]
     train_vec = train_vec.persist(StorageLevel.MEMORY_AND_DISK)
     n = float(train_vec.count())
     n_features = train_vec.first()["features"].size
+    counts = train_vec.select(F.explode("label_set").alias("j")).groupBy("j").count().collect()  # one number per label
+    positive = {r["j"]: float(r["count"]) for r in counts}
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        futs = {j: pool.submit(_fit_one, kind, train_vec, j, n, n_features, c, max_iter, hidden, seed) for j in range(n_labels)}
+        futs = {j: pool.submit(_fit_one, kind, train_vec, j, n, positive.get(j, 0.0), n_features, c, max_iter, hidden, seed) for j in range(n_labels)}
         out = {j: f.result() for j, f in futs.items()}
     train_vec.unpersist()
     return out
 
 
 def predict_proba(models: dict, data_vec: DataFrame) -> DataFrame:
-    """``(row_id, label_idx, prob, truth)`` in long form (one map-only pass per label)."""
-    parts = []
+    """``(row_id, label_idx, prob, truth)`` in long form: all labels' probabilities in one pass over the vectors."""
+    out = data_vec
     for j, (kind, m) in sorted(models.items()):
-        truth = F.array_contains(F.col("label_set"), F.lit(j)).cast("int")
         if kind == "constant":
-            part = data_vec.select("row_id", "split", F.lit(j).alias("label_idx"), F.lit(float(m)).alias("prob"), truth.alias("truth"))
+            out = out.withColumn(f"_p{j}", F.lit(float(m)))
         else:
-            part = m.transform(data_vec).select(
-                "row_id", "split", F.lit(j).alias("label_idx"), vector_to_array(F.col("probability"))[1].alias("prob"), truth.alias("truth")
-            )
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            out = m.copy().setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_prob").transform(out)
+            out = out.withColumn(f"_p{j}", vector_to_array("_prob")[1]).drop("_prob")
+    probs = F.posexplode(F.array(*[F.col(f"_p{j}") for j in sorted(models)])).alias("label_idx", "prob")
+    long = out.select("row_id", "split", "label_set", probs)
+    return long.select("row_id", "split", "label_idx", "prob", F.array_contains("label_set", F.col("label_idx")).cast("int").alias("truth"))
 
 
 def coefficients(model: LabelModel) -> DataFrame:
@@ -165,7 +173,7 @@ def coefficients(model: LabelModel) -> DataFrame:
 
 
 def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: int = 10, max_features: int = 3000, c: float = 1.0,
-                       max_iter: int = 50, hidden: int = 32, seed: int = 42, fixed_threshold: float | None = None,
+                       max_iter: int | None = None, hidden: Sequence[int] = HIDDEN, seed: int = 42, fixed_threshold: float | None = None,
                        ngram_max: int = 2, min_df: int = 2):
     """Full flow: dataset -> featurize -> fit -> tune threshold on val (T9) -> metrics per split (E*)."""
     data, vocab, freq = build_dataset(prepared, min_count, seed)
@@ -194,10 +202,11 @@ TUNING_GRID = {
     "min_df": [1, 2],
     "c": [0.5, 1.0, 2.0],
 }
+NEURAL_GRID = {**TUNING_GRID, "hidden": [(128,), (256,), (128, 64)]}
 BASE_CANDIDATE = {"min_count": 10, "max_features": 3000, "ngram_max": 2, "min_df": 2, "c": 1.0}
 
 
-def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "logistic", max_iter: int = 20, seed: int = 42):
+def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "logistic", max_iter: int | None = None, seed: int = 42):
     """P4-P6 for the category model: per candidate x fold, fit on the other folds,
     tune the threshold on the held-out fold (T9), record its metrics; then
     mean / population std per candidate and the best by (micro, sample, macro F1)."""
@@ -210,8 +219,8 @@ def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "log
             tr = data.filter(F.col("fold") != f)
             fz, scaler, _ = fit_featurizer(tr, int(cand["max_features"]), int(cand["min_df"]), int(cand["ngram_max"]))
             vec = featurize(None, data, fz, scaler)
-            models = fit(vec.join(data.filter(F.col("fold") != f).select("row_id"), "row_id"), n_labels, kind, float(cand["c"]), max_iter, seed=seed)
-            held = vec.join(data.filter(F.col("fold") == f).select("row_id"), "row_id")
+            models = fit(vec.filter(F.col("fold") != f), n_labels, kind, float(cand["c"]), max_iter, cand.get("hidden", HIDDEN), seed)
+            held = vec.filter(F.col("fold") == f)
             sweep = evaluate.threshold_sweep(predict_proba(models, held), n_labels).filter("is_best")
             rec = sweep.select(
                 F.lit(ci + 1).alias("candidate"), F.lit(f).alias("fold"), F.col("threshold").alias("best_threshold"),

@@ -299,7 +299,7 @@ def _clean_feature_sql() -> dict[str, str]:
 
 
 def _label_eval_sql() -> dict[str, str]:
-    from tavola.plans.catalog import FIXED_THRESHOLD, MAX_FEATURES, MIN_LABEL_COUNT, TFIDF_MIN_DF
+    from tavola.plans.catalog import FIXED_THRESHOLD, MAX_FEATURES, TFIDF_MIN_DF
     from tavola.sources.tables import PRIORITY_LABELS
 
     L = V.LISTINGS
@@ -374,6 +374,12 @@ def _label_eval_sql() -> dict[str, str]:
                     SELECT g.label, 'cat__locality_' || g.locality AS feature, g.a - base.b AS coefficient
                     FROM (SELECT label, locality, avg(truth) AS a FROM j GROUP BY label, locality) g JOIN base ON g.label = base.label),
           mac AS (SELECT feature, avg(abs(coefficient)) AS mean_abs_coefficient FROM coefs GROUP BY feature)"""
+    fold = f"CAST({mixed('fold42').replace('row_id', 'listing_id')} % 3 AS INTEGER)"
+    folds = f"""rec AS (SELECT candidate, {fold} AS fold, sqrt(avg((((listing_id * 7919) % 101 - shift) / 1e2) ^ 2)) AS rmse,
+                          avg(abs(((listing_id * 7919) % 101 - shift) / 1e2)) AS mae
+                   FROM listings, (VALUES (1, 50), (2, 40), (3, 60)) c(candidate, shift) GROUP BY ALL),
+          fs AS (SELECT candidate, round(avg(rmse), 6) AS mean_rmse, round(stddev_pop(rmse), 6) AS std_rmse,
+                        round(avg(mae), 6) AS mean_mae, round(stddev_pop(mae), 6) AS std_mae FROM rec GROUP BY candidate)"""
     sample = """ids AS (SELECT DISTINCT row_id FROM th WHERE split = 'test' ORDER BY row_id LIMIT 100)"""
     return {
         "prediction_sample": W(
@@ -386,24 +392,47 @@ def _label_eval_sql() -> dict[str, str]:
         ),
         "label_split": W("SELECT * FROM lng", L, lng),
         "label_frequency": W(
-            f"SELECT label, n AS count, n >= {MIN_LABEL_COUNT} AS used_in_model, CAST(row_number() OVER (ORDER BY n DESC, label ASC) AS INTEGER) AS rank FROM cnt",
+            f"SELECT label, n AS count, n >= (SELECT ceil(avg(n)) FROM cnt) AS used_in_model, CAST(row_number() OVER (ORDER BY n DESC, label ASC) AS INTEGER) AS rank FROM cnt",
             L, lng, cnt,
         ),
-        "rare_labels": W(f"SELECT label, n AS count FROM cnt WHERE n < {MIN_LABEL_COUNT}", L, lng, cnt),
-        "filter_rare_labels": W(f"SELECT lng.label, row_id, position FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= {MIN_LABEL_COUNT}", L, lng, cnt),
+        "rare_labels": W(f"SELECT label, n AS count FROM cnt WHERE n < (SELECT ceil(avg(n)) FROM cnt)", L, lng, cnt),
+        "filter_rare_labels": W(f"SELECT lng.label, row_id, position FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= (SELECT ceil(avg(n)) FROM cnt)", L, lng, cnt),
         "label_vocabulary": W("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM lng)", L, lng),
         "label_binarize": W(
             "SELECT DISTINCT row_id, label_idx FROM lng JOIN (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM lng)) v ON lng.label = v.label",
             L, lng,
         ),
         "label_cardinality": W(
-            f"SELECT round(avg(k), 6) AS label_cardinality, count(*) AS rows FROM (SELECT row_id, count(*) AS k FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= {MIN_LABEL_COUNT} GROUP BY row_id)",
+            f"SELECT round(avg(k), 6) AS label_cardinality, count(*) AS rows FROM (SELECT row_id, count(*) AS k FROM lng JOIN cnt ON lng.label = cnt.label WHERE n >= (SELECT ceil(avg(n)) FROM cnt) GROUP BY row_id)",
             L, lng, cnt,
         ),
         "term_frequencies": W("SELECT * FROM tf", tf),
         "tfidf_vocabulary": W("SELECT * FROM voc", tf, vocab),
         "tfidf_weights": W("SELECT w.doc_id, term, term_idx, round(w / nrm, 6) AS weight FROM w JOIN nrm ON w.doc_id = nrm.doc_id", tf, vocab, tfidf),
         "split_listings": W(f"SELECT listing_id, {split_expr.replace('row_id', 'listing_id')} AS split FROM listings", L),
+        "target_statistics": W(
+            """SELECT a.city, a.fold, round((t.s - a.s + 2.5) / (t.n - a.n + 1.0), 6) AS city_ts
+               FROM (SELECT city, fold, sum(aggregate_rating) AS s, count(aggregate_rating) AS n FROM tr GROUP BY ALL) a
+               JOIN (SELECT city, sum(aggregate_rating) AS s, count(aggregate_rating) AS n FROM tr GROUP BY ALL) t ON a.city IS NOT DISTINCT FROM t.city""",
+            L,
+            f"""tr AS (SELECT city, aggregate_rating, CAST({mixed('fold42').replace('row_id', 'listing_id')} % 3 AS INTEGER) AS fold
+                       FROM listings WHERE {split_expr.replace('row_id', 'listing_id')} = 'train')""",
+        ),
+        "median_std_fit": W(
+            " UNION ALL ".join(
+                f"SELECT '{n}' AS feature, round(median({c}), 6) AS median, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) AS std FROM listings"
+                for n, c in (("cost", "cost_for_two"), ("votes", "CAST(votes AS DOUBLE)"), ("latitude", "latitude"))
+            ),
+            L,
+        ),
+        "one_hot_long": W(
+            """SELECT listing_id AS row_id, label_idx FROM listings l
+               JOIN (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT coalesce(city, 'Unknown') AS label FROM listings)) v
+               ON coalesce(l.city, 'Unknown') = v.label""",
+            L,
+        ),
+        "fold_summary": W("SELECT * FROM fs", L, folds),
+        "select_best_candidate": W("SELECT * FROM fs ORDER BY mean_rmse, candidate LIMIT 1", L, folds),
         "fold_listings": W(f"SELECT listing_id, CAST({mixed('fold42').replace('row_id', 'listing_id')} % 3 AS INTEGER) AS fold FROM listings", L),
         "threshold_predict": W("SELECT row_id, label_idx, truth, round(prob, 6) AS prob, pred FROM th", L, preds, rowmax, thr),
         "threshold_sweep": W(
@@ -522,11 +551,28 @@ def _warehouse_sql() -> dict[str, str]:
         ),
         "cuisine_dimension": W("SELECT * FROM dim", *imp, pairs, dim),
         "type_dimension_upsert": """WITH e AS (SELECT CAST(row_number() OVER (ORDER BY type_name) AS BIGINT) AS type_id, type_name
-                                         FROM (SELECT DISTINCT p_type AS type_name FROM part WHERE p_size < 25 AND p_type IS NOT NULL)),
-                                    n AS (SELECT DISTINCT concat_ws(' ', p_type, p_brand) AS type_name FROM part)
+                                         FROM (SELECT DISTINCT p_type AS type_name FROM part WHERE p_type IS NOT NULL)),
+                                    n AS (SELECT concat_ws(' ', p_type, p_brand) AS type_name FROM part UNION SELECT p_type FROM part)
                                     SELECT * FROM e UNION ALL
                                     SELECT CAST((SELECT coalesce(max(type_id), 0) FROM e) + row_number() OVER (ORDER BY type_name) AS BIGINT) AS type_id, type_name
                                     FROM n WHERE type_name IS NOT NULL AND type_name NOT IN (SELECT type_name FROM e)""",
+        "upsert_repeated_ids": W(
+            f"""SELECT listing_id, votes + 2 * (1 + listing_id % 3) AS votes, round(aggregate_rating, 6) AS aggregate_rating,
+                       strftime(CASE WHEN listing_id % 2 = 0 THEN TIMESTAMP '{T_EXISTING}' ELSE TIMESTAMP '{T_NOW}' END, {fmt}) AS created_at,
+                       strftime(TIMESTAMP '{T_NOW}', {fmt}) AS updated_at FROM listings""",
+            L,
+        ),
+        "cuisine_bridge_replace": W(
+            """SELECT DISTINCT listing_id, cuisine_id FROM pairs JOIN dim ON pairs.cuisine_name = dim.cuisine_name
+                 WHERE listing_id NOT IN (SELECT listing_id FROM imported WHERE price_range >= 3)
+               UNION SELECT listing_id, cuisine_id FROM imported, dim WHERE price_range >= 3 AND cuisine_name IN ('5-LOW', '2-HIGH')""",
+            *imp, pairs, dim,
+        ),
+        "cuisine_bridge_accumulate": W(
+            """SELECT DISTINCT listing_id, cuisine_id FROM pairs JOIN dim ON pairs.cuisine_name = dim.cuisine_name
+               UNION SELECT listing_id, cuisine_id FROM imported, dim WHERE price_range >= 3 AND cuisine_name IN ('5-LOW', '2-HIGH')""",
+            *imp, pairs, dim,
+        ),
         "cuisine_bridge": W("SELECT DISTINCT listing_id, cuisine_id FROM pairs JOIN dim ON pairs.cuisine_name = dim.cuisine_name", *imp, pairs, dim),
         "import_summary": W("SELECT count(*) AS restaurants, (SELECT count(DISTINCT cuisine_name) FROM pairs) AS cuisines FROM imported", *imp, pairs),
         "load_listing_frame": W(

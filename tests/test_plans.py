@@ -36,3 +36,23 @@ def test_recommendation_scan_is_pruned_and_filtered(spark):
     plan = _plan(E.queries()["recommend_canned_delivery"](spark, SF_SMALL))
     assert "GreaterThanOrEqual(aggregate_rating,3.8)" in plan
     assert "ReadSchema: struct<aggregate_rating:double,log_votes:double,restaurant_popularity_score:double>" in plan
+
+
+def test_no_whole_group_medians(spark):
+    """Exact percentiles come from counted values, never from a value map of a group in one task."""
+    import __spark_entry__ as E
+
+    for name in ("prepare_listings", "box_stats_currency", "group_median_order_currency", "fill_median_rating", "cost_relative_to_city", "import_listings"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL)).lower()
+        assert "median(" not in plan and "percentile(" not in plan, name
+
+
+def test_hot_value_is_spread_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from tavola.operators import quality
+
+    hot = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("v"))
+    out = quality.duplicate_rows(hot)
+    assert out.count() == 6_666 and out.agg(F.max("occurrence")).first()[0] == 6_667
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1

@@ -49,11 +49,44 @@ def test_rating_model_roundtrip(spark):
     assert {r.split for r in metrics.collect()} == {"train", "val", "test"}
     d = tempfile.mkdtemp(prefix="tavola-model-", dir="/tmp")
     rating.save_model(model, d + "/m")
-    again = rating.load_model(d + "/m", "without_votes", model.medians)
+    again = rating.load_model(d + "/m")
     data = rating.prepare_features(prepared, "without_votes")
     a = rating.predict(model, data).select("_row_id", "prediction")
     b = rating.predict(again, data).select("_row_id", F.col("prediction").alias("p2"))
     assert a.join(b, "_row_id").filter(F.abs(F.col("prediction") - F.col("p2")) > 1e-12).count() == 0
+    rows = lambda m: sorted((r.feature, round(r.importance, 9)) for r in rating.feature_importance(m).collect())
+    assert rows(again) == rows(model)
+
+
+def test_rating_encoders_see_training_rows_only(spark):
+    from tavola.operators import split
+    from tavola.plans import rating
+    from tavola.plans.catalog import prepared_listings
+
+    from conftest import SF_CHECK
+
+    data = split.assign_split(rating.prepare_features(warehouse.with_defaults(prepared_listings(spark, SF_CHECK)), "base"), "_row_id")
+    train = data.filter("split = 'train'")
+    encoded, stages = rating._encode(train, "base", 42)
+    assert encoded.count() == train.count()
+    totals = stages[1].stats if hasattr(stages[1], "stats") else None
+    if totals is not None:
+        assert all(max(v[0] for v in per.values()) <= train.count() for per in totals)
+    # The view's ratings are nearly noise: what a split shows is that training
+    # rows fit no better than unseen ones by more than noise allows.
+    model, metrics = rating.train_and_evaluate(warehouse.with_defaults(prepared_listings(spark, SF_CHECK)), "base", max_iter=25, params={"stepSize": 0.2, "maxDepth": 4})
+    by = {r.split: r.r2 for r in metrics.collect()}
+    assert by["val"] > by["train"] - 0.35 and by["test"] > by["train"] - 0.35, by
+
+
+def test_out_of_fold_statistics_leave_the_own_fold_out(spark):
+    from tavola.operators import mlfeatures
+
+    rows = [("a", 0, 1.0), ("a", 0, 2.0), ("a", 1, 6.0), ("b", 1, 4.0)]
+    got = {(r.c, r.f): round(r.c_ts, 6) for r in mlfeatures.target_statistics(spark.createDataFrame(rows, "c string, f int, y double"), "c", "y", "f", 3.0).collect()}
+    assert got == {("a", 0): 4.5, ("a", 1): 2.0, ("b", 1): 3.0}
+    fitted = mlfeatures.fit_median_std(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double"), ["x"])
+    assert fitted["x"][0] == 2.5
 
 
 def test_write_prepared_partitioned(spark):
