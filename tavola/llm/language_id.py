@@ -91,7 +91,7 @@ _GRAMS = Grams()
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-gram keys, counts) of the whole text: letters in lower case, words set off by one space."""
     words = NO_LETTERS.sub(" ", text or "").strip().lower()
-    if not words:
+    if not any(map(str.isalpha, words)):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     parts = []

@@ -47,6 +47,11 @@ def test_vectors_follow_the_definition():
     assert np.allclose(L.bundle([(keys, counts)])[0], total)
 
 
+def test_texts_without_a_letter_have_no_grams():
+    for text in (None, "", "  ", "123 _ \u00b2 !?", "\u0301"):
+        assert len(L.gram_counts(text)[0]) == 0
+
+
 def test_long_texts_are_counted_in_full(monkeypatch):
     text = "lorem ipsum dolor " * 300
     whole = L.gram_counts(text)
