@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavola.session import ensure_checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -56,3 +58,22 @@ def one_per_key(rows: DataFrame) -> DataFrame:
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """Join condition of packed rows with a table of (key_id, key_text)."""
     return left["id"].eqNullSafe(right["key_id"]) & (left["text_key"] == right["key_text"])
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of scratch tables that nothing reads any more.
+
+    Only folders that ``materialize_table`` made under the session's
+    checkpoint folder go; a table that was merely persisted is unpersisted.
+    """
+    for t in tables:
+        spark = t.sparkSession
+        base = (ensure_checkpoint_dir(spark) or "").rstrip("/")
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        t.unpersist()
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            own = fs.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/tables"))
+            if base and fs.makeQualified(path).getParent().equals(own):
+                fs.delete(path, True)

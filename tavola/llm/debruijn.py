@@ -5,15 +5,20 @@ the nodes it joins).  Edges travel in super-edges: consecutive windows whose
 smallest hashed ``ANCHOR``-word piece is the same one, the anchor.  Equal
 windows have equal anchors, so
 
-1. anchors that occur once rule out most of the text (one narrow row each);
-2. the super-edges of the other anchors are grouped; where an anchor has one
+1. super-edges are strung into blocks that begin where an anchor's hash says
+   so, about ``BLOCK`` to a block, so that copies of a passage fall into equal
+   blocks but for its ends and edits.  All but the first occurrence of a block
+   are later copies as a whole; an edge's first occurrence is never in one of
+   these, so the rest of the work is on first occurrences alone;
+2. there, anchors that occur once rule out most of the text (a narrow row each);
+3. the super-edges of the other anchors are grouped; where an anchor has one
    kind of super-edge, all its edges share their occurrences, otherwise its
    distinct super-edges are opened into edges.  Every repeated edge gets its
    multiplicity and its home, the first place in document order;
-3. edges whose homes follow each other with equal multiplicity are a
+4. edges whose homes follow each other with equal multiplicity are a
    nonbranching path, compacted by a join of each edge's end with the next
    one's start;
-4. occurrences away from home are collected per path and displacement; their
+5. occurrences away from home are collected per path and displacement; their
    source coordinates verify that they run on without a gap, as one span.
    Gaps leave them in pieces.
 
@@ -35,11 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tavola.llm.common import id_key
+from tavola.llm.common import id_key, release
 from tavola.session import materialize_table
 
 WINDOW = 20
 ANCHOR = 5
+# Super-edges of a block on average (a power of two).
+BLOCK = 8
 # Spans up to which the final join broadcasts them (about 40 bytes each); beyond, it shuffles.
 BROADCAST_SPANS = 500_000
 
@@ -85,17 +92,51 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _anchors(rows: DataFrame) -> DataFrame:
-    """(doc_key, anchor) for every super-edge."""
+def _blocks(rows: DataFrame, per_block: int = BLOCK) -> DataFrame:
+    """Document key, at, windows, block (128-bit hash of its edges) and anchors of every block."""
 
     def run(batches):
+        names = [*DOC, "at", "windows", "block", "anchors"]
         for batch in batches:
-            keys, anchors = batch.column(0).to_numpy(), [super_edges(x.as_py().split())[3] for x in batch.column(1)]
-            counts = [len(a) for a in anchors]
-            flat = np.concatenate([np.empty(0, np.uint64), *anchors]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, counts)), pa.array(flat)], ["doc_key", "anchor"])
-
-    return rows.select(F.xxhash64(*DOC).alias("doc_key"), "bytes").mapInArrow(run, "doc_key bigint, anchor bigint")
+            where, at, windows, hashes, anchors = [], [], [], [], []
+            for i, data in enumerate(batch.column(3)):
+                edges, first, _, own = super_edges(data.as_py().split())
+                if not len(edges):
+                    continue
+                begins = (own & np.uint64(per_block - 1)) == 0
+                begins[0] = True
+                head = np.flatnonzero(begins)
+                start, packed = first[head], edges.tobytes()
+                stop = np.append(start[1:], len(edges))
+                where.append(np.full(len(head), i))
+                at.append(start)
+                windows.append(stop - start)
+                hashes += [xxhash.xxh3_128_digest(packed[8 * a : 8 * b]) for a, b in zip(start.tolist(), stop.tolist())]
+                anchors += np.split(own.view(np.int64), head[1:])
+            pick = pa.array(np.concatenate([np.empty(0, np.int64), *where]))
+            ends = np.cumsum([0, *map(len, anchors)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))
+            numbers = [pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (at, windows)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pick) for k in range(3)], *numbers, pa.array(hashes, pa.binary()), lists], names)
+
+    schema = f"no_id boolean, id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, at bigint, windows bigint, block binary, anchors array<bigint>"
+    return rows.select(*DOC, "bytes").mapInArrow(run, schema)
+
+
+def first_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(later copies of whole blocks: document key, at, windows; first occurrences: doc_key, anchors)."""
+    blocks = materialize_table(_blocks(rows), "blocks")
+    first = blocks.groupBy("block").agg(F.min(F.struct(*DOC, "at", "anchors")).alias("home"), F.count(F.lit(1)).alias("n"))
+    first = materialize_table(first, "first-blocks")
+    homes = first.filter("n > 1").select("block", F.struct(*[F.col(f"home.{c}").alias(c) for c in (*DOC, "at")]).alias("home"))
+    copies = blocks.select(*DOC, "at", "windows", "block").join(homes, "block").filter(_place() != F.col("home"))
+    # Blocks that follow each other in a document are one span.
+    order = Window.partitionBy(*DOC).orderBy("at")
+    head = F.when(F.lag(F.col("at") + F.col("windows")).over(order) == F.col("at"), 0).otherwise(1)
+    runs = copies.select(*DOC, "at", "windows", head.alias("head")).withColumn("run", F.sum("head").over(order))
+    copies = materialize_table(runs.groupBy(*DOC, "run").agg(F.min("at").alias("at"), F.sum("windows").alias("windows")).drop("run"), "block-copies")
+    release(blocks)
+    return copies, first.select(F.xxhash64(*[F.col(f"home.{c}") for c in DOC]).alias("doc_key"), F.col("home.anchors").alias("anchors"))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -129,14 +170,16 @@ def _place(at: Column | str = "at") -> Column:
     return F.struct(*DOC, (F.col(at) if isinstance(at, str) else at).alias("at"))
 
 
-def repeated_occurrences(rows: DataFrame) -> DataFrame:
-    """Occurrences of super-edges whose anchor occurs again, with ``seg``, a name of the whole super-edge."""
-    anchors = _anchors(rows)
+def repeated_occurrences(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Super-edges, at their occurrences in ``first`` blocks, whose anchor occurs again there; with ``seg``, a name of the whole super-edge."""
+    anchors = first.select("doc_key", F.explode("anchors").alias("anchor"))
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
     again = materialize_table(again, "repeated-anchors")
     wanted = anchors.join(again, "anchor").groupBy("doc_key").agg(F.collect_set("anchor").alias("wanted"))
     found = rows.withColumn("doc_key", F.xxhash64(*DOC)).join(wanted, "doc_key")
-    return materialize_table(_occurrences(found).withColumn("seg", F.xxhash64("edges")), "super-edges")
+    out = materialize_table(_occurrences(found).withColumn("seg", F.xxhash64("edges")), "super-edges")
+    release(again)
+    return out
 
 
 def repeated_edges(occurrences: DataFrame) -> DataFrame:
@@ -170,14 +213,21 @@ def compact_paths(fragments: DataFrame) -> DataFrame:
 
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The compacted graph: home document key, at, windows and occurrences of every repeated nonbranching path."""
-    paths = compact_paths(repeated_edges(repeated_occurrences(keyed(docs, id_col, text_col))))
+    """The compacted graph: home document key, at, windows and occurrences of every repeated nonbranching path.
+
+    On the whole graph: no block is set aside, so occurrences count all places.
+    """
+    rows = keyed(docs, id_col, text_col)
+    blocks = materialize_table(_blocks(rows), "blocks")
+    whole = blocks.select(F.xxhash64(*DOC).alias("doc_key"), "anchors")
+    paths = compact_paths(repeated_edges(repeated_occurrences(rows, whole)))
     return paths.groupBy(*DOC, F.col("path_at").alias("at"), "n").agg(F.sum("len").alias("windows")).withColumnRenamed("n", "occurrences")
 
 
 def later_spans(rows: DataFrame) -> DataFrame:
     """(no_id, id, text_hash, at, windows): runs of windows that also start earlier."""
-    occurrences = repeated_occurrences(rows)
+    copies, first = first_blocks(rows)
+    occurrences = repeated_occurrences(rows, first)
     fragments = repeated_edges(occurrences)
     paths = compact_paths(fragments)
     own = occurrences.select(*DOC, "at", "anchor", "seg").join(fragments, ["anchor", "seg"])
@@ -193,7 +243,7 @@ def later_spans(rows: DataFrame) -> DataFrame:
     gapless = F.col("stop") - F.col("start") == F.col("windows")
     one = F.array(F.struct(F.col("start").alias("at"), F.col("windows").alias("windows")))
     spans = spans.select(*DOC, F.explode(F.when(gapless, one).otherwise(F.col("pieces"))).alias("s")).select(*DOC, "s.*")
-    return materialize_table(spans, "later-spans")
+    return materialize_table(copies.unionByName(spans), "later-spans")
 
 
 def _kept(rows: DataFrame) -> DataFrame:
