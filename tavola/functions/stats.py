@@ -68,9 +68,13 @@ def group_rank(
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # (partition, group) pairs: at most partitions + groups rows.  It comes
     # out of a shuffle, so AQE measures it and broadcasts it when small.
-    offsets = counts.select("_pid", *group_cols, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    out = join_group_stats(ranked, offsets, ["_pid", *group_cols])
-    out = out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_off") + 1).cast("long")).drop("_pos", "_pid", "_first", "_off")
+    # One packed key: were partition and group columns keys of their own, the
+    # planner might deal the rows by the group alone and bring a hot group
+    # together again.
+    part = F.struct("_pid", *group_cols).alias("_part")
+    offsets = counts.select(part, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    out = ranked.select("*", part).join(offsets, "_part", "left")
+    out = out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_off") + 1).cast("long")).drop("_part", "_pos", "_pid", "_first", "_off")
     rest = df.filter(null_key).withColumn(rank_col, F.lit(None).cast("long"))
     return out.unionByName(rest)
 
@@ -100,9 +104,10 @@ def exact_percentiles(
     counts = cut_lineage(counts.repartitionByRange(*g, "_value").withColumn("_pid", F.spark_partition_id()))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.groupBy("_pid", *g).agg(F.sum("_c").alias("_sum"))
-    parts = parts.select("_pid", *g, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_pid", *g).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = join_group_stats(counts.withColumn("_in", F.sum("_c").over(inside)), parts, ["_pid", *g]).withColumn("_upto", F.col("_in") + F.col("_off"))
+    part = F.struct("_pid", *g).alias("_part")
+    parts = parts.select(part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.select("*", part).withColumn("_in", F.sum("_c").over(inside)).join(parts, "_part", "left").withColumn("_upto", F.col("_in") + F.col("_off"))
     n = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
     ranked = join_group_stats(upto, n, g) if g else upto.withColumn("_n", n.select("_n").scalar())
     at = lambda rank, name: F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_value"))).alias(name)
