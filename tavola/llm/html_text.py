@@ -8,7 +8,10 @@ boilerplate; content blocks make the text.
 
 Defined results: a null or empty page, and one without content blocks, has an
 empty text; broken markup (unclosed tags, stray ends, open comments) is read
-to its end; null and repeated ids are ordinary rows; an empty table gives no
+to its end; only an unclosed script, style, title or textarea reaches to the
+page's end, as HTML reads it, and any other element without text of the page
+(``APART``) is left out from its start to its own end, or is read like any
+other where that end is missing; null and repeated ids are ordinary rows; an empty table gives no
 rows; other columns, whatever their names, are ignored.
 """
 
@@ -23,7 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # How HTML reads tags, and names that containers of boilerplate commonly bear.
-RAW = "script style noscript template textarea title svg iframe object canvas select math audio video".split()
+RAW = "script style textarea title".split()
+APART = set("noscript template svg iframe object canvas select math audio video".split())
+FOREIGN = ("svg", "math")
+# Tags that end an svg or math standing around them, but for those inside its points of HTML.
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_POINTS = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var img wbr".split()
@@ -39,12 +49,13 @@ MAIN_NAMES = set("article content main post story entry".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>(?:.*?</(?P=raw)\s*+>|.*)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>?"
     r"|<[a-zA-Z][^<>]*+>",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "noise", "main", "heading")
@@ -167,22 +178,28 @@ def _kind(tag: str, attrs: str, kind: tuple[bool, bool]) -> tuple[bool, bool]:
 def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     """Flat text blocks: (text, words, link density, noise, main, heading)."""
     out: list[tuple[str, int, float, bool, bool, bool]] = []
-    stack: list[tuple[str, tuple[bool, bool], bool]] = []
-    parts: list[str] = []
+    stack: list[tuple[str, tuple[bool, bool], bool, tuple | None]] = []
+    parts = None  # the open block's texts, last first: (texts before, text)
     state = [(False, False), False, 0, 0]  # kind, heading, open links, link words
+    foreign = 0  # svg and math elements open
 
     def text(raw: str) -> None:
+        nonlocal parts
         if raw:
             raw = unescape(raw) if "&" in raw else raw
-            parts.append(raw)
+            parts = parts, raw
             if state[2]:
                 state[3] += len(raw.split())
 
     def flush() -> None:
-        words = "".join(parts).split()
+        nonlocal parts
+        texts = []
+        while parts:
+            parts, raw = parts
+            texts.append(raw)
+        words = "".join(reversed(texts)).split()
         if words:
             out.append((" ".join(words), len(words), min(1.0, state[3] / len(words)), *state[0], state[1]))
-        parts.clear()
         state[3] = 0
 
     def enter(kind: tuple[bool, bool], heading: bool) -> None:
@@ -190,18 +207,48 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             flush()
             state[0], state[1] = kind, heading
 
+    def close(at_open: int) -> None:
+        nonlocal foreign
+        foreign -= sum(name in FOREIGN for name, *_ in stack[at_open:]) if foreign else 0
+        del stack[at_open:]
+
+    def leave_out(at_open: int) -> None:
+        """Go back to the state before an element that is left out."""
+        nonlocal parts
+        kept, parts, old = stack[at_open][3]
+        del out[kept:]
+        state[:] = old
+        close(at_open)
+
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         text(html[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            if not (foreign and m[0].endswith("/>")):
+                end = RAW_END[m["raw"].lower()].search(html, at)
+                at = end.end() if end else len(html)
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         end, inline = bool(m["end"]), tag in INLINE
+        if foreign and not end and tag in BREAKOUT:
+            at_open = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN)
+            if not any(name in HTML_POINTS for name, *_ in stack[at_open + 1 :]):
+                leave_out(at_open)
+        if tag in APART:
+            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if end and at_open is not None:
+                leave_out(at_open)
+            elif not end and not (m["attrs"].endswith("/") and (foreign or tag in FOREIGN)):
+                stack.append((tag, state[0], state[1], (len(out), parts, list(state))))
+                foreign += tag in FOREIGN
+            continue
         if tag == "a":
             state[2] = 0 if end else 1
         if tag == "br":
-            parts.append(" ")
+            parts = parts, " "
             continue
         if not inline:
             flush()
@@ -209,18 +256,18 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             continue
         if end:
             at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at_open is not None and not (inline and any(name not in INLINE for name, _, _ in stack[at_open + 1 :])):
-                del stack[at_open:]
-                enter(*(stack[-1][1:] if stack else ((False, False), False)))
+            if at_open is not None and not (inline and any(name not in INLINE for name, *_ in stack[at_open + 1 :])):
+                close(at_open)
+                enter(*(stack[-1][1:3] if stack else ((False, False), False)))
             continue
         if not inline:
             state[2] = 0
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
                 stack.pop()
-        kind, heading = stack[-1][1:] if stack else ((False, False), False)
+        kind, heading = stack[-1][1:3] if stack else ((False, False), False)
         kind = _kind(tag, m["attrs"], kind)
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((tag, kind, heading))
+        stack.append((tag, kind, heading, None))
         enter(kind, heading)
     text(html[at:])
     flush()

@@ -57,3 +57,27 @@ def test_tree_fits_its_table():
     for r in rows:
         features = [v / 100 if i in (1, 3, 5) else v for i, v in enumerate(r[:-1])]
         assert H.classify(TREE, tuple(features)) == r[-1]
+
+
+def test_elements_left_out_end_where_they_end():
+    article = f"<article><p>One {LONG}</p><p>Two {LONG}</p></article>"
+    whole = H.main_text(article, TREE)
+    assert whole.startswith("One") and "Two" in whole
+    for name in sorted(H.APART):
+        assert H.main_text(f"<body><div><{name} class='i'>left out</{name}></div>{article}</body>", TREE) == whole
+        assert H.main_text(f"<body><div><{name} class='i'></div>{article}</body>", TREE) == whole, name
+        assert H.main_text(f"<body><{name}>{article}</body>", TREE) == whole, name
+        assert H.main_text(f"<body><div><{name}></div>{article}<{name}>left out</{name}></body>", TREE) == whole, name
+        assert H.main_text(f"<article><p>One <{name}><b>left</b> out<div>x</div></{name}>{LONG}</p><p>Two {LONG}</p></article>", TREE) == whole or name in H.FOREIGN
+    for name in H.FOREIGN:
+        assert H.main_text(f'<{name} class="i"/>{article}<{name}><path d=""/><title>T</title></{name}>', TREE) == whole
+        assert H.main_text(f"<{name}><g>left out{article.replace('<article>', '<div><article>')}</div>", TREE) == whole
+        assert H.main_text(f"<article><p>One <{name}><title/><style/><foreignObject><div>out</div></foreignObject></{name}>{LONG}</p><p>Two {LONG}</p></article>", TREE) == whole
+    for name in H.RAW:
+        assert H.main_text(f"{article}<{name}>x {article}", TREE) == whole
+        assert H.main_text(f"<{name}>x <p></{name} >{article}", TREE) == whole
+
+
+def test_many_unclosed_elements():
+    for name in sorted(H.APART):
+        H.main_text(f"a<{name}>" * 20000, TREE)
