@@ -2,7 +2,10 @@
 
 A page is cut into flat text blocks at block-level tags.  Every block has
 shallow features: its words and link density, those of the blocks before and
-after it, and the kind of container it stands in.  A decision tree (Gini
+after it, and the kind of container it stands in.  Boilerplate containers known by
+their tag, role or being hidden weigh more than those known by a class name or
+id, which long text of few links overrules; a named container does not count
+inside a ``main``, or inside the page's first ``article``.  A decision tree (Gini
 splits), trained on the small labelled table below, tells content from
 boilerplate; content blocks make the text.
 
@@ -45,7 +48,17 @@ NOISE_NAMES = set(
     "newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "pagination pager footer masthead topbar toolbar widget comment comments commentlist disqus reply replies respond login signup search hidden".split()
 )
-MAIN_NAMES = set("article content main post story entry".split())
+NOISE_NAMES |= set(
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper google-ad sponsored-content cookie-banner cookie-bar cookie-consent cookie-message cookie-notice cookie-popup "
+    "gdpr-banner gdpr-consent consent-banner privacy-notice newsletter-form newsletter-signup newsletter-box subscribe-form subscribe-box signup-form login-form search-form search-box "
+    "share-bar share-buttons share-links sharing-buttons social-bar social-buttons social-icons social-links social-media social-share related-articles related-content related-links "
+    "related-posts related-stories recommended-articles recommended-posts left-sidebar right-sidebar side-bar sidebar-left sidebar-right primary-sidebar secondary-sidebar "
+    "widget-area footer-widgets nav-bar nav-links nav-menu main-menu main-nav site-nav top-nav post-navigation breadcrumb-nav page-footer page-header site-footer site-header top-bar "
+    "comment-body comment-form comment-list comments-area comments-list comments-section user-comments modal-dialog popup-overlay".split()
+)
+MAIN_NAMES = set(
+    "article content main post story entry article-body article-content article-text content-body content-main entry-content main-content page-content post-body post-content post-text story-body story-content".split()
+)
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -56,12 +69,14 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
-NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "noise", "main", "heading")
 
 # The labelled table: the features in order, then 1 for content, 0 for boilerplate.
-# Blocks judged by hand on pages of common layouts; densities in percent.
+# Blocks judged by hand on pages of common layouts; densities in percent; noise
+# is 1 in a container of boilerplate by its names (or a form), 2 by its tag, its role or being hidden.
 LABELLED = """
  1 100   0   0   1 100 1 0 0 0
  1 100   1 100   1 100 1 0 0 0
@@ -113,6 +128,31 @@ LABELLED = """
  3 100   2 100   4 100 0 0 0 0
 30  90  40   0   5 100 0 0 0 0
  4   0   6   0   2 100 0 0 1 0
+160   0   0   0   0   0 1 0 0 1
+180   3  60   0  12   0 1 0 0 1
+240   0   3   0   2 100 1 1 0 1
+300   5 200   0 180   2 1 1 0 1
+200   0   1 100  40   0 1 0 0 1
+100   0  80   0  90   0 1 0 0 1
+ 90   2 120   0  75   0 1 1 0 1
+180  60  80  20  70  40 1 0 0 0
+ 90  70  90  50  85  80 1 0 0 0
+ 45   0  40   0  50   0 1 0 0 0
+200   0 150   0 180   0 2 0 0 0
+160   0   0   0 300   0 2 1 0 0
+ 80   0  90   0  85   0 2 0 0 0
+ 25   0  10   0   8   0 2 0 0 0
+  2 100   1 100   1 100 2 0 0 0
+  3   0   1 100 120   0 2 0 0 0
+ 12   0   0   0 150   0 2 0 0 0
+ 75   0   3   0 120   0 2 0 0 0
+ 70   0   1   0  60   0 2 1 0 0
+ 10   0   2 100 200   0 1 0 0 0
+ 45   0   3   0 120   0 1 0 0 0
+  5   0 150   0 140   0 1 0 0 0
+ 40   0   1   0 300   0 1 1 0 0
+ 70   0   2 100   9   0 1 0 0 0
+ 75   0   3   0 100   0 1 0 0 0
 """
 
 MIN_LEAF = 1
@@ -154,34 +194,50 @@ def classify(tree: tuple | int, features: tuple) -> int:
     return tree
 
 
-def _kind(tag: str, attrs: str, kind: tuple[bool, bool]) -> tuple[bool, bool]:
-    """(noise, main) inside a tag that stands in a container of ``kind``."""
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _names(values: dict[str, str]) -> set[str]:
+    """Whole class names and the id, in lower case with hyphens."""
+    names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    return {CAMEL.sub("-", x).lower().replace("_", "-") for x in names} | {x.lower() for x in names}
+
+
+def _kind(tag: str, attrs: str, kind: tuple[int, bool], first: bool) -> tuple[int, bool]:
+    """(noise, main) inside a tag that stands in a container of ``kind``; ``first``: no article or main outside noise came before."""
     noise, main = kind
-    main = main or tag in ("article", "main")
-    noise = noise or tag in NOISE_TAGS
-    if attrs and not noise:
-        for m in NAMED.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if name in ("class", "id"):
-                main = main or (bool(words & MAIN_NAMES) and not words & NOISE_NAMES)
-                noise = noise or (bool(words & NOISE_NAMES) and tag not in ("html", "body"))
-            elif name == "role":
-                main, noise = main or value in ("main", "article"), noise or value in NOISE_ROLES
-            elif name == "style":
-                noise = noise or "display:none" in value.replace(" ", "")
-            else:
-                noise = noise or (value == "true" if name == "aria-hidden" else True)
+    if tag == "main" or tag == "article":
+        main = True
+        if noise == 1 and (first or tag == "main"):
+            noise = 0
+    if tag in NOISE_TAGS:
+        noise = max(noise, 1 if tag == "form" else 2)
+    if attrs and noise < 2:
+        values = _attributes(attrs)
+        role = values.get("role", "").strip().lower()
+        names = _names(values) if "class" in values or "id" in values else set()
+        named = bool(names & NOISE_NAMES)
+        main = main or (not noise and (role in ("main", "article") or bool(names & MAIN_NAMES) and not named))
+        if role in NOISE_ROLES or "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or "display:none" in "".join(values.get("style", "").lower().split()):
+            noise = 2
+        elif named and tag not in ("html", "body", "main"):
+            noise = 1
     return noise, main
 
 
-def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
+def blocks(html: str) -> list[tuple[str, int, float, int, bool, bool]]:
     """Flat text blocks: (text, words, link density, noise, main, heading)."""
-    out: list[tuple[str, int, float, bool, bool, bool]] = []
-    stack: list[tuple[str, tuple[bool, bool], bool, tuple | None]] = []
+    out: list[tuple[str, int, float, int, bool, bool]] = []
+    stack: list[tuple[str, tuple[int, bool], bool, tuple | None]] = []
     parts = None  # the open block's texts, last first: (texts before, text)
-    state = [(False, False), False, 0, 0]  # kind, heading, open links, link words
+    state = [(0, False), False, 0, 0]  # kind, heading, open links, link words
     foreign = 0  # svg and math elements open
+    first = True  # no article or main outside noise so far
 
     def text(raw: str) -> None:
         nonlocal parts
@@ -202,7 +258,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             out.append((" ".join(words), len(words), min(1.0, state[3] / len(words)), *state[0], state[1]))
         state[3] = 0
 
-    def enter(kind: tuple[bool, bool], heading: bool) -> None:
+    def enter(kind: tuple[int, bool], heading: bool) -> None:
         if (kind, heading) != (state[0], state[1]):
             flush()
             state[0], state[1] = kind, heading
@@ -258,14 +314,15 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at_open is not None and not (inline and any(name not in INLINE for name, *_ in stack[at_open + 1 :])):
                 close(at_open)
-                enter(*(stack[-1][1:3] if stack else ((False, False), False)))
+                enter(*(stack[-1][1:3] if stack else ((0, False), False)))
             continue
         if not inline:
             state[2] = 0
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
                 stack.pop()
-        kind, heading = stack[-1][1:3] if stack else ((False, False), False)
-        kind = _kind(tag, m["attrs"], kind)
+        kind, heading = stack[-1][1:3] if stack else ((0, False), False)
+        kind = _kind(tag, m["attrs"], kind, first)
+        first = first and not (tag in ("article", "main") and not kind[0])
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         stack.append((tag, kind, heading, None))
         enter(kind, heading)

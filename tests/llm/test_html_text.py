@@ -81,3 +81,40 @@ def test_elements_left_out_end_where_they_end():
 def test_many_unclosed_elements():
     for name in sorted(H.APART):
         H.main_text(f"a<{name}>" * 20000, TREE)
+
+
+def test_whole_names_make_noise():
+    whole = f"Title\nOne {LONG}\nTwo {LONG}".replace(" \n", "\n").strip()
+    inner = f"<h1>Title</h1><p>One {LONG}</p><p>Two {LONG}</p>"
+    assert H.main_text(f"<div>{inner}</div>", TREE) == whole
+    for attrs in ("class='overflow-hidden'", "class='has-sidebar x'", "class=no-sidebar", "id='with-banner'", "class='post-share-enabled'", "data-state='hidden'", 'data-id="promo"', "data-class='ad' data-hidden", "title='a class=ad id=nav'"):
+        assert H.main_text(f"<div {attrs}>{inner}</div>", TREE) == whole, attrs
+    for attrs in ("class='x sidebar'", "CLASS=advert", "id='cookie-notice'", "id=cookieBanner", "class='share_buttons'", "hidden", "aria-hidden=true", "style='x:y; display : none'", "role=navigation"):
+        assert H.main_text(f"<div {attrs}>{inner}</div>", TREE) == "", attrs
+
+
+def test_named_containers_of_main_and_article():
+    article = f"<p>One {LONG}</p><p>Two {LONG}</p>"
+    whole = f"One {LONG}\nTwo {LONG}".replace(" \n", "\n").strip()
+    for tag in ("main", "article"):
+        for outer in ("<div class='widget'>", "<form id=f>", "<div id='overlay'><section class=modal>"):
+            assert H.main_text(f"{outer}<{tag}>{article}</{tag}></div>", TREE) == whole
+        assert H.main_text(f"<div hidden><{tag}>{article}</{tag}></div>", TREE) == ""
+    comments = f"<section id=comments><article><p>Nice {LONG}</p></article></section>"
+    assert H.main_text(f"<article>{article}</article>{comments}", TREE) == whole
+
+
+def test_long_text_of_few_links_overrules_names():
+    long, links = "word " * 200, "<a href=x>" + "word " * 200 + "</a>"
+    assert H.main_text(f"<div class='overlay'><p>{long}</p></div>", TREE) == long.strip()
+    three = "word " * 90
+    assert (three.strip() + "\n" + three.strip()) in H.main_text(f"<div class='overlay'><p>{three}</p><p>{three}</p><p>{three}</p><p>{three}</p></div>", TREE)
+    assert H.main_text(f"<div class='overlay'><p>{links}</p></div>", TREE) == ""
+    assert H.main_text(f"<div hidden><p>{long}</p></div><footer><p>{long}</p></footer>", TREE) == ""
+
+
+def test_short_noise_next_to_long_text_stays_out():
+    long = "word " * 160
+    article = f"<article><p>{long}</p></article>"
+    for noise in ("<nav>Menu of pages</nav>", "<div class=sidebar>Menu of pages</div>", "<div hidden>Menu of pages</div>", f"<footer>{LONG}</footer>", f"<div id=promo>{LONG}</div>"):
+        assert H.main_text(noise + article, TREE) == H.main_text(article + noise, TREE) == long.strip(), noise
