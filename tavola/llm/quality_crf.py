@@ -6,7 +6,7 @@ repetition, ending).  Viterbi decoding gives the best label sequence; a
 document stays if content lines hold at least half of its words.
 
 The field is trained by gradient ascent on the exact log-likelihood over a
-bounded sample of labelled documents: the lines of a document of quality 1
+bounded sample of labelled documents, whole texts each: the lines of a document of quality 1
 count as content, those of quality 0 as boilerplate.
 
 Defined results: a null text has no words, fails the base rule and is not
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5
-# Bound of the training sample: documents per class, and lines of a document.
+# Bound of the training sample: documents per class.
 SAMPLE_DOCS = 400
-SAMPLE_LINES = 60
 STEPS = 150
 RATE = 0.1
 DECAY = 1e-3
@@ -114,35 +113,44 @@ class Field:
 
     @classmethod
     def train(cls, sequences: list[np.ndarray], labels: list[int]) -> Field:
-        """Gradient ascent on the mean log-likelihood per line (Adam), all sequences at once."""
-        n, size = len(sequences), max(map(len, sequences))
-        x = np.zeros((n, size, len(FEATURES)))
-        mask = np.zeros((n, size))
-        for i, s in enumerate(sequences):
-            x[i, : len(s)], mask[i, : len(s)] = s, 1
-        y = np.array(labels)
-        gold = np.stack([1 - y, y], 1)[:, None, :] * mask[:, :, None]
-        pairs = mask[:, 1:].sum(1)
-        gold_moves = np.diag([pairs[y == 0].sum(), pairs[y == 1].sum()])
-        w, m, total = np.zeros((len(FEATURES), 2)), np.zeros((2, 2)), mask.sum()
+        """Gradient ascent on the mean log-likelihood per line (Adam), all sequences at once.
+
+        Lines are held without padding, the lines of one place of all
+        sequences next to each other, longest sequences first.
+        """
+        by_length = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        lengths = np.array([len(sequences[i]) for i in by_length])
+        size, total = int(lengths[0]), int(lengths.sum())
+        active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(size), side="right")  # sequences that have this place
+        start = np.concatenate([[0], np.cumsum(active)])
+        x, of = np.empty((total, len(FEATURES))), np.empty(total, np.int64)
+        for r, i in enumerate(by_length):
+            at = start[: lengths[r]] + r
+            x[at], of[at] = sequences[i], r
+        y = np.array(labels)[by_length]
+        gold = np.stack([1 - y, y], 1)[of]
+        last = start[lengths - 1] + np.arange(len(lengths))
+        rest = slice(active[0], total)
+        before = np.concatenate([np.arange(start[t - 1], start[t - 1] + active[t]) for t in range(1, size)] or [np.empty(0, np.int64)])
+        gold_moves = np.diag([(lengths[y == label] - 1).sum() for label in (0, 1)])
+        w, m = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)]
+        places = [(slice(start[t - 1], start[t - 1] + active[t]), slice(start[t], start[t + 1])) for t in range(1, size)]
         for step in range(1, STEPS + 1):
             e = x @ w
-            forward, backward = np.empty_like(e), np.zeros_like(e)
-            forward[:, 0] = e[:, 0]
-            for t in range(1, size):
-                new = np.logaddexp(forward[:, t - 1, :1] + m[0], forward[:, t - 1, 1:] + m[1]) + e[:, t]
-                forward[:, t] = np.where(mask[:, t, None] > 0, new, forward[:, t - 1])
-            for t in range(size - 2, -1, -1):
-                ahead = backward[:, t + 1] + e[:, t + 1]
-                new = np.logaddexp(ahead[:, :1] + m[:, 0], ahead[:, 1:] + m[:, 1])
-                backward[:, t] = np.where(mask[:, t + 1, None] > 0, new, backward[:, t + 1])
-            log_z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])[:, None, None]
-            node = np.exp(np.minimum(forward + backward - log_z, 0)) * mask[:, :, None]
-            edge = forward[:, :-1, :, None] + m + (e + backward)[:, 1:, None, :] - log_z[..., None]
-            edge = np.exp(np.minimum(edge, 0)) * mask[:, 1:, None, None]
-            grad_w = np.einsum("ntf,ntl->fl", x, gold - node) / total - DECAY * w
-            grad_m = (gold_moves - edge.sum((0, 1))) / total - DECAY * m
+            forward, backward = e.copy(), np.zeros_like(e)
+            for old, new in places:
+                f = forward[old]
+                forward[new] += np.logaddexp(f[:, :1] + m[0], f[:, 1:] + m[1])
+            for old, new in reversed(places):
+                ahead = backward[new] + e[new]
+                backward[old] = np.logaddexp(ahead[:, :1] + m[:, 0], ahead[:, 1:] + m[:, 1])
+            log_z = np.logaddexp(forward[last, 0], forward[last, 1])[of, None]
+            node = np.exp(np.minimum(forward + backward - log_z, 0))
+            edge = forward[before][:, :, None] + m + (e + backward)[rest][:, None, :] - log_z[rest][..., None]
+            edge = np.exp(np.minimum(edge, 0))
+            grad_w = x.T @ (gold - node) / total - DECAY * w
+            grad_m = (gold_moves - edge.sum(0)) / total - DECAY * m
             for p, g, k in ((w, grad_w, 0), (m, grad_m, 2)):
                 state[k] = 0.9 * state[k] + 0.1 * g
                 state[k + 1] = 0.99 * state[k + 1] + 0.01 * g * g
@@ -153,7 +161,7 @@ class Field:
 ALL_CONTENT = Field(np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (len(FEATURES) - 1)), np.zeros((2, 2)))  # the bias alone decides
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Field:
     """The field fitted on at most ``sample`` documents of each quality, the first by a hash of the id."""
     known = labels.select(F.col(id_col).alias("doc_id"), "quality").filter("doc_id is not null").dropDuplicates(["doc_id"])
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
@@ -165,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for frame in frames:
             kept = []
             for quality, data in zip(frame["quality"], frame["data"]):
-                x = line_features(*(part[:lines] for part in content_lines(bytes(data))))
+                x = line_features(*content_lines(bytes(data)))
                 if len(x):
                     kept.append((int(quality), x.astype(np.float32).tobytes()))
             yield pd.DataFrame(kept, columns=["quality", "features"])

@@ -71,3 +71,14 @@ def test_no_labels_and_empty_table(spark):
     kept = Q.keep_content(clashing(table(spark), "row", "verdict"), Q.ALL_CONTENT)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "verdict"]
     assert kept.count() == sum(not base(r[1])[5] for r in awkward() if r[0] not in (9, 12)) + 2
+
+
+def test_training_reads_whole_texts(spark):
+    rnd = random.Random(4)
+    head = "\n".join(prose(rnd, 9) + "." for _ in range(70))
+    foot = {0: "\n".join("# | * | # 12 >" for _ in range(70)), 1: "\n".join(prose(rnd, 12) + "." for _ in range(70))}
+    rows = [(i, f"{head}\n{foot[i % 2]}" if i else None, "en", "a", 1) for i in range(9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id bigint, quality int")
+    field = Q.train(table(spark, rows), labels)
+    features = lambda text: Q.line_features(*Q.content_lines(text.encode()))
+    assert not field.decode(features(foot[0])).any() and field.decode(features(foot[1])).all()
