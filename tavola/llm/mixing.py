@@ -4,15 +4,17 @@ The words of every source form one stream (its documents in a fixed order),
 packed into blocks of ``BLOCK_WORDS`` words.  A source whose target is t words
 gets n = t / (mean block words) output slots, at most two per block.
 
-* Every slot of a source draws its output shard, so the counts of the sources
-  in a shard are multinomial draws, conditioned on the sources' totals.
+* Every slot of a source draws its output shard by a mixing hash, so the counts
+  of the sources in a shard are multinomial draws, conditioned on the sources'
+  totals.  ``mixed_documents(..., shards=True)`` deals the mix by them.
 * Slot i of a source goes to block ``perm(i mod blocks)``, where ``perm`` is a
   keyed permutation of 0..blocks-1 (swap-or-not shuffle): the slots of one pass
   use every block once, a partial pass uses a pseudorandom subset.
 * Slots meet the blocks' pieces by (source, block index).
 
 Only DataFrame functions are used.  Draws are arithmetic on indices with fixed
-constants, so reruns agree, and SQL can state the same result.
+constants, and the shards a hash with a fixed seed, so reruns agree, and SQL can
+state the same words taken.
 
 Defined results: a null text or one without words has size 0 and takes 0; the
 null source is a source of its own, last in order; null ids are ordinary ids;
@@ -38,6 +40,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 ROUNDS = 12
 PRIME = 2_147_483_647
+SHARD_SEED = 784_588_716
 
 
 def round_keys(rounds: int = ROUNDS, seed: int = 20_240_917) -> list[tuple[int, int, int]]:
@@ -143,12 +146,16 @@ def output_slots(placed: DataFrame, per: DataFrame) -> DataFrame:
     slots = own.select("ord", "blocks", "slots", "_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
     slots = slots.withColumn("slot", F.col("_index") + F.col("pass") * F.col("blocks")).filter("slot < slots")
     shards = max(1, -(-(per.agg(F.sum("slots")).first()[0] or 0) // SLOTS_PER_SHARD))
-    draw = ((F.col("slot") % PRIME) * F.lit(1_583_458_089) + F.col("ord") * F.lit(784_588_716)) % F.lit(PRIME)
-    slots = slots.withColumn("shard", F.floor(draw * F.lit(float(shards)) / F.lit(float(PRIME))).cast("long"))
+    slots = slots.withColumn("shard", drawn_shard(F.col("ord"), F.col("slot"), shards))
     slots = slots.withColumn("_key", F.col("ord") * 2 + F.col("pass"))
     return permuted(slots, "_index", "blocks", "_key", "block").select("ord", "pass", "slot", "shard", "block")
 
 
+def drawn_shard(ord_: Column, slot: Column, shards: int) -> Column:
+    """0..shards-1, drawn for every slot by itself."""
+    return F.pmod(F.xxhash64(F.lit(SHARD_SEED), ord_.cast("long"), slot.cast("long")), F.lit(shards).cast("long"))
+
+
 def shard_counts(slots: DataFrame) -> DataFrame:
     """The drawn number of slots of every source in every shard."""
     return slots.groupBy("shard", "ord").agg(F.count(F.lit(1)).alias("slots"))
@@ -178,9 +185,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.join(words, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: bool = False) -> DataFrame:
     """The mix itself, with the input's columns: one row per document and pass that takes of it.
 
+    With ``shards`` one row per document, pass and shard: a struct ``row`` of the
+    input's columns, the shard, and its position there (source, least slot,
+    place in the source's stream).
+
     The text is what the pass takes: the whole text, or the stretches of words
     that fall in taken blocks, in order, each on a line of its own.  Rows that
     repeat an id and a text are documents of their own; of their other columns
@@ -188,15 +199,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     placed, taken = mixed_pieces(docs, id_col, text_col, source_col, text_key(F.col(text_col)).alias("key_text"))
     cuts = F.sort_array(F.collect_list(F.struct("from_word", "words")))
-    takes = taken.groupBy("ord", "at", "pass").agg(cuts.alias("cuts"), F.sum("words").alias("taken"))
-    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("key_id"), "key_text", "size", "pass", "cuts", "taken")
+    by = ["ord", "at", "pass", *(["shard"] if shards else [])]
+    position = F.struct("ord", F.min("slot").alias("slot"), "at")
+    takes = taken.groupBy(*by).agg(cuts.alias("cuts"), F.sum("words").alias("taken"), *([position.alias("position")] if shards else []))
+    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("key_id"), "key_text", "size", "cuts", "taken", *(["shard", "position"] if shards else []))
     takes = materialize_table(takes, "mix-takes")
     rows = packed(docs, id_col, text_col)
     if not placed.groupBy("doc_id", "key_text").count().filter("count > 1").isEmpty():
         rows = one_per_key(rows)
     text = F.col("row")[text_col].cast("string")
     out = rows.join(takes, same_row(rows, takes)).withColumn("mixed", F.when(F.col("taken") == F.col("size"), text).otherwise(_stretches(text)))
-    return out.select(F.col("row").withField(f"`{text_col}`", F.col("mixed")).alias("row")).select("row.*")
+    out = out.select(F.col("row").withField(f"`{text_col}`", F.col("mixed")).alias("row"), *(["shard", "position"] if shards else []))
+    return out if shards else out.select("row.*")
 
 
 def _stretches(text: Column) -> Column:

@@ -93,3 +93,31 @@ def test_empty_table(spark):
     blank = [(1, None, None, "a", None), (2, "", None, None, None)]
     assert same(mixing.mix_sources(table(spark, blank)).collect(), [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)])
     assert mixing.mixed_documents(table(spark, [])).collect() == []
+
+
+def test_shards_are_drawn_at_random(spark):
+    from pyspark.sql import functions as F
+
+    n, shards = 50_000, 25
+    for ord_ in (0, 3):
+        drawn = spark.range(n).select(mixing.drawn_shard(F.lit(ord_), F.col("id"), shards).alias("shard")).groupBy("shard").count().collect()
+        chi = sum((r["count"] - n / shards) ** 2 / (n / shards) for r in drawn)
+        assert len(drawn) == shards and 7 < chi < 56  # 24 degrees of freedom; an even deal stays near 0
+
+
+def test_mixed_documents_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 8)
+    rows = [r for r in awkward()]
+    df = clashing(table(spark, rows), "shard", "position", "slot")
+    got = mixing.mixed_documents(df, shards=True).collect()
+    taken = mixing.mixed_pieces(df)[1].groupBy("shard").agg({"words": "sum"}).collect()
+    have, whole = {}, {}
+    for r in got:
+        have[r.shard] = have.get(r.shard, 0) + len(words(r.row.text))
+        whole[r.row.doc_id] = whole.get(r.row.doc_id, 0) + len(words(r.row.text))
+    assert len(have) > 3 and have == {r.shard: r["sum(words)"] for r in taken}
+    want = {}
+    for r in mixing.mixed_documents(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(words(r.text))
+    assert whole == want
+    assert len({(r.shard, r.position) for r in got}) == len(got)
