@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import debruijn, exact_dedup, html_text, language_id, licenses, line_runs, mixing, packing, prefix_trie, quality_crf, sentencepiece_codec, simhash
+from tavola.llm import debruijn, exact_dedup, html_text, language_id, lexical_search, licenses, line_runs, mixing, packing, prefix_trie, quality_crf, sentencepiece_codec, simhash
 from tavola.llm.common import documents
 
 
@@ -64,9 +64,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op4_line_dedup, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_exact_dedup, op10_license_scan, op11_prefix_trie, op13_pack_sequences)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_language_id, op4_line_dedup, op5_sentencepiece, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_exact_dedup, op10_license_scan, op11_prefix_trie, op12_lexical_search, op13_pack_sequences)}
