@@ -114,5 +114,66 @@ FROM marked LEFT JOIN heads USING (doc_id) GROUP BY doc_id
 """
 
 
+# CRC32 of the ids' digits by its byte table; prefixes are keyed by the MD5 of their joined turn codes.
+OP11 = """
+WITH RECURSIVE bytes(i, c, k) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bytes WHERE k < 8),
+tab AS MATERIALIZED (SELECT i, c FROM bytes WHERE k = 8),
+turns AS MATERIALIZED (
+  SELECT conv_id, text, code, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS p
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code
+        FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT DISTINCT conv_id FROM turns),
+crc(conv_id, s, c) AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL SELECT conv_id, s[2:], xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.i = xor(crc.c, CAST(ascii(s) AS BIGINT)) % 256 WHERE s <> ''),
+heads AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(c, 4294967295) % 9 AS h FROM crc WHERE s = ''),
+rebuilt AS (
+  SELECT heads.conv_id, 0 AS part, p, code, strlen(text) AS size FROM heads JOIN turns ON turns.conv_id = heads.base AND p <= h
+  UNION ALL SELECT heads.conv_id, 1, p, code, strlen(text) FROM heads JOIN turns USING (conv_id) WHERE p > h),
+seqs AS MATERIALIZED (
+  SELECT conv_id, coalesce(list(code ORDER BY part, p) FILTER (WHERE code IS NOT NULL), []) AS codes, coalesce(list(size ORDER BY part, p) FILTER (WHERE code IS NOT NULL), []) AS sizes
+  FROM heads LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+paths AS (SELECT conv_id, codes, sizes, unnest(range(0, len(codes) + 1)) AS depth FROM seqs),
+keyed AS MATERIALIZED (
+  SELECT conv_id, depth, md5(array_to_string(codes[1:depth], ',')) AS k, codes[1:depth] AS path, CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size, len(codes) = depth AS ends
+  FROM paths),
+nodes AS MATERIALIZED (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(path) AS path, any_value(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM keyed GROUP BY k, depth),
+parents AS (SELECT md5(array_to_string(path[1:depth - 1], ',')) AS k, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN parents USING (k, depth)),
+above AS (SELECT n_children, (n_convs - 1) * size AS saved, path, unnest(range(0, depth + 1)) AS up FROM own),
+trees AS (
+  SELECT md5(array_to_string(path[1:up], ',')) AS k, up AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY ALL)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN trees USING (k, depth) LEFT JOIN own up ON own.depth > 0 AND up.depth = own.depth - 1 AND up.k = md5(array_to_string(own.path[1:own.depth - 1], ','))
+"""
+
+OP12 = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_words FROM docs WHERE len(words) > 0),
+tf AS (SELECT d, word, count(*) AS tf FROM (SELECT d, unnest(words) AS word FROM docs) GROUP BY ALL),
+asked AS (
+  SELECT item, item_id, word, count(*) AS times
+  FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark)
+  GROUP BY ALL),
+known AS (SELECT * FROM tf WHERE word IN (SELECT word FROM asked)),
+weights AS (
+  SELECT word, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM known, corpus GROUP BY word, n_docs),
+valued AS (
+  SELECT d, doc_id, word, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(words) * n_docs) // n_words)) AS v FROM known JOIN docs USING (d), corpus),
+scores AS (
+  SELECT item, item_id, d, doc_id, CAST(sum(times * w * v) AS BIGINT) AS score FROM asked JOIN valued USING (word) JOIN weights USING (word) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9, "op10_license_scan": OP10}
+    return {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9, "op10_license_scan": OP10, "op11_prefix_trie": OP11, "op12_lexical_search": OP12}
