@@ -94,26 +94,31 @@ FROM d LEFT JOIN best USING (rid)
 """
 
 
+# A start copies the first place of its longest power-of-two prefix that occurs earlier; the copy is their whole common prefix.
 OP4 = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-counted AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM counted WHERE words > 0),
-docs AS (SELECT doc_id, list(x ORDER BY q) AS l, list(words ORDER BY q) AS w FROM placed GROUP BY doc_id),
-starts AS (SELECT doc_id, l, w, unnest(range(1, len(l) + 1)) AS q FROM docs),
-runs AS (SELECT doc_id, l, q, list_filter(range(1, 11), lambda m: q + m - 1 <= len(l) AND list_sum(w[q:q + m - 1]) >= 10)[1] AS m FROM starts),
-known AS (SELECT doc_id, q, m, min(row(doc_id, q)) OVER (PARTITION BY l[q:q + m - 1]) AS home FROM runs WHERE m IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest(range(q, q + m)) AS q FROM known WHERE row(doc_id, q) <> home),
+counted AS (SELECT *, regexp_matches(x, '[^\\x20\\x09-\\x0D]') AS worded FROM lines),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM counted WHERE worded),
+docs AS MATERIALIZED (SELECT doc_id, list(md5(x) ORDER BY q) AS l FROM placed GROUP BY doc_id),
+starts AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS q FROM docs),
+prefixes AS (SELECT doc_id, q, m, md5(array_to_string(l[q:q + m - 1], ',')) AS k FROM starts, (SELECT 1 << j AS m FROM range(20) t(j)) WHERE q + m - 1 <= len(l)),
+known AS (SELECT doc_id, q, m, min(row(doc_id, q)) OVER (PARTITION BY k) AS home FROM prefixes),
+copies AS (SELECT doc_id, q, max_by(home, m) AS home, max(m) AS m FROM known WHERE row(doc_id, q) <> home GROUP BY ALL),
+runs AS (
+  SELECT c.doc_id, q, m + coalesce(list_position(list_transform(range(m, 2 * m), lambda e: a.l[q + e] IS NULL OR a.l[q + e] IS DISTINCT FROM b.l[home[2] + e]), true), m + 1) - 1 AS n
+  FROM copies c JOIN docs a ON a.doc_id = c.doc_id JOIN docs b ON b.doc_id = c.home[1]),
+gone AS (SELECT doc_id, unnest(range(q, q + n)) AS q, n FROM runs),
+cut AS (SELECT doc_id, q, max(n) AS n FROM gone GROUP BY ALL),
 marked AS (
-  SELECT c.doc_id, c.i, c.x, c.words, g.q IS NOT NULL AS removed, p.q
-  FROM counted c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.i = c.i LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.q = p.q),
-heads AS (SELECT g.doc_id, count(*) AS n_runs FROM gone g LEFT JOIN gone h ON h.doc_id = g.doc_id AND h.q = g.q - 1 WHERE h.q IS NULL GROUP BY g.doc_id)
-SELECT doc_id, count(*) FILTER (WHERE words > 0) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, any_value(coalesce(n_runs, 0)) AS n_runs,
-  coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
+  SELECT c.doc_id, c.i, c.x, c.worded, g.q IS NOT NULL AS removed, p.q, g.n
+  FROM counted c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.i = c.i LEFT JOIN cut g ON g.doc_id = c.doc_id AND g.q = p.q),
+heads AS (SELECT g.doc_id, count(*) AS n_runs FROM cut g LEFT JOIN cut h ON h.doc_id = g.doc_id AND h.q = g.q - 1 WHERE h.q IS NULL GROUP BY g.doc_id)
+SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, any_value(coalesce(n_runs, 0)) AS n_runs,
+  CAST(coalesce(max(n), 0) AS BIGINT) AS longest_run, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
 FROM marked LEFT JOIN heads USING (doc_id) GROUP BY doc_id
 """
 
-
 # CRC32 of the ids' digits by its byte table; prefixes are keyed by the MD5 of their joined turn codes.
 OP11 = """
 WITH RECURSIVE bytes(i, c, k) AS (

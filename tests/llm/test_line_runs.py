@@ -8,33 +8,39 @@ from llm_fixtures import awkward, clashing, same, table, words
 from tavola.llm import line_runs
 
 
-def brute(rows, min_words=line_runs.MIN_WORDS):
-    """Later copies of every shortest run, by comparing the runs' lines."""
+def brute(rows):
+    """Every start with the longest power-of-two prefix that stands earlier, and how long it goes on like its first place."""
     seqs = []
     for r in rows:
         lines = (r[1] or "").split("\n")
         seqs.append((lines, [i for i, x in enumerate(lines) if words(x)]))
-    runs, home = [], {}
-    for k, (lines, at) in enumerate(seqs):
-        for p in range(len(at)):
-            n = total = 0
-            while p + n < len(at) and total < min_words:
-                total += len(words(lines[at[p + n]]))
-                n += 1
-            if total >= min_words:
-                key = tuple(lines[i] for i in at[p : p + n])
-                place = (rows[k][0] is None, rows[k][0] or 0, p)
-                runs.append((k, p, n, key, place))
-                home[key] = min(home.get(key, place), place)
-    gone = [set() for _ in rows]
-    for k, p, n, key, place in runs:
-        if place != home[key]:
-            gone[k] |= set(range(p, p + n))
+    place = lambda k, p: (rows[k][0] is None, rows[k][0] or 0, p)
+    text = [tuple(lines[i] for i in at) for lines, at in seqs]
+    home = {}
+    for k, t in enumerate(text):
+        for p in range(len(t)):
+            m = 1
+            while p + m <= len(t):
+                home[t[p : p + m]] = min(home.get(t[p : p + m], (place(k, p), k, p)), (place(k, p), k, p))
+                m *= 2
     out = []
     for k, (lines, at) in enumerate(seqs):
-        cut = {at[p] for p in gone[k]}
-        text = "\n".join(x for i, x in enumerate(lines) if i not in cut)
-        out.append((rows[k][0], len(at), len(cut), sum(p - 1 not in gone[k] for p in gone[k]), text))
+        gone, longest, t = set(), 0, text[k]
+        for p in range(len(t)):
+            m, best = 1, None
+            while p + m <= len(t):
+                first = home[t[p : p + m]]
+                best = first if first[0] != place(k, p) else best
+                m *= 2
+            if best:
+                other, q, n = text[best[1]], best[2], 0
+                while p + n < len(t) and q + n < len(other) and t[p + n] == other[q + n]:
+                    n += 1
+                gone |= set(range(p, p + n))
+                longest = max(longest, n)
+        cut = {at[p] for p in gone}
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in cut)
+        out.append((rows[k][0], len(at), len(cut), sum(p - 1 not in gone for p in gone), longest, kept))
     return out
 
 
@@ -61,18 +67,29 @@ def test_awkward_rows(spark):
     assert same(line_runs.report(df).collect(), brute(awkward()))
     out = line_runs.dedup_lines(df)
     assert out.columns == df.columns
-    want = {(r[0], t[4]) for r, t in zip(awkward(), brute(awkward()))}
+    want = {(r[0], t[5]) for r, t in zip(awkward(), brute(awkward()))}
     assert {(r.doc_id, r.text or "") for r in out.collect()} == want
     assert line_runs.report(table(spark, [])).collect() == []
 
 
+def test_whole_runs_go(spark):
+    """Tails of runs and short lines go too."""
+    a, b, c = "one two three four five six seven eight nine ten eleven twelve", "b b b b", "c c c"
+    rows = [(1, f"{a}\n{b}\n{c}\nfirst", "en", "a", 1), (2, f"{a}\n{b}\n{c}\nsecond", "en", "a", 1)]
+    rows += [(10 + i, f"own {i}\nall of us share this", "en", "a", 1) for i in range(500)]
+    got = {r.doc_id: r for r in line_runs.report(table(spark, rows)).collect()}
+    assert got[2].text == "second" and (got[2].n_removed, got[2].n_runs, got[2].longest_run) == (3, 1, 3)
+    assert sum(r.text.endswith("this") for r in got.values()) == 1 and got[10].n_removed == 0
+
+
 def test_suffix_ranks_order_suffixes(spark):
     rows = repeated_rows()
-    lines = line_runs.line_sequences(table(spark, rows), "doc_id", "text", 10)
-    levels = line_runs.suffix_ranks(lines, 10)
+    lines = line_runs.line_sequences(table(spark, rows), "doc_id", "text")
+    levels = line_runs.suffix_ranks(lines)
     ids = {}
     for r in lines.collect():
         ids.setdefault((r.id, r.text_hash), {})[r["at"]] = bytes(r.line_id)
+    assert len(levels) >= 9  # 300 equal lines
     for j, level in enumerate(levels):
         got = level.collect()
         prefix = lambda r: tuple(ids[(r.id, r.text_hash)][r["at"] + i] for i in range(1 << j))

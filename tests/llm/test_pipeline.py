@@ -27,7 +27,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         if name == "quality rules":
             assert sorted(after) == sorted(r for r in before if quality_crf.judge(r[1].encode(), field)[6])
         elif name == "line dedup":
-            assert {r[0]: r[1] for r in after} == {r[0]: r[4] for r in line_brute(before)} and len(after) == len(before)
+            assert {r[0]: r[1] for r in after} == {r[0]: r[5] for r in line_brute(before)} and len(after) == len(before)
             assert all(r[4] == len(r[1]) for r in after)
         elif name == "SimHash near-dedup":
             assert {r[0] for r in after} == {r[2] for r in simhash_brute(before)} and len(after) == len({r[0] for r in after})
