@@ -1,28 +1,27 @@
 """Multi-label category classification.
 
-Binary relevance: one Spark ML classifier per label over one shared, cached
-feature-vector column.  Label fits are independent distributed jobs and are
-submitted from a small driver thread pool.  Probabilities come back in long
-form ``(row_id, label_idx, prob)``; thresholding and all metrics are the
+Features are sparse rows assembled from ranked slot tables; all labels are
+solved at once (``tavola.plans.solvers``): one quasi-Newton solve for the
+logistic kind, one shared network for the neural kind.  Probabilities come back
+in long form ``(row_id, label_idx, prob)``; thresholding and all metrics are the
 relational operators of ``tavola.operators.evaluate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavola.operators import evaluate, importance, labels, mlfeatures, split, text
-from tavola.session import cut_lineage
+from tavola.operators import assemble, evaluate, importance, labels, mlfeatures, split, text
+from tavola.plans import solvers
+from tavola.session import cut_lineage, materialize_table
 
 # Model inputs of the category classifier.
 TEXT_COLUMN = "listing_name"
@@ -34,10 +33,8 @@ NUMERIC = ["longitude", "latitude", "log_average_cost_inr", "price_range", "aggr
 class LabelModel:
     vocab: DataFrame
     n_labels: int
-    featurizer: PipelineModel
-    scaler: dict
-    models: dict = field(default_factory=dict)
-    feature_names: list = field(default_factory=list)
+    encoding: assemble.Encoding
+    models: solvers.LogisticModel | solvers.NetworkModel
     threshold: float = 0.5
 
 
@@ -95,81 +92,60 @@ def fit_featurizer(train: DataFrame, max_features: int = 3000, min_df: int = 1,
     return model, scaler, names
 
 
-def featurize(model: LabelModel | None, data: DataFrame, featurizer=None, scaler=None) -> DataFrame:
-    fz = featurizer or model.featurizer
-    sc = scaler if scaler is not None else model.scaler
+def featurize(model: LabelModel | assemble.Encoding | None, data: DataFrame, featurizer: PipelineModel | None = None, scaler: dict | None = None) -> DataFrame:
+    """Rows with their features: sparse ``slots`` and ``values``, or the vectors of a Spark ML featurizer."""
     keep = ["row_id", "split", "label_set", *(["fold"] if "fold" in data.columns else [])]
-    return fz.transform(mlfeatures.apply_median_std(data, sc)).select(*keep, "features")
-
-
-def _fit_one(kind: str, train: DataFrame, j: int, n: float, pos: float, n_features: int, c: float, max_iter: int, hidden: Sequence[int], seed: int):
-    y = F.array_contains(F.col("label_set"), F.lit(j)).cast("double")
-    d = train.withColumn("y", y)
-    if pos == 0 or pos == n:
-        return ("constant", float(pos > 0))
-    w = F.when(F.col("y") == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos))))
-    d = d.withColumn("w", w)
-    if kind == "logistic":
-        est = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                                 standardization=False, maxIter=max_iter, fitIntercept=True)
-    else:
-        est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed + j)
-    return ("model", est.fit(d))
+    if featurizer is not None:
+        return featurizer.transform(mlfeatures.apply_median_std(data, scaler)).select(*keep, "features")
+    encoding = model.encoding if isinstance(model, LabelModel) else model
+    cells = assemble.sparse_rows(assemble.assembled(encoding, data))
+    out = data.select(*keep).join(cells, "row_id", "left")
+    return out.withColumns({"slots": F.coalesce("slots", F.array().cast("array<int>")), "values": F.coalesce("values", F.array().cast("array<double>"))})
 
 
-# Most rounds of the two kinds, and the hidden layers of the neural kind.
+# Most rounds of the two kinds, the neural kind's hidden layers, its share of validation rows and its patience.
 ITERATIONS = {"logistic": 2000, "mlp": 250}
-HIDDEN = (128,)
+HIDDEN = (256,)
+HELD_OUT_PERCENT = 12
+PATIENCE = 12
 
 
-def fit(train_vec: DataFrame, n_labels: int, kind: str = "logistic", c: float = 1.0, max_iter: int | None = None, hidden: Sequence[int] = HIDDEN, seed: int = 42, workers: int = 4) -> dict:
-    """One classifier per label (absent or all-present labels -> constant).
+def fit(train: DataFrame, n_labels: int, n_slots: int, kind: str = "logistic", c: float = 1.0, max_iter: int | None = None, hidden: Sequence[int] = HIDDEN, seed: int = 42):
+    """All labels' classifiers in one solve over sparse rows.
 
     Fits end by tolerance or at ``max_iter`` rounds, the kind's full budget by default.
     """
     max_iter = max_iter or ITERATIONS[kind]
-    train_vec = train_vec.persist(StorageLevel.MEMORY_AND_DISK)
-    n = float(train_vec.count())
-    n_features = train_vec.first()["features"].size
-    counts = train_vec.select(F.explode("label_set").alias("j")).groupBy("j").count().collect()  # one number per label
-    positive = {r["j"]: float(r["count"]) for r in counts}
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        futs = {j: pool.submit(_fit_one, kind, train_vec, j, n, positive.get(j, 0.0), n_features, c, max_iter, hidden, seed) for j in range(n_labels)}
-        out = {j: f.result() for j, f in futs.items()}
-    train_vec.unpersist()
-    return out
-
-
-def predict_proba(models: dict, data_vec: DataFrame) -> DataFrame:
-    """``(row_id, label_idx, prob, truth)`` in long form: all labels' probabilities in one pass over the vectors."""
-    out = data_vec
-    for j, (kind, m) in sorted(models.items()):
-        if kind == "constant":
-            out = out.withColumn(f"_p{j}", F.lit(float(m)))
-        else:
-            out = m.copy().setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_prob").transform(out)
-            out = out.withColumn(f"_p{j}", vector_to_array("_prob")[1]).drop("_prob")
-    probs = F.posexplode(F.array(*[F.col(f"_p{j}") for j in sorted(models)])).alias("label_idx", "prob")
-    long = out.select("row_id", "split", "label_set", probs)
+    held_out = split.mixed_hash(F.col("row_id"), f"held{seed}") % 100 < HELD_OUT_PERCENT
+    rows = train.select("slots", "values", "label_set", held_out.alias("held_out")).persist(StorageLevel.MEMORY_AND_DISK)
+    n, n_held = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("held_out"), 1))).first()
+    if kind == "mlp":
+        model = solvers.fit_network(rows, n, n_held, n_labels, n_slots, hidden, max_rounds=max_iter, patience=PATIENCE, seed=seed)
+    else:
+        counts = rows.select(F.explode("label_set").alias("j")).groupBy("j").count().collect()  # one number per label
+        positive = {r["j"]: float(r["count"]) for r in counts}
+        model = solvers.fit_logistic(rows, n, [positive.get(j, 0.0) for j in range(n_labels)], n_slots, c, max_iter)
+    rows.unpersist()
+    return model
+
+
+def predict_proba(models, data_rows: DataFrame) -> DataFrame:
+    """``(row_id, label_idx, prob, truth)`` in long form: all labels' probabilities in one pass over the rows."""
+    layers = [models.weights.T] if isinstance(models, solvers.LogisticModel) else [models.layers[0][0], models.layers[-1][1][None, :]]
+    n_slots = layers[0].shape[0] - isinstance(models, solvers.LogisticModel)
+    out = solvers.predicted(models, data_rows.select("row_id", "split", "label_set", "slots", "values"), n_slots, layers[-1].shape[1])
+    long = out.select("row_id", "split", "label_set", F.posexplode("probs").alias("label_idx", "prob"))
     return long.select("row_id", "split", "label_idx", "prob", F.array_contains("label_set", F.col("label_idx")).cast("int").alias("truth"))
 
 
 def coefficients(model: LabelModel) -> DataFrame:
-    """I3 / I4 input: ``(label, feature, coefficient)`` of the logistic models (model-sized)."""
-    from pyspark.sql import SparkSession
-
-    names = model.feature_names
-    rows = []
-    labels_ = {r["label_idx"]: r["label"] for r in model.vocab.collect()}
-    for j, (kind, m) in model.models.items():
-        if kind != "model" or not hasattr(m, "coefficients"):
-            continue
-        for i, v in enumerate(m.coefficients.toArray()):
-            if v != 0.0:
-                rows.append((labels_[j], names[i], float(v)))
-    ss = SparkSession.getActiveSession()
-    df = ss.createDataFrame(rows, "label string, feature string, coefficient double")
-    return df.withColumn("feature", importance.clean_feature_name(F.col("feature")))
+    """I3 / I4 input: ``(label, feature, coefficient)`` of the logistic models, zeros left out."""
+    spark, weights = model.vocab.sparkSession, model.models.weights
+    live = [j for j in range(len(weights)) if j not in model.models.constant]
+    rows = [(j, weights[j, :-1].tolist()) for j in live]
+    long = spark.createDataFrame(rows, "label_idx int, w array<double>").select("label_idx", F.posexplode("w").alias("slot", "coefficient")).filter("coefficient <> 0")
+    names = model.encoding.names().withColumn("feature", importance.clean_feature_name(F.col("feature")))
+    return long.join(names, "slot").join(model.vocab, "label_idx").select("label", "feature", "coefficient")
 
 
 def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: int = 10, max_features: int = 3000, c: float = 1.0,
@@ -177,20 +153,20 @@ def train_and_evaluate(prepared: DataFrame, kind: str = "logistic", min_count: i
                        ngram_max: int = 2, min_df: int = 2):
     """Full flow: dataset -> featurize -> fit -> tune threshold on val (T9) -> metrics per split (E*)."""
     data, vocab, freq = build_dataset(prepared, min_count, seed)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize_table(data, "label-data")
     vocab = vocab.persist()
     n_labels = vocab.count()
     train = data.filter("split = 'train'")
-    fz, scaler, names = fit_featurizer(train, max_features, min_df, ngram_max)
-    vec = featurize(None, data, fz, scaler).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit(vec.filter("split = 'train'"), n_labels, kind, c, max_iter, hidden, seed)
-    probs = predict_proba(models, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    encoding = assemble.fit_encoding(train, "row_id", TEXT_COLUMN, CATEGORICAL, NUMERIC, max_features, min_df, ngram_max)
+    rows = materialize_table(featurize(encoding, data), "label-rows")
+    models = fit(rows.filter("split = 'train'"), n_labels, encoding.n_slots, kind, c, max_iter, hidden, seed)
+    probs = predict_proba(models, rows).persist(StorageLevel.MEMORY_AND_DISK)
     sweep = evaluate.threshold_sweep(probs.filter("split = 'val'"), n_labels)
     best = fixed_threshold if fixed_threshold is not None else sweep.filter("is_best").select("threshold").first()[0]
     preds = evaluate.apply_threshold(probs, best)
     metrics = evaluate.multilabel_metrics(preds, n_labels, ["split"])
     per_label = evaluate.per_label_table(preds.filter("split = 'test'"), vocab)
-    model = LabelModel(vocab, n_labels, fz, scaler, models, names, best)
+    model = LabelModel(vocab, n_labels, encoding, models, best)
     return model, {"metrics": metrics, "threshold_tuning": sweep, "per_label": per_label, "frequency": freq, "predictions": preds}
 
 
@@ -217,10 +193,10 @@ def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "log
         n_labels = vocab.count()
         for f in range(k):
             tr = data.filter(F.col("fold") != f)
-            fz, scaler, _ = fit_featurizer(tr, int(cand["max_features"]), int(cand["min_df"]), int(cand["ngram_max"]))
-            vec = featurize(None, data, fz, scaler)
-            models = fit(vec.filter(F.col("fold") != f), n_labels, kind, float(cand["c"]), max_iter, cand.get("hidden", HIDDEN), seed)
-            held = vec.filter(F.col("fold") == f)
+            encoding = assemble.fit_encoding(tr, "row_id", TEXT_COLUMN, CATEGORICAL, NUMERIC, int(cand["max_features"]), int(cand["min_df"]), int(cand["ngram_max"]))
+            rows = materialize_table(featurize(encoding, data), "fold-rows")
+            models = fit(rows.filter(F.col("fold") != f), n_labels, encoding.n_slots, kind, float(cand["c"]), max_iter, cand.get("hidden", HIDDEN), seed)
+            held = rows.filter(F.col("fold") == f)
             sweep = evaluate.threshold_sweep(predict_proba(models, held), n_labels).filter("is_best")
             rec = sweep.select(
                 F.lit(ci + 1).alias("candidate"), F.lit(f).alias("fold"), F.col("threshold").alias("best_threshold"),
@@ -235,36 +211,28 @@ def cross_validate(prepared: DataFrame, candidates, k: int = 3, kind: str = "log
 
 
 def save_model(model: LabelModel, path: str) -> None:
-    """Featurizer pipeline, one Spark ML model per label, vocabulary and threshold."""
+    """Encoding tables, weights, vocabulary and threshold, as Parquet and JSON."""
     import json
 
     base = path.rstrip("/")
-    model.featurizer.write().overwrite().save(f"{base}/featurizer")
+    spark, m = model.vocab.sparkSession, model.models
+    assemble.save_encoding(model.encoding, base)
     model.vocab.write.mode("overwrite").parquet(f"{base}/vocabulary")
-    consts = {}
-    for j, (kind, m) in model.models.items():
-        if kind == "model":
-            m.write().overwrite().save(f"{base}/label_{j}")
-        else:
-            consts[str(j)] = m
-    spark = model.vocab.sparkSession
-    meta = {"n_labels": model.n_labels, "threshold": model.threshold, "constants": consts, "scaler": model.scaler, "feature_names": model.feature_names}
+    arrays = [m.weights] if m.kind == "logistic" else [x for layer in m.layers for x in layer]
+    rows = [(i, list(x.shape), x.ravel().tolist()) for i, x in enumerate(arrays)]
+    spark.createDataFrame(rows, "i int, shape array<int>, x array<double>").write.mode("overwrite").parquet(f"{base}/weights")
+    meta = {"kind": m.kind, "n_labels": model.n_labels, "threshold": model.threshold, "constants": getattr(m, "constant", {})}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{base}/meta")
 
 
-def load_model(spark, path: str, kind: str = "logistic") -> LabelModel:
+def load_model(spark, path: str) -> LabelModel:
     import json
 
-    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
-
     base = path.rstrip("/")
     meta = json.loads(spark.read.text(f"{base}/meta").first()[0])
-    loader = LogisticRegressionModel if kind == "logistic" else MultilayerPerceptronClassificationModel
-    models = {}
-    for j in range(meta["n_labels"]):
-        if str(j) in meta["constants"]:
-            models[j] = ("constant", meta["constants"][str(j)])
-        else:
-            models[j] = ("model", loader.load(f"{base}/label_{j}"))
-    scaler = {k: tuple(v) for k, v in meta["scaler"].items()}
-    return LabelModel(spark.read.parquet(f"{base}/vocabulary"), meta["n_labels"], PipelineModel.load(f"{base}/featurizer"), scaler, models, meta["feature_names"], meta["threshold"])
+    arrays = [np.array(r["x"]).reshape(r["shape"]) for r in spark.read.parquet(f"{base}/weights").orderBy("i").collect()]
+    if meta["kind"] == "logistic":
+        models = solvers.LogisticModel(arrays[0], {int(j): p for j, p in meta["constants"].items()})
+    else:
+        models = solvers.NetworkModel(list(zip(arrays[::2], arrays[1::2])))
+    return LabelModel(spark.read.parquet(f"{base}/vocabulary"), meta["n_labels"], assemble.load_encoding(spark, base), models, meta["threshold"])
