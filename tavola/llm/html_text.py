@@ -3,15 +3,17 @@
 A page is cut into flat text blocks at block-level tags.  Every block has
 shallow features: its words and link density, those of the blocks before and
 after it, and the kind of container it stands in.  Boilerplate containers known by
-their tag, role or being hidden weigh more than those known by a class name or
-id, which long text of few links overrules; a named container does not count
-inside a ``main``, or inside the page's first ``article``.  A decision tree (Gini
-splits), trained on the small labelled table below, tells content from
-boilerplate; content blocks make the text.
+their tag, role, being hidden or holding comments weigh more than those known by
+another class name or id.  A named container may wrap the whole page: long text
+of few links in it counts only where little such text stands outside named
+containers, and none in a ``main`` or ``article``.  A name does not count inside a
+``main``, nor inside the page's first ``article`` if that holds more text than
+stands outside.  A decision tree (Gini splits), trained on the small labelled
+table below, tells content from boilerplate; content blocks make the text.
 
 Defined results: a null or empty page, and one without content blocks, has an
 empty text; broken markup (unclosed tags, stray ends, open comments) is read
-to its end; only an unclosed script, style, title or textarea reaches to the
+to its end; a quote opens a value only behind an equals sign; only an unclosed script, style, title or textarea reaches to the
 page's end, as HTML reads it, and any other element without text of the page
 (``APART``) is left out from its start to its own end, or is read like any
 other where that end is missing; null and repeated ids are ordinary rows; an empty table gives no
@@ -46,7 +48,7 @@ NOISE_ROLES = set("navigation banner contentinfo complementary search form alert
 NOISE_NAMES = set(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "pagination pager footer masthead topbar toolbar widget comment comments commentlist disqus reply replies respond login signup search hidden".split()
+    "pagination pager footer masthead topbar toolbar widget login signup search hidden".split()
 )
 NOISE_NAMES |= set(
     "ad-banner ad-container ad-slot ad-unit ad-wrapper google-ad sponsored-content cookie-banner cookie-bar cookie-consent cookie-message cookie-notice cookie-popup "
@@ -54,7 +56,10 @@ NOISE_NAMES |= set(
     "share-bar share-buttons share-links sharing-buttons social-bar social-buttons social-icons social-links social-media social-share related-articles related-content related-links "
     "related-posts related-stories recommended-articles recommended-posts left-sidebar right-sidebar side-bar sidebar-left sidebar-right primary-sidebar secondary-sidebar "
     "widget-area footer-widgets nav-bar nav-links nav-menu main-menu main-nav site-nav top-nav post-navigation breadcrumb-nav page-footer page-header site-footer site-header top-bar "
-    "comment-body comment-form comment-list comments-area comments-list comments-section user-comments modal-dialog popup-overlay".split()
+    "modal-dialog popup-overlay".split()
+)
+COMMENT_NAMES = set(
+    "comment comments commentlist disqus reply replies respond comment-body comment-form comment-list comments-area comments-list comments-section user-comments".split()
 )
 MAIN_NAMES = set(
     "article content main post story entry article-body article-content article-text content-body content-main entry-content main-content page-content post-body post-content post-text story-body story-content".split()
@@ -63,13 +68,13 @@ MAIN_NAMES = set(
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"
     r"|<[!?/][^>]*+>?"
     r"|<[a-zA-Z][^<>]*+>",
     re.S | re.I,
 )
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "noise", "main", "heading")
@@ -208,25 +213,30 @@ def _names(values: dict[str, str]) -> set[str]:
     return {CAMEL.sub("-", x).lower().replace("_", "-") for x in names} | {x.lower() for x in names}
 
 
+# Noise while a page is read: none, by name (or a form), by kind, and by name around the page's first article.
+NAMED, HARD, AROUND_ARTICLE = 1, 2, 3
+
+
 def _kind(tag: str, attrs: str, kind: tuple[int, bool], first: bool) -> tuple[int, bool]:
-    """(noise, main) inside a tag that stands in a container of ``kind``; ``first``: no article or main outside noise came before."""
+    """(noise, main) inside a tag that stands in a container of ``kind``; ``first``: no article or main outside hard noise came before."""
     noise, main = kind
     if tag == "main" or tag == "article":
         main = True
-        if noise == 1 and (first or tag == "main"):
-            noise = 0
+        if noise == NAMED and (first or tag == "main"):
+            noise = 0 if tag == "main" else AROUND_ARTICLE
     if tag in NOISE_TAGS:
-        noise = max(noise, 1 if tag == "form" else 2)
-    if attrs and noise < 2:
+        noise = HARD if tag != "form" else noise or NAMED
+    if attrs and noise != HARD:
         values = _attributes(attrs)
         role = values.get("role", "").strip().lower()
         names = _names(values) if "class" in values or "id" in values else set()
         named = bool(names & NOISE_NAMES)
+        comments = bool(names & COMMENT_NAMES) and tag not in ("html", "body", "main")
         main = main or (not noise and (role in ("main", "article") or bool(names & MAIN_NAMES) and not named))
-        if role in NOISE_ROLES or "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or "display:none" in "".join(values.get("style", "").lower().split()):
-            noise = 2
+        if comments or role in NOISE_ROLES or "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or "display:none" in "".join(values.get("style", "").lower().split()):
+            noise = HARD
         elif named and tag not in ("html", "body", "main"):
-            noise = 1
+            noise = NAMED
     return noise, main
 
 
@@ -234,6 +244,8 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool, bool]]:
     """Flat text blocks: (text, words, link density, noise, main, heading)."""
     out: list[tuple[str, int, float, int, bool, bool]] = []
     stack: list[tuple[str, tuple[int, bool], bool, tuple | None]] = []
+    places: dict[str, list[int]] = {}  # where the elements of a tag stand in the stack
+    blocks_at: list[int] = []  # where those stand that are not inline
     parts = None  # the open block's texts, last first: (texts before, text)
     state = [(0, False), False, 0, 0]  # kind, heading, open links, link words
     foreign = 0  # svg and math elements open
@@ -263,10 +275,26 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool, bool]]:
             flush()
             state[0], state[1] = kind, heading
 
+    def push(tag: str, kind: tuple[int, bool], heading: bool, saved: tuple | None = None) -> None:
+        nonlocal foreign
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks_at.append(len(stack))
+        foreign += tag in FOREIGN
+        stack.append((tag, kind, heading, saved))
+
     def close(at_open: int) -> None:
         nonlocal foreign
-        foreign -= sum(name in FOREIGN for name, *_ in stack[at_open:]) if foreign else 0
-        del stack[at_open:]
+        while len(stack) > at_open:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks_at.pop()
+            foreign -= tag in FOREIGN
+
+    def last(tags) -> int:
+        """Where the innermost open element of these tags stands, or -1."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def leave_out(at_open: int) -> None:
         """Go back to the state before an element that is left out."""
@@ -290,16 +318,15 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool, bool]]:
             continue
         end, inline = bool(m["end"]), tag in INLINE
         if foreign and not end and tag in BREAKOUT:
-            at_open = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN)
-            if not any(name in HTML_POINTS for name, *_ in stack[at_open + 1 :]):
+            at_open = last(FOREIGN)
+            if last(HTML_POINTS) < at_open:
                 leave_out(at_open)
         if tag in APART:
-            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if end and at_open is not None:
+            at_open = last((tag,))
+            if end and at_open >= 0:
                 leave_out(at_open)
             elif not end and not (m["attrs"].endswith("/") and (foreign or tag in FOREIGN)):
-                stack.append((tag, state[0], state[1], (len(out), parts, list(state))))
-                foreign += tag in FOREIGN
+                push(tag, state[0], state[1], (len(out), parts, list(state)))
             continue
         if tag == "a":
             state[2] = 0 if end else 1
@@ -311,24 +338,44 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool, bool]]:
         if tag in VOID:
             continue
         if end:
-            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at_open is not None and not (inline and any(name not in INLINE for name, *_ in stack[at_open + 1 :])):
+            at_open = last((tag,))
+            if at_open >= 0 and not (inline and blocks_at and blocks_at[-1] > at_open):
                 close(at_open)
                 enter(*(stack[-1][1:3] if stack else ((0, False), False)))
             continue
         if not inline:
             state[2] = 0
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
-                stack.pop()
+                close(len(stack) - 1)
         kind, heading = stack[-1][1:3] if stack else ((0, False), False)
         kind = _kind(tag, m["attrs"], kind, first)
-        first = first and not (tag in ("article", "main") and not kind[0])
+        first = first and not (tag in ("article", "main") and kind[0] != HARD)
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((tag, kind, heading, None))
+        push(tag, kind, heading)
         enter(kind, heading)
     text(html[at:])
     flush()
-    return out
+    return _weighed(out)
+
+
+LINK_POOR = 1 / 3
+TEXT_WORDS = 8
+OUTSIDE_WORDS = 25
+OUTSIDE_SHARE = 0.05
+
+
+def _weighed(found: list[tuple[str, int, float, int, bool, bool]]) -> list[tuple[str, int, float, int, bool, bool]]:
+    """Blocks with noise 0, 1 (a name around most of the page's text) or 2, judged by the link-poor text in and out of named containers."""
+    words, main_outside = [0, 0, 0, 0], False
+    for _, n, density, noise, main, heading in found:
+        if n >= TEXT_WORDS and density <= LINK_POOR and not heading:
+            words[noise] += n
+            main_outside = main_outside or main and not noise
+    article = words[AROUND_ARTICLE] > words[0]
+    named = words[NAMED] + (0 if article else words[AROUND_ARTICLE])
+    wrapper = not article and not main_outside and words[0] < max(OUTSIDE_WORDS, OUTSIDE_SHARE * named)
+    weigh = (0, NAMED if wrapper else HARD, HARD, 0 if article else NAMED if wrapper else HARD)
+    return [(*b[:3], weigh[b[3]], *b[4:]) for b in found]
 
 
 def main_text(html: str | None, tree: tuple | int) -> str:

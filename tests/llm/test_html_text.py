@@ -118,3 +118,104 @@ def test_short_noise_next_to_long_text_stays_out():
     article = f"<article><p>{long}</p></article>"
     for noise in ("<nav>Menu of pages</nav>", "<div class=sidebar>Menu of pages</div>", "<div hidden>Menu of pages</div>", f"<footer>{LONG}</footer>", f"<div id=promo>{LONG}</div>"):
         assert H.main_text(noise + article, TREE) == H.main_text(article + noise, TREE) == long.strip(), noise
+
+
+def test_long_noise_beside_the_text_is_dropped():
+    plain = f"<div><p>One {LONG}</p><p>Two {LONG}</p></div>"
+    want = f"One {LONG}\nTwo {LONG}".replace(" \n", "\n").strip()
+    short = "<article><p>Thirty words " + "and more " * 14 + "</p></article>"
+    for n in (60, 90, 120, 200, 500):
+        text = "<p>" + "noise " * n + "</p>"
+        for noise in ("<div id=comments>{}</div>", "<div class=comment>{}</div>", "<div class='advert'>{}</div>", "<div class='cookie-notice'>{}</div>", "<div class=notice>{}</div>", "<div class=sidebar>{}</div>", "<div class=widget>{}</div>"):
+            noise = noise.format(text)
+            for page in (f"<article>{plain}</article>", plain, f"<main>{plain}</main>"):
+                assert H.main_text(page + noise, TREE) == H.main_text(noise + page, TREE) == want, (n, noise[:30])
+            assert "noise" not in H.main_text(noise + short, TREE)
+    inside = "<div id='comments'><article><p>" + "reader " * 30 + "</p></article></div>"
+    assert H.main_text(inside + plain, TREE) == H.main_text(plain + inside, TREE) == want
+    teaser = "<div class=sidebar><article><p>" + "teaser " * 30 + "</p></article></div>"
+    assert H.main_text(teaser + plain, TREE) == want
+
+
+def test_a_lone_wrapper_is_kept():
+    long = "word " * 300
+    for name in ("overlay", "widget", "sidebar", "promo"):
+        page = f"<nav><a href=x>Menu</a></nav><div class={name}><h1>Title</h1><p>{long}</p></div><p>Printed by us.</p><footer>{LONG}</footer>"
+        assert long.strip() in H.main_text(page, TREE)
+
+
+def test_stray_quotes_end_with_their_tag():
+    four = ["First it's", "Two", "Three's", "Four"]
+    page = f"<article><p>{four[0]} {LONG}</p><p title=x'>{four[1]} {LONG}</p><p>{four[2]} {LONG}</p><p class=\"a\" b'>{four[3]} {LONG}</p></article>"
+    assert H.main_text(page, TREE) == "\n".join(f"{x} {LONG}".strip() for x in four)
+    assert H.main_text(f"<article><p title='a > b' x = \"c > d\">One {LONG}</p></article>", TREE) == f"One {LONG}".strip()
+
+
+def test_time_does_not_grow_with_the_square():
+    import time
+
+    for page in ("<b><i>" * 32000 + "</u>" * 32000, "<div><b>" * 32000 + "</b></i></div>" * 32000, "<svg><g>" * 32000 + "<p>", "<noscript>" * 64000 + "</noscript>" * 64000):
+        begin = time.process_time()
+        H.blocks(page)
+        assert time.process_time() - begin < 2
+
+
+def walk(node, kind=(0, False), heading=False):
+    """Blocks of a tree of (tag, attributes, children) and texts, as (text, kind, heading)."""
+    runs = []
+
+    def go(node, kind, heading):
+        if isinstance(node, str):
+            runs.append((node, kind, heading))
+            return
+        tag, names, children = node
+        inline = tag in H.INLINE
+        if tag in ("aside", "nav", "footer"):
+            kind = (2, kind[1])
+        elif kind[0] != 2 and "comments" in names:
+            kind = (2, kind[1])
+        elif kind[0] != 2 and "sidebar" in names:
+            kind = (1, kind[1])
+        heading = heading or tag == "h2"
+        if not inline:
+            runs.append(None)
+        for c in children:
+            go(c, kind, heading)
+        if not inline:
+            runs.append(None)
+
+    go(node, kind, heading)
+    out, current = [], []
+    for r in [*runs, None]:
+        if r is None or current and r[1:] != current[-1][1:]:
+            text = " ".join("".join(t for t, *_ in current).split())
+            if text:
+                out.append((text, current[0][1][0], current[0][2]))
+            current = []
+        if r is not None:
+            current.append(r)
+    return out
+
+
+def test_blocks_against_a_tree_walk():
+    import random
+
+    rnd = random.Random(8)
+
+    def node(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice(["one two ", "x", " y ", "three four five ", "\n"])
+        tag = rnd.choice(["div", "section", "ul", "b", "i", "span", "h2", "aside", "blockquote"])
+        children = [node(depth - 1) for _ in range(rnd.randrange(4))]
+        if tag in H.INLINE:
+            children = [c for c in children if isinstance(c, str) or c[0] in H.INLINE]
+        return tag, rnd.choice(["", "", "sidebar", "comments x"]) if tag not in H.INLINE else "", children
+
+    def html(n):
+        return n if isinstance(n, str) else f"<{n[0]}" + (f' class="{n[1]}"' if n[1] else "") + ">" + "".join(map(html, n[2])) + f"</{n[0]}>"
+
+    for _ in range(500):
+        tree = ("body", "", [node(6) for _ in range(3)])
+        got = H.blocks(html(tree))
+        want = walk(tree)
+        assert [(b[0], min(b[3], 1), b[5]) for b in got] == [(t, min(k, 1), h) for t, k, h in want]
