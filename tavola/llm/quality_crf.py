@@ -6,11 +6,16 @@ repetition, ending).  Viterbi decoding gives the best label sequence; a
 document stays if content lines hold at least half of its words.
 
 The field is trained by gradient ascent on the exact log-likelihood over a
-bounded sample of labelled documents, whole texts each: the lines of a document of quality 1
-count as content, those of quality 0 as boilerplate.
+bounded sample of labelled documents, one whole text per labelled id: the lines
+of a document of quality 1 count as content, those of quality 0 as boilerplate.
+Documents of both kinds are joined to sequences that change their label, in
+either order, so that the field learns what a change looks like and labels
+lines, not documents.
 
 Defined results: a null text has no words, fails the base rule and is not
-kept, like an empty text; null and repeated ids are ordinary rows; without
+kept, like an empty text; null and repeated ids are ordinary rows; of rows that
+repeat a labelled id the least text by its hash is trained on, of labels the
+least; without
 labelled documents of both kinds every line counts as content; an empty table
 gives no rows; other columns, whatever their names, are ignored.
 """
@@ -112,27 +117,27 @@ class Field:
         return np.array(labels[::-1])
 
     @classmethod
-    def train(cls, sequences: list[np.ndarray], labels: list[int]) -> Field:
+    def train(cls, sequences: list[np.ndarray], labels: list) -> Field:
         """Gradient ascent on the mean log-likelihood per line (Adam), all sequences at once.
 
-        Lines are held without padding, the lines of one place of all
-        sequences next to each other, longest sequences first.
+        A sequence's label is a number, or an array of one per line.  Lines are
+        held without padding, the lines of one place of all sequences next to
+        each other, longest sequences first.
         """
         by_length = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         lengths = np.array([len(sequences[i]) for i in by_length])
         size, total = int(lengths[0]), int(lengths.sum())
         active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(size), side="right")  # sequences that have this place
         start = np.concatenate([[0], np.cumsum(active)])
-        x, of = np.empty((total, len(FEATURES))), np.empty(total, np.int64)
+        x, of, y = np.empty((total, len(FEATURES))), np.empty(total, np.int64), np.empty(total, np.int64)
         for r, i in enumerate(by_length):
             at = start[: lengths[r]] + r
-            x[at], of[at] = sequences[i], r
-        y = np.array(labels)[by_length]
-        gold = np.stack([1 - y, y], 1)[of]
+            x[at], of[at], y[at] = sequences[i], r, labels[i]
+        gold = np.stack([1 - y, y], 1)
         last = start[lengths - 1] + np.arange(len(lengths))
         rest = slice(active[0], total)
         before = np.concatenate([np.arange(start[t - 1], start[t - 1] + active[t]) for t in range(1, size)] or [np.empty(0, np.int64)])
-        gold_moves = np.diag([(lengths[y == label] - 1).sum() for label in (0, 1)])
+        gold_moves = np.array([[((y[before] == a) & (y[rest] == b)).sum() for b in (0, 1)] for a in (0, 1)])
         w, m = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)]
         places = [(slice(start[t - 1], start[t - 1] + active[t]), slice(start[t], start[t + 1])) for t in range(1, size)]
@@ -163,7 +168,7 @@ ALL_CONTENT = Field(np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (len(FEATURES) - 1)),
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Field:
     """The field fitted on at most ``sample`` documents of each quality, the first by a hash of the id."""
-    known = labels.select(F.col(id_col).alias("doc_id"), "quality").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), "quality").filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
     picks = [known.filter(F.col("quality") == q).orderBy(*order).limit(sample) for q in (0, 1)]
     picked = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * sample rows of two numbers
@@ -178,11 +183,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     kept.append((int(quality), x.astype(np.float32).tobytes()))
             yield pd.DataFrame(kept, columns=["quality", "features"])
 
-    found = rows.join(picked, "doc_id").select("quality", "data").mapInPandas(run, "quality int, features binary").collect()
+    one = rows.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("data").alias("hash"), "data", "quality")).alias("row"))
+    found = one.select("row.quality", "row.data").mapInPandas(run, "quality int, features binary").collect()  # at most 2 * sample
     found.sort()
-    if len({r.quality for r in found}) < 2:
+    kinds = [[np.frombuffer(r.features, np.float32).reshape(-1, len(FEATURES)) for r in found if r.quality == q] for q in (0, 1)]
+    if not all(kinds):
         return ALL_CONTENT
-    return Field.train([np.frombuffer(r.features, np.float32).reshape(-1, len(FEATURES)) for r in found], [r.quality for r in found])
+    return Field.train(*joined(*kinds))
+
+
+def joined(junk: list[np.ndarray], content: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(sequences, their labels): documents of both kinds in pairs, every one at least once, in turn with either kind first."""
+    sequences, labels = [], []
+    for i in range(max(len(junk), len(content))):
+        pair = [(junk[i % len(junk)], 0), (content[i % len(content)], 1)][:: 1 - 2 * (i % 2)]
+        later = pair[1][0].copy()
+        later[0, FEATURES.index("first")] = 0
+        sequences.append(np.concatenate([pair[0][0], later]))
+        labels.append(np.concatenate([np.full(len(x), label) for x, label in pair]))
+    return sequences, labels
 
 
 def judge(text: bytes, field: Field) -> tuple[int, int, int, int, int, bool, bool, float]:

@@ -82,3 +82,56 @@ def test_training_reads_whole_texts(spark):
     field = Q.train(table(spark, rows), labels)
     features = lambda text: Q.line_features(*Q.content_lines(text.encode()))
     assert not field.decode(features(foot[0])).any() and field.decode(features(foot[1])).all()
+
+
+def corpus(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    field = Q.train(docs, labels)
+    texts = {q: [r.text for r in docs.join(labels, "doc_id").filter(f"quality = {q}").orderBy("doc_id").collect() if len(words(r.text)) >= 50] for q in (0, 1)}
+    return field, texts
+
+
+def test_the_change_inside_a_document_is_found(spark):
+    """Documents half prose, half junk: the decoded change lies within two lines of the true one."""
+    field, texts = corpus(spark)
+    near = []
+    for i, (prose_text, junk) in enumerate(zip(texts[1], texts[0])):
+        a, b = ([x for x in t.split("\n") if words(x)] for t in (prose_text, junk))
+        n = min(len(a), len(b), 20)
+        parts = [a[:n], b[:n]][:: 1 - 2 * (i % 2)]
+        label = field.decode(Q.line_features(*Q.content_lines("\n".join(parts[0] + parts[1]).encode())))
+        want = [1 - i % 2] * n + [i % 2] * n
+        near.append(sum(int(x != y) for x, y in zip(label, want)) <= 2)
+    assert len(near) >= 20 and sum(near) / len(near) >= 0.9
+
+
+def test_share_lies_between_for_mixed_documents(spark):
+    field, texts = corpus(spark)
+    shares = []
+    for prose_text, junk in zip(texts[1], texts[0]):
+        a, b = ([x for x in t.split("\n") if words(x)] for t in (prose_text, junk))
+        n = min(len(a) // 7, len(b) // 3)
+        if n >= 2:
+            shares.append(Q.judge("\n".join(a[: 7 * n] + b[: 3 * n]).encode(), field)[7])
+    assert shares and sum(0 < s < 1 for s in shares) >= 0.9 * len(shares)
+
+
+def test_a_repeated_id_is_one_sequence(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(Q.Field, "train", classmethod(lambda cls, sequences, labels: sent.append(sequences) or Q.ALL_CONTENT))
+    docs = spark.range(20_000).selectExpr("cast(0 as bigint) as doc_id", "concat('text ', id % 50, ' of many words') as text")
+    docs = docs.unionByName(spark.createDataFrame([(1, "# | # junk")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0)], "doc_id bigint, quality int")
+    Q.train(docs, labels)
+    assert len(sent[0]) == 1 and len(sent[0][0]) == 2
+
+
+def test_gold_moves_count_changes():
+    rnd = np.random.default_rng(3)
+    junk, content = ([rnd.normal(size=(rnd.integers(1, 9), len(Q.FEATURES))) + shift for _ in range(n)] for shift, n in ((-1, 12), (1, 30)))
+    sequences, labels = Q.joined(junk, content)
+    assert len(sequences) == 30 and all(len(s) == len(y) and abs(np.diff(y)).sum() == 1 for s, y in zip(sequences, labels))
+    field = Q.Field.train(sequences, labels)
+    assert field.moves[0, 0] + field.moves[1, 1] > field.moves[0, 1] + field.moves[1, 0]
+    assert np.mean(np.concatenate([field.decode(s) == y for s, y in zip(sequences, labels)])) > 0.95
