@@ -1,12 +1,13 @@
 """Mix sources to target weights with blocks, drawn shards and index permutations.
 
-The words of every source form one stream (its documents in a fixed order),
-packed into blocks of ``BLOCK_WORDS`` words.  A source whose target is t words
+The words of every source form one stream (its documents in the order of a
+mixing hash of id, size and text), packed into blocks of ``BLOCK_WORDS`` words.  A source whose target is t words
 gets n = t / (mean block words) output slots, at most two per block.
 
 * Every slot of a source draws its output shard by a mixing hash, so the counts
   of the sources in a shard are multinomial draws, conditioned on the sources'
-  totals.  ``mixed_documents(..., shards=True)`` deals the mix by them.
+  totals.  ``mix_sources`` names the shards that take of a document, and
+  ``mixed_documents(..., shards=True)`` deals the mix by them.
 * Slot i of a source goes to block ``perm(i mod blocks)``, where ``perm`` is a
   keyed permutation of 0..blocks-1 (swap-or-not shuffle): the slots of one pass
   use every block once, a partial pass uses a pseudorandom subset.
@@ -43,6 +44,11 @@ PRIME = 2_147_483_647
 SHARD_SEED = 784_588_716
 
 
+def mixed_number(*parts: Column | str) -> Column:
+    """32 mixed bits of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
 def round_keys(rounds: int = ROUNDS, seed: int = 20_240_917) -> list[tuple[int, int, int]]:
     """(shift, factor, addend) of every round, from a linear congruence."""
     keys, x = [], seed
@@ -109,28 +115,31 @@ def buckets_of(documents: int) -> int:
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *keep: Column) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in their source's stream, sources).
 
-    The stream's order is (id modulo buckets, id, size).  Running sums go by
-    (source, bucket) and then over the bucket totals, so that no task holds a
-    source; the number of buckets follows the number of documents.
+    The stream's order is that of the MD5 of id, size and text, whose first bits
+    are the bucket.  Running sums go by (source, bucket) and then over the bucket
+    totals, so that no task holds a source, whatever its ids are; the number of
+    buckets follows the number of documents.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
+    size, text = word_count(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), size.cast("string"), text))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order.alias("order_key"), *keep)
     sizes = materialize_table(sizes, "mix-sizes")
     per = materialize_table(source_targets(sizes), "mix-targets")
     buckets = buckets_of(sizes.count())
-    known = F.coalesce(F.col("doc_id"), F.lit(-1))
-    extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size", "order_key")]
+    bucket = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long") % F.lit(buckets)
     rows = (
         sizes.withColumn("_null", F.col("source").isNull())
         .withColumn("source", F.coalesce("source", F.lit("")))
         .join(per.withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))), ["_null", "source"])
-        .select("doc_id", "size", "ord", "source_size", "target", "blocks", "slots", *extra, F.pmod(known, F.lit(buckets)).alias("_bucket"))
+        .select("doc_id", "size", "ord", "source_size", "target", "blocks", "slots", *extra, "order_key", bucket.alias("_bucket"))
     )
-    inside = Window.partitionBy("ord", "_bucket").orderBy(known, "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("ord", "_bucket").orderBy("order_key", *extra).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("ord").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("ord", "_bucket").agg(F.sum("size").alias("_sum"))
     starts = starts.select("ord", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["ord", "_bucket"])
-    placed = rows.withColumn("at", (F.col("_start") + F.col("_in")).cast("long")).drop("_bucket", "_start", "_in")
+    placed = rows.withColumn("at", (F.col("_start") + F.col("_in")).cast("long")).drop("_bucket", "_start", "_in", "order_key")
     return materialize_table(placed, "mix-streams"), per
 
 
@@ -153,7 +162,7 @@ def output_slots(placed: DataFrame, per: DataFrame) -> DataFrame:
 
 def drawn_shard(ord_: Column, slot: Column, shards: int) -> Column:
     """0..shards-1, drawn for every slot by itself."""
-    return F.pmod(F.xxhash64(F.lit(SHARD_SEED), ord_.cast("long"), slot.cast("long")), F.lit(shards).cast("long"))
+    return mixed_number(F.lit(str(SHARD_SEED)), ord_.cast("string"), slot.cast("string")) % F.lit(shards)
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -177,12 +186,13 @@ def mixed_pieces(docs: DataFrame, *args, **kw) -> tuple[DataFrame, DataFrame]:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
+    """Per document: doc_id, size, source_size, target, taken, shards (those that take of it, ascending, joined by commas)."""
     placed, taken = mixed_pieces(docs, id_col, text_col, source_col)
-    words = taken.groupBy("ord", "at").agg(F.sum("words").alias("_taken"))
+    words = taken.groupBy("ord", "at").agg(F.sum("words").alias("_taken"), F.array_join(F.sort_array(F.collect_set("shard")).cast("array<string>"), ",").alias("_shards"))
     words = words.withColumnRenamed("ord", "_ord").withColumnRenamed("at", "_at")
     on = (F.col("ord") == F.col("_ord")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0)
-    return placed.join(words, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(words, on, "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_shards", F.lit("")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: bool = False) -> DataFrame:
@@ -199,23 +209,27 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     placed, taken = mixed_pieces(docs, id_col, text_col, source_col, text_key(F.col(text_col)).alias("key_text"))
     cuts = F.sort_array(F.collect_list(F.struct("from_word", "words")))
-    by = ["ord", "at", "pass", *(["shard"] if shards else [])]
     position = F.struct("ord", F.min("slot").alias("slot"), "at")
-    takes = taken.groupBy(*by).agg(cuts.alias("cuts"), F.sum("words").alias("taken"), *([position.alias("position")] if shards else []))
-    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("key_id"), "key_text", "size", "cuts", "taken", *(["shard", "position"] if shards else []))
+    takes = taken.groupBy("ord", "at", "pass", *(["shard"] if shards else [])).agg(cuts.alias("cuts"), F.sum("words").alias("taken"), position.alias("position"))
+    one = F.struct("pass", *(["shard"] if shards else []), "position", "taken", "cuts")
+    takes = takes.groupBy("ord", "at").agg(F.sort_array(F.collect_list(one)).alias("takes"))
+    takes = placed.filter("size > 0").join(takes, ["ord", "at"]).select(F.col("doc_id").alias("key_id"), "key_text", "size", "takes")
     takes = materialize_table(takes, "mix-takes")
     rows = packed(docs, id_col, text_col)
     if not placed.groupBy("doc_id", "key_text").count().filter("count > 1").isEmpty():
         rows = one_per_key(rows)
     text = F.col("row")[text_col].cast("string")
-    out = rows.join(takes, same_row(rows, takes)).withColumn("mixed", F.when(F.col("taken") == F.col("size"), text).otherwise(_stretches(text)))
-    out = out.select(F.col("row").withField(f"`{text_col}`", F.col("mixed")).alias("row"), *(["shard", "position"] if shards else []))
+    # Words are cut out once per document, however many takes there are.
+    words = F.when(F.exists("takes", lambda t: t["taken"] != F.col("size")), F.regexp_extract_all(text, F.lit("([^" + SPACE_CLASS[1:] + "+" + SPACE_CLASS + "*)"), F.lit(1)))
+    kept = lambda t: [t["shard"].alias("shard"), t["position"].alias("position")] if shards else []
+    texts = lambda all_: F.transform("takes", lambda t: F.struct(F.when(t["taken"] == F.col("size"), text).otherwise(_stretches(all_, t["cuts"])).alias("text"), *kept(t)))
+    out = rows.join(takes, same_row(rows, takes)).select("row", F.explode(F.transform(F.array(words), texts)[0]).alias("take"))
+    out = out.select(F.col("row").withField(f"`{text_col}`", F.col("take.text")).alias("row"), *(["take.shard", "take.position"] if shards else []))
     return out if shards else out.select("row.*")
 
 
-def _stretches(text: Column) -> Column:
+def _stretches(words: Column, cuts: Column) -> Column:
     """The words of ``cuts`` with the white space between them; a gap between cuts ends a line."""
-    tokens = F.regexp_extract_all(text, F.lit("([^" + SPACE_CLASS[1:] + "+" + SPACE_CLASS + "*)"), F.lit(1))
     start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
 
     def add(runs: Column, cut: Column) -> Column:
@@ -223,6 +237,5 @@ def _stretches(text: Column) -> Column:
         grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), hi.alias("hi"))))
         return F.when((F.size(runs) > 0) & (F.get(runs, F.size(runs) - 1)["hi"] == lo), grown).otherwise(F.concat(runs, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))))
 
-    runs = F.aggregate("cuts", start, add)
-    cut = lambda all_: F.transform(runs, lambda r: F.regexp_replace(F.array_join(F.slice(all_, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""), SPACE_CLASS + r"+\z", ""))
-    return F.array_join(F.transform(F.array(tokens), cut)[0], "\n")
+    cut = lambda r: F.regexp_replace(F.array_join(F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""), SPACE_CLASS + r"+\z", "")
+    return F.array_join(F.transform(F.aggregate(cuts, start, add), cut), "\n")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tavola.llm.licenses import TEMPLATES, THRESHOLD, admissible, bigrams_of
-from tavola.llm.mixing import PRIME, round_keys
 
 OP9 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -13,11 +12,15 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 
-KEYS = ", ".join(f"({r}, {a}, {b}, {c})" for r, (a, b, c) in enumerate(round_keys()))
-
-OP6 = f"""
-WITH RECURSIVE sizes AS MATERIALIZED (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+# The permutation's rounds: shift, factor and addend from a linear congruence modulo 2^31 - 1.
+OP6 = """
+WITH RECURSIVE congruence(i, x) AS (
+  SELECT 0, CAST(20240917 AS BIGINT) UNION ALL SELECT i + 1, (x * 48271 + 11) % 2147483647 FROM congruence WHERE i < 36),
+keys AS MATERIALIZED (
+  SELECT (i - 1) // 3 AS r, max(x) FILTER (WHERE i % 3 = 1) AS shift, max(x + 1 - x % 2) FILTER (WHERE i % 3 = 2) AS factor, max(x) FILTER (WHERE i % 3 = 0) AS addend
+  FROM congruence WHERE i > 0 GROUP BY 1),
+sizes AS MATERIALIZED (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sizes GROUP BY source),
 weighed AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord FROM per),
@@ -33,26 +36,29 @@ targets AS (
 t AS (
   SELECT *, CASE WHEN s > 0 THEN CAST(floor(target * blocks / s + 0.5) AS BIGINT) ELSE 0 END AS slots FROM targets),
 placed AS MATERIALIZED (
-  SELECT doc_id, size, ord, s, target, blocks, slots, row_number() OVER () AS rid,
-    CAST(coalesce(sum(size) OVER (PARTITION BY ord ORDER BY coalesce(doc_id, -1) % (SELECT greatest(1, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1) FROM documents),
-      coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off0
-  FROM sizes JOIN t ON sizes.source IS NOT DISTINCT FROM t.source),
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY ord
+      ORDER BY CAST('0x' || substr(k, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1) FROM documents), k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off0
+  FROM (SELECT doc_id, size, ord, s, target, blocks, slots, row_number() OVER () AS rid,
+      md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || coalesce(text, '')) AS k
+    FROM sizes JOIN t ON sizes.source IS NOT DISTINCT FROM t.source)),
 idx AS (SELECT ord, blocks, slots, unnest(range(blocks)) AS i FROM t),
 slots AS (
   SELECT ord, blocks, pass, i AS idx, i + pass * blocks AS slot, ord * 2 + pass AS k
   FROM idx, (VALUES (0), (1)) v(pass) WHERE i + pass * blocks < slots),
-keys(r, shift, factor, addend) AS (VALUES {KEYS}),
 step AS (
   SELECT ord, slot, blocks, k, idx AS x, 0 AS r FROM slots
   UNION ALL
-  SELECT ord, slot, blocks, k, CASE WHEN ((((greatest(x, p) % {PRIME}) * factor + addend + k * 69069) % {PRIME}) // 65536) % 2 = 1 THEN p ELSE x END, r + 1
+  SELECT ord, slot, blocks, k, CASE WHEN ((((greatest(x, p) % 2147483647) * factor + addend + k * 69069) % 2147483647) // 65536) % 2 = 1 THEN p ELSE x END, r + 1
   FROM (SELECT ord, slot, blocks, k, x, step.r, factor, addend, ((shift + k * 40503) % blocks - x + blocks) % blocks AS p FROM step JOIN keys ON keys.r = step.r)),
-used AS MATERIALIZED (SELECT ord, x AS block, count(*) AS uses FROM step WHERE r = {len(round_keys())} GROUP BY ALL),
+shards AS (SELECT greatest(1, (sum(slots) + 1023) // 1024) AS n FROM t),
+used AS MATERIALIZED (
+  SELECT ord, x AS block, CAST('0x' || substr(md5('784588716:' || ord || ':' || slot), 1, 8) AS BIGINT) % CAST(n AS BIGINT) AS shard FROM step, shards WHERE r = 12),
 cut AS (SELECT rid, ord, off0, size, unnest(range(off0 // 128, (off0 + size - 1) // 128 + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT rid, CAST(sum(uses * (least(off0 + size, (block + 1) * 128) - greatest(off0, block * 128))) AS BIGINT) AS taken
+  SELECT rid, CAST(sum(least(off0 + size, (block + 1) * 128) - greatest(off0, block * 128)) AS BIGINT) AS taken, array_to_string(list_sort(list(DISTINCT shard)), ',') AS shards
   FROM cut JOIN used USING (ord, block) GROUP BY rid)
-SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rid)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken, coalesce(taken.shards, '') AS shards FROM placed LEFT JOIN taken USING (rid)
 """
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import sys
@@ -25,29 +26,46 @@ def brute(rows):
         capped |= above
     target = {s: 2.0 * total[s] if s in capped else level * weight[s] for s in sources}
     buckets = mixing.buckets_of(len(rows))
+    key = [hashlib.md5(f"{'' if r[0] is None else r[0]}:{n}:{r[1] or ''}".encode()).hexdigest() for r, n in zip(rows, size)]
+    n_blocks = {s: -(-total[s] // mixing.BLOCK_WORDS) for s in sources}
+    n_slots = {s: math.floor(target[s] * n_blocks[s] / total[s] + 0.5) if total[s] else 0 for s in sources}
+    shards = max(1, -(-sum(n_slots.values()) // mixing.SLOTS_PER_SHARD))
     out = []
     for o, s in enumerate(sources):
-        own = sorted((i for i, r in enumerate(rows) if r[3] == s), key=lambda i: ((-1 if rows[i][0] is None else rows[i][0]) % buckets, -1 if rows[i][0] is None else rows[i][0], size[i]))
-        blocks = -(-total[s] // mixing.BLOCK_WORDS)
-        slots = math.floor(target[s] * blocks / total[s] + 0.5) if total[s] else 0
-        uses = [0] * blocks
-        for slot in range(slots):
+        own = sorted((i for i, r in enumerate(rows) if r[3] == s), key=lambda i: (int(key[i][:8], 16) % buckets, key[i]))
+        blocks = n_blocks[s]
+        uses = [[] for _ in range(blocks)]
+        for slot in range(n_slots[s]):
             x, k = slot % blocks, o * 2 + slot // blocks
             for shift, factor, addend in mixing.round_keys():
                 partner = ((shift + k * 40_503) % blocks - x + blocks) % blocks
                 if (((max(x, partner) % mixing.PRIME) * factor + addend + k * 69_069) % mixing.PRIME) // 65_536 % 2:
                     x = partner
-            uses[x] += 1
+            uses[x].append(int(hashlib.md5(f"{mixing.SHARD_SEED}:{o}:{slot}".encode()).hexdigest()[:8], 16) % shards)
         at = 0
         for i in own:
-            taken = sum(uses[(at + j) // mixing.BLOCK_WORDS] for j in range(size[i]))
-            out.append((rows[i][0], size[i], total[s], target[s], taken))
+            taken = sum(len(uses[(at + j) // mixing.BLOCK_WORDS]) for j in range(size[i]))
+            where = {x for j in range(size[i]) for x in uses[(at + j) // mixing.BLOCK_WORDS]}
+            out.append((rows[i][0], size[i], total[s], target[s], taken, ",".join(map(str, sorted(where)))))
             at += size[i]
     return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     assert same(mixing.mix_sources(table(spark)).collect(), brute(awkward()))
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 8)
+    assert same(mixing.mix_sources(table(spark)).collect(), brute(awkward()))
+
+
+def test_buckets_are_even_whatever_the_ids(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, F.col("id") * 201).alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), mixing.word_count(F.col("text")).cast("string"), "text"))
+    bucket = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % mixing.buckets_of(40_000)).alias("b")
+    sizes = sorted(r["count"] for r in docs.groupBy(bucket).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert sum(r.taken for r in mixing.mix_sources(docs).collect()) <= 2 * 80_000
 
 
 def test_bounds_and_targets(spark):
@@ -91,7 +109,7 @@ def test_mixed_documents_hold_the_taken_words(spark):
 def test_empty_table(spark):
     assert mixing.mix_sources(table(spark, [])).collect() == []
     blank = [(1, None, None, "a", None), (2, "", None, None, None)]
-    assert same(mixing.mix_sources(table(spark, blank)).collect(), [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)])
+    assert same(mixing.mix_sources(table(spark, blank)).collect(), [(1, 0, 0, 0.0, 0, ""), (2, 0, 0, 0.0, 0, "")])
     assert mixing.mixed_documents(table(spark, [])).collect() == []
 
 
