@@ -6,8 +6,8 @@ kept; all but the last return the columns of documents.
 1. quality rules: documents that the line labeller or the base rule rejects go;
 2. line dedup: later copies of repeated line runs are cut out of the texts;
 3. SimHash near-dedup: one document of every group stays;
-4. mixing: one row per document and pass that the mix takes of it, with the
-   text it takes;
+4. mixing: one row per document, pass and shard that takes of it, with the
+   text it takes, written by shard;
 5. SentencePiece: ids, and digests of ids and decoded text.
 
 Null ids, null and empty texts, repeated rows, empty tables and extra columns
@@ -48,8 +48,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights, as documents."""
-    return _measured(mixing.mixed_documents(docs))
+    """The sources at their target weights, as documents, written shard by shard: the part that a shard's slots take of each."""
+    mix = mixing.mixed_documents(docs, shards=True)
+    return _measured(mix.repartition("shard").sortWithinPartitions("shard", "position").select("row.*"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
