@@ -15,7 +15,7 @@ partition its offset.  No task ever holds a whole group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,3 +145,63 @@ def exact_percentiles_many(
     wide = q.groupBy(*group_cols).pivot("_var", list(value_cols)).agg(*[F.first(n).alias(n) for n in names])
     # With a single aggregate Spark names the pivoted columns by the value alone.
     return wide.withColumnsRenamed({c: f"{c}_{names[0]}" for c in value_cols}) if len(names) == 1 else wide
+
+
+def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column], sums: Mapping[str, str | Column]) -> DataFrame:
+    """Running sums within each group, this row included, skew-safe.
+
+    ``sums``: output column -> value (null adds nothing).  Rows are dealt by
+    ranges of (group, order), so a hot group spans several partitions; each
+    partition sums up its own stretch of a group, and running sums over the
+    (partition, group) totals give what lies before it.  ``order_cols`` must
+    make the order total inside a group.  Null is a group like any other;
+    without group columns the whole table is one group.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    g = list(group_cols)
+    value = {out: F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)) for out, v in sums.items()}
+    dealt = df.withColumns({f"_v_{out}": v for out, v in value.items()}).repartitionByRange(*g, *order).withColumn("_pid", F.spark_partition_id())
+    # Range bounds are sampled: dealt once, for both branches and for retries.
+    dealt = cut_lineage(dealt)
+    part = F.struct("_pid", *g).alias("_part")
+    totals = dealt.groupBy("_pid", *g).agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in sums])
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, *[F.sum(f"_t_{out}").over(before).alias(f"_o_{out}") for out in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.select("*", part).withColumns({f"_l_{out}": F.sum(f"_v_{out}").over(inside) for out in sums})
+    both = local.join(offsets.withColumnRenamed("_part", "_of"), F.col("_part").eqNullSafe(F.col("_of")), "left")
+    return both.select(*df.columns, *[(F.col(f"_l_{out}") + F.coalesce(f"_o_{out}", F.lit(0))).alias(out) for out in sums])
+
+
+RADIX_BITS = 15
+
+
+def smallest(df: DataFrame, value: Column, ranks: Sequence[int], bits: int = 60) -> list[int | None]:
+    """The k-th smallest of a non-negative ``bits``-bit value, for every k of ``ranks`` (from 1; null beyond the rows).
+
+    Selection by radix: each round counts the values that share the digits
+    found so far by their next 15 bits.  No sort; a histogram has at most
+    32,768 rows per rank.
+    """
+    rows = df.select(value.alias("v")).filter("v is not null")
+    found = [0 if k >= 1 else None for k in ranks]  # digits so far
+    left = list(ranks)
+    for shift in range(bits - RADIX_BITS, -1, -RADIX_BITS):
+        prefixes = sorted({x for x in found if x is not None})
+        if not prefixes:
+            break
+        head = F.shiftright("v", shift + RADIX_BITS)
+        digit = F.shiftright("v", shift).bitwiseAND((1 << RADIX_BITS) - 1)
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in rows.filter(head.isin(prefixes)).groupBy(head.alias("p"), digit.alias("d")).count().collect():
+            counts.setdefault(r["p"], []).append((r["d"], r["count"]))
+        for i, prefix in enumerate(found):
+            if prefix is None:
+                continue
+            found[i] = None
+            for d, n in sorted(counts.get(prefix, [])):
+                if left[i] <= n:
+                    found[i] = prefix << RADIX_BITS | d
+                    break
+                left[i] -= n
+    return found

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tavola.functions.stats import prefix_sums
+
 
 def importance_table(spark: SparkSession, names: Sequence[str], values: Sequence[float], value_col: str = "importance") -> DataFrame:
     """``(feature, importance)`` from a fitted model's vector (model-sized)."""
@@ -56,19 +58,11 @@ def top_features_per_label(coefs: DataFrame, k: int = 15) -> DataFrame:
 
 
 def cumulative_importance(imp: DataFrame, value_col: str = "importance") -> DataFrame:
-    """Running sum and share over features sorted by importance desc.
-
-    Importance tables hold one row per model feature, so the ordered window
-    runs over a model-sized table.
-    """
-    w = Window.orderBy(F.col(value_col).desc(), F.col("feature").asc())
+    """Running sum and share over features sorted by importance desc, as a distributed prefix sum."""
     total = imp.select(F.sum(value_col)).scalar()
-    return imp.select(
-        "feature",
-        value_col,
-        F.row_number().over(w).cast("int").alias("rank"),
-        F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cumulative"),
-    ).withColumn("cumulative_share", F.col("cumulative") / total)
+    rows = imp.select("feature", value_col)
+    out = prefix_sums(rows, [], [F.col(value_col).desc(), F.col("feature").asc()], {"cumulative": value_col, "rank": F.lit(1)})
+    return out.select("feature", value_col, F.col("rank").cast("int").alias("rank"), "cumulative", (F.col("cumulative") / total).alias("cumulative_share"))
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import text as T
-from tavola.functions.stats import exact_percentiles_many
+from tavola.functions.stats import exact_percentiles_many, prefix_sums
+from tavola.operators import split
 
 
 def cast_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], trim: bool = False) -> DataFrame:
@@ -44,12 +45,20 @@ def apply_median_std(df: DataFrame, params: dict[str, tuple[float | None, float]
     return df.withColumns(exprs)
 
 
-def level_means(train: DataFrame, cat: str, target: str, prior: float, weight: float = 1.0) -> DataFrame:
-    """M7 apply side: smoothed mean target per level over the training rows (one row per level).
+def ordered_target_statistics(train: DataFrame, id_col: str, cat: str, target: str, prior: float, weight: float = 1.0, seed: int = 42) -> DataFrame:
+    """M7 training side, ordered: each row's statistic of its level over the rows before it in a hashed order.
 
-    A grouped aggregate, so a level holding a third of the rows is combined map-side.
+    ``(sum of earlier targets + weight * prior) / (earlier rows + weight)``, so a
+    row never sees its own target and the first row of a level gets the prior.
+    Running sums are dealt by ranges, so a hot level spans many tasks.  Rows
+    without a target count for no other row.
     """
-    return train.groupBy(cat).agg(((F.sum(target) + F.lit(weight * prior)) / (F.count(target) + F.lit(weight))).alias(f"{cat}_ts"))
+    order = split.mixed_hash(F.col(id_col), f"order{seed}")
+    rows = train.withColumns({"_order": order, "_y": F.col(target).cast("double")})
+    out = prefix_sums(rows, [cat], ["_order", F.col(id_col)], {"_s": "_y", "_n": F.col("_y").isNotNull().cast("long")})
+    own = F.coalesce("_y", F.lit(0.0))
+    value = (F.col("_s") - own + F.lit(weight * prior)) / (F.col("_n") - F.col("_y").isNotNull().cast("long") + F.lit(weight))
+    return out.select(*train.columns, value.alias(f"{cat}_ts"))
 
 
 def target_statistics(train: DataFrame, cat: str, target: str, fold: str, prior: float, weight: float = 1.0) -> DataFrame:

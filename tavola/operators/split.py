@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.stats import smallest
+
 # The split fractions.
 TEST_FRACTION = 0.15
 VAL_FRACTION = 0.15
@@ -34,6 +37,24 @@ def assign_split(df: DataFrame, id_col: str, seed: int = 42, test: float = TEST_
     return df.withColumn("split", F.when(u < low, F.lit("test")).when(u < high, F.lit("val")).otherwise(F.lit("train")))
 
 
+def exact_split(df: DataFrame, id_col: str, seed: int = 42, test: float = TEST_FRACTION, val: float = VAL_FRACTION) -> DataFrame:
+    """P1 with exact sizes: ``ceil(test * n)`` rows test, ``ceil`` of val's share of the rest val, the others train.
+
+    Rows go by their mixing hash; the two cuts are the hashes of the last test
+    and the last val row, found by distributed selection, not by a sort.  Rows
+    that repeat an id have one hash and stay together, which can move a cut by
+    their number; null ids, too, are one id.
+    """
+    u = mixed_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
+    n = df.count()
+    n_test = math.ceil(test * n - 1e-9)
+    n_val = math.ceil((n - n_test) * val / (1 - test) - 1e-9)
+    low, high = smallest(df, u, [n_test, n_test + n_val])
+    is_test = u <= F.lit(low) if low is not None else F.lit(False)
+    is_val = u <= F.lit(high) if high is not None else F.lit(False)
+    return df.withColumn("split", F.when(is_test, F.lit("test")).when(is_val, F.lit("val")).otherwise(F.lit("train")))
+
+
 def assign_fold(df: DataFrame, id_col: str, k: int = 3, seed: int = 42) -> DataFrame:
     """``fold`` in 0..k-1 from a hash of the id that is independent of the split's."""
     return df.withColumn("fold", (mixed_hash(F.col(id_col), f"fold{seed}") % k).cast("int"))

@@ -434,6 +434,14 @@ def _target_statistics(s, d):
     return round6(MF.target_statistics(rows, "city", "aggregate_rating", "fold", 2.5))
 
 
+def _ordered_statistics(s, d):
+    """M7: ordered statistics of the city over the training rows."""
+    from tavola.operators import mlfeatures as MF
+
+    rows = SP.assign_split(listings_raw(s, d).select("listing_id", "city", "aggregate_rating"), "listing_id").filter("split = 'train'")
+    return round6(MF.ordered_target_statistics(rows, "listing_id", "city", "aggregate_rating", 2.5).select("listing_id", "city", "city_ts"))
+
+
 def _median_std(s, d):
     """M5: one row per numeric column."""
     from tavola.operators import mlfeatures as MF
@@ -494,6 +502,8 @@ def _model_queries() -> dict[str, Query]:
             _ml_input(s, d), SPL.candidate_grid(LP.TUNING_GRID, LP.BASE_CANDIDATE, CV_TRIALS), k=3
         )[2],
         "target_statistics": _target_statistics,
+        "ordered_target_statistics": _ordered_statistics,
+        "exact_split_listings": lambda s, d: SP.exact_split(listings_raw(s, d).select("listing_id"), "listing_id"),
         "median_std_fit": _median_std,
         "one_hot_long": _one_hot,
         "fold_summary": lambda s, d: round6(SP.summarize_folds(_fold_records(s, d), ["rmse", "mae"])),

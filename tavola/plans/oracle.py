@@ -433,6 +433,19 @@ def _label_eval_sql() -> dict[str, str]:
         ),
         "fold_summary": W("SELECT * FROM fs", L, folds),
         "select_best_candidate": W("SELECT * FROM fs ORDER BY mean_rmse, candidate LIMIT 1", L, folds),
+        "ordered_target_statistics": W(
+            """SELECT listing_id, city, round((coalesce(sum(y) OVER w, 0) + 2.5) / (count(y) OVER w + 1.0), 6) AS city_ts FROM tr
+               WINDOW w AS (PARTITION BY city ORDER BY u, listing_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+            L,
+            f"""tr AS (SELECT listing_id, city, aggregate_rating AS y, {mixed('order42').replace('row_id', 'listing_id')} AS u
+                       FROM listings WHERE {split_expr.replace('row_id', 'listing_id')} = 'train')""",
+        ),
+        "exact_split_listings": W(
+            """SELECT listing_id, CASE WHEN r <= test THEN 'test' WHEN r <= test + ceil((n - test) * 0.15 / 0.85 - 1e-9) THEN 'val' ELSE 'train' END AS split
+               FROM (SELECT listing_id, n, r, ceil(0.15 * n - 1e-9) AS test FROM ranked)""",
+            L,
+            f"ranked AS (SELECT listing_id, row_number() OVER (ORDER BY {mixed('42').replace('row_id', 'listing_id')}) AS r, count(*) OVER () AS n FROM listings)",
+        ),
         "fold_listings": W(f"SELECT listing_id, CAST({mixed('fold42').replace('row_id', 'listing_id')} % 3 AS INTEGER) AS fold FROM listings", L),
         "threshold_predict": W("SELECT row_id, label_idx, truth, round(prob, 6) AS prob, pred FROM th", L, preds, rowmax, thr),
         "threshold_sweep": W(
