@@ -7,6 +7,8 @@ compared with the DuckDB oracle (``tavola.plans.oracle``).
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from tavola.operators import recommend as R
 from tavola.operators import warehouse as WH
 from tavola.plans.prepare import prepare
 from tavola.plans.requests import REQUESTS
-from tavola.session import cut_lineage, materialize_table
+from tavola.session import cut_lineage, ensure_checkpoint_dir, materialize_table
 from tavola.sources.tables import listings_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,6 +373,36 @@ def _upsert(s, d):
     return WH.upsert_listings(existing, incoming, _ts(T_NOW))
 
 
+def _scratch(s, name):
+    import uuid
+
+    return f"{ensure_checkpoint_dir(s, local_fallback=True).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _merge_store(s, d):
+    """The earlier snapshot as a store; the listings that are new or changed since then merged into it."""
+    from tavola.sources import store as ST
+
+    cols = ["listing_id", "listing_name", "city", "votes", "aggregate_rating", "has_table_booking", "cuisines"]
+    old = listings_raw(s, d, orders_before=SNAPSHOT_BEFORE).select(*cols)
+    ST.write_store(old.withColumns({"created_at": _ts(T_EXISTING), "updated_at": _ts(T_EXISTING)}), path := _scratch(s, "store"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"o.{c}")) for c in cols]
+    changed = listings_raw(s, d).select(*cols).alias("i").join(old.alias("o"), functools.reduce(operator.and_, same), "left_anti")
+    ST.merge_store(s, path, changed, _ts(T_NOW))
+    return round6(ST.read_store(s, path).select("listing_id", "votes", "aggregate_rating", "has_table_booking", _fmt("created_at"), _fmt("updated_at")))
+
+
+def _csv_roundtrip(s, d):
+    """All documents written as CSV, with the line ends and quotes of their texts, and read back."""
+    from tavola.sources.csv_split import read_csv_split
+
+    docs = table(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.csv(path := _scratch(s, "documents-csv"), header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_csv_split(s, path)
+    text = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")]
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), *text, F.col("n_chars").cast("long").alias("n_chars"))
+
+
 def _warehouse_queries() -> dict[str, Query]:
     def history(s, d):
         recs = R.recommend(imported_listings(s, d), REQUESTS["canned_delivery"], 10).withColumn("request_id", F.lit(HISTORY_USER).cast("long"))
@@ -382,6 +414,8 @@ def _warehouse_queries() -> dict[str, Query]:
 
     return {
         "upsert_listings": lambda s, d: round6(_upsert(s, d).select("listing_id", "votes", "aggregate_rating", "has_table_booking", _fmt("created_at"), _fmt("updated_at"))),
+        "merge_store": _merge_store,
+        "csv_roundtrip_documents": _csv_roundtrip,
         "cuisine_dimension": _dim,
         # The second batch holds every name of the first (ignored) and new ones.
         "type_dimension_upsert": lambda s, d: WH.upsert_dim(
@@ -463,6 +497,17 @@ def _fold_records(s, d):
     return out
 
 
+def _assembled_features(s, d):
+    """M4 + M6: slots of all documents, fitted on the training rows."""
+    from tavola.operators import assemble as AS
+    from tavola.operators import mlfeatures as MF
+
+    docs = SP.assign_split(table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars"), "doc_id")
+    docs = cut_lineage(MF.cast_features(docs, ["lang", "source"], ["n_chars"]))
+    encoding = AS.fit_encoding(docs.filter("split = 'train'"), "doc_id", "text", ["lang", "source"], ["n_chars"], MAX_FEATURES, TFIDF_MIN_DF, NGRAM_MAX)
+    return round6(AS.assembled(encoding, docs, "doc_id"))
+
+
 def _one_hot(s, d):
     """M4: indicator rows (listing, level index) over the sorted levels of a categorical column."""
     long = listings_raw(s, d).select(F.col("listing_id").alias("row_id"), F.coalesce("city", F.lit("Unknown")).alias("label"))
@@ -501,6 +546,7 @@ def _model_queries() -> dict[str, Query]:
         "label_cv_best": lambda s, d: LP.cross_validate(
             _ml_input(s, d), SPL.candidate_grid(LP.TUNING_GRID, LP.BASE_CANDIDATE, CV_TRIALS), k=3
         )[2],
+        "assembled_features": _assembled_features,
         "target_statistics": _target_statistics,
         "ordered_target_statistics": _ordered_statistics,
         "exact_split_listings": lambda s, d: SP.exact_split(listings_raw(s, d).select("listing_id"), "listing_id"),

@@ -433,6 +433,20 @@ def _label_eval_sql() -> dict[str, str]:
         ),
         "fold_summary": W("SELECT * FROM fs", L, folds),
         "select_best_candidate": W("SELECT * FROM fs ORDER BY mean_rmse, candidate LIMIT 1", L, folds),
+        "assembled_features": W(
+            """SELECT w.doc_id AS row_id, w.term_idx AS slot, round(w.w / nrm.nrm, 6) AS value FROM w JOIN nrm ON w.doc_id = nrm.doc_id
+               UNION ALL SELECT c.doc_id, lv.slot, 1e0 FROM cats c JOIN lv ON lv.col = c.col AND lv.level = c.level
+               UNION ALL SELECT doc_id, slots.n, round(coalesce(CAST(n_chars AS DOUBLE), med) / sd, 6) FROM documents, slots, st WHERE coalesce(n_chars, med) <> 0""",
+            tf.replace("lower(text)", "lower(coalesce(text, ''))"),
+            f"tr AS (SELECT * FROM documents WHERE {split_expr.replace('row_id', 'doc_id')} = 'train')",
+            vocab.replace("FROM tf GROUP BY", "FROM tf WHERE doc_id IN (SELECT doc_id FROM tr) GROUP BY"),
+            tfidf.replace("FROM documents", "FROM tr"),
+            """cats AS (SELECT doc_id, 0 AS col, coalesce(lang, 'Unknown') AS level FROM documents UNION ALL SELECT doc_id, 1, coalesce(source, 'Unknown') FROM documents)""",
+            """lv AS (SELECT col, level, CAST(row_number() OVER (ORDER BY col, level) - 1 + (SELECT count(*) FROM voc) AS INTEGER) AS slot
+                      FROM (SELECT DISTINCT col, level FROM cats WHERE doc_id IN (SELECT doc_id FROM tr)))""",
+            "slots AS (SELECT CAST((SELECT count(*) FROM voc) + (SELECT count(*) FROM lv) AS INTEGER) AS n)",
+            "st AS (SELECT median(n_chars) AS med, coalesce(nullif(stddev_pop(n_chars), 0), 1) AS sd FROM tr)",
+        ),
         "ordered_target_statistics": W(
             """SELECT listing_id, city, round((coalesce(sum(y) OVER w, 0) + 2.5) / (count(y) OVER w + 1.0), 6) AS city_ts FROM tr
                WINDOW w AS (PARTITION BY city ORDER BY u, listing_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
@@ -562,6 +576,16 @@ def _warehouse_sql() -> dict[str, str]:
                 FROM snap e FULL OUTER JOIN listings i ON e.listing_id = i.listing_id""",
             L, snap,
         ),
+        "merge_store": W(
+            f"""SELECT l.listing_id, l.votes, round(l.aggregate_rating, 6) AS aggregate_rating, l.has_table_booking,
+                       strftime(CASE WHEN e.listing_id IS NULL THEN TIMESTAMP '{T_NOW}' ELSE TIMESTAMP '{T_EXISTING}' END, {fmt}) AS created_at,
+                       strftime(CASE WHEN e.listing_id IS NULL OR (l.listing_name, l.city, l.votes, l.aggregate_rating, l.has_table_booking, l.cuisines)
+                                       IS DISTINCT FROM (e.listing_name, e.city, e.votes, e.aggregate_rating, e.has_table_booking, e.cuisines)
+                                THEN TIMESTAMP '{T_NOW}' ELSE TIMESTAMP '{T_EXISTING}' END, {fmt}) AS updated_at
+                FROM listings l LEFT JOIN snap e ON e.listing_id = l.listing_id""",
+            L, snap,
+        ),
+        "csv_roundtrip_documents": "SELECT doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang, nullif(source, '') AS source, n_chars FROM documents",
         "cuisine_dimension": W("SELECT * FROM dim", *imp, pairs, dim),
         "type_dimension_upsert": """WITH e AS (SELECT CAST(row_number() OVER (ORDER BY type_name) AS BIGINT) AS type_id, type_name
                                          FROM (SELECT DISTINCT p_type AS type_name FROM part WHERE p_type IS NOT NULL)),

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tavola.sources.csv_split import read_csv_split
+
 # Text tokens read as null (the pandas CSV reader's default set).
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -21,8 +23,8 @@ NULL_TOKENS = [
 
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header CSV, quoted multi-line fields, all columns as text, null tokens -> null."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, mode="PERMISSIVE")
+    """Header CSV, quoted multi-line fields, all columns as text, null tokens -> null; a file is read by many tasks."""
+    df = read_csv_split(spark, path)
     tokens = F.array(*[F.lit(t) for t in NULL_TOKENS])
     return df.select(
         *[
