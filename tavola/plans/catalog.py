@@ -392,6 +392,14 @@ def _merge_store(s, d):
     return round6(ST.read_store(s, path).select("listing_id", "votes", "aggregate_rating", "has_table_booking", _fmt("created_at"), _fmt("updated_at")))
 
 
+def _recommend_all(s, d):
+    """The ten best listings of every request of the events' users."""
+    from tavola.operators import recommend_all as RA
+
+    requests = requests_view(s, d).withColumn("cuisines", F.filter(F.transform(F.split("cuisines", ","), lambda x: F.trim(x)), lambda x: x != ""))
+    return RA.recommend_all(imported_listings(s, d), requests, 10)
+
+
 def _csv_roundtrip(s, d):
     """All documents written as CSV, with the line ends and quotes of their texts, and read back."""
     from tavola.sources.csv_split import read_csv_split
@@ -414,6 +422,7 @@ def _warehouse_queries() -> dict[str, Query]:
 
     return {
         "upsert_listings": lambda s, d: round6(_upsert(s, d).select("listing_id", "votes", "aggregate_rating", "has_table_booking", _fmt("created_at"), _fmt("updated_at"))),
+        "recommend_all_requests": _recommend_all,
         "merge_store": _merge_store,
         "csv_roundtrip_documents": _csv_roundtrip,
         "cuisine_dimension": _dim,

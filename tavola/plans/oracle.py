@@ -576,6 +576,33 @@ def _warehouse_sql() -> dict[str, str]:
                 FROM snap e FULL OUTER JOIN listings i ON e.listing_id = i.listing_id""",
             L, snap,
         ),
+        "recommend_all_requests": W(
+            """SELECT request_id, rank, listing_id, round(score, 4) AS score FROM ranked WHERE rank <= 10""",
+            *imp,
+            """wishes AS (
+                 SELECT user_id AS request_id,
+                   list_transform(list_filter(list_transform(string_split([ '', '1-URGENT', '2-HIGH, 5-LOW', '3-medium', '4-NOT SPECIFIED, 1-URGENT, 1-URGENT', '5-LOW'][user_id % 6 + 1], ','),
+                     lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(x)) AS cz,
+                   CASE WHEN user_id % 3 <> 0 THEN 'nation_' || (user_id % 25) END AS city, CASE WHEN user_id % 4 <> 0 THEN 1 + user_id % 4 END AS pr,
+                   CASE WHEN user_id % 5 <> 0 THEN (20 + user_id % 25) / 1e1 END AS mr, CASE WHEN user_id % 2 <> 0 THEN CAST(300 + 100 * (user_id % 17) AS DOUBLE) END AS mc
+                 FROM (SELECT DISTINCT user_id FROM events))""",
+            """pairs_of AS (
+                 SELECT w.*, l.*, max(coalesce(log_votes, 0e0)) OVER (PARTITION BY request_id) AS lvm, max(coalesce(restaurant_popularity_score, 0e0)) OVER (PARTITION BY request_id) AS psm
+                 FROM (SELECT request_id, cz, city AS wanted_city, pr, mr, mc FROM wishes) w JOIN imported l ON mr IS NULL OR coalesce(aggregate_rating, 0e0) >= mr)""",
+            """scored AS (
+                 SELECT request_id, listing_id, aggregate_rating, votes, 0e0
+                   + CASE WHEN len(cz) > 0 THEN (len(list_intersect(list_distinct(list_filter(list_transform(string_split(lower(coalesce(cuisines, '')), ','), lambda x: trim(x)), lambda x: x <> '')),
+                       list_distinct(cz))) / CAST(len(cz) AS DOUBLE)) * 40e0 ELSE 0e0 END
+                   + CASE WHEN lower(coalesce(city, '')) = wanted_city THEN 20e0 ELSE 0e0 END
+                   + CASE WHEN pr IS NULL THEN 0e0 ELSE (1 - least(greatest(abs(coalesce(price_range, pr) - pr) / 3e0, 0e0), 1e0)) * 12e0 END
+                   + (least(greatest(coalesce(aggregate_rating, 0e0), 0e0), 5e0) / 5e0) * 12e0
+                   + CASE WHEN mc IS NULL THEN 0e0 ELSE (1 - least(greatest(greatest(coalesce(average_cost_inr, mc) - mc, 0e0) / greatest(mc, 1e0), 0e0), 1e0)) * 8e0 END
+                   + CASE WHEN lvm > 0 THEN coalesce(log_votes, 0e0) / lvm * 6e0 ELSE 0e0 END
+                   + CASE WHEN psm > 0 THEN coalesce(restaurant_popularity_score, 0e0) / psm * 6e0 ELSE 0e0 END
+                   + (1 - least(greatest(abs(coalesce(cost_relative_to_city, 1e0) - 1), 0e0), 1e0)) * 2e0 AS score
+                 FROM pairs_of)""",
+            "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, aggregate_rating DESC, votes DESC, listing_id) AS INTEGER) AS rank FROM scored)",
+        ),
         "merge_store": W(
             f"""SELECT l.listing_id, l.votes, round(l.aggregate_rating, 6) AS aggregate_rating, l.has_table_booking,
                        strftime(CASE WHEN e.listing_id IS NULL THEN TIMESTAMP '{T_NOW}' ELSE TIMESTAMP '{T_EXISTING}' END, {fmt}) AS created_at,
