@@ -1,26 +1,24 @@
 """Per-city location clustering.
 
 D13 sizes the number of clusters of each city from the area of its 5-95 %
-coordinate box; D14 runs Lloyd's k-means for every city at once as one
-DataFrame plan per iteration: each point meets its own city's centre array
-(at most 30 centres, one row per city, joined on the city key), picks the
-nearest with ``array_min`` over (distance, cluster) structs, and new centres
-are grouped averages (partial aggregation, so a city holding a third of the
-rows is combined map-side).  Seeds are chosen deterministically, spread over
-each city's distinct locations in (lat, lon) order, so results are
-reproducible; cluster labels are renumbered by centre position.
+coordinate box; D14 runs Lloyd's k-means for every city and several starts at
+once.  Points are the distinct locations with their number of rows.  The state
+is one row per (city, start) with at most 30 centres; each round every location
+meets its city's states, picks the nearest centre with ``array_min`` over
+(distance, cluster) structs, and new centres are grouped averages (partial
+aggregation, so a city holding a third of the rows is combined map-side).
+Starts are seeded without random state: along a snake path through latitude
+bands, through longitude bands, and in a scattered order.  Of a city's starts
+the one of least inertia is kept; its clusters are numbered by centre position.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.stats import exact_percentiles_many, group_rank, join_group_stats
-from tavola.session import cut_lineage
+from tavola.session import materialize_table
 
 # Sizing rule of the clusters.
 TARGET_AREA_KM2 = 25.0
@@ -28,6 +26,8 @@ MAX_CLUSTERS = 30
 KM_PER_DEGREE = 111.0
 # Rounds that run as one plan between two tests of convergence.
 UNROLL = 3
+# Starts per city, of which the one of least inertia is kept.
+STARTS = 3
 
 
 def _valid_points(df: DataFrame, id_col: str) -> DataFrame:
@@ -46,6 +46,8 @@ def cluster_counts(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
         ((F.var_pop("latitude") + F.var_pop("longitude")) / 2).alias("mean_var"),
         F.min("latitude").alias("min_lat"),
         F.max("latitude").alias("max_lat"),
+        F.min("longitude").alias("min_lon"),
+        F.max("longitude").alias("max_lon"),
     )
     # Both coordinates' 5 % / 95 % points from one distributed sort.
     q = exact_percentiles_many(pts, ["city"], ["latitude", "longitude"], [0.05, 0.95], tiebreak=id_col, names=["lo", "hi"])
@@ -66,73 +68,68 @@ def cluster_counts(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
     )
 
 
-def _seeds(points: DataFrame, counts: DataFrame) -> DataFrame:
-    """k seeds per city, evenly spaced along a snake path over its distinct locations.
+def locations(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
+    """(city, latitude, longitude, weight): distinct places and their number of rows."""
+    return _valid_points(df, id_col).groupBy("city", "latitude", "longitude").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def cluster_seeds(places: DataFrame, counts: DataFrame, starts: int = STARTS) -> DataFrame:
+    """(city, start, cluster, c_lat, c_lon): k places per city and start, evenly spaced in the start's order.
 
-    The path cuts the city into ``ceil(sqrt(k))`` latitude bands and walks
-    them alternately east and west, so evenly spaced picks cover the city in
-    two dimensions (deterministic, no random state).
+    Start 0 cuts the city into ``ceil(sqrt(k))`` latitude bands and walks them
+    alternately east and west, start 1 does so with longitude bands, and every
+    further start takes the places in another scattered order.
     """
-    locs = points.select("city", "latitude", "longitude").distinct()
-    meta = counts.select("city", "n_clusters", "n_locations", "min_lat", "max_lat")
-    locs = join_group_stats(locs, meta, ["city"])
+    locs = join_group_stats(places.select("city", "latitude", "longitude"), counts.select("city", "n_clusters", "n_locations", "min_lat", "max_lat", "min_lon", "max_lon"), ["city"])
     bands = F.ceil(F.sqrt(F.col("n_clusters").cast("double")))
-    span = F.col("max_lat") - F.col("min_lat")
-    band = F.when(span > 0, F.least(F.floor((F.col("latitude") - F.col("min_lat")) / span * bands), bands - 1)).otherwise(F.lit(0))
-    locs = locs.withColumn("_band", band.cast("long")).withColumn(
-        "_along", F.when(F.col("_band") % 2 == 0, F.col("longitude")).otherwise(-F.col("longitude"))
-    )
-    ranked = group_rank(locs, ["city"], ["_band", "_along", "latitude"], rank_col="_rn")
-    r0 = F.col("_rn") - 1
-    k = F.col("n_clusters").cast("long")
-    n = F.col("n_locations").cast("long")
+
+    def band(x: str, low: str, high: str):
+        span = F.col(high) - F.col(low)
+        return F.when(span > 0, F.least(F.floor((F.col(x) - F.col(low)) / span * bands), bands - 1)).otherwise(F.lit(0)).cast("long")
+
+    def order(start: int):
+        if start < 2:
+            x, y = ("latitude", "longitude") if start == 0 else ("longitude", "latitude")
+            own = band("latitude", "min_lat", "max_lat") if start == 0 else band("longitude", "min_lon", "max_lon")
+            return F.struct(F.lit(start).alias("start"), own.cast("double").alias("a"), F.when(own % 2 == 0, F.col(y)).otherwise(-F.col(y)).alias("b"), F.col(x).alias("c"))
+        mixed = (F.round(F.col("latitude") * 1e6).cast("long") * 48_271 + F.round(F.col("longitude") * 1e6).cast("long") * 69_621) * (2 * start + 1)
+        return F.struct(F.lit(start).alias("start"), F.pmod(mixed, F.lit(2_147_483_647)).cast("double").alias("a"), F.col("latitude").alias("b"), F.col("longitude").alias("c"))
+
+    locs = locs.withColumn("_o", F.explode(F.array(*[order(i) for i in range(starts)]))).select("*", "_o.start", "_o.a", "_o.b", "_o.c")
+    ranked = group_rank(locs, ["city", "start"], ["a", "b", "c"], rank_col="_rn")
+    r0, k, n = F.col("_rn") - 1, F.col("n_clusters").cast("long"), F.col("n_locations").cast("long")
     j = F.floor((r0 * k + n - 1) / n).cast("long")
     pick = (j < k) & (F.floor((j * n) / k).cast("long") == r0)
-    return ranked.filter(pick).select(
-        "city", j.cast("int").alias("cluster"), F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon")
-    )
+    return ranked.filter(pick).select("city", "start", j.cast("int").alias("cluster"), F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
 
 
-def _centre_arrays(centres: DataFrame) -> DataFrame:
-    return centres.groupBy("city").agg(
-        F.collect_list(F.struct(F.col("cluster"), F.col("c_lat"), F.col("c_lon"))).alias("_centres")
-    )
+def states_of(seeds: DataFrame) -> DataFrame:
+    """(city, start, centres): the centres of every start side by side."""
+    return seeds.groupBy("city", "start").agg(F.sort_array(F.collect_list(F.struct("cluster", "c_lat", "c_lon"))).alias("centres"))
 
 
-def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
-    arrays = _centre_arrays(centres)
-    best = F.array_min(
-        F.transform(
-            F.col("_centres"),
-            lambda c: F.struct(
-                ((F.col("latitude") - c["c_lat"]) ** 2 + (F.col("longitude") - c["c_lon"]) ** 2).alias("d"),
-                c["cluster"].alias("cluster"),
-            ),
-        )
-    )
-    return points.join(arrays, "city").select(*points.columns, best["cluster"].alias("cluster"), best["d"].alias("d2"))
+def _assign(places: DataFrame, states: DataFrame) -> DataFrame:
+    """Every place with the states of its city: nearest cluster and squared distance."""
+    away = lambda c: F.struct(((F.col("latitude") - c["c_lat"]) ** 2 + (F.col("longitude") - c["c_lon"]) ** 2).alias("d"), c["cluster"].alias("cluster"))
+    out = places.join(states.withColumnRenamed("city", "_city"), F.col("city") == F.col("_city")).drop("_city")
+    return out.withColumn("_best", F.array_min(F.transform("centres", away))).select("*", F.col("_best.cluster").alias("cluster"), F.col("_best.d").alias("d2")).drop("_best")
 
 
-def _update(assigned: DataFrame, centres: DataFrame) -> DataFrame:
-    """New centres of one round, with their squared shift.
+def cluster_step(places: DataFrame, states: DataFrame) -> DataFrame:
+    """One round: (city, start, centres, shift); a cluster without places keeps its centre.
 
-    Assigned points (weight 1) and old centres (weight 0) are grouped together
-    in one aggregation, so an empty cluster keeps its centre and the shift
-    comes out of the same pass.
+    The old centres travel with the sums, so a round reads its state once.
     """
-    pts = assigned.select("city", "cluster", "latitude", "longitude", F.lit(1.0).alias("_w"))
-    old = centres.select("city", "cluster", F.col("c_lat").alias("latitude"), F.col("c_lon").alias("longitude"), F.lit(0.0).alias("_w"))
-    g = pts.unionByName(old).groupBy("city", "cluster").agg(
-        F.sum(F.col("_w") * F.col("latitude")).alias("_sl"),
-        F.sum(F.col("_w") * F.col("longitude")).alias("_so"),
-        F.sum("_w").alias("_n"),
-        F.max(F.when(F.col("_w") == 0, F.col("latitude"))).alias("_ol"),
-        F.max(F.when(F.col("_w") == 0, F.col("longitude"))).alias("_oo"),
+    w = F.col("weight")
+    means = _assign(places, states).groupBy("city", "start", "cluster").agg(
+        F.first("centres").alias("centres"), (F.sum(w * F.col("latitude")) / F.sum(w)).alias("lat"), (F.sum(w * F.col("longitude")) / F.sum(w)).alias("lon")
     )
-    lat = F.when(F.col("_n") > 0, F.col("_sl") / F.col("_n")).otherwise(F.col("_ol"))
-    lon = F.when(F.col("_n") > 0, F.col("_so") / F.col("_n")).otherwise(F.col("_oo"))
-    shift = (lat - F.col("_ol")) ** 2 + (lon - F.col("_oo")) ** 2
-    return g.select("city", "cluster", lat.alias("c_lat"), lon.alias("c_lon"), shift.alias("_shift"))
+    new = F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("lat", "lon"))))
+    out = means.groupBy("city", "start").agg(F.first("centres").alias("old"), new.alias("new"))
+    at = lambda c, x, y: F.coalesce(F.col("new")[c["cluster"]][x], c[y])
+    out = out.withColumn("centres", F.transform("old", lambda c: F.struct(c["cluster"].alias("cluster"), at(c, "lat", "c_lat").alias("c_lat"), at(c, "lon", "c_lon").alias("c_lon"))))
+    moved = F.zip_with("old", "centres", lambda a, b: (a["c_lat"] - b["c_lat"]) ** 2 + (a["c_lon"] - b["c_lon"]) ** 2)
+    return out.select("city", "start", "centres", F.aggregate(moved, F.lit(0.0), lambda a, x: a + x).alias("shift"))
 
 
 def kmeans_by_city(
@@ -142,60 +139,51 @@ def kmeans_by_city(
     max_iter: int = 300,
     tol: float = 1e-4,
     history: list | None = None,
+    starts: int = STARTS,
 ) -> DataFrame:
     """``location_cluster`` per row (0 for rows without coordinates or city).
 
-    Stops when every city's summed squared centre shift is at most ``tol``
-    times its mean coordinate variance; not having converged after
-    ``max_iter`` rounds is an error, never a silent result.  Cities that have
+    A (city, start) stops when its summed squared centre shift is at most
+    ``tol`` times the city's mean coordinate variance; not having converged after
+    ``max_iter`` rounds is an error, never a silent result.  Those that have
     converged leave the rounds.  Rounds run ``UNROLL`` at a time as one plan.
     ``history``, when given, receives the inertia (sum of squared distances)
     after each assignment step, for convergence checks.
     """
-    counts = cut_lineage(counts if counts is not None else cluster_counts(df, id_col))
-    limits = counts.select("city", (F.lit(float(tol)) * F.coalesce(F.col("mean_var"), F.lit(0.0))).alias("_limit"))
-    points = _valid_points(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    centres = cut_lineage(_seeds(points, counts))
-    active, moving = points, centres
+    counts = materialize_table(counts if counts is not None else cluster_counts(df, id_col), "cluster-counts")
+    limits = counts.select(F.col("city").alias("_city"), (F.lit(float(tol)) * F.coalesce("mean_var", F.lit(0.0))).alias("limit"))
+    places = materialize_table(locations(df, id_col), "places")
+    moving = materialize_table(states_of(cluster_seeds(places, counts, starts)), "centres")
+    inertia = lambda states: _assign(places, states).agg(F.sum(F.col("weight") * F.col("d2"))).first()[0]
     done: list[DataFrame] = []
     rounds = 0
     while True:
         if rounds >= max_iter:
-            points.unpersist()
             raise RuntimeError(f"k-means has not converged after {rounds} rounds")
-        step, held = moving, []
+        step = moving
         for _ in range(min(UNROLL, max_iter - rounds)):
             if history is not None and not done:
-                history.append(_assign(points, step).agg(F.sum("d2")).first()[0])
-            step = _update(_assign(active, step), step).persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(step)
+                history.append(inertia(step))
+            step = cluster_step(places, step.select("city", "start", "centres"))
             rounds += 1
-        step = cut_lineage(step)
-        shift = step.groupBy("city").agg(F.sum("_shift").alias("_s")).join(limits, "city")
-        still = cut_lineage(shift.filter(F.col("_s") > F.col("_limit")).select("city"))
-        for h in held:
-            h.unpersist()
-        step = step.drop("_shift")
-        done.append(step.join(still, "city", "left_anti"))
-        if still.isEmpty():
+        step = materialize_table(step, "centres").join(limits, F.col("city") == F.col("_city"))
+        done.append(step.filter("shift <= limit").select("city", "start", "centres"))
+        moving = step.filter("shift > limit").select("city", "start", "centres")
+        if moving.isEmpty():
             break
-        moving = step.join(still, "city", "left_semi")
-        active = points.join(still, "city", "left_semi")
-    centres = done[0]
+    states = done[0]
     for d in done[1:]:
-        centres = centres.unionByName(d)
-    centres = cut_lineage(centres)
-    final = _assign(points, centres)
+        states = states.unionByName(d)
+    final = materialize_table(_assign(places, states).select("city", "start", "latitude", "longitude", "weight", "centres", "cluster", "d2"), "assigned")
+    best = final.groupBy("city", "start").agg(F.sum(F.col("weight") * F.col("d2")).alias("inertia")).groupBy("city").agg(F.min(F.struct(F.round("inertia", 9), "start", "inertia")).alias("m"))
+    best = best.select("city", "m.start", "m.inertia")
     if history is not None:
-        history.append(final.agg(F.sum("d2")).first()[0])
-    # Renumber the non-empty clusters of each city by centre position (small table).
-    used = final.select("city", "cluster").distinct()
-    order = centres.join(used, ["city", "cluster"]).withColumn(
-        "location_cluster",
-        (F.row_number().over(Window.partitionBy("city").orderBy("c_lat", "c_lon", "cluster")) - 1).cast("int"),
-    )
-    labels = final.join(order.select("city", "cluster", "location_cluster"), ["city", "cluster"]).select(
-        F.col(id_col).alias("_lid"), "location_cluster"
-    )
-    out = df.join(labels, df[id_col] == labels["_lid"], "left").drop("_lid")
+        history.append(best.agg(F.sum("inertia")).first()[0])
+    final = final.join(best, ["city", "start"])
+    # Number the non-empty clusters of each city by centre position (at most 30 rows a city).
+    used = final.select("city", "cluster", F.filter("centres", lambda c: c["cluster"] == F.col("cluster"))[0].alias("c")).distinct()
+    number = F.row_number().over(Window.partitionBy("city").orderBy("c.c_lat", "c.c_lon", "cluster")) - 1
+    order = used.select("city", "cluster", number.cast("int").alias("location_cluster"))
+    labels = final.join(order, ["city", "cluster"]).select(F.col("city").alias("_city"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "location_cluster")
+    out = df.join(labels, (df["city"] == labels["_city"]) & (df["latitude"] == labels["_lat"]) & (df["longitude"] == labels["_lon"]), "left").drop("_city", "_lat", "_lon")
     return out.withColumn("location_cluster", F.coalesce(F.col("location_cluster"), F.lit(0)).cast("int"))

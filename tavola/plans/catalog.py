@@ -24,13 +24,14 @@ from tavola.sources.tables import listings_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Column order of the prepared table (without the cluster columns).
+# Column order of the prepared table.
 PREPARED_COLUMNS = [
     "listing_id", "listing_name", "country_code", "city", "address", "locality", "longitude", "latitude", "cuisines",
     "cost_for_two", "currency", "price_range", "aggregate_rating", "votes", "has_table_booking", "has_online_delivery",
     "is_delivering_now", "average_cost_inr", "log_average_cost_inr", "cost_relative_to_city", "city_wise_cost_category",
     "restaurant_cost_category", "cuisine_count", "primary_cuisine", "log_votes", "rating_category", "popularity_category",
     "restaurant_popularity_score", "is_expensive", "has_delivery_or_booking", "city_restaurant_count",
+    "location_cluster", "city_location_cluster",
 ]
 
 
@@ -57,7 +58,7 @@ def _version(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(found)
 
 
-def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
+def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = True) -> DataFrame:
     """The prepared table (the reference's cleaned file): written once per
     application and input folder, then read by import, training and reports."""
     key = ("prepared", spark.sparkContext.applicationId, _version(spark, sf_dir), clusters)
@@ -66,7 +67,7 @@ def prepared_listings(spark: SparkSession, sf_dir: str, clusters: bool = False)
     return _STORE[key]
 
 
-def imported_listings(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
+def imported_listings(spark: SparkSession, sf_dir: str, clusters: bool = True) -> DataFrame:
     """Prepared + imported listings: the listings table of the store.
 
     Built and materialised once per application and input folder, then read
@@ -139,6 +140,20 @@ def _converted(s, d):
     return C.convert_currency(listings_raw(s, d))
 
 
+def _cluster_seeds(s, d):
+    """(places, seeds of all cities and starts)."""
+    raw = listings_raw(s, d)
+    places = cut_lineage(GEO.locations(raw))
+    return places, GEO.cluster_seeds(places, GEO.cluster_counts(raw))
+
+
+def _cluster_step(s, d):
+    """The centres after one round from the seeds, and their squared shift per start."""
+    places, seeds = _cluster_seeds(s, d)
+    step = GEO.cluster_step(places, GEO.states_of(seeds))
+    return round6(step.select("city", "start", "shift", F.explode("centres").alias("c")).select("city", "start", "c.cluster", "c.c_lat", "c.c_lon", "shift"))
+
+
 def _clean_feature_queries() -> dict[str, Query]:
     raw = listings_raw
     docs = lambda s, d: table(s, d, "documents")
@@ -190,6 +205,8 @@ def _clean_feature_queries() -> dict[str, Query]:
                 "city", "n_points", "n_locations", "mean_lat", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "area_km2", "n_clusters"
             )
         ),
+        "cluster_seeds": lambda s, d: round6(_cluster_seeds(s, d)[1]),
+        "cluster_step": _cluster_step,
         "geo_clusters": lambda s, d: FE.city_cluster_key(GEO.kmeans_by_city(raw(s, d).select("listing_id", "city", "latitude", "longitude"))),
     }
 

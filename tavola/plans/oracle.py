@@ -280,9 +280,15 @@ def _clean_feature_sql() -> dict[str, str]:
             "SELECT l.listing_id, l.city, CAST(c.n AS INTEGER) AS city_restaurant_count FROM listings l LEFT JOIN (SELECT city, count(listing_id) AS n FROM listings GROUP BY city) c ON l.city = c.city",
             L,
         ),
-        "prepare_listings": W("SELECT " + ", ".join(r6(c) for c in PREPARED_COLUMNS) + " FROM prepared", L, V.repaired(), V.prepared()),
+        "prepare_listings": W("SELECT " + ", ".join(r6(c) for c in PREPARED_COLUMNS) + " FROM clustered", L, V.repaired(), V.prepared(), V.clustered("prepared")),
         "import_listings": W("SELECT " + ", ".join(r6(c) for c in IMPORTED_COLUMNS) + " FROM imported", L, V.repaired(), V.prepared(), V.IMPORTED),
-        "drop_leakage_base": W("SELECT " + ", ".join(r6(c) for c in keep) + " FROM prepared", L, V.repaired(), V.prepared()),
+        "drop_leakage_base": W("SELECT " + ", ".join(r6(c) for c in keep) + " FROM clustered", L, V.repaired(), V.prepared(), V.clustered("prepared")),
+        "cluster_seeds": W("SELECT city, start, cluster, round(c_lat, 6) AS c_lat, round(c_lon, 6) AS c_lon FROM seeds", L, V.cluster_steps("listings")),
+        "cluster_step": W(
+            "SELECT city, start, u.cluster, round(u.c_lat, 6) AS c_lat, round(u.c_lon, 6) AS c_lon, round(shift, 6) AS shift FROM (SELECT *, unnest(centres) AS u FROM stepped)",
+            L, V.cluster_steps("listings"), "first_state AS (SELECT *, 0 AS round, 0 AS lim FROM states)", f"stepped AS ({V.cluster_round('first_state')})",
+        ),
+        "geo_clusters": W("SELECT listing_id, city, latitude, longitude, location_cluster, city_location_cluster FROM clustered", L, V.clustered("listings")),
         "cluster_counts": W(
             """SELECT city, n_points, n_locations, round(mean_lat, 6) AS mean_lat, round(lat_lo, 6) AS lat_lo, round(lat_hi, 6) AS lat_hi,
                       round(lon_lo, 6) AS lon_lo, round(lon_hi, 6) AS lon_hi, round(area, 6) AS area_km2,

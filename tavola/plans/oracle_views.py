@@ -148,9 +148,86 @@ def prepared() -> str:
     return PREPARED_STEPS.replace("{rate}", currency_case("currency")).strip()
 
 
-IMPORTED = """
+def cluster_steps(src: str) -> str:
+    """Places, cluster counts, seeds and the state of every (city, start), from the rows of ``src``."""
+    return f"""
+places AS MATERIALIZED (
+  SELECT city, latitude, longitude, CAST(count(*) AS DOUBLE) AS weight FROM {src} WHERE city IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY ALL),
+boxes AS (
+  SELECT city, count(*) AS n_points, count(DISTINCT (latitude, longitude)) AS n, avg(latitude) AS mean_lat, (var_pop(latitude) + var_pop(longitude)) / 2 AS mean_var,
+    min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon, max(longitude) AS max_lon,
+    quantile_cont(latitude, 0.95) - quantile_cont(latitude, 0.05) AS height, quantile_cont(longitude, 0.95) - quantile_cont(longitude, 0.05) AS width
+  FROM {src} WHERE city IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY city),
+sized AS MATERIALIZED (
+  SELECT *, CAST(CASE WHEN n_points < 2 OR n < 2 THEN 1 ELSE least(greatest(ceil(abs(height * 111e0 * (width * 111e0 * cos(radians(mean_lat)))) / 25e0), 1), 30, n_points, n) END AS BIGINT) AS k
+  FROM boxes),
+banded AS (
+  SELECT p.*, k, n,
+    CASE WHEN max_lat > min_lat THEN least(floor((latitude - min_lat) / (max_lat - min_lat) * ceil(sqrt(k))), ceil(sqrt(k)) - 1) ELSE 0 END AS lat_band,
+    CASE WHEN max_lon > min_lon THEN least(floor((longitude - min_lon) / (max_lon - min_lon) * ceil(sqrt(k))), ceil(sqrt(k)) - 1) ELSE 0 END AS lon_band,
+    (CAST(round(latitude * 1e6) AS BIGINT) * 48271 + CAST(round(longitude * 1e6) AS BIGINT) * 69621) * 5 AS scatter
+  FROM places p JOIN sized s ON p.city = s.city),
+ordered AS (
+  SELECT city, latitude, longitude, k, n, 0 AS start, lat_band AS a, CASE WHEN lat_band % 2 = 0 THEN longitude ELSE -longitude END AS b, latitude AS c FROM banded
+  UNION ALL SELECT city, latitude, longitude, k, n, 1, lon_band, CASE WHEN lon_band % 2 = 0 THEN latitude ELSE -latitude END, longitude FROM banded
+  UNION ALL SELECT city, latitude, longitude, k, n, 2, ((scatter % 2147483647) + 2147483647) % 2147483647, latitude, longitude FROM banded),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY city, start ORDER BY a, b, c) - 1 AS r FROM ordered),
+picked AS (SELECT *, (r * k + n - 1) // n AS j FROM numbered),
+seeds AS MATERIALIZED (SELECT city, start, CAST(j AS INTEGER) AS cluster, latitude AS c_lat, longitude AS c_lon FROM picked WHERE j < k AND (j * n) // k = r),
+states AS MATERIALIZED (SELECT city, start, list(struct_pack(cluster := cluster, c_lat := c_lat, c_lon := c_lon) ORDER BY cluster) AS centres FROM seeds GROUP BY city, start)"""
+
+
+NEAREST = "list_sort(list_transform({c}, lambda x: struct_pack(d := (latitude - x.c_lat) ** 2 + (longitude - x.c_lon) ** 2, cluster := x.cluster)))[1]"
+
+
+def cluster_round(state: str, keep: str = "true") -> str:
+    """One round from the rows (city, start, centres, round, lim) of ``state``: the same with the centres' shift."""
+    return f"""
+  SELECT city, start, centres, round + 1 AS round, lim,
+    list_sum(list_transform(range(1, len(centres) + 1), lambda i: (old[i].c_lat - centres[i].c_lat) ** 2 + (old[i].c_lon - centres[i].c_lon) ** 2)) AS shift
+  FROM (
+    SELECT city, start, round, lim, old, list_transform(old, lambda x: struct_pack(cluster := x.cluster,
+      c_lat := coalesce(map_extract(m, x.cluster)[1].lat, x.c_lat), c_lon := coalesce(map_extract(m, x.cluster)[1].lon, x.c_lon))) AS centres
+    FROM (
+      SELECT city, start, any_value(round) AS round, any_value(lim) AS lim, any_value(centres) AS old, map_from_entries(list(row(cluster, struct_pack(lat := lat, lon := lon)))) AS m
+      FROM (
+        SELECT city, start, cluster, any_value(round) AS round, any_value(lim) AS lim, any_value(centres) AS centres,
+          sum(weight * latitude) / sum(weight) AS lat, sum(weight * longitude) / sum(weight) AS lon
+        FROM (SELECT s.city, start, round, lim, centres, latitude, longitude, weight, {NEAREST.format(c='centres')}.cluster AS cluster
+              FROM {state} s JOIN places p ON p.city = s.city WHERE {keep})
+        GROUP BY city, start, cluster)
+      GROUP BY city, start))"""
+
+
+def clusters(src: str) -> str:
+    """CTE ``clusters_of``: the location cluster of every place, by rounds until every start has converged."""
+    return f"""clusters_of AS MATERIALIZED (
+WITH RECURSIVE {cluster_steps(src).strip()},
+rounds(city, start, centres, round, lim, shift) AS (
+  SELECT s.city, start, centres, 0, 1e-4 * coalesce(mean_var, 0), CAST('infinity' AS DOUBLE) FROM states s JOIN sized z ON z.city = s.city
+  UNION ALL {cluster_round('rounds', 'round = 0 OR round % 3 <> 0 OR shift > lim')}),
+ended AS (SELECT * FROM rounds WHERE round > 0 AND round % 3 = 0 AND shift <= lim),
+assigned AS MATERIALIZED (
+  SELECT e.city, start, latitude, longitude, weight, centres, {NEAREST.format(c='centres')} AS best FROM ended e JOIN places p ON p.city = e.city),
+inertias AS (SELECT city, start, sum(weight * best.d) AS inertia FROM assigned GROUP BY city, start),
+chosen AS (SELECT city, start FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY round(inertia, 9), start) AS r FROM inertias) WHERE r = 1),
+kept AS MATERIALIZED (SELECT a.*, best.cluster AS cluster FROM assigned a JOIN chosen c ON a.city = c.city AND a.start = c.start),
+used AS (SELECT DISTINCT city, cluster, list_filter(centres, lambda x: x.cluster = cluster)[1] AS c FROM kept),
+named AS (SELECT city, cluster, CAST(row_number() OVER (PARTITION BY city ORDER BY c.c_lat, c.c_lon, cluster) - 1 AS INTEGER) AS location_cluster FROM used)
+SELECT k.city, latitude, longitude, location_cluster FROM kept k JOIN named n ON n.city = k.city AND n.cluster = k.cluster)"""
+
+
+def clustered(src: str) -> str:
+    """CTE ``clustered``: the rows of ``src`` with their cluster and its key."""
+    return clusters(src) + f""",
+clustered AS MATERIALIZED (
+  SELECT s.*, coalesce(location_cluster, 0) AS location_cluster, coalesce(s.city, 'nan') || '_' || coalesce(location_cluster, 0) AS city_location_cluster
+  FROM {src} s LEFT JOIN clusters_of c ON c.city = s.city AND c.latitude = s.latitude AND c.longitude = s.longitude)"""
+
+
+IMPORTED = clustered("prepared") + """,
 imp0 AS (
-  SELECT * FROM prepared WHERE listing_id IS NOT NULL AND listing_name IS NOT NULL AND cuisines IS NOT NULL
+  SELECT * FROM clustered WHERE listing_id IS NOT NULL AND listing_name IS NOT NULL AND cuisines IS NOT NULL
 ),
 imported AS (
   SELECT CAST(listing_id AS BIGINT) AS listing_id,
@@ -179,8 +256,8 @@ imported AS (
          CASE WHEN upper(trim(coalesce(is_delivering_now, ''))) = 'YES' THEN 'Yes' ELSE 'No' END AS is_delivering_now,
          CAST(coalesce(is_expensive, 0) AS INTEGER) AS is_expensive,
          CAST(coalesce(has_delivery_or_booking, 0) AS INTEGER) AS has_delivery_or_booking,
-         -1 AS location_cluster,
-         'Unknown' AS city_location_cluster
+         coalesce(location_cluster, -1) AS location_cluster,
+         trim(coalesce(city_location_cluster, 'Unknown')) AS city_location_cluster
   FROM imp0
 )
 """

@@ -18,5 +18,6 @@ REQUESTS = {
     "duplicate_cuisine": {"cuisines": ["4-NOT SPECIFIED", "4-not specified", "2-HIGH"], "price_range": 4},
     "upper_city_locality": {"city": "NATION_7", "locality": "build", "delivering_now": "Yes", "popularity_category": "medium"},
     "zero_budget": {"max_cost": 0, "min_rating": 0.0, "cost_category": "Luxury", "is_expensive": 1},
+    "real_cluster": {"city": "NATION_7", "location_cluster": 1, "city_location_cluster": "nation_7_1", "price_range": 3},
     "clusters_and_flags": {"location_cluster": -1, "city_location_cluster": "unknown", "online_delivery": "No", "table_booking": "No", "rating_category": "Not Rated"},
 }
