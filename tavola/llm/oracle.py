@@ -1,8 +1,8 @@
-"""DuckDB SQL for the queries that SQL can state, written apart from the Spark code."""
+"""DuckDB SQL for the queries that SQL can state, written apart from the Spark code; only the licence texts are shared."""
 
 from __future__ import annotations
 
-from tavola.llm.licenses import TEMPLATES, THRESHOLD, admissible, bigrams_of
+from tavola.llm.licenses import TEMPLATES
 
 OP9 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -75,13 +75,14 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-_NOTICES = ", ".join(
-    "('{}', [{}], {}, {}, {})".format(name.replace("'", "''"), ", ".join(f"'{g}'" for g in grams), len(grams), *admissible(len(grams), THRESHOLD))
-    for name, grams in ((name, bigrams_of(text)) for name, text in TEMPLATES.items())
-)
+_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in TEMPLATES.items())
 
+# A unit and a template can only reach a Dice coefficient of 0.8 if neither has more than 1.5 times the other's bigrams.
 OP10 = f"""
-WITH notices(name, notice, b, low, high) AS (VALUES {_NOTICES}),
+WITH texts(name, text) AS (VALUES {_NOTICES}),
+listed_words AS (
+  SELECT name, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM texts),
+notices AS MATERIALIZED (SELECT name, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS notice FROM listed_words),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 listed AS (SELECT rid, list_concat([text], string_split(text, chr(10))) AS units FROM d),
 u AS (SELECT rid, unnest(units) AS text, unnest(range(len(units))) AS unit FROM listed),
@@ -90,11 +91,11 @@ w AS (
   FROM u),
 g AS (SELECT rid, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w),
 hits AS (
-  SELECT rid, unit, name, 2.0 * len(list_intersect(grams, notice)) / (len(grams) + b) AS dice
-  FROM g JOIN notices ON len(grams) > 0 AND len(grams) BETWEEN low AND high),
+  SELECT rid, unit, name, 2.0 * len(list_intersect(grams, notice)) / (len(grams) + len(notice)) AS dice
+  FROM g JOIN notices ON len(grams) > 0 AND 3 * len(grams) >= 2 * len(notice) AND 2 * len(grams) <= 3 * len(notice)),
 best AS (
   SELECT rid, arg_min(struct_pack(name := name, dice := dice, unit := unit), row(-dice, unit, name)) AS h, count(DISTINCT unit) AS n_units
-  FROM hits WHERE dice >= {THRESHOLD} GROUP BY rid)
+  FROM hits WHERE dice >= 0.8 GROUP BY rid)
 SELECT doc_id, h.name AS license, CAST(h.dice AS DOUBLE) AS dice, CAST(h.unit AS INTEGER) AS unit, coalesce(n_units, 0) AS n_units
 FROM d LEFT JOIN best USING (rid)
 """

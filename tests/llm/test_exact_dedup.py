@@ -35,3 +35,9 @@ def test_clashing_columns_and_empty_table(spark):
     df = clashing(table(spark), "_hash", "_norm", "keep_id", "kept", "group_size")
     assert same(exact_groups(df, keep="max").collect(), brute(awkward(), max))
     assert exact_groups(table(spark, [])).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = "Wörd X " * 400_000
+    rows = [(1, long, None, None, None), (2, long.translate(ASCII_LOWER), None, None, None), (3, long + "y", None, None, None)]
+    assert same(exact_groups(table(spark, rows), keep="max").collect(), brute(rows, max))

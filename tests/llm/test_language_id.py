@@ -58,3 +58,37 @@ def test_long_texts_are_counted_in_full(monkeypatch):
     monkeypatch.setattr(L, "BLOCK_CHARS", 64)
     parts = L.gram_counts(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def vector(text):
+    """A text's bundle straight from the definition, for texts of ASCII letters and signs."""
+    text = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    total = np.zeros(L.DIMENSIONS, np.int64)
+    for i in range(len(text) - 2):
+        bound = np.ones(L.DIMENSIONS, np.int64)
+        for place, letter in enumerate(text[i : i + 3]):
+            bound *= np.roll(L.letter_vector(ord(letter)), place)
+        total += bound
+    return total
+
+
+def test_predictions_against_plain_recomputation(spark):
+    import random
+
+    rnd = random.Random(6)
+    letters = {"aa": "abcde rst", "bb": "aeiou mnp", "cc": "xyzqw aeo"}
+    rows = [(i, "".join(rnd.choice(letters[lang]) for _ in range(rnd.randrange(3, 60))) + rnd.choice(["", "!", " 12"]), lang if i % 7 else None, "s", 1) for i in range(60) for lang in [rnd.choice("abc") * 2]]
+    model = {}
+    for i, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            model[lang] = model.get(lang, 0) + vector(text)
+    for r in L.language_id(table(spark, rows)).collect():
+        v = vector(rows[r.doc_id][1])
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in model.items()}
+        assert np.isclose(r.score, max(0.0, max(cosine.values())), atol=1e-5) and cosine[r.lang_pred] >= max(cosine.values()) - 1e-5
+
+
+def test_ties_go_to_the_first_language(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:9]
+    rows = [(i, "the same words", "zyx"[k % 3], "s", 1) for k, i in enumerate(ids)]
+    assert {(r.lang_pred, round(r.score, 4)) for r in L.language_id(table(spark, rows)).collect()} == {("x", 1.0)}

@@ -99,3 +99,9 @@ def test_components_of_chains_and_empty(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert simhash.simhash_components(table(spark, [])).collect() == []
+
+
+def test_components_with_clashing_columns(spark):
+    names = ("fp", "fingerprint", "component_id", "node", "component", "a", "b", "u", "v", "row", "id")
+    key = lambda df: sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in df.collect())
+    assert key(simhash.simhash_components(clashing(table(spark), *names))) == key(simhash.simhash_components(table(spark)))
