@@ -16,24 +16,47 @@ from pyspark.sql import functions as F
 from tavola.functions.stats import group_rank
 from tavola.functions.text import TOKEN_PATTERN
 
-def _accent_map() -> tuple[str, str]:
-    """Characters whose Unicode decomposition is one character and marks, and that character, from the rule itself."""
-    pairs = []
-    for code in range(0xA0, 0x10000):
+def _decompositions() -> dict[str, str]:
+    """Characters and their compatibility decomposition without marks, where that differs, from the rule itself."""
+    out = {}
+    for code in (*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):  # Hangul syllables stay whole
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c:
-            pairs.append((c, plain))
-    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+        if plain and plain != c:
+            out[c] = plain
+    return out
 
 
-ACCENTED, UNACCENTED = _accent_map()
+def _class_of(chars: str) -> str:
+    """A character class of these characters, as code point ranges."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for x in codes:
+        if ranges and x == ranges[-1][1] + 1:
+            ranges[-1][1] = x
+        else:
+            ranges.append([x, x])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+_PLAIN = _decompositions()
+# One character to one, inside the basic plane: by translate.  All others, ligatures and letters beyond it, by a map.
+ACCENTED = "".join(c for c, p in _PLAIN.items() if len(p) == 1 and c <= "\uffff" and p <= "\uffff")
+UNACCENTED = "".join(_PLAIN[c] for c in ACCENTED)
+_RARE = {c: p.lower() for c, p in _PLAIN.items() if c not in set(ACCENTED)}
+RARE_CLASS = _class_of("".join(_RARE))
+
+
+def _rare(c: Column) -> Column:
+    """Texts with a ligature or a letter beyond the basic plane, character by character through the map."""
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _RARE.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded once
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(c.rlike(RARE_CLASS), F.array_join(letters, "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
     """Lower case without accents: marks that stand alone (or that lower-casing splits off) go, the rest is mapped."""
     low = F.lower(c)
-    plain = F.regexp_replace(F.translate(low, ACCENTED, UNACCENTED), r"\p{M}+", "")
+    plain = F.regexp_replace(F.translate(_rare(low), ACCENTED, UNACCENTED), r"\p{M}+", "")
     return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(plain)
 
 

@@ -11,6 +11,22 @@ def test_accents_are_stripped_for_all_alphabets(spark):
     assert {n: got[n][0] for n in names} == names
 
 
+def test_ligatures_and_letters_beyond_the_basic_plane(spark):
+    import random
+    import unicodedata
+
+    rnd = random.Random(1)
+    pool = ["ﬁlet", "\U0001d401old", "½", "é", "É", "ﬀ", "①", "Ǆ", "ẞ", "ß", "İ", "x", "㎏", "中", "가", "e\u0301", "\u212b", "ﷺ", "™"]
+    rows = [("".join(rnd.choice(pool) for _ in range(4)),) for _ in range(200)] + [("ﬁlet \U0001d401old",)]
+
+    def plain(s):
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))).lower()
+
+    got = spark.createDataFrame(rows, "t string").select("t", text.normalize(F.col("t")).alias("n"), text.tokens(F.col("t")).alias("k")).collect()
+    assert all(unicodedata.normalize("NFC", r.n) == plain(r.t) for r in got)
+    assert got[-1].k == ["filet", "bold"]
+
+
 def test_idf_counts_documents_without_tokens(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, ""), (4, None)], "doc_id long, text string")
     tf = text.term_frequencies(docs, "doc_id", "text")
