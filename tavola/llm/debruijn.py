@@ -47,8 +47,6 @@ WINDOW = 20
 ANCHOR = 5
 # Super-edges of a block on average (a power of two).
 BLOCK = 8
-# Spans up to which the final join broadcasts them (about 40 bytes each); beyond, it shuffles.
-BROADCAST_SPANS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 DOC = ["no_id", "id", "text_hash"]
@@ -190,10 +188,11 @@ def repeated_edges(occurrences: DataFrame) -> DataFrame:
     """
     kinds = occurrences.groupBy("anchor", "seg").agg(F.min(_place()).alias("home"), F.count(F.lit(1)).alias("n"), F.first("edges").alias("edges"), F.first("size").alias("size"))
     kinds = materialize_table(kinds, "super-edge-kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.join(per_anchor, "anchor")
-    whole = kinds.filter("kinds = 1 and n > 1").select("anchor", "seg", F.lit(0).alias("off"), F.col("size").alias("len"), "home", "n")
-    opened = kinds.filter("kinds > 1").select("anchor", "seg", "home", "n", "edges", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("off"))
+    # Anchors of several kinds, written apart: the joins are then free to split an anchor that has very many.
+    several = kinds.groupBy("anchor").agg(F.min("seg").alias("least"), F.max("seg").alias("most")).filter("least <> most").select("anchor")
+    several = materialize_table(several, "several-kinds")
+    whole = kinds.filter("n > 1").join(several, "anchor", "left_anti").select("anchor", "seg", F.lit(0).alias("off"), F.col("size").alias("len"), "home", "n")
+    opened = kinds.join(several, "anchor").select("anchor", "seg", "home", "n", "edges", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("off"))
     moved = F.struct(*[F.col(f"home.{c}").alias(c) for c in DOC], (F.col("home.at") + F.col("off")).alias("at"))
     opened = opened.select("anchor", "seg", "off", F.substring("edges", F.col("off") * 8 + 1, F.lit(8)).alias("edge"), moved.alias("first"), "n")
     opened = materialize_table(opened, "opened-edges")
@@ -271,6 +270,5 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_words, n_removed, kept (the remaining words joined by one space)."""
     rows = keyed(docs, id_col, text_col)
     spans = later_spans(rows)
-    few = spans.count() <= BROADCAST_SPANS
     per_doc = spans.groupBy(*DOC).agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
-    return _kept(rows.join(F.broadcast(per_doc) if few else per_doc, DOC, "left")).withColumn("kept", F.col("kept").cast("string"))
+    return _kept(rows.join(per_doc, DOC, "left")).withColumn("kept", F.col("kept").cast("string"))
