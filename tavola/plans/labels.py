@@ -103,10 +103,12 @@ def featurize(model: LabelModel | assemble.Encoding | None, data: DataFrame, fea
     return out.withColumns({"slots": F.coalesce("slots", F.array().cast("array<int>")), "values": F.coalesce("values", F.array().cast("array<double>"))})
 
 
-# Most rounds of the two kinds, the neural kind's hidden layers, its share of validation rows and its patience.
+# Most rounds of the two kinds, the neural kind's hidden layers, its share of validation rows and its
+# patience, and the logistic kind's tolerance relative to its first gradient.
 ITERATIONS = {"logistic": 2000, "mlp": 250}
 HIDDEN = (256,)
 HELD_OUT_PERCENT = 12
+TOLERANCE = 1e-4
 PATIENCE = 12
 
 
@@ -124,7 +126,7 @@ def fit(train: DataFrame, n_labels: int, n_slots: int, kind: str = "logistic", c
     else:
         counts = rows.select(F.explode("label_set").alias("j")).groupBy("j").count().collect()  # one number per label
         positive = {r["j"]: float(r["count"]) for r in counts}
-        model = solvers.fit_logistic(rows, n, [positive.get(j, 0.0) for j in range(n_labels)], n_slots, c, max_iter)
+        model = solvers.fit_logistic(rows, n, [positive.get(j, 0.0) for j in range(n_labels)], n_slots, c, max_iter, relative=TOLERANCE)
     rows.unpersist()
     return model
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tavola.functions import text as T
 from tavola.functions.repairs import REPAIRS_1, REPAIRS_2, REPAIRS_TURKISH
 from tavola.operators import clean, features, geo
-from tavola.session import cut_lineage
+from tavola.session import cut_lineage, materialize_table
 
 
 def repair_text(df: DataFrame, name_col: str = "listing_name") -> DataFrame:
@@ -62,6 +62,8 @@ def prepare(raw: DataFrame, clusters: bool = True, materialize: bool = True) ->
         out = cut_lineage(out)
     out = derive(out)
     if clusters:
+        # Read by the cluster counts, the places and the rows themselves: written once, three columns for the rounds.
+        out = materialize_table(out, "derived") if materialize else out
         out = geo.kmeans_by_city(out)
         out = features.city_cluster_key(out)
     return out
