@@ -33,3 +33,26 @@ def test_kmeans_properties(spark):
     d = (F.col("latitude") - F.col("clat")) ** 2 + (F.col("longitude") - F.col("clon")) ** 2
     best = j.groupBy("listing_id").agg(F.min(d).alias("best"), F.min(F.when(F.col("other") == F.col("location_cluster"), d)).alias("own"))
     assert best.filter(F.col("own") > F.col("best") + 1e-9).count() == 0
+
+
+def test_step_aggregates_numbers_over_blocks(spark):
+    """A round sorts no rows with centres in them, and agrees with a plain recomputation over many blocks of a city."""
+    rows = [("A", float(i % 71), float(i % 89) / 2, float(1 + i % 3)) for i in range(5000)] + [("B", 0.0, 0.0, 1.0), ("B", 1.0, 1.0, 1.0)]
+    places = spark.createDataFrame(rows, "city string, latitude double, longitude double, weight double")
+    centres = {("A", 0): [(0, 3.0, 3.0), (1, 60.0, 40.0), (2, 900.0, 900.0)], ("A", 1): [(0, 30.0, 30.0)], ("B", 0): [(0, 0.0, 0.0), (1, 1.0, 1.0)]}
+    states = spark.createDataFrame([(c, s, x) for (c, s), x in centres.items()], "city string, start int, centres array<struct<cluster: int, c_lat: double, c_lon: double>>")
+    dealt = geo.blocks(places)
+    assert dealt.filter("city = 'A'").count() > 1
+    step = geo.cluster_step(dealt, states)
+    assert "SortAggregate" not in step._jdf.queryExecution().executedPlan().toString()
+    got = {(r.city, r.start): ([tuple(c) for c in r.centres], r.shift) for r in step.collect()}
+    assert got.keys() == centres.keys()
+    for (city, start), own in centres.items():
+        sums = {k: [0.0, 0.0, 0.0] for k, _, _ in own}
+        for c, lat, lon, w in rows:
+            if c == city:
+                near = min(own, key=lambda x: ((lat - x[1]) ** 2 + (lon - x[2]) ** 2, x[0]))[0]
+                sums[near] = [a + b for a, b in zip(sums[near], (w, w * lat, w * lon))]
+        want = [(k, sums[k][1] / sums[k][0], sums[k][2] / sums[k][0]) if sums[k][0] else (k, lat, lon) for k, lat, lon in own]
+        assert [[round(x, 9) for x in c] for c in got[city, start][0]] == [[round(x, 9) for x in c] for c in want]
+        assert abs(got[city, start][1] - sum((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 for a, b in zip(own, want))) < 1e-6
