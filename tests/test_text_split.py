@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tavola.operators import split, text
+from tavola.session import cut_lineage
 
 
 def test_accents_are_stripped_for_all_alphabets(spark):
@@ -44,3 +45,22 @@ def test_splits_and_folds_are_independent_of_id_patterns(spark):
     assert abs(share["test"] - 0.15) < 0.01 and abs(share["val"] - 0.15) < 0.01
     both = {(r.split, r.fold): r["count"] for r in df.groupBy("split", "fold").count().collect()}
     assert all(abs(n / 60_000 - share[s] / 3) < 0.01 for (s, _), n in both.items())
+
+
+def test_term_counts_are_dealt_by_bytes_and_weights_read_them_once(spark, monkeypatch):
+    """As many partitions as the texts need, one scan of the documents for weights and norms, vocabulary terms only before the count."""
+    monkeypatch.setattr(text, "TEXT_BYTES", 1000)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(50))) for i in range(200)] + [(None, "w1 w2"), (3, "w1 w1"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, body string")
+    tf = text.term_frequencies(docs, "doc_id", "body", 2)
+    assert tf.rdd.getNumPartitions() >= sum(len(t or "") for _, t in rows) // 1000
+    whole = text.tfidf(tf, idf := cut_lineage(text.fit_idf(text.fit_vocabulary(tf, 2, 30), docs)))
+    among = text.tfidf(text.term_frequencies(docs, "doc_id", "body", 2, among=idf), idf)
+    plan = among._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    key = lambda df: sorted((r.doc_id, r.term, r.term_idx, round(r.weight, 9)) for r in df.collect())
+    assert key(whole) == key(among) and len(key(among)) > 1000
+    norms = {}
+    for d, _, _, w in key(among):
+        norms[d] = norms.get(d, 0) + w * w
+    assert None not in norms and all(abs(x - 1) < 1e-6 for x in norms.values())
