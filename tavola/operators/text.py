@@ -48,13 +48,15 @@ ACCENTED = "".join(c for c, p in _PLAIN.items() if len(p) == 1 and c <= "\uffff"
 UNACCENTED = "".join(_PLAIN[c] for c in ACCENTED)
 _RARE = {c: p.lower() for c, p in _PLAIN.items() if c not in set(ACCENTED)}
 RARE_CLASS = _class_of("".join(_RARE))
+# A few ranges that hold all of these: most texts need not be matched with the hundreds of ranges of the exact class.
+NEAR_RARE_CLASS = _class_of([c for c in _RARE if c < "\u0100"] + [chr(x) for x in range(0x100, 0xD800)])[:-1] + "\\x{D800}-\\x{10FFFF}]"
 
 
 def _rare(c: Column) -> Column:
     """Texts with a ligature or a letter beyond the basic plane, character by character through the map."""
     table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _RARE.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded once
     letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    return F.when(c.rlike(RARE_CLASS), F.array_join(letters, "")).otherwise(c)
+    return F.when(c.rlike(NEAR_RARE_CLASS) & c.rlike(RARE_CLASS), F.array_join(letters, "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:

@@ -64,3 +64,12 @@ def test_term_counts_are_dealt_by_bytes_and_weights_read_them_once(spark, monkey
     for d, _, _, w in key(among):
         norms[d] = norms.get(d, 0) + w * w
     assert None not in norms and all(abs(x - 1) < 1e-6 for x in norms.values())
+
+
+def test_coarse_class_holds_all_rare_letters_and_no_common_ones():
+    import re
+
+    coarse = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U" + m[1].rjust(8, "0"), text.NEAR_RARE_CLASS))
+    assert all(coarse.search(c) for c in text._RARE)
+    assert not coarse.search("abc XYZ 019 éüñßàÅøæ-_.")
+    assert text.NEAR_RARE_CLASS.count("-") < 10 < text.RARE_CLASS.count("-")
