@@ -79,6 +79,19 @@ def test_rating_encoders_see_training_rows_only(spark):
     assert by["val"] > by["train"] - 0.35 and by["test"] > by["train"] - 0.35, by
 
 
+def test_rating_fit_lets_go_of_its_rows(spark):
+    from tavola.plans import rating
+    from tavola.plans.catalog import prepared_listings
+
+    from conftest import SF_SMALL
+
+    data = rating.prepare_features(warehouse.with_defaults(prepared_listings(spark, SF_SMALL)), "without_votes")
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = kept()
+    rating.fit(data, "without_votes", {"early_stop": False}, max_iter=1)
+    assert kept() <= before
+
+
 def test_out_of_fold_statistics_leave_the_own_fold_out(spark):
     from tavola.operators import mlfeatures
 
