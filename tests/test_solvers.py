@@ -98,6 +98,41 @@ def test_network_on_the_listings_equals_numpy(spark):
     assert np.allclose(list(zip(model.train_losses, model.held_out_losses)), plain_network(x, y, held, (32,), 5, 42), atol=1e-8)
 
 
+def test_wide_products_need_no_row_per_entry():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, entries, slots, columns = 500, 20, 90, 256
+    row = np.repeat(np.arange(n), entries)
+    batch = solvers.Batch(n, row, rng.integers(0, slots, len(row)), rng.normal(size=len(row)), np.zeros((n, 1)), np.zeros(n, bool))  # slots repeat within rows
+    x = np.zeros((n, slots + 7))
+    np.add.at(x, (row, batch.slots), batch.values)
+    w, r, out = rng.normal(size=(slots + 7, columns)), rng.normal(size=(n, columns)), np.ones((slots + 7, columns))
+    tracemalloc.start()
+    got = batch.times(w)
+    batch.transposed_times(out, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, x @ w) and np.allclose(out, 1 + x.T @ r)
+    assert peak < n * entries * columns * 8 / 4, peak
+
+
+def test_products_of_mostly_empty_blocks_go_by_entries(monkeypatch):
+    rng = np.random.default_rng(6)
+    row = np.arange(300)
+    batch = lambda: solvers.Batch(300, row, row * 3, rng.normal(size=300), np.zeros((300, 1)), np.zeros(300, bool))
+    assert batch().dense is None
+    monkeypatch.setattr(solvers, "CELLS_PER_ENTRY", 300)
+    b = batch()
+    w, r = rng.normal(size=(900, 40)), rng.normal(size=(300, 40))
+    wide, out, plain = b.times(w), np.zeros_like(w), np.zeros_like(w)
+    b.transposed_times(out, r)
+    assert b.dense is not None
+    monkeypatch.setattr(solvers, "WIDE", 41)
+    b.transposed_times(plain, r)
+    assert np.allclose(b.times(w), wide) and np.allclose(out, plain)
+
+
 def test_network_stops_after_its_patience(spark):
     x, y = sample(120)
     held = np.arange(len(x)) % 5 == 0
