@@ -1,5 +1,6 @@
 """k-means properties: nearest-centre assignment, inertia never rises, k within bounds."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tavola.operators import geo
@@ -56,3 +57,26 @@ def test_step_aggregates_numbers_over_blocks(spark):
         want = [(k, sums[k][1] / sums[k][0], sums[k][2] / sums[k][0]) if sums[k][0] else (k, lat, lon) for k, lat, lon in own]
         assert [[round(x, 9) for x in c] for c in got[city, start][0]] == [[round(x, 9) for x in c] for c in want]
         assert abs(got[city, start][1] - sum((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 for a, b in zip(own, want))) < 1e-6
+
+
+def test_rounds_in_one_task_equal_rounds_over_blocks(spark, monkeypatch):
+    """Cities up to the bound end in one task; the clusters are those of the rounds over blocks, mixed bounds included."""
+    rows = [(i, c, x * float((i * 7919) % 1009) / 10000, x * float((i * 104729) % 997) / 10000) for x, c in ((1.0, "A"), (0.7, "B")) for i in range(300 if c == "A" else 60)]
+    rows += [(0, "C", 1.0, 1.0), (1, "C", 1.0, 1.0), (2, None, 1.0, 1.0), (3, "B", None, 1.0)]
+    df = spark.createDataFrame(rows, "listing_id long, city string, latitude double, longitude double")
+    monkeypatch.setattr(geo, "BLOCK", 64)
+    labels = lambda at_once: sorted(geo.kmeans_by_city(df, tol=1e-2, at_once=at_once).collect(), key=str)
+    want = labels(0)
+    calls, step = [], geo.cluster_step
+    monkeypatch.setattr(geo, "cluster_step", lambda *a: calls.append(1) or step(*a))
+    assert labels(100) == want and calls
+    calls.clear()
+    assert labels(geo.AT_ONCE) == want and not calls
+
+
+def test_unfinished_rounds_are_an_error(spark):
+    rows = [(i, "A", float((i * 7919) % 1009) / 1000, float((i * 104729) % 997) / 1000) for i in range(500)]
+    df = spark.createDataFrame(rows, "listing_id long, city string, latitude double, longitude double")
+    for at_once in (0, geo.AT_ONCE):
+        with pytest.raises(RuntimeError, match="not converged"):
+            geo.kmeans_by_city(df, max_iter=1, tol=0.0, at_once=at_once).count()
