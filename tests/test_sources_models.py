@@ -92,6 +92,19 @@ def test_rating_fit_lets_go_of_its_rows(spark):
     assert kept() <= before
 
 
+def test_rating_fit_reads_no_part_for_every_fold(spark, monkeypatch):
+    from tavola.plans import rating
+    from tavola.plans.catalog import prepared_listings
+
+    from conftest import SF_SMALL
+
+    data = rating.prepare_features(warehouse.with_defaults(prepared_listings(spark, SF_SMALL)), "without_votes").repartition(12, "_row_id")
+    seen, fit = [], rating.GBTRegressor.fit
+    monkeypatch.setattr(rating.GBTRegressor, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())) or fit(self, rows))
+    rating.fit(data, "without_votes", {"early_stop": False}, max_iter=1)
+    assert seen[0][0] <= max(12, spark.sparkContext.defaultParallelism) and seen[0][1] == data.count()
+
+
 def test_out_of_fold_statistics_leave_the_own_fold_out(spark):
     from tavola.operators import mlfeatures
 
