@@ -4,7 +4,9 @@ The model file is read once per Python worker.  A text is normalised by
 longest-prefix replacement through the compiled character map, which records
 for every normalised byte the source offset it came from; the normalised text
 is cut where no piece can span, each part is merged by piece score, and every
-piece is projected through the alignment to a span of source bytes.
+piece is projected through the alignment to a span of source bytes.  Words that
+a worker has not met go to the library many at once, where a model maps no
+characters and its dummy prefix is the space mark before a word.
 
 Defined results: a null text counts as empty, an empty text has no pieces and
 decodes to an empty text; null and repeated ids pass through; an empty table
@@ -172,6 +174,12 @@ class Codec:
         self.words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.bare, self.marked = _Parts(self._merge, ""), _Parts(self._merge, SPACE)
+        plain = self.normalize.map is None and not self.normalize.squeeze and self.normalize.space == SPACE
+        self.library = None
+        if plain and self.words and self.dummy and self.fallback and not proto.trainer_spec.treat_whitespace_as_suffix:
+            from sentencepiece import SentencePieceProcessor
+
+            self.library = SentencePieceProcessor(model_proto=model)
 
     def _emit(self, symbols: list[str]) -> list[int]:
         ids = list(map(self.ids.get, symbols))
@@ -229,6 +237,19 @@ class Codec:
         first, *rest = normal.split(SPACE)
         return [self.bare[first] if first else b"", *map(self.marked.__getitem__, rest)]
 
+    def meet(self, texts: list[str]) -> None:
+        """Remember the ids of the words after spaces that are new; others are merged when they come up."""
+        if self.library is None:
+            return
+        words: set[str] = set()
+        for text in texts:
+            words.update(text.split(" "))
+        if len(self.marked) + len(words) > CACHED_PARTS:
+            self.marked.clear()
+        new = [w for w in words if w not in self.marked and 0 < len(w) <= SCAN_LENGTH]
+        for word, ids in zip(new, self.library.encode(new, num_threads=1)):
+            self.marked[word] = array("i", ids).tobytes()
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, source byte offsets of the n + 1 piece borders)."""
         normal, align = self.normalize(text)
@@ -300,20 +321,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         own = codec(model)
         names = ["doc_id", "ids", "begins", "ends", "decoded"]
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            start, held, ids, begins, ends, decoded = 0, 0, [], [], [], []
+            keys, column = batch.column(0), batch.column(1)
+            start, held, texts = 0, 0, []
             for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                got, borders = own.encode(text)
-                ids.append(got)
-                begins.append(borders[:-1])
-                ends.append(borders[1:])
-                decoded.append(own.decode(got.tolist()))
-                held += len(text)
+                texts.append(column[i].as_py())
+                held += len(texts[-1])
                 if held >= BATCH_BYTES or i == batch.num_rows - 1:
+                    own.meet(texts)
+                    ids, begins, ends, decoded = [], [], [], []
+                    for text in texts:
+                        got, borders = own.encode(text)
+                        ids.append(got)
+                        begins.append(borders[:-1])
+                        ends.append(borders[1:])
+                        decoded.append(own.decode(got.tolist()))
                     columns = [keys.slice(start, i + 1 - start), _lists(ids), _lists(begins), _lists(ends), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names)
-                    start, held, ids, begins, ends, decoded = i + 1, 0, [], [], [], []
+                    start, held, texts = i + 1, 0, []
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
@@ -322,12 +346,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes under the pieces' spans), and ids if asked for."""
     out = encode(docs, model, id_col, text_col)
-    add = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
+    # Every span begins where the one before it ends.
+    covered = F.get("ends", F.size("ends") - 1).cast("long") - F.get("begins", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        add.alias("span_bytes"),
+        F.coalesce(covered, F.lit(0).cast("long")).alias("span_bytes"),
         *(["ids"] if keep_ids else []),
     )

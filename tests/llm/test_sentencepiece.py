@@ -62,6 +62,21 @@ def test_long_parts():
         assert OWN.encode(text)[0].tolist() == LIBRARY.encode(text)
 
 
+def test_new_words_go_to_the_library_at_once(monkeypatch):
+    """Words that were met are not merged again; ids stay those of the whole text, across a cleared memory as well."""
+    own = S.Codec(open(tokenizer_path(), "rb").read())
+    merged, merge = [], own.marked.merge
+    monkeypatch.setattr(own.marked, "merge", lambda part: merged.append(part) or merge(part))
+    monkeypatch.setattr(S, "CACHED_PARTS", 500)
+    for k in range(30):
+        texts = [" ".join(f"wörd{k * 7 + i + j}<0x41>\x00\n日{i}" for i in range(20)) + " the a▁b" + " " * j + "x" * 60 for j in range(3)] + ["", " ", "▁"]
+        own.meet(texts)
+        for text in texts:
+            assert own.encode(text)[0].tolist() == LIBRARY.encode(text)
+    # Only empty and very long words, and what has space marks of its own, are merged one by one.
+    assert not [part for part in merged if part.startswith(S.SPACE + "w")]
+
+
 def test_query_digests(spark):
     got = S.digests(clashing(table(spark), "ids", "begins", "decoded"), tokenizer_path()).collect()
     want = []
