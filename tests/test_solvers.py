@@ -160,3 +160,47 @@ def test_unseen_levels_and_terms_get_no_slot(spark):
     assert names == {0: "name__cat", 1: "name__dog", 2: "name__red", 3: "cat__c_a", 4: "cat__c_b", 5: "num__x"} and e.n_slots == 6
     new = spark.createDataFrame([(9, "cat bird", "z", None)], train.schema)
     assert {(r.slot, r.value > 0) for r in assemble.assembled(e, new).collect()} == {(0, True), (5, True)}
+
+
+def odd_batch(seed=7, n=300, slots=40, k=5):
+    rng = np.random.default_rng(seed)
+    row = np.sort(rng.integers(0, n, 6 * n))
+    return solvers.Batch(n, row, rng.integers(0, slots, len(row)) * 3, rng.normal(size=len(row)), (rng.random((n, k)) < 0.3).astype(float), rng.random(n) < 0.2)
+
+
+def test_packed_batches_are_the_same_batches():
+    import pickle
+
+    for b in (odd_batch(), solvers.Batch(2, np.arange(2), np.full(2, 9), np.ones(2), np.zeros((2, 0)), np.zeros(2, bool))):
+        again = pickle.loads(pickle.dumps(b))
+        for name in ("row", "slots", "values", "labels", "held_out"):
+            assert np.array_equal(getattr(again, name), getattr(b, name)) and getattr(again, name).dtype == getattr(b, name).dtype
+    # An entry is its value, its row and its place; 80 bytes less a row than numbers of 64 bits.
+    assert len(pickle.dumps(odd_batch())) < 300 * 6 * 17 + 2000
+
+
+def test_narrow_products_add_entries_in_their_order():
+    b = odd_batch()  # rows without entries, slots that repeat within rows
+    x = np.zeros((300, 120))
+    np.add.at(x, (b.row, b.slots), b.values)
+    rng = np.random.default_rng(8)
+    w, r, out = rng.normal(size=(120, 5)), rng.normal(size=(300, 5)), np.ones((120, 5))
+    b.transposed_times(out, r)
+    assert np.allclose(b.times(w), x @ w) and np.allclose(out, 1 + x.T @ r)
+
+
+def test_rounds_do_not_read_the_rows_again(spark):
+    x, y = sample()
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = frame(spark, x, y).select("slots", "values", "label_set", "held_out")
+    rows = rows.mapInArrow(counted, rows.schema)
+    model = solvers.fit_logistic(rows, len(x), y.sum(0).tolist(), x.shape[1], max_passes=6)
+    assert model.passes == 6 and reads.value == len(x)
+    network = solvers.fit_network(rows, len(x), 0, 4, x.shape[1], (8,), max_rounds=5)
+    assert network.rounds == 5 and reads.value == 2 * len(x)
