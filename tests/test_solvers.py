@@ -209,3 +209,55 @@ def test_rounds_do_not_read_the_rows_again(spark):
     assert model.passes == 6 and reads.value == len(x)
     network = solvers.fit_network(rows, len(x), 0, 4, x.shape[1], (8,), max_rounds=5)
     assert network.rounds == 5 and reads.value == 2 * len(x)
+
+
+def test_penalties_side_by_side_equal_a_fit_each(spark, monkeypatch):
+    x, y = sample()
+    n, rows, positive, cs = len(x), frame(spark, x, y), y.sum(0).tolist(), [0.5, 1.0, 2.0]
+    one = [solvers.fit_logistic(rows, n, positive, x.shape[1], c, relative=1e-4) for c in cs]
+    in_a_task = solvers.fit_logistics(rows, n, positive, x.shape[1], cs, relative=1e-4)
+    monkeypatch.setattr(solvers, "AT_ONCE", 0)
+    by_jobs = solvers.fit_logistics(rows, n, positive, x.shape[1], cs, relative=1e-4)
+    for models in (in_a_task, by_jobs):
+        assert [m.constant for m in models] == [{3: 0.0}] * 3
+        assert max(np.abs(a.weights - b.weights).max() for a, b in zip(models, one)) < 1e-6
+
+
+def labelled(spark, n=60):
+    rows = [
+        (i, f"{'alpha' if i % 3 else 'beta'} word{i % 5}", ", ".join(c for c, d in (("A", 2), ("B", 3), ("C", 5)) if i % d) or "A", i % 2, f"city{i % 3}", f"place{i % 4}", "Yes", "No", "No",
+         float(i % 7), float(i % 11), float(i % 13), i % 4, (i % 9) / 2, float(i % 6))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "listing_id long, listing_name string, cuisines string, country_code int, city string, locality string, has_table_booking string, has_online_delivery string, "
+                                       "is_delivering_now string, longitude double, latitude double, log_average_cost_inr double, price_range int, aggregate_rating double, log_votes double")
+
+
+def test_candidates_that_share_rows_get_the_metrics_of_a_fit_each(spark):
+    from tavola.operators import evaluate, split
+
+    base = {"min_count": 5, "max_features": 50, "ngram_max": 1, "min_df": 1, "c": 1.0}
+    cands = [base, {**base, "ngram_max": 2}, {**base, "c": 0.5}]
+    prepared = labelled(spark)
+    folds, summary, best = LP.cross_validate(prepared, cands, k=2, max_iter=20)
+    got = {(r.candidate, r.fold): r for r in folds.collect()}
+    assert sorted(got) == [(c, f) for c in (1, 2, 3) for f in (0, 1)] and summary.count() == 3 and best.count() == 1
+    data, vocab, _ = LP.build_dataset(prepared, 5)
+    data = split.assign_fold(data.filter("split = 'train'"), "row_id", 2).persist()
+    encoding = assemble.fit_encoding(data.filter("fold <> 1"), "row_id", LP.TEXT_COLUMN, LP.CATEGORICAL, LP.NUMERIC, 50, 1, 1)
+    rows = LP.featurize(encoding, data).persist()
+    model = LP.fit(rows.filter("fold <> 1"), vocab.count(), encoding.n_slots, "logistic", 0.5, 20)
+    want = evaluate.threshold_sweep(LP.predict_proba(model, rows.filter("fold = 1")), vocab.count()).filter("is_best").first()
+    assert got[3, 1].best_threshold == want.threshold and abs(got[3, 1].micro_f1 - want.micro_f1) < 1e-9 and abs(got[3, 1].macro_f1 - want.macro_f1) < 1e-9
+
+
+def test_label_cv_query_runs_the_whole_grid_to_the_full_budget(spark, monkeypatch):
+    from tavola.plans import catalog
+
+    seen = {}
+    monkeypatch.setattr(catalog, "prepared_listings", lambda *a, **k: None)
+    monkeypatch.setattr(LP, "cross_validate", lambda prepared, candidates, **how: seen.update(how, candidates=candidates) or (None, None, "best"))
+    assert catalog.queries()["label_cv_best"](spark, SF_SMALL) == "best"
+    points = {tuple(sorted(c.items())) for c in seen["candidates"]}
+    assert len(points) == len(seen["candidates"]) == np.prod([len(v) for v in LP.TUNING_GRID.values()]) and seen["candidates"][0] == LP.BASE_CANDIDATE
+    assert seen.get("max_iter") in (None, LP.ITERATIONS["logistic"]) and seen["k"] == 3
