@@ -105,6 +105,79 @@ def test_rating_fit_reads_no_part_for_every_fold(spark, monkeypatch):
     assert seen[0][0] <= max(12, spark.sparkContext.defaultParallelism) and seen[0][1] == data.count()
 
 
+def rated(spark, n=90):
+    """Prepared listings whose rating follows their cost, with some noise."""
+    from tavola.plans import rating
+
+    cats = set(rating._CATS)
+    rows = [(i, round((i * 37 % 50) / 10 + (i * 7919 % 11) / 10, 2), *(f"v{(i + j) % 3}" if c in cats else float(i * 37 % 50 if c == "cost_for_two" else i * (j + 3) % 17) for j, c in enumerate(rating._BASE))) for i in range(n)]
+    schema = "listing_id long, aggregate_rating double, " + ", ".join(f"{c} {'string' if c in cats else 'double'}" for c in rating._BASE)
+    return spark.createDataFrame(rows, schema).repartition(2).persist()
+
+
+def test_best_round_waits_before_it_ends():
+    from tavola.plans.rating import best_round
+
+    assert best_round([3.0, 3.1, 2.9, 3.0, 3.0], 3) == (3, False)
+    assert best_round([3.0, 3.1, 2.9, 3.0, 3.0, 3.0, 1.0], 3) == (3, True)
+    assert best_round([3.0, 4.0, 4.0, 2.0], 2) == (1, True) and best_round([3.0, 4.0, 4.0, 2.0], 3) == (4, False)
+
+
+def test_rating_fit_goes_on_after_a_round_that_does_not_help(spark, monkeypatch):
+    from tavola.operators import split
+    from tavola.plans import rating
+
+    monkeypatch.setattr(rating, "PATIENCE", 6)
+    monkeypatch.setattr(rating, "FIRST_ROUNDS", 1)
+    seen, boosted = [], rating._boosted
+    monkeypatch.setattr(rating, "_boosted", lambda rows, params, rounds, seed: seen.append((rounds, boosted(rows, params, rounds, seed))) or seen[-1][1])
+    data = split.assign_split(rating.prepare_features(rated(spark), "base"), "_row_id")
+    train, val = data.filter("split = 'train'"), data.filter("split = 'val'")
+    model = rating.fit(train, "base", {"maxDepth": 3}, 40, val=val)
+    rounds, whole = seen[-1]
+    assert seen[0][0] == 7 and all(b == min(40, 2 * a) for (a, _), (b, _) in zip(seen, seen[1:]))
+    held = rating._held_vectors(model.pipeline.stages[:-1], model.medians, val)
+    errors, kept = whole.evaluateEachIteration(held, "squared"), model.pipeline.stages[-1]
+    best, ended = rating.best_round(errors, 6)
+    assert kept.getNumTrees == best and kept.treeWeights == whole.treeWeights[:best] and (ended or rounds == 40)
+    assert abs(kept.evaluateEachIteration(held, "squared")[-1] - errors[best - 1]) < 1e-12
+    d = tempfile.mkdtemp(prefix="tavola-model-", dir="/tmp")
+    rating.save_model(model, d + "/m")
+    again = rating.load_model(d + "/m")
+    both = rating.predict(model, val).join(rating.predict(again, val).select("_row_id", F.col("prediction").alias("p2")), "_row_id")
+    assert both.filter("abs(prediction - p2) > 1e-12").count() == 0 and rating.feature_importance(again).count() > 0
+
+
+def test_rating_candidates_share_a_folds_rows(spark):
+    from tavola.operators import evaluate, split
+    from tavola.plans import rating
+
+    prepared = rated(spark)
+    folds, summary = rating.cross_validate(prepared, "base", [rating.BASE_CANDIDATE, {"maxDepth": 2, "subsamplingRate": 0.8}], k=2, max_iter=3)
+    got = {(r.candidate, r.fold): r for r in folds.collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (2, 0), (2, 1)] and summary.count() == 2
+    data = split.assign_fold(split.assign_split(rating.prepare_features(prepared, "base"), "_row_id").filter("split = 'train'"), "_row_id", 2)
+    one = rating.fit(data.filter("fold <> 1"), "base", {"early_stop": False}, 3)
+    want = evaluate.regression_metrics(rating.predict(one, data.filter("fold = 1")), rating.TARGET, "prediction").first()
+    assert abs(got[1, 1].rmse - want.rmse) < 1e-9 and abs(got[1, 1].mae - want.mae) < 1e-9
+
+
+def test_rating_cv_query_runs_the_whole_grid_to_the_full_budget(spark, monkeypatch):
+    import math
+
+    from tavola.operators import split
+    from tavola.plans import catalog, rating
+
+    seen = {}
+    monkeypatch.setattr(catalog, "prepared_listings", lambda *a, **k: None)
+    monkeypatch.setattr(rating, "cross_validate", lambda prepared, variant, candidates, **how: seen.update(how, candidates=candidates) or (None, None))
+    monkeypatch.setattr(split, "select_best", lambda summary, order: "best")
+    assert catalog.queries()["rating_cv_best"](spark, "nowhere") == "best"
+    points = {tuple(sorted(c.items())) for c in seen["candidates"]}
+    assert len(points) == len(seen["candidates"]) == math.prod(len(v) for v in rating.TUNING_GRID["base"].values())
+    assert seen.get("max_iter") in (None, rating.CV_ITERATIONS) and seen["k"] == 3
+
+
 def test_out_of_fold_statistics_leave_the_own_fold_out(spark):
     from tavola.operators import mlfeatures
 
