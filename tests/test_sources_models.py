@@ -162,6 +162,21 @@ def test_rating_candidates_share_a_folds_rows(spark):
     assert abs(got[1, 1].rmse - want.rmse) < 1e-9 and abs(got[1, 1].mae - want.mae) < 1e-9
 
 
+def test_rating_queries_run_their_full_budgets(spark, monkeypatch):
+    from tavola.plans import catalog, rating
+
+    seen = []
+    monkeypatch.setattr(catalog, "prepared_listings", lambda *a, **k: None)
+    monkeypatch.setattr(rating, "train_and_evaluate", lambda prepared, variant, max_iter=None: seen.append((variant, max_iter)) or (None, None))
+    monkeypatch.setattr(rating, "feature_importance", lambda model: None)
+    monkeypatch.setattr(catalog.IM, "cumulative_importance", lambda imp: None)
+    queries = catalog.queries()
+    for name in ("rating_feature_importance",):
+        queries[name](spark, "nowhere")
+    assert [v for v, _ in seen] == ["onehot"]
+    assert all(rounds in (None, rating.ITERATIONS[v]) for v, rounds in seen)
+
+
 def test_rating_cv_query_runs_the_whole_grid_to_the_full_budget(spark, monkeypatch):
     import math
 
