@@ -171,9 +171,9 @@ def test_rating_queries_run_their_full_budgets(spark, monkeypatch):
     monkeypatch.setattr(rating, "feature_importance", lambda model: None)
     monkeypatch.setattr(catalog.IM, "cumulative_importance", lambda imp: None)
     queries = catalog.queries()
-    for name in ("rating_feature_importance", "train_rating_base", "train_rating_engineered"):
+    for name in ("rating_feature_importance", "train_rating_base", "train_rating_engineered", "train_rating_without_votes"):
         queries[name](spark, "nowhere")
-    assert [v for v, _ in seen] == ["onehot", "base", "engineered"]
+    assert [v for v, _ in seen] == ["onehot", "base", "engineered", "without_votes"]
     assert all(rounds in (None, rating.ITERATIONS[v]) for v, rounds in seen)
 
 
